@@ -63,14 +63,17 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     keyed = prints.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(63)))).select(
         "node",
         "simhash",
+        F.expr("w % 32 = 0").alias("once"),
         F.expr("shiftleft(cast(w as bigint), 32)").bitwiseOR(segment.bitwiseAND(F.expr("~shiftleft(1L, w % 32)"))).alias("key"),
     )
     sized = keyed.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1")
     sized = cut(sized, "variants")
-    member = F.struct("node", "simhash")
-    bucket = sized.where(F.col("n") <= crowd).groupBy("key").agg(F.array_sort(F.collect_list(member)).alias("m"))
-    pairs = bucket.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
-    near = pairs.where(F.bit_count(F.col("x.simhash").bitwiseXOR(F.col("y.simhash"))) <= 2).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    # verified before they become rows; two that agree on the whole segment meet under each of its bits, and count under the first
+    bucket = sized.where(F.col("n") <= crowd).groupBy("key", "once").agg(F.array_sort(F.collect_list(F.struct("node", "simhash"))).alias("m"))
+    same = "((shiftrightunsigned(key, 32) < 32 and ((x.simhash ^ y.simhash) & 4294967295L) = 0) or (shiftrightunsigned(key, 32) >= 32 and shiftrightunsigned(x.simhash ^ y.simhash, 32) = 0))"
+    verified = f"filter(slice(m, i + 2, size(m)), y -> bit_count(x.simhash ^ y.simhash) <= 2 and (once or not {same}))"
+    found = F.expr(f"flatten(transform(m, (x, i) -> transform({verified}, y -> named_struct('a', x.node, 'b', y.node))))")
+    near = bucket.select(F.explode(found).alias("l")).select("l.a", "l.b")
     crowded = sized.where(F.col("n") > crowd).select("node", "simhash").distinct()
     two = crowded.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(62)))).withColumn("j", F.explode(F.expr("sequence(i + 1, 63)")))
     two = two.groupBy(F.expr("i * 64 + j").alias("mask"), F.expr("simhash & ~(shiftleft(1L, i) | shiftleft(1L, j))").alias("rest"))
