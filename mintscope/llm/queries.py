@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, linededup, packing, simhash
+from . import langid, linededup, matroska, packing, simhash
 from .common import docs_table
 
 
@@ -15,6 +15,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = matroska.text_media(docs_table(spark, sf_dir))
+    return media.withColumn("d", matroska.digest("media")).select("doc_id", "n_bytes", "d.payload_bytes", "d.payload_sha256", "d.tail_crc32", "d.media_bytes", "d.media_sha256", "d.feature", "d.packets")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs_table(spark, sf_dir))
 
@@ -33,6 +38,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_media_columns": op1_media_columns,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_line_dedup": op7_line_dedup,
