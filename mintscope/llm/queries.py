@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, matroska, packing, simhash
+from . import ann, langid, linededup, matroska, mixing, packing, simhash, urlfilter
 from .common import docs_table
 
 
@@ -24,10 +24,49 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs_table(spark, sf_dir))
 
 
+def _list_number(text: F.Column) -> F.Column:
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int")
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """The pages with a fetch time in 2024, by their ids: the table has none of its own."""
+    return pages.select("page_id", "url", F.expr("timestampadd(MINUTE, page_id * 7919 % 525600, timestamp '2024-01-01 00:00:00')").alias("fetched_at"))
+
+
+def list_events_of(pages: DataFrame) -> DataFrame:
+    """A dated block and allow list over the hosts, domains and first path parts of the pages: the tables have none."""
+    url = F.col("url")
+    seen = pages.select(urlfilter.host_of(url).alias("host"), F.regexp_extract(urlfilter.path_of(url), "^/([^/]+)", 1).alias("part")).where("host <> ''").distinct()
+    hosts = seen.select("host").distinct().withColumn("v", _list_number(F.col("host")))
+    domains = hosts.select(F.regexp_replace("host", r"^[^.]*\.", "").alias("host")).where("host like '%.%.%'").distinct().withColumn("v", _list_number(F.concat(F.lit("d"), F.col("host"))))
+    parts = seen.where("part <> ''").select(F.concat_ws("/", "host", "part").alias("host")).withColumn("v", _list_number(F.concat(F.lit("p"), F.col("host"))))
+    dated = lambda df, verdict, action, day: df.select(F.col("host").alias("entry"), F.lit(verdict).alias("verdict"), F.lit(action).alias("action"), F.expr(f"timestampadd(DAY, {day}, timestamp '2024-01-01 00:00:00')").alias("at"))
+    out = dated(hosts.where("v % 4 < 2"), "block", "add", "v % 200")
+    out = out.union(dated(hosts.where("v % 4 < 2"), "block", "remove", "v % 200 + 30 + v % 50"))
+    out = out.union(dated(hosts.where("v % 4 = 0"), "block", "add", "v % 200 + 120"))
+    out = out.union(dated(domains.where("v % 5 = 0"), "block", "add", "v % 300"))
+    return out.union(dated(parts.where("v % 3 = 0"), "allow", "add", "v % 150"))
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = docs_table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(captures_of(pages), list_events_of(pages), "page_id")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs_table(spark, sf_dir), vocabulary())
 
 
+#: Parts of each domain's tokens that the mix is to hold.
+SHARES = {"good": 1.0, "poor": 0.5, "toxic": 0.0}
+
+
+def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.label_domains(docs_table(spark, sf_dir, "labels"))
+    rows, names = mixing.mix(docs_table(spark, sf_dir), labels, SHARES)
+    return rows.select("doc_id", "tokens", "rate", *[F.col("posterior")[i].alias(f"p_{c}") for i, c in enumerate(names)])
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.clean(docs_table(spark, sf_dir).select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -44,13 +83,44 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op4_url_filters": op4_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_mixing_weights": op6_mixing_weights,
     "op7_line_dedup": op7_line_dedup,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_url_filters": """
+        WITH c AS (
+            SELECT page_id, lower(url) AS u, TIMESTAMP '2024-01-01' + to_minutes(page_id * 7919 % 525600) AS t,
+                rtrim(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1), '.') AS host,
+                list_filter(string_split(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts
+            FROM pages),
+        hosts AS (SELECT DISTINCT host AS entry, ('0x' || left(md5(host), 6))::INT AS v FROM c WHERE host <> ''),
+        domains AS (
+            SELECT DISTINCT entry, ('0x' || left(md5('d' || entry), 6))::INT AS v
+            FROM (SELECT regexp_replace(entry, '^[^.]*\\.', '') AS entry FROM hosts) WHERE entry LIKE '%.%.%'),
+        parts AS (
+            SELECT DISTINCT entry, ('0x' || left(md5('p' || entry), 6))::INT AS v
+            FROM (SELECT host || '/' || parts[1] AS entry FROM c WHERE host <> '' AND len(parts) > 0)),
+        spans AS (
+            SELECT entry, 'block' AS verdict, v % 200 AS a, v % 200 + 30 + v % 50 AS z FROM hosts WHERE v % 4 < 2
+            UNION ALL SELECT entry, 'block', v % 200 + 120, 100000 FROM hosts WHERE v % 4 = 0
+            UNION ALL SELECT entry, 'block', v % 300, 100000 FROM domains WHERE v % 5 = 0
+            UNION ALL SELECT entry, 'allow', v % 150, 100000 FROM parts WHERE v % 3 = 0),
+        m AS (
+            SELECT c.page_id, s.verdict, s.entry, TIMESTAMP '2024-01-01' + to_days(s.a::INT) AS valid_from,
+                CASE WHEN s.entry LIKE '%/%' THEN 100 ELSE 0 END + CASE WHEN s.entry = c.host THEN 99 ELSE len(s.entry) / 1000.0 END AS weight
+            FROM c JOIN spans AS s ON c.host <> '' AND (s.entry = c.host OR c.host LIKE '%.' || s.entry OR s.entry = c.host || '/' || parts[1])
+            WHERE c.t >= TIMESTAMP '2024-01-01' + to_days(s.a::INT) AND c.t < TIMESTAMP '2024-01-01' + to_days(s.z::INT)),
+        b AS (
+            SELECT page_id, arg_max({'verdict': verdict, 'entry': entry, 'valid_from': valid_from}, weight) AS x, count(*) AS n FROM m GROUP BY page_id)
+        SELECT c.page_id, c.host, c.t AS fetched_at, coalesce(b.x.verdict, 'none') AS verdict, b.x.entry AS entry,
+            b.x.valid_from AS valid_from, coalesce(b.n, 0) AS n_active
+        FROM c LEFT JOIN b USING (page_id)
+    """,
     "op7_line_dedup": """
         WITH l AS (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no
