@@ -7,19 +7,28 @@ x posterior, to its target. The gradient is a few totals over all documents, whi
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
 
 #: Bounds on the labelled rows that the classifier is fitted on, and on its words.
-LABELLED, WORDS = 20_000, 400
-STEPS = 60
+LABELLED, WORDS = 20_000, 24
+STEPS = 40
 
 
 def words_of(text) -> F.Column:
-    """The distinct words of a text, lower-cased: runs of letters."""
-    return F.array_distinct(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}]+"))
+    """The distinct marks of a text: its lower-cased words, its runs of symbols, and signs of shouting and repetition."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    words = F.split(F.lower(t), r"[^\p{L}]+")
+    symbols = F.array_distinct(F.regexp_extract_all(t, F.lit(r"([^\p{L}\p{N}\s.,;:'\"()\-]+)"), 1))
+    distinct = F.array_distinct(words)
+    capitals = F.char_length(t) - F.char_length(F.regexp_replace(t, r"\p{Lu}+", ""))
+    signs = F.array_compact(F.array(F.when(capitals * 10 > F.char_length(t) * 3, "<capitals>"), F.when((F.size(words) >= 10) & (F.size(distinct) * 4 < F.size(words)), "<repeats>")))
+    return F.concat(distinct, symbols, signs)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", labelled: int = LABELLED, words: int = WORDS) -> tuple[list[str], list[float], dict[str, list[float]]]:
@@ -40,10 +49,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return [], [], {}
     total = sum(sizes.values())
     seen = sample.select("c", F.explode("w").alias("word")).groupBy("word").agg(*[F.count_if(F.col("c") == c).cast("double").alias(f"n{i}") for i, c in enumerate(names)])
-    odds = [F.log((F.col(f"n{i}") + 0.5) / (sizes[c] + 1.0)) for i, c in enumerate(names)]
-    mean = sum(odds) / len(odds)
-    tell = sum((F.col(f"n{i}") + 0.5) * F.abs(o - mean) for i, o in enumerate(odds))
-    best = seen.where(" + ".join(f"n{i}" for i in range(len(names))) + " >= 3").orderBy(tell.desc(), "word").limit(words)
+    # how many standard deviations a word's count in a domain is off what its count in all domains leads to expect
+    everywhere = sum((F.col(f"n{i}") for i in range(1, len(names))), F.col("n0"))
+    off = []
+    for i, c in enumerate(names):
+        share = sizes[c] / total
+        off.append(F.abs(F.col(f"n{i}") - everywhere * share) / F.sqrt(everywhere * share * (1 - share) + 0.25))
+    tell = F.greatest(*off, F.lit(0.0))
+    best = seen.withColumn("tell", tell).where("tell >= 4").orderBy(F.desc("tell"), "word").limit(words)
     table = {}
     for r in best.select("word", *[f"n{i}" for i in range(len(names))]).collect():
         table[r["word"]] = [(r[f"n{i}"] + 0.5) / (sizes[c] + 1.0) for i, c in enumerate(names)]
@@ -52,8 +65,6 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def posteriors(df: DataFrame, model, text: str = "text", out: str = "posterior") -> DataFrame:
     """Adds an array of probabilities, in the order of the model's domains: the priors for a text without known words."""
-    import math
-
     names, priors, table = model
     if not table:
         return df.withColumn(out, F.array(*[F.lit(float(p)) for p in priors]).cast("array<double>"))
@@ -82,8 +93,9 @@ def rates(docs: DataFrame, targets: list[float], steps: int = STEPS, posterior:
     total = float(second["n"] or 0)
     if not total:
         return docs.withColumn(out, F.lit(1.0))
-    # the step's bound: the largest row sum of the domains' second moments, at least their largest eigenvalue
-    top = max(sum(second[f"s{i}_{j}"] for j in range(k)) for i in range(k)) / total
+    # steps are taken in the metric of the domains' second moments, which bounds the curvature wherever rates are above 0
+    moments = np.array([[second[f"s{i}_{j}"] for j in range(k)] for i in range(k)]) / total
+    metric = np.linalg.inv(moments + 0.01 * max(np.trace(moments), 1e-12) / k * np.eye(k))
     gradients: list[list[float]] = []
 
     def replay():
@@ -94,9 +106,9 @@ def rates(docs: DataFrame, targets: list[float], steps: int = STEPS, posterior:
     for _ in range(steps):
         now = docs.select(replay().alias("r"), t.alias("t"), p.alias("p")).agg(*[F.sum(F.col("r") * F.col("t") * F.col("p")[i]).alias(f"e{i}") for i in range(k)]).first()
         miss = [(now[f"e{i}"] - targets[i]) / total for i in range(k)]
-        if max(map(abs, miss)) < 1e-6:
+        if max(map(abs, miss)) < 1e-4:
             break
-        gradients.append([m / top for m in miss])
+        gradients.append([float(v) for v in metric @ miss])
     return docs.withColumn(out, replay())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, matroska, mixing, packing, simhash, urlfilter
+from . import ann, langid, linededup, matroska, mixing, packing, secrets, simhash, urlfilter
 from .common import docs_table
 
 
@@ -58,7 +58,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Parts of each domain's tokens that the mix is to hold.
-SHARES = {"good": 1.0, "poor": 0.5, "toxic": 0.0}
+SHARES = {"good": 1.0, "poor": 0.25, "toxic": 0.0}
 
 
 def op6_mixing_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,24 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def labelled_findings_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Reviewed findings: those in the documents that the labels table covers, judged by what is to be known of them.
+
+    The tables have no verdicts on findings, so a rule stands in for the reviewer: a quoted value of 32 or more letters
+    and digits that a name like token or key is set to is a secret, all else is not.
+    """
+    reviewed = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = secrets.candidates(reviewed)
+    real = F.col("finding").rlike("^[A-Za-z0-9+/_-]{32,}$") & F.col("finding").rlike("[0-9]") & F.col("raw").rlike("^[\"']") & F.lower("before2").rlike("token|key|secret|password")
+    return found.select("doc_id", "at", "finding", real.cast("int").alias("label"))
+
+
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_table(spark, sf_dir).select("doc_id", "text")
+    found = secrets.scan(docs, labelled_findings_of(docs, docs_table(spark, sf_dir, "labels")))
+    return found.select("doc_id", F.col("at").alias("word"), F.char_length("finding").alias("n_chars"), F.sha2("finding", 256).alias("finding_sha256"), "score", "is_secret")
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(docs_table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
@@ -87,6 +105,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing_weights": op6_mixing_weights,
     "op7_line_dedup": op7_line_dedup,
+    "op8_secret_scans": op8_secret_scans,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
 }
