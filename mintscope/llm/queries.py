@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, matroska, mixing, packing, secrets, simhash, urlfilter
+from . import ann, langid, linededup, matroska, mixing, packing, secrets, simhash, substring, urlfilter
 from .common import docs_table
 
 
@@ -24,6 +24,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs_table(spark, sf_dir))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(docs_table(spark, sf_dir)).drop("kept")
+
+
 def _list_number(text: F.Column) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("int")
 
@@ -101,6 +105,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_mixing_weights": op6_mixing_weights,
