@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import aggregation, timeseries  # noqa: F401
+    from . import aggregation, relational, timeseries  # noqa: F401
