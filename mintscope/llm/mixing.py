@@ -20,15 +20,19 @@ LABELLED, WORDS = 20_000, 24
 STEPS = 40
 
 
-def words_of(text) -> F.Column:
-    """The distinct marks of a text: its lower-cased words, its runs of symbols, and signs of shouting and repetition."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    words = F.split(F.lower(t), r"[^\p{L}]+")
-    symbols = F.array_distinct(F.regexp_extract_all(t, F.lit(r"([^\p{L}\p{N}\s.,;:'\"()\-]+)"), 1))
-    distinct = F.array_distinct(words)
-    capitals = F.char_length(t) - F.char_length(F.regexp_replace(t, r"\p{Lu}+", ""))
-    signs = F.array_compact(F.array(F.when(capitals * 10 > F.char_length(t) * 3, "<capitals>"), F.when((F.size(words) >= 10) & (F.size(distinct) * 4 < F.size(words)), "<repeats>")))
-    return F.concat(distinct, symbols, signs)
+def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the distinct marks of a text: its lower-cased words, its runs of ASCII symbols, and signs of shouting and repetition.
+
+    Steps are columns of their own, so that each is computed once; classes are ASCII, which the matcher looks up in a table.
+    """
+    t, w, d, c = fresh(df, *(f"{out}_{x}" for x in "twdc"))
+    df = df.withColumn(t, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    df = df.withColumn(w, F.split(F.lower(t), r"[\s\p{Punct}\d]+")).withColumn(d, F.array_distinct(w))
+    df = df.withColumn(c, F.char_length(F.regexp_replace(t, "[A-Z\u00c0-\u00de]+", "")))
+    symbols = F.array_distinct(F.regexp_extract_all(t, F.lit(r"([!#$%&*+/<=>?@\[\\\]^_`{|}~]+)"), 0))
+    n = F.char_length(t)
+    signs = F.array_compact(F.array(F.when((n - F.col(c)) * 10 > n * 3, "<capitals>"), F.when((F.size(w) >= 10) & (F.size(d) * 4 < F.size(w)), "<repeats>")))
+    return df.withColumn(out, F.concat(d, symbols, signs)).drop(t, w, d, c)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", labelled: int = LABELLED, words: int = WORDS) -> tuple[list[str], list[float], dict[str, list[float]]]:
@@ -41,7 +45,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     n = known.count()
     if n > labelled:
         known = known.where(F.pmod(F.xxhash64("k"), F.lit(1_000_003)) < labelled / n * 1_000_003)
-    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known, "k").select("c", words_of(F.col("t")).alias("w"))
+    sample = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known, "k")
+    sample = with_marks(sample, "t", "w")
     sample = cut(sample.select("c", F.filter("w", lambda x: x != "").alias("w")), "labelled")
     sizes = {r["c"]: r["count"] for r in sample.groupBy("c").count().collect()}
     names = sorted(sizes)
@@ -71,9 +76,12 @@ def posteriors(df: DataFrame, model, text: str = "text", out: str = "posterior")
     # presence against absence: what all absent words say is in the offset
     offset = [math.log(p) + sum(math.log1p(-v[i]) for v in table.values()) for i, p in enumerate(priors)]
     weights = F.create_map(*[x for w, v in table.items() for x in (F.lit(w), F.array(*[F.lit(math.log(q / (1 - q))) for q in v]))])
-    has = F.transform(F.array_intersect(words_of(F.col(text)), F.array(*[F.lit(w) for w in table])), lambda w: weights[w])
+    (marks,) = fresh(df, "marks")
+    columns = df.columns
+    df = with_marks(df, text, marks).withColumn(marks, F.array_intersect(marks, F.array(*[F.lit(w) for w in table])))
+    has = F.transform(marks, lambda w: weights[w])
     logs = F.aggregate(has, F.array(*[F.lit(o) for o in offset]), lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
-    df = df.withColumn(out, logs)
+    df = df.withColumn(out, logs).select(*columns, out)
     df = df.withColumn(out, F.transform(out, lambda x: F.exp(x - F.array_max(out))))
     return df.withColumn(out, F.transform(out, lambda x: x / F.aggregate(out, F.lit(0.0), lambda a, v: a + v)))
 
