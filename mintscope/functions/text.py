@@ -64,11 +64,11 @@ def slug(s: Column) -> Column:
 
 def reason_list(s: Column) -> Column:
     """A text joined by | as an array: trimmed, without empties and repeats, in order."""
-    return F.array_distinct(F.filter(F.transform(F.split(s, r"\|"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(s, r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def mint_list(s: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(F.split(s, "[|,]"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(s, "[|,]"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def first_gate(reasons: Column, priority: list[str]) -> Column:

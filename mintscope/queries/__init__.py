@@ -23,4 +23,4 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from . import aggregation, relational, research, timeseries  # noqa: F401
+    from . import aggregation, catalogue, features, relational, research, timeseries  # noqa: F401
