@@ -30,7 +30,7 @@ from .common import cut
 
 MIN, K = 50, 16
 #: Bytes that are hashed at a time, and anchors that are packed at a time.
-CHUNK, PACK = 4 << 20, 2_000_000
+CHUNK, PACK = 1 << 20, 500_000
 
 _B, _R, _M = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, np.uint64(0xFF51AFD7ED558CCD)
 
@@ -293,7 +293,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     hit = np.zeros(len(h), bool)
     for part in _groups(h[left]):  # equal windows stay together; memory is bounded by parts
         rows = left[part]
-        hit[rows] = longest_previous_factor(buf[at[rows][:, None] + np.arange(MIN)], doc[of[rows]])
+        hit[rows] = longest_previous_factor(np.lib.stride_tricks.sliding_window_view(buf, MIN)[at[rows]], doc[of[rows]])
     runs = hit & ~np.concatenate([[False], hit[:-1] & (of[1:] == of[:-1])])
     stops = hit & ~np.concatenate([hit[1:] & (of[1:] == of[:-1]), [False]])
     a, z = at[runs], at[stops] + MIN
@@ -302,7 +302,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     return made.drop_duplicates()
 
 
-def _groups(h: np.ndarray, size: int = 1_000_000) -> Iterator[np.ndarray]:
+def _groups(h: np.ndarray, size: int = 250_000) -> Iterator[np.ndarray]:
     parts = max(1, len(h) // size)
     which = (h >> np.uint64(7)) % np.uint64(parts)
     for i in range(parts):
