@@ -11,6 +11,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+_READY: set[str] = set()
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name."""
 
@@ -46,7 +49,8 @@ def load(wrap: bool = True) -> None:
     from . import aggregation, catalogue, features, relational, research, streams, timeseries  # noqa: F401
     from .results import RESULTS
 
-    for n in list(QUERIES) if wrap else []:
+    for n in [n for n in QUERIES if n not in _READY] if wrap else []:
+        _READY.add(n)
         columns = [x.rsplit(" ", 1) for x in RESULTS[n].split(", ")]
         QUERIES[n] = _rounded(QUERIES[n], columns)
         if n in ORACLES:
