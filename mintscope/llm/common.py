@@ -25,13 +25,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Python gets at most `rows` rows at a time from now on, so that a batch of whole texts stays small beside an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Deals rows evenly over the session's shuffle partitions before heavy per-row work on few input splits."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in cols])
+def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Language families by ISO 639-1 code. A language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "fy", "is", "lb", "nl", "no", "sv"],
@@ -133,6 +135,8 @@ def _vote(x: np.ndarray, duels: list) -> tuple[str | None, float]:
 def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """Adds lang_pred and score (0 to 1). `und` and 0 where the text is null or has no letter, or nothing was learned."""
 
+    bounded_batches(df.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def guess(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         families = [k for k in model if k]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh
+from .common import bounded_batches, cut, fresh
 
 MIN_CHARS = 20
 BLOCKS = 16
@@ -130,6 +130,7 @@ def clean(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int
     Shorter lines stay. A null text stays null with 0 lines; a null key sorts first; rows that repeat key and text get
     equal answers, their first copy's. The added names must be new to df; other columns pass through.
     """
+    bounded_batches(df.sparkSession)
     d, t, kept, own = fresh(df, "d", "t", "kept", "own")
     left = kept_lines(df, key, text, min_chars).select(F.col("d").alias(d), F.col("t").alias(t), F.col("kept").alias(kept))
     rows = df.withColumn(own, F.xxhash64(F.col(text).cast("string")))

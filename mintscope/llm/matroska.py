@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 # Element ids of the Matroska specification (RFC 9559).
 EBML, SEGMENT, CLUSTER, TIMESTAMP = 0x1A45DFA3, 0x18538067, 0x1F43B675, 0xE7
 INFO, TIMESTAMP_SCALE, MUXING_APP, WRITING_APP = 0x1549A966, 0x2AD7B1, 0x4D80, 0x5741
@@ -314,5 +316,6 @@ def payload_of(text) -> F.Column:
 
 def text_media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, media): every text as a Matroska file. Repeated rows and null keys give rows of their own."""
+    bounded_batches(df.sparkSession)
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return df.select(F.col(key), F.octet_length(t).cast("long").alias("n_bytes"), muxed(payload_of(F.col(text))).alias("media"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import bounded_batches, cut, fresh
 
 WINDOW = 1024
 #: Parts that the pieces of one length are numbered in, so that a common length is not one task.
@@ -56,6 +56,8 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     what is left over, so that all others are full.
     """
 
+    bounded_batches(df.sparkSession)
+
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = _tokenizer(vocabulary)
         for pdf in parts:

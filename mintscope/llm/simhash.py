@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import bounded_batches, cut
 from .components import components
 
 #: Members of a variant that are compared pair by pair; more go by two-bit variants, which give the same links.
@@ -45,6 +45,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "simhash", width: int = 3) -> DataFrame:
     """Adds the SimHash of `text` as a (signed) long. A null text counts as empty: 0."""
+    bounded_batches(df.sparkSession)
 
     @F.pandas_udf(T.LongType())
     def simhash(s: pd.Series) -> pd.Series:

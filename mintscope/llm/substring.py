@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded_batches, cut
 
 MIN, K = 50, 16
 #: Bytes that are hashed at a time, and anchors that are packed at a time.
@@ -334,6 +334,7 @@ def _apply(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 def covered(docs: DataFrame) -> DataFrame:
     """Covered spans (d, span) of docs (d long, x string, both not null); span is start * 256 + length."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.mapInPandas(_pack_anchors(buckets), "bucket int, known boolean, blob binary")
     settled = cut(packed.groupBy("bucket").applyInPandas(_settle, "d long, span long, anchor long"), "anchors")
