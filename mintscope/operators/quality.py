@@ -182,3 +182,17 @@ def preferred_source(rows: DataFrame, keys: list[str], ranks: dict[str, int]) ->
     """One row per key, of the source that comes first; sources that aren't named come last, by name."""
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col("source")], F.lit(len(ranks)))
     return rows.groupBy(*keys).agg(F.min_by("source", F.struct(rank, "source")).alias("source"), F.count(F.lit(1)).alias("reports"))
+
+
+def enriched_curve(updates: DataFrame) -> DataFrame:
+    """Curve updates (quote, base, price) with price, cap and progress, where each comes from and how far it is trusted: observed 1.0, derived 0.7, missing 0."""
+    from ..functions.math import curve_progress, market_cap, price_of
+
+    derived = price_of(F.col("quote"), F.col("base"))
+    x = updates.withColumns({
+        "price_source": F.when(F.col("price").isNotNull(), "observed").when(derived.isNotNull(), "derived").otherwise("missing"),
+        "price": F.coalesce("price", derived),
+        "progress": curve_progress(F.col("base")),
+    })
+    confidence = F.when(F.col("price_source") == "observed", 1.0).when(F.col("price_source") == "derived", 0.7).otherwise(0.0)
+    return x.withColumns({"market_cap": market_cap(F.col("price")), "price_confidence": confidence})

@@ -81,3 +81,16 @@ def exits(positions: DataFrame, marks: DataFrame, take: float = 0.5, stop: float
     rule = F.when(F.col("m_price") >= F.col("price") * (1 + take), "take_profit").when(F.col("m_price") <= F.col("price") * (1 - stop), "stop_loss").when(F.col("m_price") <= F.col("best") * (1 - trail), "trailing_stop").when(F.col("m_us") - F.col("us") >= hold_us, "max_hold")
     hit = x.withColumn("rule", rule).where("rule is not null").groupBy("position").agg(F.min_by(F.struct("rule", "m_us", "m_price"), F.struct("m_us", "m_seq")).alias("h"))
     return positions.join(hit, "position", "left").select("position", "mint", F.coalesce("h.rule", F.lit("open")).alias("rule"), F.col("h.m_us").alias("exit_us"), F.col("h.m_price").alias("exit_price"))
+
+
+def token_labels(trades: DataFrame, size: float, depth: float, horizon_s: int, fee: dict = FEES) -> DataFrame:
+    """Per mint from its first price: profit of a perfect exit and of one at the last price, both after fees, and what that makes it."""
+    from ..operators.windows import forward_extremes
+
+    starts = trades.groupBy("mint").agg(F.min("us").alias("start_us"), F.min_by("price", F.struct("us", "seq")).alias("start_price"), F.max_by("price", F.struct("us", "seq")).alias("last_price"))
+    x = starts.join(forward_extremes(trades, starts.select("mint", "start_us", "start_price"), [horizon_s]), "mint")
+    one = lambda exit_: round_trips(x.select("mint", F.lit(size).alias("size"), F.col("start_price").alias("entry_price"), exit_.alias("exit_price"), F.lit(depth).alias("depth")), fee).select("mint", "net_pnl")
+    best = one(F.col("start_price") * (1 + F.col(f"max_return_{horizon_s}s"))).withColumnRenamed("net_pnl", "oracle_pnl")
+    real = one(F.col("last_price")).withColumnRenamed("net_pnl", "realistic_pnl")
+    y = x.join(best, "mint").join(real, "mint")
+    return y.select("mint", "oracle_pnl", "realistic_pnl", (F.col("oracle_pnl") > 0).alias("scalpable"), F.col("down50_us").isNotNull().alias("rug"), (F.col("realistic_pnl") > 0).alias("profitable"))

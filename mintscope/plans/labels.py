@@ -134,3 +134,13 @@ def readiness(counts: DataFrame, minima: dict[str, float]) -> DataFrame:
 def freeze(df: DataFrame, name: str) -> DataFrame:
     """(dataset, rows, content_hash): an order-free hash of all rows."""
     return df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.lit(name).alias("dataset"), F.count(F.lit(1)).alias("rows"), F.sum("h").cast("string").alias("content_hash"))
+
+
+def validation_rows(rows: DataFrame, keys: list[str], measure: str, exit_after: int) -> DataFrame:
+    """For each (keys, horizon) with a known measure: best and worst later change, time to the best, and whether there was time to leave."""
+    from ..operators.windows import horizon_peaks
+
+    known = rows.where(F.col(measure).isNotNull())
+    low = horizon_peaks(known.withColumn("neg", -F.col(measure)), keys, "neg").select(*keys, "horizon", (-F.col("peak")).alias("low"))
+    x = horizon_peaks(known, keys, measure).join(low, [*keys, "horizon"]).join(known.select(*keys, "horizon", measure), [*keys, "horizon"])
+    return x.select(*keys, "horizon", (F.col("peak") - F.col(measure)).alias("favourable"), (F.col("low") - F.col(measure)).alias("adverse"), "time_to_peak", ((F.col("peak") > F.col(measure)) & (F.col("time_to_peak") >= exit_after)).alias("could_exit"))

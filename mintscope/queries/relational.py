@@ -391,3 +391,12 @@ def t11_invariants(spark, sf_dir):
     held = t.groupBy("mint", "wallet").agg(F.sum(F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))).alias("balance"))
     return L.invariant_violations(held, t.groupBy("mint").agg((F.sum(F.when(F.col("side") == "buy", F.col("tokens"))) / 4).alias("supply")))
 
+
+
+@query("""WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 0 ELSE p_retailprice END AS q, p_size * 20000000.0 AS b, CASE WHEN p_partkey % 3 = 0 THEN p_retailprice / 7 END AS price FROM part),
+    d AS (SELECT *, CASE WHEN q > 0 AND b > 0 THEN q / b END AS derived FROM p)
+    SELECT p_partkey, CASE WHEN price IS NOT NULL THEN 'observed' WHEN derived IS NOT NULL THEN 'derived' ELSE 'missing' END AS price_source, coalesce(price, derived) AS price, least(100, greatest(0, 100 - greatest(b - 206900000, 0) * 100 / 793100000)) AS progress,
+        coalesce(price, derived) * 1000000000 AS market_cap, CASE WHEN price IS NOT NULL THEN 1.0 WHEN derived IS NOT NULL THEN 0.7 ELSE 0 END AS price_confidence FROM d""")
+def b12_enriched_curve(spark, sf_dir):
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", "if(p_size % 5 = 0, 0D, p_retailprice) as quote", "p_size * 20000000D as base", "if(p_partkey % 3 = 0, p_retailprice / 7, null) as price")
+    return Q.enriched_curve(p).select("p_partkey", "price_source", "price", "progress", "market_cap", "price_confidence")

@@ -303,3 +303,18 @@ def s3_readiness(spark, sf_dir):
 @query()
 def s4_freeze(spark, sf_dir):
     return L.freeze(table(spark, sf_dir, "orders"), "orders").union(L.freeze(table(spark, sf_dir, "lineitem"), "lineitem"))
+
+
+@query(with_views("ev", sql="""s AS (SELECT mint, min(us) AS su, arg_min(price, (us, seq)) AS sp, arg_max(price, (us, seq)) AS lp FROM ev GROUP BY mint), m AS (SELECT ev.mint, max(price / sp - 1) FILTER (us <= su + 604800000000) AS mr, min(price / sp - 1) AS low FROM ev JOIN s USING (mint) WHERE us >= su AND sp > 0 GROUP BY ev.mint),
+    x AS (SELECT mint, sp, unnest(['oracle', 'real']) AS kind, unnest([sp * (1 + mr), lp]) AS z, low FROM s JOIN m USING (mint)), t AS (SELECT *, 1.0 / (sp * (1 + 1.0 / 50 + 0.01)) AS tokens FROM x), p AS (SELECT *, tokens * (z / (1 + tokens * z / 50 + 0.01)) AS proceeds FROM t),
+    n AS (SELECT mint, low, max(proceeds - 1 - 0.00004 - (1 + proceeds) * 0.0125) FILTER (kind = 'oracle') AS o, max(proceeds - 1 - 0.00004 - (1 + proceeds) * 0.0125) FILTER (kind = 'real') AS r FROM p GROUP BY 1, 2)
+    SELECT mint, o AS oracle_pnl, r AS realistic_pnl, o > 0 AS scalpable, low <= -0.5 AS rug, r > 0 AS profitable FROM n"""))
+def k5_token_labels(spark, sf_dir):
+    return K.token_labels(ev_trades(spark, sf_dir), 1.0, 50.0, 604800)
+
+
+@query(with_views("ev", sql=_ASOF + """, k AS (SELECT mint, horizon, volume AS v FROM asof_ WHERE volume IS NOT NULL), p AS (SELECT a.mint, a.horizon, any_value(a.v) AS v, max(b.v) AS hi, min(b.v) AS lo, min(b.horizon) FILTER (b.v = m.hi) AS at_ FROM k AS a JOIN k AS b ON a.mint = b.mint AND b.horizon >= a.horizon
+        JOIN (SELECT x.mint, x.horizon, max(y.v) AS hi FROM k AS x JOIN k AS y ON x.mint = y.mint AND y.horizon >= x.horizon GROUP BY 1, 2) AS m ON m.mint = a.mint AND m.horizon = a.horizon GROUP BY 1, 2)
+    SELECT mint, horizon, hi - v AS favourable, lo - v AS adverse, at_ - horizon AS time_to_peak, hi > v AND at_ - horizon >= 4 AS could_exit FROM p"""))
+def l6_validation_rows(spark, sf_dir):
+    return L.validation_rows(asof(spark, sf_dir), ["mint"], "volume", 4)

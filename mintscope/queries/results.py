@@ -15,6 +15,7 @@ RESULTS: dict[str, str] = {
     "a8_export_decisions": "record_id bigint, run_id string, kind string, low double, reason_codes string",
     "a9_export_fills": "l_orderkey bigint, l_linenumber int, fill_id string, position_id string, fill_us bigint, l_partkey bigint",
     "b10_b11_shapes_and_tags": "o_orderkey bigint, shape string, tag string",
+    "b12_enriched_curve": "p_partkey bigint, price_source string, price double, progress double, market_cap double, price_confidence double",
     "b13_b14_class_volume": "class string, user_id bigint, updates bigint, place int",
     "b15_noisy_keys": "user_id bigint, degraded_us bigint, reason string",
     "b16_coalesced": "user_id bigint, event_id bigint, us bigint",
@@ -74,9 +75,11 @@ RESULTS: dict[str, str] = {
     "j_asof_last_order": "l_orderkey bigint, l_linenumber int, us bigint, o_custkey bigint, price double",
     "k1_k2_orders": "k bigint, impact double, fill_price double, notional double, filled double, creator_fee double, protocol_fee double, failed_fee double, total_fee double",
     "k3_k4_backtest": "trades bigint, total_pnl double, net_pnl double, fee_drag double, slippage_drag double, hit_rate double",
+    "k5_token_labels": "mint bigint, oracle_pnl double, realistic_pnl double, scalpable boolean, rug boolean, profitable boolean",
     "k5_k7_mark_to_market": "position bigint, mint bigint, tokens double, price double, value double, pnl double",
     "l1_l4_asof_features": "mint bigint, horizon int, asof_us bigint, reached boolean, buys bigint, sells bigint, volume double, net_flow double, wallets bigint",
     "l5_l7_positive_outcomes": "mint bigint, horizon int, strength string",
+    "l6_validation_rows": "mint bigint, horizon int, favourable double, adverse double, time_to_peak int, could_exit boolean",
     "l8_best_label": "mint bigint, strength string, horizons bigint, first_horizon int, last_horizon int, class string",
     "p13_p15_funnel": "stage string, mints bigint, step_ratio double",
     "p16_ablation": "blocker string, blocked bigint, recovered_winners bigint, admitted_losers bigint",
