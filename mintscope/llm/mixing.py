@@ -97,13 +97,9 @@ def rates(docs: DataFrame, targets: list[float], steps: int = STEPS, posterior:
     k = len(targets)
     t = F.greatest(F.coalesce(F.col(tokens).cast("double"), F.lit(0.0)), F.lit(0.0))
     p = F.col(posterior)
-    second = docs.agg(F.sum(t).alias("n"), *[F.sum(t * p[i] * p[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)]).first()
-    total = float(second["n"] or 0)
+    total = float(docs.agg(F.sum(t).alias("n")).first()["n"] or 0)
     if not total:
         return docs.withColumn(out, F.lit(1.0))
-    # steps are taken in the metric of the domains' second moments, which bounds the curvature wherever rates are above 0
-    moments = np.array([[second[f"s{i}_{j}"] for j in range(k)] for i in range(k)]) / total
-    metric = np.linalg.inv(moments + 0.01 * max(np.trace(moments), 1e-12) / k * np.eye(k))
     gradients: list[list[float]] = []
 
     def replay():
@@ -111,12 +107,26 @@ def rates(docs: DataFrame, targets: list[float], steps: int = STEPS, posterior:
         move = lambda g: sum((p[i] * g[i] for i in range(1, k)), p[0] * g[0])
         return F.aggregate(path, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
 
+    best, tried = math.inf, False
+    r, weight = F.col("r"), F.when(F.col("r") > 0, F.col("t")).otherwise(F.lit(0.0))
+    sums = [F.sum(r * F.col("t") * F.col("p")[i]).alias(f"e{i}") for i in range(k)] + [F.sum(weight * F.col("p")[i] * F.col("p")[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)]
     for _ in range(steps):
-        now = docs.select(replay().alias("r"), t.alias("t"), p.alias("p")).agg(*[F.sum(F.col("r") * F.col("t") * F.col("p")[i]).alias(f"e{i}") for i in range(k)]).first()
-        miss = [(now[f"e{i}"] - targets[i]) / total for i in range(k)]
-        if max(map(abs, miss)) < 1e-4:
+        now = docs.select(replay().alias("r"), t.alias("t"), p.alias("p")).agg(*sums).first()
+        miss = np.array([now[f"e{i}"] - targets[i] for i in range(k)]) / total
+        loss = float(miss @ miss)
+        if tried and loss > best:  # too far: half the step
+            gradients.append([v / 2 for v in gradients.pop()])
+            continue
+        if np.abs(miss).max() < 1e-4 or best - loss < 1e-10:
+            tried = False
             break
+        # steps are taken in the metric of the second moments of the documents whose rates are above 0
+        moments = np.array([[now[f"s{i}_{j}"] for j in range(k)] for i in range(k)]) / total
+        metric = np.linalg.inv(moments + 0.01 * max(np.trace(moments), 1e-12) / k * np.eye(k))
+        best, tried = loss, True
         gradients.append([float(v) for v in metric @ miss])
+    if tried:
+        gradients.pop()  # the last step was never looked at
     return docs.withColumn(out, replay())
 
 
