@@ -152,6 +152,7 @@ def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
                 out.append((lang, p * q))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
+    guess = guess.asNondeterministic()  # else a filter on what it says makes Spark call it twice
     return df.withColumn("_guess", guess(F.col(text).cast("string"))).select(*df.columns, "_guess.lang_pred", "_guess.score")
 
 

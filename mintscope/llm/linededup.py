@@ -93,7 +93,7 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
 
 
 def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(d, t, kept): for each document (key d, text hash t) the sorted numbers of its kept lines of min_chars or more.
+    """(d, t, kept): for each document (key d, text hash t) its kept lines of min_chars or more, as a map from each 64 lines to their bits.
 
     A line is kept if no line before it, by (key, text hash, line number), is equal or near.
     """
@@ -119,7 +119,8 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     early_of = found.select(F.col("first").alias("early"), F.col("line").alias("earlier"))
     lost = pairs.join(line_of, "first").join(early_of, "early").where(F.levenshtein("later", "earlier", 1) >= 0).select("first").distinct()
     kept = distinct.select("first").join(lost, "first", "left_anti")
-    return kept.groupBy("first.d", "first.t").agg(F.array_sort(F.collect_list("first.no")).alias("kept"))
+    words = kept.groupBy("first.d", "first.t", F.expr("first.no div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, first.no % 64)")).alias("bits"))
+    return words.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("kept"))
 
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -131,25 +132,20 @@ def clean(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int
     equal answers, their first copy's. The added names must be new to df; other columns pass through.
     """
     bounded_batches(df.sparkSession)
-    d, t, kept, own = fresh(df, "d", "t", "kept", "own")
+    d, t, kept, own, lines, flags = fresh(df, "d", "t", "kept", "own", "lines", "flags")
     left = kept_lines(df, key, text, min_chars).select(F.col("d").alias(d), F.col("t").alias(t), F.col("kept").alias(kept))
     rows = df.withColumn(own, F.xxhash64(F.col(text).cast("string")))
     joined = rows.join(left, F.col(own).eqNullSafe(F.col(t)) & F.col(key).cast("long").eqNullSafe(F.col(d)), "left")
-
-    @F.pandas_udf("text string, n_lines long, n_removed long")
-    def rebuilt(texts: pd.Series, stay: pd.Series) -> pd.DataFrame:
-        out = []
-        for whole, numbers in zip(texts, stay, strict=True):
-            if whole is None:
-                out.append((None, 0, 0))
-                continue
-            lines, has = whole.split("\n"), set(() if numbers is None else numbers)
-            left = [v for i, v in enumerate(lines) if len(v) < min_chars or i in has]
-            out.append(("\n".join(left), len(lines), len(lines) - len(left)))
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_removed"])
-
-    done = joined.withColumn(kept, rebuilt(F.col(text).cast("string"), F.col(kept)))
-    return done.select(*[F.col(kept)["text"].alias(c) if c == text else F.col(c) for c in df.columns], F.col(kept)["n_lines"].alias("n_lines"), F.col(kept)["n_removed"].alias("n_removed"))
+    # one flag a line, zipped with the lines: no step looks anything up by a line's number
+    done = joined.withColumn(lines, F.split(F.col(text).cast("string"), "\n"))
+    bits = F.transform(F.sequence(F.lit(0), F.expr(f"(size({lines}) - 1) div 64")), lambda w: F.coalesce(F.col(kept)[w.cast("long")], F.lit(0).cast("long")))
+    done = done.withColumn(flags, F.flatten(F.transform(bits, lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(b, k) == 1))))
+    done = done.withColumn(flags, F.arrays_zip(F.col(lines).alias("line"), F.slice(flags, F.lit(1), F.size(lines)).alias("stays")))
+    done = done.withColumn(flags, F.filter(flags, lambda z: z["stays"] | (F.char_length(z["line"]) < min_chars)))
+    gone = F.col(text).isNull()
+    out = [F.when(~gone, F.array_join(F.transform(flags, lambda z: z["line"]), "\n")).alias(c) if c == text else F.col(c) for c in df.columns]
+    n = F.when(gone, 0).otherwise(F.size(lines)).cast("long")
+    return done.select(*out, n.alias("n_lines"), (n - F.when(gone, 0).otherwise(F.size(flags))).cast("long").alias("n_removed"))
 
 
 def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
