@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh
 
-#: Bounds on the labelled rows that the classifier is fitted on, and on its words.
-LABELLED, WORDS = 20_000, 24
+#: Bound on the labelled rows that the classifier is fitted on.
+LABELLED = 20_000
+#: A word tells for a domain if its count there is so many standard deviations, and its share there so many times that in
+#: the other domains, above what is expected. The second keeps common words out, which say little and come together.
+TELL, LIFT = 4.0, 4.0
 STEPS = 40
 
 
@@ -35,11 +38,11 @@ def with_marks(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, F.concat(d, symbols, signs)).drop(t, w, d, c)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", labelled: int = LABELLED, words: int = WORDS) -> tuple[list[str], list[float], dict[str, list[float]]]:
-    """(domains, log priors, word -> log odds of presence by domain) of a classifier on the most telling words.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", labelled: int = LABELLED) -> tuple[list[str], list[float], dict[str, list[float]]]:
+    """(domains, log priors, word -> log odds of presence by domain) of a classifier on all words that tell for a domain.
 
     labels has (key, domain). At most about `labelled` labelled documents are used, by hash of the key. What reaches the
-    driver is `words` rows and the domains' counts.
+    driver is the telling words, each of which comes in several of these documents, and the domains' counts.
     """
     known = labels.where(F.col(domain).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(F.col(domain).cast("string")).alias("c"))
     n = known.count()
@@ -54,14 +57,14 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return [], [], {}
     total = sum(sizes.values())
     seen = sample.select("c", F.explode("w").alias("word")).groupBy("word").agg(*[F.count_if(F.col("c") == c).cast("double").alias(f"n{i}") for i, c in enumerate(names)])
-    # how many standard deviations a word's count in a domain is off what its count in all domains leads to expect
     everywhere = sum((F.col(f"n{i}") for i in range(1, len(names))), F.col("n0"))
-    off = []
+    telling = F.lit(False)
     for i, c in enumerate(names):
-        share = sizes[c] / total
-        off.append(F.abs(F.col(f"n{i}") - everywhere * share) / F.sqrt(everywhere * share * (1 - share) + 0.25))
-    tell = F.greatest(*off, F.lit(0.0))
-    best = seen.withColumn("tell", tell).where("tell >= 4").orderBy(F.desc("tell"), "word").limit(words)
+        share, here = sizes[c] / total, F.col(f"n{i}")
+        off = (here - everywhere * share) / F.sqrt(everywhere * share * (1 - share) + 0.25)
+        lift = (here + 0.5) / (sizes[c] + 1.0) * (total - sizes[c] + 1.0) / (everywhere - here + 0.5)
+        telling = telling | ((off >= TELL) & (lift >= LIFT))
+    best = seen.where(telling).orderBy("word")
     table = {}
     for r in best.select("word", *[f"n{i}" for i in range(len(names))]).collect():
         table[r["word"]] = [(r[f"n{i}"] + 0.5) / (sizes[c] + 1.0) for i, c in enumerate(names)]
@@ -78,7 +81,7 @@ def posteriors(df: DataFrame, model, text: str = "text", out: str = "posterior")
     weights = F.create_map(*[x for w, v in table.items() for x in (F.lit(w), F.array(*[F.lit(math.log(q / (1 - q))) for q in v]))])
     (marks,) = fresh(df, "marks")
     columns = df.columns
-    df = with_marks(df, text, marks).withColumn(marks, F.array_intersect(marks, F.array(*[F.lit(w) for w in table])))
+    df = with_marks(df, text, marks).withColumn(marks, F.filter(marks, lambda w: w.isin(list(table))))
     has = F.transform(marks, lambda w: weights[w])
     logs = F.aggregate(has, F.array(*[F.lit(o) for o in offset]), lambda a, w: F.zip_with(a, w, lambda x, y: x + y))
     df = df.withColumn(out, logs).select(*columns, out)

@@ -57,3 +57,10 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and sum(d is not None and d < 60 and d % 2 == 0 for d in left) <= 2 and {d for d in range(60) if d % 2} <= set(left)
     assert left.count(1) >= 2 and mixing.resample(df.where("false"), labels, {}).count() == 0
     assert sorted(mixing.resample(df, labels.where("false"), {"poor": 0.0}).select("doc_id", "text").collect(), key=str) == sorted(df.select("doc_id", "text").collect(), key=str)
+
+
+def test_labelled_toxic_documents_leave_the_mix(spark):
+    sf = "/root/testdata/sf0.1"
+    marks = mixing.label_domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    mean = {r.domain: r.rate for r in op6_mixing_weights(spark, sf).join(marks, "doc_id").groupBy("domain").agg(F.avg("rate").alias("rate")).collect()}
+    assert mean["toxic"] < 0.05 and mean["poor"] < 0.35 and mean["good"] > 0.97
