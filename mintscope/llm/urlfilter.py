@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-#: Labels of a host, from the right, and parts of a path, from the left, that entries can name.
-LABELS, PARTS = 6, 3
 
 
 def validity(events: DataFrame) -> DataFrame:
@@ -39,16 +37,24 @@ def path_of(url) -> F.Column:
     return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys_of(host, path) -> F.Column:
-    """All entries that could cover a URL, each with its specificity: domains by their labels, then path prefixes."""
+def depths_of(events: DataFrame) -> tuple[list[int], list[int]]:
+    """The numbers of labels of the list's domains and of path parts of its path entries, without repeats."""
+    entry = F.col("entry")
+    parts = F.when(entry.contains("/"), F.size(F.split(entry, "/")) - 1).otherwise(0)
+    labels = F.when(~entry.contains("/"), F.size(F.split(entry, r"\."))).otherwise(0)
+    rows = events.where("entry is not null").select(parts.alias("p"), labels.alias("l")).distinct().collect()
+    return sorted({r.l for r in rows} - {0}), sorted({r.p for r in rows} - {0})
+
+
+def keys_of(host, path, labels_in: list[int], parts_in: list[int]) -> F.Column:
+    """All entries of these depths that could cover a URL, each with its specificity: domains by their labels, then the host, then path prefixes."""
+    depths = lambda ns: F.array(*[F.lit(n) for n in ns]).cast("array<int>")
     labels = F.split(host, r"\.")
-    n = F.least(F.size(labels), F.lit(LABELS))
-    domains = F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("entry"), k.cast("int").alias("weight")))
+    domains = F.transform(F.filter(depths(labels_in), lambda k: k < F.size(labels)), lambda k: F.struct(F.array_join(F.slice(labels, F.size(labels) - k + 1, k), ".").alias("entry"), F.lit(0).alias("kind"), k.alias("depth")))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    m = F.least(F.size(parts), F.lit(PARTS))
-    prefixes = F.when(m > 0, F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda k: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("entry"), (k + 100).cast("int").alias("weight"))))
-    whole = F.array(F.struct(host.alias("entry"), F.lit(99).alias("weight")))
-    return F.when(host != "", F.concat(F.filter(domains, lambda d: d["entry"] != host), whole, F.coalesce(prefixes, F.slice(whole, 1, 0))))
+    prefixes = F.transform(F.filter(depths(parts_in), lambda k: k <= F.size(parts)), lambda k: F.struct(F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("entry"), F.lit(2).alias("kind"), k.alias("depth")))
+    whole = F.array(F.struct(host.alias("entry"), F.lit(1).alias("kind"), F.lit(0).alias("depth")))
+    return F.when(host != "", F.concat(domains, whole, prefixes))
 
 
 def judge(captures: DataFrame, events: DataFrame, key: str, url: str = "url", at: str = "fetched_at") -> DataFrame:
@@ -61,11 +67,11 @@ def judge(captures: DataFrame, events: DataFrame, key: str, url: str = "url", at
     rows = captures.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(at).alias("t"))
     host = host_of(F.col("u"))
     asked = rows.where("u is not null and t is not null").select("u", "t").distinct()
-    met = asked.select("u", "t", F.explode(keys_of(host, path_of(F.col("u")))).alias("e")).select("u", "t", "e.*").withColumn("salt", F.pmod(F.xxhash64("u", "t"), F.lit(SALTS)).cast("int"))
+    met = asked.select("u", "t", F.explode(keys_of(host, path_of(F.col("u")), *depths_of(events))).alias("e")).select("u", "t", "e.*").withColumn("salt", F.pmod(F.xxhash64("u", "t"), F.lit(SALTS)).cast("int"))
     spans = validity(events).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     active = met.join(spans, ["entry", "salt"]).where("valid_from <= t and (valid_to is null or t < valid_to)")
     best = active.groupBy("u", "t").agg(
-        F.max_by(F.struct("verdict", "entry", "valid_from"), F.struct(F.col("weight"), (F.col("verdict") == "allow").cast("int"), F.col("verdict"), "valid_from")).alias("b"),
+        F.max_by(F.struct("verdict", "entry", "valid_from"), F.struct(F.col("kind"), F.col("depth"), (F.col("verdict") == "allow").cast("int"), F.col("verdict"), "valid_from")).alias("b"),
         F.count(F.lit(1)).alias("n"),
     )
     found = rows.join(best.withColumnRenamed("u", "u2").withColumnRenamed("t", "t2"), (F.col("u") == F.col("u2")) & (F.col("t") == F.col("t2")), "left")

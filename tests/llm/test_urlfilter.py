@@ -47,3 +47,15 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns and sorted(r.page_id or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8, 9, 11]
     assert urlfilter.judge(df.where("false"), events, "page_id").count() == 0
     assert {r.verdict for r in urlfilter.judge(df, events.where("false"), "page_id").collect()} == {"none"}
+
+
+def test_entries_of_any_depth(spark):
+    deep = ".".join("abcdefgh") + ".org"
+    listed = [(deep, "block"), ("x.org/1/2/3/4/5", "block"), ("x.org/1/2", "allow"), ("x.org/1/2/3/4/5/6/7", "allow"), ("y.org/" + "/".join("p" * 150), "block"), ("y.org", "allow")]
+    events = spark.createDataFrame([(e, v, "add", day(1)) for e, v in listed], "entry string, verdict string, action string, at timestamp")
+    urls = ["http://z." + deep + "/q", "http://" + deep, "http://x.org/1/2/3/4/5/6", "http://x.org/1/2/3/4/6", "http://x.org/1/2/3/4/5/6/7/8", "http://y.org/" + "p/" * 200, "http://y.org/p/p"]
+    df = spark.createDataFrame([(i, u, day(2)) for i, u in enumerate(urls)], "page_id long, url string, fetched_at timestamp")
+    got = {r.page_id: (r.verdict, r.entry) for r in urlfilter.judge(df, events, "page_id").collect()}
+    want = [listed[0], listed[0], listed[1], listed[2], listed[3], listed[4], listed[5]]
+    assert got == {i: (v, e) for i, (e, v) in enumerate(want)}
+    assert sorted(r.page_id for r in urlfilter.keep_allowed(df, events, "page_id").collect()) == [3, 4, 6]
