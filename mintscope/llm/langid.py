@@ -7,7 +7,6 @@ the family that won. They are fitted in one task on a sample of labelled rows wh
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,7 +28,11 @@ FAMILIES = {
 }
 DIM = 4096
 PER_LANG = 800
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's letter categories is there; fractions, numerals and marks are none."""
+    return any(map(str.isalpha, text))
 
 
 def family_of(lang: str) -> str:
@@ -91,7 +94,7 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     sample = thin.withColumn("r", F.expr("row_number() over (partition by l order by h, t)")).where(F.col("r") <= per_lang).select("l", "t", F.lit(1).alias("one"))
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[[bool(_LETTER.search(t)) for t in pdf["t"]]].sort_values(["l", "t"])
+        pdf = pdf[[has_letter(t) for t in pdf["t"]]].sort_values(["l", "t"])
         rows = []
         if len(pdf):
             x = np.array([features(t) for t in pdf["t"]])
@@ -143,7 +146,7 @@ def predict(df: DataFrame, model: dict, text: str = "text") -> DataFrame:
         for s in parts:
             out = []
             for t in s:
-                if not t or not families or not _LETTER.search(t):
+                if not t or not families or not has_letter(t):
                     out.append(("und", 0.0))
                     continue
                 x = features(t)

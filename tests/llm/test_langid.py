@@ -25,14 +25,14 @@ def test_no_label_reaches_a_prediction(spark):
 def test_edge_rows(spark):
     en, fr = "the cat and the house of the thing with the ", "le chat et la maison de la chose avec les "
     rows = [(i, (en if i % 2 else fr) * 3 + str(i), "en" if i % 2 else "fr", "x") for i in range(40)]
-    rows += [(100, None, "en", "x"), (101, "", "en", "x"), (102, "123 ??", "en", "x"), (103, en * 20000, None, "x"), (None, fr, "fr", None), (1, rows[1][1], "en", "x")]
+    rows += [(100, None, "en", "x"), (101, "", "en", "x"), (102, "123 ??", "en", "x"), (103, en * 20000, None, "x"), (104, "½ ² 12", "en", "x"), (105, "Ⅷ ① _", "fr", "x"), (106, "ª", None, "x"), (None, fr, "fr", None), (1, rows[1][1], "en", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
     got = langid.identify(df).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(rows) and all(by[i].lang_pred == "und" and by[i].score == 0 for i in (100, 101, 102))
+    assert len(got) == len(rows) and all(by[i].lang_pred == "und" and by[i].score == 0 for i in (100, 101, 102, 104, 105)) and by[106].lang_pred != "und"
     assert by[103].lang_pred == "en" and by[None].lang_pred == "fr" and by[None].held_out is False
     kept = langid.keep_identified(df)
-    assert kept.columns == df.columns and kept.count() == len(rows) - 3
+    assert kept.columns == df.columns and kept.count() == len(rows) - 5
     assert langid.identify(df.where("false")).count() == 0
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert {r.lang_pred for r in langid.identify(df.where("lang = 'en'")).collect()} == {"en", "und"}

@@ -32,8 +32,9 @@ def test_plan_uses_up_the_histogram(histogram):
         for a in lengths:
             got[a] = got.get(a, 0) + n
     assert got == histogram
-    total = sum(a * n for a, n in histogram.items())
-    assert sum(n for _, n in made) <= 1.7 * total / 64 + 2
+    # no packing has fewer windows than there are pieces over half a window, or than the tokens fill
+    least = max(sum(n for a, n in histogram.items() if 2 * a > 64), -(-sum(a * n for a, n in histogram.items()) // 64))
+    assert sum(n for _, n in made) <= 1.5 * least + 2
 
 
 def test_few_windows():
