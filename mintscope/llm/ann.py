@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by shifted Hilbert curves.
 
 Vectors are projected on several random turns of their main axes, shifted, and ordered along a Hilbert curve each time.
-Spark range-partitions the keys; the sorted rows are numbered over all partitions and cut into blocks of fixed size, and
-a query meets the blocks within `window` rows of its own place on every curve. What the windows give is merged, and
-ranked by exact distance in double precision.
+Spark range-partitions the keys; the sorted keys are numbered over all partitions and cut into blocks of BLOCK rows. A
+query meets its own block and the two beside it on every curve, so it sees BLOCK to 2 x BLOCK rows on each side of its
+place, whatever the size of the table. What the windows give is merged, and ranked by exact distance in double precision.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from pyspark.sql import types as T
 
 from .common import cut
 
-CURVES, DIMS, BITS = 16, 6, 8
-#: Rows of a block, and queries that meet a block in one task.
-BLOCK, SLICE = 2048, 4096
-#: Bound on the rows that the axes are fitted on.
-SAMPLE = 5000
+CURVES, DIMS, BITS = 16, 10, 5
+#: Rows of a block. Places are unique, so a block is met by the queries of three blocks at most.
+BLOCK = 1024
+#: Bound on the rows that the axes are fitted on, and on the axes that are turned.
+SAMPLE, AXES = 5000, 64
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -57,13 +57,14 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 def usable(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """(id, vec) of the rows that can take part, and (node, vec, ids): their distinct vectors with the smallest keys that hold each.
 
-    Null, empty, zero and non-finite vectors are out, and those whose length isn't the most common one. Of equal
-    vectors the eleven smallest keys are enough for any ten nearest, as ties go to smaller keys.
+    Null, empty, zero and non-finite vectors are out, and those whose length isn't the most common one. A key that comes
+    with several vectors counts with the smallest of them, so that a node is known by its smallest key. Of equal vectors
+    the eleven smallest keys are enough for any ten nearest, as ties go to smaller keys.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec"))
     rows = rows.where("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
     sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("vec") == (sizes[0]["n"] if sizes else 0)).dropDuplicates(["id", "vec"])
+    rows = rows.where(F.size("vec") == (sizes[0]["n"] if sizes else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
     first = rows.withColumn("r", F.expr("row_number() over (partition by vec order by id)")).where("r <= 11")
     return rows, first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("node"), "vec", "ids")
 
@@ -75,7 +76,7 @@ def axes(nodes: DataFrame, count: int, sample: int, curves: int, dims: int, seed
     x = np.array([r["vec"] for r in thin.select("vec").collect()], dtype=np.float64)
     centre = x.mean(axis=0)
     _, _, vt = np.linalg.svd(x - centre, full_matrices=False)
-    main = vt[: min(24, len(vt))]
+    main = vt[: min(AXES, len(vt))]
     rng = np.random.default_rng(seed)
     out = []
     for _ in range(curves):
@@ -88,33 +89,17 @@ def axes(nodes: DataFrame, count: int, sample: int, curves: int, dims: int, seed
     return out
 
 
-def search(df: DataFrame, queries, key: str = "vec_id", vec: str = "embedding", k: int = 10, window: int | None = None, share: float = 0.05, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that meets the condition `queries` (on `key`), its k <= 10 nearest other rows found.
-
-    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller key. `window`
-    rows on each side of a query's place are searched on every curve; by default `share` of all distinct vectors and
-    1024 at least. Rows that can't take part (see `usable`) are no queries either. Other columns are not read.
-    """
-    spark = df.sparkSession
-    rows, nodes = usable(df.select(key, vec), key, vec)
-    nodes = cut(nodes, "vectors")
-    count = nodes.count()
-    if not count:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    window = window or max(1024, math.ceil(share * count))
-    turns = axes(nodes, count, sample, curves, dims, seed)
-    wide = "<f4" if isinstance(df.schema[vec].dataType.elementType, T.FloatType) else "<f8"
-    members = cut(rows.where(queries(F.col("id"))).join(nodes, "vec").select(F.col("id").alias("query_id"), F.col("node").alias("query")), "queries")
+def ordered(nodes: DataFrame, turns: list[tuple[np.ndarray, np.ndarray, np.ndarray]], count: int, bits: int) -> DataFrame:
+    """(curve, node, place): each node's place in the order of each curve. Keys travel, vectors don't."""
 
     def keyed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if not len(pdf):
                 continue
-            x = np.array(pdf["vec"].tolist(), dtype=wide)
-            raw = [r.tobytes() for r in x]
+            x = np.array(pdf["vec"].tolist(), dtype=np.float64)
             for c, (p, low, span) in enumerate(turns):
-                cells = np.clip((x.astype(np.float64) @ p - low) / span * (1 << bits), 0, (1 << bits) - 1)
-                yield pd.DataFrame({"curve": c, "place": hilbert(cells, bits), "node": pdf["node"], "asked": pdf["asked"], "raw": raw})
+                cells = np.clip((x @ p - low) / span * (1 << bits), 0, (1 << bits) - 1)
+                yield pd.DataFrame({"curve": c, "key": hilbert(cells, bits), "node": pdf["node"]})
 
     def numbered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -125,21 +110,44 @@ def search(df: DataFrame, queries, key: str = "vec_id", vec: str = "embedding",
             pdf["at"] = pdf.groupby("curve").cumcount() + pdf["curve"].map(lambda c: seen.get(c, 0))
             for c, n in pdf["curve"].value_counts().items():
                 seen[c] = seen.get(c, 0) + int(n)
-            yield pdf
+            yield pdf[["curve", "node", "part", "at"]]
+
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(len(turns) * count / 1_000_000))
+    keys = nodes.select("node", "vec").mapInPandas(keyed, "curve int, key long, node long")
+    keys = keys.repartitionByRange(parts, "curve", "key", "node").sortWithinPartitions("curve", "key", "node")
+    rows = cut(keys.mapInPandas(numbered, "curve int, node long, part int, at long"), "curves")
+    sizes = rows.groupBy("curve", "part").count()
+    before = sizes.withColumn("before", F.expr("coalesce(sum(count) over (partition by curve order by part rows between unbounded preceding and 1 preceding), 0)")).drop("count")
+    return rows.join(F.broadcast(before), ["curve", "part"]).select("curve", "node", (F.col("before") + F.col("at")).alias("place"))  # before: at most one row a partition and curve
+
 
-    schema = "curve int, place long, node long, asked boolean, raw binary"
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(curves * count / (64 * BLOCK)))
+def search(df: DataFrame, queries, key: str = "vec_id", vec: str = "embedding", k: int = 10, block: int = BLOCK, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that meets the condition `queries` (on `key`), its k <= 10 nearest other rows found.
+
+    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller key. At least
+    `block` rows on each side of a query's place are searched on every curve. Rows that can't take part (see `usable`)
+    are no queries either; rows with the query's key are its own. Other columns are not read.
+    """
+    spark = df.sparkSession
+    rows, nodes = usable(df.select(key, vec), key, vec)
+    nodes = cut(nodes, "vectors")
+    count = nodes.count()
+    if not count:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    turns = axes(nodes, count, sample, curves, dims, seed)
+    wide = "<f4" if isinstance(df.schema[vec].dataType.elementType, T.FloatType) else "<f8"
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(v: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(x, dtype=wide).tobytes() for x in v])
+
+    members = cut(rows.where(queries(F.col("id"))).join(nodes, "vec").select(F.col("id").alias("query_id"), F.col("node").alias("query")), "queries")
     asked = members.select(F.col("query").alias("node")).distinct().withColumn("asked", F.lit(True))
-    curve = nodes.join(asked, "node", "left").select("node", "vec", F.coalesce("asked", F.lit(False)).alias("asked")).mapInPandas(keyed, schema)
-    ordered = curve.repartitionByRange(parts, "curve", "place", "node").sortWithinPartitions("curve", "place", "node")
-    ordered = cut(ordered.mapInPandas(numbered, schema + ", part int, at long"), "curves")
-    sizes = ordered.groupBy("curve", "part").count()
-    before = sizes.withColumn("before", F.expr("coalesce(sum(count) over (partition by curve order by part rows between unbounded preceding and 1 preceding), 0)")).drop("count")
-    ranked = ordered.join(F.broadcast(before), ["curve", "part"]).withColumn("rank", F.col("before") + F.col("at"))  # one row for each curve and partition
-    slices = max(1, math.ceil(2 * window / max(1, count) * ordered.where("curve = 0 and asked").count() / SLICE))
-    blocks = ranked.select("curve", F.expr(f"rank div {BLOCK}").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "node", "raw")
-    near = F.sequence(F.greatest(F.lit(0), F.expr(f"(rank - {window}) div {BLOCK}")), F.least(F.lit((count - 1) // BLOCK), F.expr(f"(rank + {window}) div {BLOCK}")))
-    ask = ranked.where("asked").select(F.col("curve").alias("c"), F.explode(near).alias("b"), F.pmod(F.xxhash64("node"), F.lit(slices)).cast("int").alias("s"), F.col("node").alias("query"), F.col("raw").alias("own"))
+    raw = nodes.join(asked, "node", "left").select("node", packed("vec").alias("raw"), F.coalesce("asked", F.lit(False)).alias("asked"))
+    placed = ordered(nodes, turns, count, bits).join(raw, "node").withColumn("block", F.expr(f"place div {block}"))
+    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    ask = placed.where("asked").select(F.col("curve").alias("c"), near.alias("b"), F.col("node").alias("query"), F.col("raw").alias("own"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -152,14 +160,17 @@ def search(df: DataFrame, queries, key: str = "vec_id", vec: str = "embedding",
         for q in range(0, len(y), 256):
             part = y[q : q + 256]
             d = norms[None, :] - 2 * part @ x.T
-            worst = np.partition(d, keep - 1, axis=1)[:, keep - 1] + 1e-9 * (1 + np.square(part).sum(axis=1))
-            i, j = np.nonzero(d <= worst[:, None])
+            own = np.square(part).sum(axis=1)
+            slack = 1e-9 * (1 + own + norms.max())  # the quick form's rounding; what is near the bound is looked at exactly
+            i, j = np.nonzero(d <= (np.partition(d, keep - 1, axis=1)[:, keep - 1] + slack)[:, None])
             exact = np.sqrt(np.square(part[i] - x[j]).sum(axis=1))
             out.append(pd.DataFrame({"query": right["query"].to_numpy()[q + i], "node": ids[j], "score": exact}))
         return pd.concat(out)
 
-    met = blocks.groupBy("curve", "block", "slice").cogroup(ask.groupBy("c", "b", "s")).applyInPandas(meet, "query long, node long, score double")
-    best = met.dropDuplicates(["query", "node"]).withColumn("r", F.expr("row_number() over (partition by query order by score, node)")).where(F.col("r") <= k + 1)
+    blocks = placed.select("curve", "block", "node", "raw")
+    met = blocks.groupBy("curve", "block").cogroup(ask.groupBy("c", "b")).applyInPandas(meet, "query long, node long, score double")
+    # a pair that several curves give has one score; the best of a query are found before anything but keys is sent on
+    best = met.groupBy("query", "node").agg(F.min("score").alias("score")).withColumn("r", F.expr("row_number() over (partition by query order by score, node)")).where(F.col("r") <= k + 1)
     found = best.join(nodes.select("node", "ids"), "node").join(members, "query")
     pairs = found.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
     final = pairs.withColumn("rank", F.expr("row_number() over (partition by query_id order by score, vec_id)")).where(F.col("rank") <= k)

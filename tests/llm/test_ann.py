@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,6 +47,39 @@ def test_recall(spark, sf):
         assert all(math.isclose(s, np.linalg.norm(np.array(exact[q], float) - np.array(exact[i], float)), abs_tol=1e-12) for i, s in own)
 
 
+def test_recall_where_windows_are_small_parts_of_the_table(spark):
+    """60,000 vectors of 24 dimensions: what a query sees is fixed, and far from all of them on any curve."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 24))[rng.integers(0, 300, 60_000)] * 2 + rng.normal(size=(60_000, 24)) * rng.uniform(0.1, 1, 24)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(60_000), "embedding": x.tolist()}))
+    got = {}
+    for r in ann.search(df, lambda i: i % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 600
+    hits = 0
+    for q in got:
+        d = np.square(x - x[q]).sum(axis=1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argpartition(d, 10)[:10].tolist()))
+    assert hits >= 0.9 * 6000
+
+
+@pytest.mark.parametrize("size", [2_000, 8_000])
+def test_a_query_sees_a_fixed_number_of_rows(spark, size):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame(pa.table({"node": np.arange(size), "vec": rng.normal(size=(size, 4)).tolist()}))
+    turns = ann.axes(df, size, 500, 3, 4, 1)
+    places = ann.ordered(df, turns, size, 5).collect()
+    for c in range(3):
+        assert sorted(r.place for r in places if r.curve == c) == list(range(size))
+
+
+def test_a_key_with_several_vectors_counts_with_the_smallest(spark):
+    rows = [(100, [1.0, 1.0]), (100, [5.0, 5.0]), (1, [1.0, 2.0]), (2, [5.0, 6.0]), (2, [4.0, 6.0]), (100, [1.0, 1.0])]
+    got = sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0).collect())
+    assert [(q, n, v) for q, n, v, _ in got] == [(100, 1, 1), (100, 2, 2)] and got[1][3] == math.sqrt(34)
+
+
 def test_edge_rows(spark):
     same = [1.0, 2.0, 0.5]
     rows = [(i, same) for i in range(0, 400, 2)] + [(i, [float(i), 1.0, 0.0]) for i in range(1, 60, 2)]
