@@ -8,6 +8,9 @@ Emitting a variant for each character of each line would multiply the corpus, so
 near line can exist. A single edit leaves the first or the second half of a line alone: lines whose halves occur in no
 other line are out (level 1, hashes only). For the rest the same is asked with the line in sixteen blocks (level 2),
 which also tells in which block the edit must be, and only deletions inside it are emitted. No near pair is lost.
+
+In lines of less than MIN_CHARS characters one edit makes another word of a word, so of those only equal copies count.
+Lines without a letter or digit (blank ones, rules, brackets) aren't judged.
 """
 
 from __future__ import annotations
@@ -92,25 +95,47 @@ def _shared(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(twice, [key, "salt"]).drop("salt")
 
 
+def _judged(line) -> F.Column:
+    return F.rlike(line, F.lit("[\\p{L}\\p{N}]"))
+
+
+def _bitmaps(firsts: DataFrame) -> DataFrame:
+    """(d, t, bits) for a table of places `first` (d, t, no): for each document a map from each 64 lines to their bits."""
+    words = firsts.groupBy("first.d", "first.t", F.expr("first.no div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, first.no % 64)")).alias("bits"))
+    return words.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bits"))
+
+
+def _with_lines(df: DataFrame, text: str, bits: str, out: str) -> DataFrame:
+    """Adds the lines of a text as an array of (line, on), on from the bits; no step looks anything up by a line's number."""
+    (lines,) = fresh(df, f"{out}_")
+    df = df.withColumn(lines, F.split(F.col(text).cast("string"), "\n"))
+    words = F.transform(F.sequence(F.lit(0), F.expr(f"(size({lines}) - 1) div 64")), lambda w: F.coalesce(F.col(bits)[w.cast("long")], F.lit(0).cast("long")))
+    df = df.withColumn(out, F.flatten(F.transform(words, lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(b, k) == 1))))
+    return df.withColumn(out, F.arrays_zip(F.col(lines).alias("line"), F.slice(out, F.lit(1), F.size(lines)).alias("on"))).drop(lines)
+
+
 def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(d, t, kept): for each document (key d, text hash t) its kept lines of min_chars or more, as a map from each 64 lines to their bits.
+    """(d, t, bits): for each document (key d, text hash t) its kept lines of those that are judged.
 
     A line is kept if no line before it, by (key, text hash, line number), is equal or near.
     """
     docs = df.select(F.col(key).cast("long").alias("d"), F.col(text).cast("string").alias("x")).where("x is not null")
-    lines = docs.select("d", F.xxhash64("x").alias("t"), F.posexplode(F.split("x", "\n")).alias("no", "line")).where(F.char_length("line") >= min_chars)
+    lines = docs.select("d", F.xxhash64("x").alias("t"), F.posexplode(F.split("x", "\n")).alias("no", "line")).where(_judged("line"))
     # level 1: distinct lines (128-bit hash, first place) with the hashes of their halves, for either length of a pair
     n = F.char_length("line")
+    ids = F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line", n).alias("g"))
     halves = F.array(*[F.xxhash64(F.lit(i), n - s, F.expr(f"substring(line, 1, (char_length(line) - {s}) div 2)") if i == 0 else F.expr(f"right(line, (char_length(line) - {s}) div 2)")) for s in (0, 1) for i in (0, 1)])
-    hashed = lines.select(F.struct(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line", n).alias("g")).alias("id"), F.struct("d", "t", "no").alias("first"), halves.alias("halves"))
+    hashed = lines.select(ids.alias("id"), F.struct("d", "t", "no").alias("first"), F.when(n >= min_chars, halves).alias("halves"))
     distinct = cut(hashed.groupBy("id").agg(F.min("first").alias("first"), F.first("halves").alias("halves")), "lines")
     halved = distinct.select("id", "first", F.explode("halves").alias("half"))
     some = _shared(halved, "half").select("id", "first").distinct()
-    # level 2 needs the text of what is left: fetched by document
-    wanted = some.groupBy("first.d", "first.t").agg(F.collect_list(F.struct("first.no", "id", "first")).alias("w"))
+    # level 2 needs the text of what is left: marked in its document, which is then opened once
     whole = docs.withColumn("t", F.xxhash64("x"))
-    texts = wanted.join(whole, wanted.t.eqNullSafe(whole.t) & wanted.d.eqNullSafe(whole.d)).select(F.split("x", "\n").alias("all"), F.explode("w").alias("w"))
-    found = cut(texts.select("w.id", "w.first", F.expr("all[w.no]").alias("line")).dropDuplicates(["id"]), "halves")
+    wanted = _bitmaps(some).withColumnsRenamed({"d": "wd", "t": "wt"})
+    marked = _with_lines(whole.join(wanted, F.col("wt").eqNullSafe(F.col("t")) & F.col("wd").eqNullSafe(F.col("d"))), "x", "bits", "m")
+    opened = F.filter(F.transform("m", lambda z, i: F.struct(i.alias("no"), z["line"].alias("line"), z["on"].alias("on"))), lambda z: z["on"])
+    texts = marked.select("d", "t", F.explode(opened).alias("z")).select("d", "t", "z.no", "z.line")
+    found = cut(texts.select(ids.alias("id"), F.struct("d", "t", "no").alias("first"), "line").dropDuplicates(["id"]), "halves")
     near = _shared(found.select("id", F.explode(block_keys("line")).alias("block")), "block").groupBy("id").agg(F.collect_list("block").alias("blocks"))
     variants = found.join(near, "id").select("id", "first", F.explode(variant_keys("line", "blocks")).alias("variant"))
     earliest = variants.groupBy("variant").agg(F.min("first").alias("early"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -118,34 +143,31 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars
     line_of = found.select(F.col("first"), F.col("line").alias("later"))
     early_of = found.select(F.col("first").alias("early"), F.col("line").alias("earlier"))
     lost = pairs.join(line_of, "first").join(early_of, "early").where(F.levenshtein("later", "earlier", 1) >= 0).select("first").distinct()
-    kept = distinct.select("first").join(lost, "first", "left_anti")
-    words = kept.groupBy("first.d", "first.t", F.expr("first.no div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, first.no % 64)")).alias("bits"))
-    return words.groupBy("d", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("kept"))
+    return _bitmaps(distinct.select("first").join(lost, "first", "left_anti"))
 
 
 def clean(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """df with each text reduced to its kept lines, and n_lines and n_removed added.
 
-    Lines are what newlines separate. Of lines with at least min_chars characters, a line goes if an earlier one (by
-    key, then line number) is equal or within one character; lines are judged on the input, not on what is left.
-    Shorter lines stay. A null text stays null with 0 lines; a null key sorts first; rows that repeat key and text get
-    equal answers, their first copy's. The added names must be new to df; other columns pass through.
+    Lines are what newlines separate. A line with a letter or digit goes if an earlier one (by key, then line number) is
+    equal, or, where both have at least min_chars characters, within one character; lines are judged on the input, not
+    on what is left. Lines without a letter or digit stay. A null text stays null with 0 lines; a null key sorts first;
+    rows that repeat key and text get equal answers, their first copy's. The added names must be new to df; other
+    columns pass through.
     """
     bounded_batches(df.sparkSession)
-    d, t, kept, own, lines, flags = fresh(df, "d", "t", "kept", "own", "lines", "flags")
-    left = kept_lines(df, key, text, min_chars).select(F.col("d").alias(d), F.col("t").alias(t), F.col("kept").alias(kept))
+    d, t, kept, own, flags = fresh(df, "d", "t", "kept", "own", "flags")
+    left = kept_lines(df, key, text, min_chars).select(F.col("d").alias(d), F.col("t").alias(t), F.col("bits").alias(kept))
     rows = df.withColumn(own, F.xxhash64(F.col(text).cast("string")))
     joined = rows.join(left, F.col(own).eqNullSafe(F.col(t)) & F.col(key).cast("long").eqNullSafe(F.col(d)), "left")
-    # one flag a line, zipped with the lines: no step looks anything up by a line's number
-    done = joined.withColumn(lines, F.split(F.col(text).cast("string"), "\n"))
-    bits = F.transform(F.sequence(F.lit(0), F.expr(f"(size({lines}) - 1) div 64")), lambda w: F.coalesce(F.col(kept)[w.cast("long")], F.lit(0).cast("long")))
-    done = done.withColumn(flags, F.flatten(F.transform(bits, lambda b: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.getbit(b, k) == 1))))
-    done = done.withColumn(flags, F.arrays_zip(F.col(lines).alias("line"), F.slice(flags, F.lit(1), F.size(lines)).alias("stays")))
-    done = done.withColumn(flags, F.filter(flags, lambda z: z["stays"] | (F.char_length(z["line"]) < min_chars)))
+    done = _with_lines(joined, text, kept, flags)
+    stay = F.filter(flags, lambda z: z["on"] | ~_judged(z["line"]))
+    (left_over,) = fresh(done, "stay")
+    done = done.withColumn(left_over, stay)
     gone = F.col(text).isNull()
-    out = [F.when(~gone, F.array_join(F.transform(flags, lambda z: z["line"]), "\n")).alias(c) if c == text else F.col(c) for c in df.columns]
-    n = F.when(gone, 0).otherwise(F.size(lines)).cast("long")
-    return done.select(*out, n.alias("n_lines"), (n - F.when(gone, 0).otherwise(F.size(flags))).cast("long").alias("n_removed"))
+    out = [F.when(~gone, F.array_join(F.transform(left_over, lambda z: z["line"]), "\n")).alias(c) if c == text else F.col(c) for c in df.columns]
+    n = F.when(gone, 0).otherwise(F.size(flags)).cast("long")
+    return done.select(*out, n.alias("n_lines"), (n - F.when(gone, 0).otherwise(F.size(left_over))).cast("long").alias("n_removed"))
 
 
 def drop_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:

@@ -150,16 +150,16 @@ ORACLES: dict[str, str] = {
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no
             FROM documents WHERE text IS NOT NULL),
         d AS (
-            SELECT line, min(doc_id * 1000000 + no) AS first, length(line) AS n FROM l WHERE length(line) >= 20 GROUP BY line),
+            SELECT line, min(doc_id * 1000000 + no) AS first, length(line) AS n FROM l WHERE regexp_matches(line, '[\\p{L}\\p{N}]') GROUP BY line),
         h AS (
             SELECT line, first, n, b, side, CASE WHEN side = 0 THEN left(line, b // 2) ELSE right(line, b // 2) END AS half
-            FROM (SELECT *, unnest([n, n - 1]) AS b FROM d), (VALUES (0), (1)) AS s(side)),
+            FROM (SELECT *, unnest([n, n - 1]) AS b FROM d WHERE n >= 20), (VALUES (0), (1)) AS s(side)),
         near AS (
             SELECT DISTINCT y.first FROM h AS x JOIN h AS y ON x.b = y.b AND x.side = y.side AND x.half = y.half AND x.first < y.first
             WHERE levenshtein(x.line, y.line) <= 1),
         kept AS (SELECT first FROM d WHERE first NOT IN (SELECT first FROM near)),
         r AS (
-            SELECT l.doc_id, l.no, l.line, length(l.line) < 20 OR k.first IS NOT NULL AS stays
+            SELECT l.doc_id, l.no, l.line, NOT regexp_matches(l.line, '[\\p{L}\\p{N}]') OR k.first IS NOT NULL AS stays
             FROM l LEFT JOIN kept AS k ON k.first = l.doc_id * 1000000 + l.no)
         SELECT doc_id, count(line) AS n_lines, count(line) - count(line) FILTER (stays) AS n_removed,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (stays), '')) AS kept_sha256
