@@ -8,20 +8,28 @@ builds it in parts that can be sorted apart:
 1. Of the K-byte strings in each MIN-byte window the one of smallest hash is the window's anchor. Equal windows have
    equal anchors, so it is enough to compare suffixes that begin in windows of one anchor. An anchor's context, the
    bytes of all its windows, is hashed.
-2. Anchors are dealt out by hash, packed. Where two contexts are equal, the later document's is covered whole; within
-   a task of step 1 that is seen before anything is sent. What is left are different contexts that share an anchor.
-3. Their text is fetched from the documents and dealt out by anchor; windows that occur once are put aside, the
-   others' suffixes are sorted and their longest previous factors (up to MIN) give what is covered.
+2. Anchors are dealt out by hash, packed. Where two contexts are equal (anchor and context agree in 48 bits each), the
+   later document's is covered whole; within a task of step 1 that is seen before anything is sent. What is left are
+   different contexts that share an anchor.
+3. Their text is fetched from the documents. A window has SIDE bytes or more after its anchor, or more than that before
+   it: windows of the first kind are dealt out by the anchor and the bytes after it, the others by the bytes before it
+   and the anchor. So an anchor that is frequent in changing surroundings is spread over many groups. In a group,
+   windows that occur once are put aside; the others' suffixes are sorted, and the previous and the next suffix from a
+   smaller document give each its longest previous factor (up to MIN), which tells what is covered.
 4. The covered spans meet their documents.
+
+The number of groups of steps 2 and 3 grows with the bytes of the input, so that a task's share stays the same.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +37,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut
 
 MIN, K = 50, 16
+#: Bytes beside an anchor that its windows are dealt out by: half of what a window holds beside it.
+SIDE = (MIN - K) // 2
+#: Bytes of input for each bucket that anchors, and then contexts, are dealt to.
+BUCKET = 32 << 20
 #: Bytes that are hashed at a time, and anchors that are packed at a time.
 CHUNK, PACK = 1 << 20, 500_000
 
@@ -112,7 +124,7 @@ def _pieces(keys, texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         yield np.frombuffer(b"".join(held), np.uint8), *(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
 
 
-_FIELDS = (("anchor", "<u8", 6), ("context", "<u8", 6), ("doc", "<i8", 8), ("start", "<u4", 4), ("size", "<u1", 1))
+_FIELDS = (("anchor", "<u8", 6), ("context", "<u8", 6), ("doc", "<i8", 8), ("start", "<u4", 4), ("size", "<u1", 1), ("off", "<u1", 1))
 
 
 def _squeeze(cols: dict[str, np.ndarray]) -> bytes:
@@ -168,7 +180,7 @@ def _pack_anchors(buckets: int):
                 p, h, i, a, z = p[ok], h[ok], i[ok], a[ok], z[ok]
                 context = _Prefix(buf).of(a, z) + (p - a).astype(np.uint64) * _M
                 context = context ^ (context >> np.uint64(31))
-                held.append({"anchor": h, "context": context, "doc": doc[i], "start": a - low[i] + offset[i], "size": z - a})
+                held.append({"anchor": h, "context": context, "doc": doc[i], "start": a - low[i] + offset[i], "size": z - a, "off": p - a})
                 if sum(len(x["doc"]) for x in held) >= PACK:
                     yield _flush(held, buckets)
                     held = []
@@ -198,12 +210,18 @@ def _flush(held: list[dict], buckets: int) -> pd.DataFrame:
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's anchors: spans that are covered (anchor null), and contexts whose text must be compared."""
-    doc, start, size, anchor = [], [], [], []
+    """Of a bucket's anchors: contexts that are covered, and (compare) those whose text must be compared; span is start, anchor's place and length."""
+    doc, span, compare = [], [], []
+
+    def give(t: dict[str, np.ndarray], rows, flag: bool) -> None:
+        doc.append(t["doc"][rows])
+        span.append((t["start"][rows].astype(np.int64) << 16) | (t["off"][rows].astype(np.int64) << 8) | t["size"][rows])
+        compare.append(np.full(len(doc[-1]), flag))
+
     for flag, own in pdf.groupby("known"):
         t = _gather(own["blob"])
         if flag:
-            doc.append(t["doc"]), start.append(t["start"]), size.append(t["size"]), anchor.append(np.full(len(t["doc"]), np.nan))
+            give(t, slice(None), False)
             continue
         order, first_a, first_c = _by_context(t)
         later = _later(order, first_c, t["doc"])
@@ -212,59 +230,91 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
         d = t["doc"][order]
         contexts = np.add.reduceat(first_c.astype(np.int64), heads)[g]
         shared = (np.maximum.reduceat(d, heads) > np.minimum.reduceat(d, heads))[g]
-        for rows, open_ in ((order[later], False), (order[~later & (contexts > 1) & shared], True)):
-            doc.append(t["doc"][rows]), start.append(t["start"][rows]), size.append(t["size"][rows])
-            anchor.append(t["anchor"][rows].astype(np.float64) if open_ else np.full(len(rows), np.nan))
-    made = pd.DataFrame({"d": np.concatenate(doc), "span": np.concatenate(start).astype(np.int64) << 8 | np.concatenate(size), "anchor": np.concatenate(anchor)})
-    made["anchor"] = made["anchor"].astype("Int64")  # 48 bits: exact as a double
-    return made
+        give(t, order[later], False)
+        give(t, order[~later & (contexts > 1) & shared], True)
+    return pd.DataFrame({"d": np.concatenate(doc), "span": np.concatenate(span), "compare": np.concatenate(compare)})
+
+
+def _sides(b: bytes, start: int, off: int, size: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(start, bytes, what they are dealt out by) of the windows of a context that reach SIDE bytes after its anchor, and of the others."""
+    p, end = start + off, start + size
+    low = max(start, p - (MIN - K - SIDE))
+    if end - low >= MIN:
+        yield low, b[low:end], b[p : p + K + SIDE]
+    high = min(end, p + K + SIDE - 1)
+    if high - start >= MIN:
+        yield start, b[start:high], b[p - (MIN - K - SIDE + 1) : p + K]
 
 
 def _fetch(buckets: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            anchors, docs, starts, texts = [], [], [], []
-            for d, x, asked, of in zip(pdf["d"], pdf["x"], pdf["spans"], pdf["anchors"], strict=True):
+            docs, starts, texts, keys = [], [], [], []
+            for d, x, spans in zip(pdf["d"], pdf["x"], pdf["spans"], strict=True):
                 b = x.encode("utf-8", "surrogatepass")
-                for span in asked.tolist():
-                    a = span >> 8
-                    texts.append(b[a : a + (span & 255)])
-                    starts.append(a)
-                anchors.append(of)
-                docs.append(np.full(len(of), d))
+                for span in spans.tolist():
+                    for start, text, key in _sides(b, span >> 16, span >> 8 & 255, span & 255):
+                        docs.append(d)
+                        starts.append(start)
+                        texts.append(text)
+                        keys.append(xxhash.xxh64_intdigest(key))
             if not texts:
                 continue
-            anchor, doc = np.concatenate(anchors), np.concatenate(docs)
-            to = (anchor * np.int64(2654435761)) % (1 << 31) % buckets
-            start = np.array(starts, dtype=np.int64)
+            key = np.array(keys, dtype=np.uint64)
+            to = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            head = np.array([docs, starts, list(map(len, texts)), key.view(np.int64)], dtype="<i8")
+            order = np.argsort(to, kind="stable")
             out = []
-            for b in np.unique(to):
-                own = np.flatnonzero(to == b)
-                text = [texts[i] for i in own.tolist()]
-                head = np.column_stack([doc[own], start[own], [len(t) for t in text]]).astype("<i8")
-                out.append((int(b), len(own), zstandard.compress(head.T.tobytes() + b"".join(text), 1)))
+            for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                out.append((int(to[own[0]]), len(own), zstandard.compress(head[:, own].tobytes() + b"".join([texts[i] for i in own.tolist()]), 1)))
             yield pd.DataFrame(out, columns=["bucket", "n", "blob"])
 
     return run
 
 
+def _to_smaller(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each place the common prefix with the nearest place before it that has a smaller document; 0 where there is none.
+
+    lcp[i] is the common prefix of places i and i + 1. Steps of falling powers of two, over minima of so many places.
+    """
+    n = len(doc)
+    low, shared = [doc], [lcp]
+    while 2 << len(low) <= n:
+        w = 1 << (len(low) - 1)
+        low.append(np.minimum(low[-1][:-w], low[-1][w:]))
+        shared.append(np.minimum(shared[-1][:-w], shared[-1][w:]))
+    at, least = np.arange(n), np.full(n, MIN, dtype=lcp.dtype)
+    for k in range(len(low) - 1, -1, -1):
+        for _ in range(2 if k == len(low) - 1 else 1):
+            to = at - (1 << k)
+            ok = np.flatnonzero(to >= 0)
+            ok = ok[low[k][to[ok]] >= doc[ok]]
+            least[ok] = np.minimum(least[ok], shared[k][to[ok]])
+            at[ok] = to[ok]
+    return np.where(at > 0, np.minimum(least, lcp[np.maximum(at - 1, 0)]) if n > 1 else 0, 0)
+
+
 def longest_previous_factor(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For windows (rows of MIN bytes) whether a smaller document has an equal one.
+    """For windows (rows of MIN bytes) the longest prefix that a window of a smaller document begins with too.
 
-    Suffixes are sorted by their MIN bytes, then by document. So the previous smaller document in suffix order stands
-    before the run of a suffix's own document, and it shares MIN bytes if it is in the same run of equal suffixes; the
-    next smaller one is always beyond that run, where fewer bytes are shared.
+    Windows are sorted, which is their suffix order; of the windows of smaller documents the nearest before and the
+    nearest after a window in that order have the longest common prefixes with it, and the longer one is the answer.
     """
     n = len(windows)
+    if n < 2:
+        return np.zeros(n, np.int64)
     wide = np.zeros((n, -(-MIN // 8) * 8), np.uint8)
     wide[:, :MIN] = windows
     words = wide.view(">u8").astype(np.uint64)
     order = np.lexsort((doc, *words.T[::-1]))
-    same = np.concatenate([[False], (words[order][1:] == words[order][:-1]).all(axis=1)])  # the common prefix is MIN
-    run = np.cumsum(~same) - 1
-    d = doc[order]
-    out = np.zeros(n, bool)
-    out[order] = d > d[np.flatnonzero(~same)][run]
+    words, d = words[order], doc[order]
+    differs = words[1:] ^ words[:-1]
+    word = (differs != 0).argmax(axis=1)
+    x = differs[np.arange(n - 1), word]
+    zeros = (x[:, None] < np.uint64(1) << np.arange(56, 0, -8, dtype=np.uint64)).sum(axis=1)
+    lcp = np.where(x == 0, MIN, word * 8 + zeros).astype(np.int16)
+    out = np.zeros(n, np.int64)
+    out[order] = np.maximum(_to_smaller(d, lcp), _to_smaller(d[::-1], lcp[::-1])[::-1])
     return out
 
 
@@ -273,12 +323,11 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     heads, texts = [], []
     for n, blob in zip(pdf["n"], pdf["blob"], strict=True):
         raw = zstandard.decompress(bytes(blob))
-        heads.append(np.frombuffer(raw, "<i8", 3 * n).reshape(3, n))
-        texts.append(raw[24 * n :])
-    doc, start, size = np.concatenate(heads, axis=1)
+        heads.append(np.frombuffer(raw, "<i8", 4 * n).reshape(4, n))
+        texts.append(raw[32 * n :])
+    doc, start, size, key = np.concatenate(heads, axis=1)
     buf = np.frombuffer(b"".join(texts), np.uint8)
-    ends = np.cumsum(size)
-    first = ends - size
+    first = np.cumsum(size) - size
     per = size - MIN + 1
     of = np.repeat(np.arange(len(size)), per)
     at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + first[of]
@@ -291,9 +340,9 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     if not len(left):
         return pd.DataFrame({"d": np.zeros(0, np.int64), "span": np.zeros(0, np.int64)})
     hit = np.zeros(len(h), bool)
-    for part in _groups(h[left]):  # equal windows stay together; memory is bounded by parts
+    for part in _groups(key.view(np.uint64)[of[left]]):  # a group's suffixes stay together; memory is bounded by parts
         rows = left[part]
-        hit[rows] = longest_previous_factor(np.lib.stride_tricks.sliding_window_view(buf, MIN)[at[rows]], doc[of[rows]])
+        hit[rows] = longest_previous_factor(np.lib.stride_tricks.sliding_window_view(buf, MIN)[at[rows]], doc[of[rows]]) == MIN
     runs = hit & ~np.concatenate([[False], hit[:-1] & (of[1:] == of[:-1])])
     stops = hit & ~np.concatenate([hit[1:] & (of[1:] == of[:-1]), [False]])
     a, z = at[runs], at[stops] + MIN
@@ -335,13 +384,15 @@ def covered(docs: DataFrame) -> DataFrame:
     """Covered spans (d, span) of docs (d long, x string, both not null); span is start * 256 + length."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("x")).alias("n")).first()["n"] or 0
+    buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET))
     packed = docs.mapInPandas(_pack_anchors(buckets), "bucket int, known boolean, blob binary")
-    settled = cut(packed.groupBy("bucket").applyInPandas(_settle, "d long, span long, anchor long"), "anchors")
-    asked = settled.where("anchor is not null").groupBy("d").agg(F.collect_list(F.struct("span", "anchor")).alias("a"))
-    fetched = docs.join(asked, "d").select("d", "x", F.col("a.span").alias("spans"), F.col("a.anchor").alias("anchors"))
+    settled = cut(packed.groupBy("bucket").applyInPandas(_settle, "d long, span long, compare boolean"), "anchors")
+    asked = settled.where("compare").groupBy("d").agg(F.collect_list("span").alias("spans"))
+    fetched = docs.join(asked, "d").select("d", "x", "spans")
     compared = fetched.mapInPandas(_fetch(buckets), "bucket int, n int, blob binary").groupBy("bucket").applyInPandas(_compare, "d long, span long")
-    return settled.where("anchor is null").select("d", "span").union(compared)
+    whole = F.shiftleft(F.shiftright("span", 16), 8).bitwiseOR(F.col("span").bitwiseAND(F.lit(255)))
+    return settled.where("not compare").select("d", whole.alias("span")).union(compared)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

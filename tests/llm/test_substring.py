@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from mintscope.llm import substring
 from mintscope.llm.queries import op3_suffix_array_dedup
@@ -67,14 +68,27 @@ def test_pieces_of_long_texts_keep_all_anchors():
     assert windows == set(range(len(text) - 49))
 
 
-def test_lpf():
-    rng = np.random.default_rng(1)
-    w = rng.integers(0, 3, (40, substring.MIN)).astype(np.uint8)[rng.integers(0, 12, 300)]
-    doc = rng.integers(0, 9, 300)
-    want = [any(doc[j] < doc[i] and (w[j] == w[i]).all() for j in range(300)) for i in range(300)]
+@pytest.mark.parametrize("n", [1, 2, 3, 8, 300, 1000])
+def test_longest_previous_factors_against_brute_force(n):
+    rng = np.random.default_rng(n)
+    w = rng.integers(0, 3, (40, substring.MIN)).astype(np.uint8)[rng.integers(0, 12, n)]
+    for i in range(n):  # prefixes of all lengths
+        m = rng.integers(0, substring.MIN + 20)
+        w[i, m:] = rng.integers(0, 255, len(w[i, m:]))
+    doc = rng.integers(0, 9, n)
+    common = lambda a, b: int(np.argmin(np.append(a == b, False)))
+    want = [max((common(w[i], w[j]) for j in range(n) if doc[j] < doc[i]), default=0) for i in range(n)]
     assert substring.longest_previous_factor(w, doc).tolist() == want
 
 
+def test_a_windows_side_decides_where_it_is_dealt():
+    b = bytes(range(200))
+    for start, off, size in ((40, 34, 84), (0, 5, 55), (0, 0, 50), (100, 34, 50), (100, 34, 70), (0, 34, 51)):
+        got = [(low + i, key) for low, text, key in substring._sides(b, start, off, size) for i in range(len(text) - substring.MIN + 1)]
+        assert sorted(s for s, _ in got) == list(range(start, start + size - substring.MIN + 1))
+        assert all(key in b[s : s + substring.MIN] and len(key) > substring.K + 16 for s, key in got)
+
+
 def test_edge_rows(spark):
     p = "this passage has more than fifty bytes, and comes again and again."
     rows = [(5, p), (1, None), (2, ""), (3, "short"), (4, "x" + p), (4, "x" + p), (6, "é" * 30_000), (7, "é" * 30_000 + p), (None, p), (None, None)]
