@@ -76,21 +76,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def labelled_findings_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+# How keys of well-known issuers begin.
+ISSUED = r"^(AKIA[0-9A-Z]{16}$|gh[opsru]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk[_-](live|test|proj)?[_-]?[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ)"
+
+
+def labelled_findings_of(found: DataFrame, labels: DataFrame) -> DataFrame:
     """Reviewed findings: those in the documents that the labels table covers, judged by what is to be known of them.
 
-    The tables have no verdicts on findings, so a rule stands in for the reviewer: a quoted value of 32 or more letters
-    and digits that a name like token or key is set to is a secret, all else is not.
+    The tables have no verdicts on findings, so rules stand in for the reviewer. A secret is what begins like the key of
+    a well-known issuer, or is set to a name like token or key, quoted or not, in one word or three, and mixes digits
+    with letters. No secret is what is an address, a path of three parts, a number or date, is announced as a digest,
+    identifier or example, or stands in three or more of the documents. What neither or both say anything of has no label.
     """
-    reviewed = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = secrets.candidates(reviewed)
-    real = F.col("finding").rlike("^[A-Za-z0-9+/_-]{32,}$") & F.col("finding").rlike("[0-9]") & F.col("raw").rlike("^[\"']") & F.lower("before2").rlike("token|key|secret|password")
-    return found.select("doc_id", "at", "finding", real.cast("int").alias("label"))
+    reviewed = found.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    f = F.col("finding")
+    often = reviewed.select("finding", "doc_id").distinct().groupBy("finding").count().where("count >= 3").select("finding", F.lit(True).alias("often"))
+    odd = f.rlike("@.*\\.") | F.col("raw").rlike("://|^[\"'(<]*www\\.") | f.rlike("[A-Za-z0-9]/[^/]+/[A-Za-z0-9]") | f.rlike("^[0-9+/_.#@-]+$") | secrets.announced(secrets.HARMLESS) | F.coalesce("often", F.lit(False))
+    set_to = secrets.announced(secrets.NAMES) & secrets.assigned() & f.rlike("[0-9]") & f.rlike("[A-Za-z]")
+    real = f.rlike(ISSUED) | set_to
+    return reviewed.join(often, "finding", "left").where(real != odd).select("doc_id", "at", "finding", real.cast("int").alias("label"))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_table(spark, sf_dir).select("doc_id", "text")
-    found = secrets.scan(docs, labelled_findings_of(docs, docs_table(spark, sf_dir, "labels")))
+    found = secrets.scan(docs, lambda c: labelled_findings_of(c, docs_table(spark, sf_dir, "labels")))
     return found.select("doc_id", F.col("at").alias("word"), F.char_length("finding").alias("n_chars"), F.sha2("finding", 256).alias("finding_sha256"), "score", "is_secret")
 
 

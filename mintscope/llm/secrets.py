@@ -1,27 +1,33 @@
 """Secret scans with a random forest against false positives, in DataFrame functions only.
 
-Candidates are long unbroken runs of key characters. Their features: length, how usual their character transitions are
-in the corpus's own words, how much of them is covered by dictionary words (of the same corpus), whether they look like
-a path or address, and the words before them. A random forest trained on labelled findings scores them.
+Candidates are unbroken runs of key characters. Their features: length, how usual their character transitions are in
+the corpus's own words, how much of them is covered by dictionary words (of the same corpus), whether they look like a
+path or address, and the words around them. A random forest trained on labelled findings scores them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-MIN_CHARS = 16
+MIN_CHARS = 8
 #: How often a word must come in the corpus to count as a dictionary word.
 DICTIONARY = 5
 #: Bound on the labelled findings that the forest is trained on.
 LABELLED = 20_000
 TREES, DEPTH = 20, 6
-FEATURES = ["length", "digits", "upper", "hexadecimal", "distinct", "transition", "coverage", "path", "address", "assigned", "quoted", "named"]
+FEATURES = ["length", "digits", "upper", "hexadecimal", "distinct", "transition", "coverage", "path", "address", "assigned", "quoted", "named", "after", "harmless"]
 
 # Words that announce a secret.
 NAMES = ["api_key", "apikey", "auth", "authorization", "bearer", "credential", "key", "passwd", "password", "private_key", "pwd", "secret", "token"]
+# Words that announce a digest, an identifier or an example.
+HARMLESS = ["checksum", "commit", "digest", "dummy", "etag", "example", "fake", "fingerprint", "hash", "id", "isbn", "md5", "phone", "placeholder", "sample", "sha1", "sha256", "uuid", "version"]
+#: What a name is set to in one word (`key=value`, `"key":"value"`) is taken without the name.
+_RUN = r"""(?:[A-Za-z_][A-Za-z_.-]*["']?[=:]["']?)?([A-Za-z0-9+/_.@!#$%^&*~-]{8,}={0,2})"""
 _CLASSES = "abcdefghijklmnopqrstuvwxyz0*"
 
 
@@ -30,21 +36,41 @@ def _words(text) -> F.Column:
 
 
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, at, finding, before, before2, raw): one row per candidate; at is the number of the word that holds it.
+    """(key, at, finding, before, before2, after, raw): one row per candidate; at is the number of the word that holds it.
 
-    A word's candidates are its runs of 16 or more of letters, digits and + / _ - = . @ : with at least one digit or
-    change of case; the two words before come along. Nulls, empty texts and texts without long words have none.
+    A word's candidates are its runs of 8 or more of letters, digits and + / _ . @ ! # $ % ^ & * ~ - (and = at the end)
+    with at least one digit or change of case, without a name that is set to them in the same word. The two words before
+    and the one after come along. Nulls, empty texts and texts without long words have none; texts are read whole, other
+    columns not at all.
     """
     rows = df.select(F.col(key), _words(F.col(text).cast("string")).alias("w"))
     long = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.char_length(F.element_at("w", i + 1)) >= MIN_CHARS)
-    word = lambda i: F.when(i >= 0, F.element_at("w", F.greatest(i, F.lit(0)) + 1)).otherwise(F.lit(""))
-    spots = F.transform(long, lambda i: F.struct(i.cast("int").alias("at"), word(i).alias("raw"), word(i - 1).alias("before"), word(i - 2).alias("before2")))
+    word = lambda i: F.when((i >= 0) & (i < F.size("w")), F.element_at("w", F.least(F.greatest(i, F.lit(0)) + 1, F.size("w")))).otherwise(F.lit(""))
+    spots = F.transform(long, lambda i: F.struct(i.cast("int").alias("at"), word(i).alias("raw"), word(i - 1).alias("before"), word(i - 2).alias("before2"), word(i + 1).alias("after")))
     spots = rows.where("w is not null").select(key, F.explode(spots).alias("s")).select(key, "s.*")
-    runs = F.regexp_extract_all("raw", F.lit(r"([A-Za-z0-9+/_\-=.@:]{16,})"), 1)
-    found = spots.select(key, "at", F.explode(F.array_distinct(runs)).alias("finding"), "before", "before2", "raw")
+    runs = F.regexp_extract_all("raw", F.lit(_RUN), 1)
+    found = spots.select(key, "at", F.explode(F.array_distinct(runs)).alias("finding"), "before", "before2", F.col("after").alias("after"), "raw")
     return found.where(F.col("finding").rlike("[0-9]") | F.col("finding").rlike("[a-z][A-Z]"))
 
 
+def _around(*columns) -> F.Column:
+    """The lower-cased plain words of these columns."""
+    return F.split(F.regexp_replace(F.lower(F.concat_ws(" ", *columns)), r"[^A-Za-z0-9_ ]", ""), " ")
+
+
+#: The name that a candidate is set to in its own word; empty where there is none.
+_OWN_NAME = r"""^["']?([A-Za-z_][A-Za-z_.-]*)["']?[=:]"""
+
+
+def announced(by: list[str]) -> F.Column:
+    """Whether one of the two words before a candidate, or the name it is set to in its own word, is one of these."""
+    return F.exists(_around("before2", "before", F.regexp_extract("raw", _OWN_NAME, 1)), lambda w: w.isin(*by))
+
+
+def assigned() -> F.Column:
+    return F.col("before").isin("=", ":", "=>", ":=") | F.col("raw").rlike(_OWN_NAME) | F.col("before").rlike("[=:]$")
+
+
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts: lower-cased runs of three or more letters."""
     runs = F.regexp_extract_all(F.lower(F.col(text).cast("string")), F.lit(r"([a-z]{3,})"), 1)
@@ -74,7 +100,6 @@ def with_features(found: DataFrame, words: DataFrame, table: dict[str, float], k
     flat = F.array(*[F.lit(table[a + b]) for a in _CLASSES for b in _CLASSES])
     codes = F.transform(F.split(F.concat(F.lit("*"), plain), ""), lambda c: F.when(c == "0", code["0"]).when(c == "*", code["*"]).otherwise(F.ascii(c) - 97))
     steps = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: F.element_at(flat, a * len(_CLASSES) + b + 1))
-    named = F.lower(F.regexp_replace(F.concat_ws(" ", "before2", "before", F.regexp_extract("raw", r"^([A-Za-z_]+)[\"']?[=:]", 1)), r"[^A-Za-z_ ]", ""))
     out = found.withColumns({
         "length": n,
         "digits": share("[^0-9]"),
@@ -83,10 +108,12 @@ def with_features(found: DataFrame, words: DataFrame, table: dict[str, float], k
         "distinct": F.size(F.array_distinct(F.split(f, ""))) / n,
         "transition": F.aggregate(steps, F.lit(0.0), lambda a, v: a + v) / n,
         "path": F.col("finding").rlike(r"/|\.[a-z]{2,4}$").cast("double"),
-        "address": (F.col("finding").rlike("@|://|^www\\.") | F.col("raw").rlike("://")).cast("double"),
-        "assigned": (F.col("before").isin("=", ":", "=>", ":=") | F.col("raw").rlike(r"^[A-Za-z_]+[\"']?[=:]") | F.col("before").rlike("[=:]$")).cast("double"),
+        "address": (F.col("finding").rlike("@|^www\\.") | F.col("raw").rlike("://")).cast("double"),
+        "assigned": assigned().cast("double"),
         "quoted": F.col("raw").rlike("^[\"'`]").cast("double"),
-        "named": F.exists(F.split(named, " "), lambda w: w.isin(*NAMES)).cast("double"),
+        "named": announced(NAMES).cast("double"),
+        "after": F.exists(_around("after"), lambda w: w.isin(*NAMES)).cast("double"),
+        "harmless": (announced(HARMLESS) | F.exists(_around("after"), lambda w: w.isin(*HARMLESS))).cast("double"),
     })
     pieces = out.select("finding").distinct().select("finding", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("finding"), F.lit(r"([a-z]{3,})"), 1))).alias("word"))
     covered = pieces.join(words.where(F.col("n") >= DICTIONARY).select("word"), "word").groupBy("finding").agg(F.sum(F.char_length("word")).alias("covered"))
@@ -124,13 +151,16 @@ def score(found: DataFrame, model, keys: list[str]) -> DataFrame:
     return model.transform(rows).select(*keys, vector_to_array("probability")[1].alias("score"))
 
 
-def scan(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, at, finding, score, is_secret) for all candidates of df; labels has (key, at, finding, label).
+def scan(df: DataFrame, labels: DataFrame | Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """(key, at, finding, score, is_secret) for all candidates of df; labels has (key, at, finding, label), or is a function of the table of candidates.
 
-    Repeated rows give repeated findings. Candidates are kept whatever their score; is_secret tells them apart.
+    Repeated rows give repeated findings. A null key is a key like any other, but isn't labelled. Null and empty texts
+    have no candidates; a long text is a row of many words. Candidates are kept whatever their score; is_secret tells
+    them apart. Without labels of both kinds all are secrets.
     """
     words = cut(word_counts(df, text), "words")
-    found = cut(with_features(candidates(df, key, text), words, transitions(words), key), "candidates")
+    found = cut(candidates(df, key, text), "candidates")
+    rows = cut(with_features(found, words, transitions(words), key), "features")
     keys = [key, "at", "finding"]
-    model = train(found, labels, keys)
-    return score(found, model, keys).withColumn("is_secret", F.col("score") >= threshold)
+    model = train(rows, labels(found) if callable(labels) else labels, keys)
+    return score(rows, model, keys).withColumn("is_secret", F.col("score") >= threshold)

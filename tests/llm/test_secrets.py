@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from math import log
@@ -5,32 +6,53 @@ from math import log
 from pyspark.sql import functions as F
 
 from mintscope.llm import secrets
-from mintscope.llm.queries import op8_secret_scans
+from mintscope.llm.queries import labelled_findings_of, op8_secret_scans
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_planted_tokens_are_found_and_nothing_else(spark):
+def test_planted_tokens_are_found(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    want = sum(len(re.findall(r'token = "[0-9a-f]{40}"', r.text)) for r in docs)
+    want = {(r.doc_id, hashlib.sha256(x.encode()).hexdigest()) for r in docs for x in re.findall(r'token = "([0-9a-f]{40})"', r.text)}
     rows = op8_secret_scans(spark, SF).collect()
-    assert want and sum(r.is_secret for r in rows) == want
-    assert {r.n_chars for r in rows if r.is_secret} == {40} and len(rows) > want
+    got = {(r.doc_id, r.finding_sha256) for r in rows if r.is_secret}
+    assert want and want <= got and len(got - want) <= 0.1 * len(want) and len(rows) > len(got)
+
+
+def test_secrets_of_other_forms_are_told_from_what_looks_like_them(spark):
+    """Trained on the labels of two thirds of the documents, tried on the rest, where forms come in other places and lengths."""
+    rng = random.Random(8)
+    value = lambda n, chars="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(chars) for _ in range(n))
+    real = [lambda: f'token = "{value(40, "0123456789abcdef")}"', lambda: f"api_key={value(24)}", lambda: f"password: {value(12)}!", lambda: f"uses AKIA{value(16, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')} there", lambda: f"secret {value(20)} = {value(32)}"]
+    fake = [lambda: f"see https://site.org/{value(5)}/{value(9)}/page1", lambda: f"commit {value(40, '0123456789abcdef')} of", lambda: f"call 555-{value(4, '0123456789')}-{value(4, '0123456789')}", lambda: f"mail name{value(3)}@site.org now", lambda: f"in src/main{value(1)}/java/File{value(1)}.java it"]
+    plain = "the file and the house of the site have a name that the page and the main call there see it now "
+    rows, want = [], {}
+    for i in range(900):
+        made = (real if i % 2 else fake)[i // 2 % 5]()
+        rows.append((i, plain * 2 + made + " " + plain))
+        want[i] = bool(i % 2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = df.where("doc_id % 3 <> 0").select("doc_id")
+    got = {}
+    for r in secrets.scan(df, lambda c: labelled_findings_of(c, marks)).collect():
+        got[r.doc_id] = got.get(r.doc_id, False) or r.is_secret
+    right = [got.get(i, False) == want[i] for i in range(0, 900, 3)]
+    assert sum(right) >= 0.95 * len(right)
 
 
 def plain_candidates(text):
     out = []
     words = re.split(r"\s+", text)
     for i, w in enumerate(words):
-        for f in dict.fromkeys(re.findall(r"[A-Za-z0-9+/_\-=.@:]{16,}", w)):
+        for f in dict.fromkeys(re.findall(secrets._RUN, w)):
             if re.search("[0-9]|[a-z][A-Z]", f):
-                out.append((i, f, words[i - 1] if i else "", words[i - 2] if i > 1 else ""))
+                out.append((i, f, words[i - 1] if i else "", words[i - 2] if i > 1 else "", words[i + 1] if i + 1 < len(words) else ""))
     return out
 
 
 def test_candidates_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
-    got = sorted((r.doc_id, r["at"], r.finding, r.before, r.before2) for r in secrets.candidates(spark.createDataFrame(rows)).collect())
+    got = sorted((r.doc_id, r["at"], r.finding, r.before, r.before2, r.after) for r in secrets.candidates(spark.createDataFrame(rows)).collect())
     assert got == sorted((r.doc_id, *c) for r in rows for c in plain_candidates(r.text))
 
 
