@@ -23,6 +23,8 @@ from .common import bounded_batches, cut, fresh
 WINDOW = 1024
 #: Parts that the pieces of one length are numbered in, so that a common length is not one task.
 SALTS = 64
+#: Runs of a plan (24 bytes each) up to which they are broadcast.
+RUNS = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -73,8 +75,8 @@ def pieces(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     return rows.mapInPandas(encode, "k long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("k", key)
 
 
-def patterns(lengths: list[int], window: int, most: int = 60_000) -> list[tuple[int, ...]]:
-    """Sets of up to three present lengths, longest first, that fill the window exactly."""
+def patterns(lengths: list[int], window: int) -> list[tuple[int, ...]]:
+    """All sets of up to three present lengths, longest first, that fill the window exactly: window^2 / 12 at most, 87,000 of 1024."""
     there = set(lengths)
     out: list[tuple[int, ...]] = [(window,)] if window in there else []
     out += [(a, window - a) for a in there if window - a in there and a >= window - a]
@@ -82,8 +84,6 @@ def patterns(lengths: list[int], window: int, most: int = 60_000) -> list[tuple[
         for b in range(min(a, window - a - 1), 0, -1):
             if b in there and (c := window - a - b) <= b and c in there:
                 out.append((a, b, c))
-        if len(out) >= most:  # more patterns than rows to fit bring nothing
-            break
     return out
 
 
@@ -191,7 +191,8 @@ def place(parts: DataFrame, window: int = WINDOW) -> DataFrame:
         [(int(k), g["lo"].tolist(), g["first"].tolist(), g["offset"].tolist()) for k, g in grouped],
         f"length long, lo{rank} array<long>, first{rank} array<long>, offset{rank} array<long>",
     )
-    rows = numbered.join(F.broadcast(table), "length")
+    # a plan has as many runs as there are patterns, whatever the input; beyond what is small the join is left to Spark
+    rows = numbered.join(F.broadcast(table) if len(runs) <= RUNS else table, "length")
     k = F.expr(f"size(filter(lo{rank}, x -> x <= {rank}))")
     return rows.withColumn(f"k{rank}", k).select(
         *parts.columns,

@@ -67,8 +67,9 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
         F.expr("w % 32 = 0").alias("once"),
         F.expr("shiftleft(cast(w as bigint), 32)").bitwiseOR(segment.bitwiseAND(F.expr("~shiftleft(1L, w % 32)"))).alias("key"),
     )
-    sized = keyed.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1")
-    sized = cut(sized, "variants")
+    # counted by pre-aggregation; a crowded variant's rows are then split by the join where they are too many for a task
+    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = cut(keyed.join(crowds, "key"), "variants")
     # verified before they become rows; two that agree on the whole segment meet under each of its bits, and count under the first
     bucket = sized.where(F.col("n") <= crowd).groupBy("key", "once").agg(F.array_sort(F.collect_list(F.struct("node", "simhash"))).alias("m"))
     same = "((shiftrightunsigned(key, 32) < 32 and ((x.simhash ^ y.simhash) & 4294967295L) = 0) or (shiftrightunsigned(key, 32) >= 32 and shiftrightunsigned(x.simhash ^ y.simhash, 32) = 0))"
