@@ -105,26 +105,39 @@ def leakage_audit(features: DataFrame, forbidden: list[str], tolerance_us: int,
     return bad.union(late).union(twice)
 
 
-def walk_forward(labels: DataFrame, train: float = 0.6, validate: float = 0.2, embargo: int = 5, buckets: int = 64) -> DataFrame:
-    """(mint, split): chronological train, validation, test, without `embargo` rows after each cut; labels has (mint, first_us).
+def chronological(rows: DataFrame, buckets: int = 64) -> tuple[DataFrame, int]:
+    """rows (mint, first_us) with their place i from 0 by (first_us, mint), and how many there are.
 
-    Places come from a range partitioning: the rows before a time bucket are summed from the buckets' counts, so no task sorts all rows.
+    The rows before a time bucket are summed from the buckets' counts, so no task sorts all rows.
     """
-    first = labels.groupBy("mint").agg(F.min("first_us").alias("first_us"))
-    bounds = first.agg(F.min("first_us").alias("lo"), F.max("first_us").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    bounds = rows.agg(F.min("first_us").alias("lo"), F.max("first_us").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if not bounds["n"]:
-        return first.select("mint", F.lit("").alias("split"))
+        return rows.withColumn("i", F.lit(0).cast("long")), 0
     width = max(1, (bounds["hi"] - bounds["lo"]) // buckets + 1)
-    x = first.withColumn("b", F.expr(f"(first_us - {bounds['lo']}) div {width}"))
+    x = rows.withColumn("b", F.expr(f"(first_us - {bounds['lo']}) div {width}"))
     before = x.groupBy("b").count().withColumn("before", F.expr("coalesce(sum(count) over (order by b rows between unbounded preceding and 1 preceding), 0)"))  # one row a bucket
     x = x.join(F.broadcast(before.select("b", "before")), "b").withColumn("i", F.expr("row_number() over (partition by b order by first_us, mint) - 1") + F.col("before"))
-    n = bounds["n"]
+    return x.drop("b", "before"), bounds["n"]
+
+
+def walk_forward(labels: DataFrame, train: float = 0.6, validate: float = 0.2, embargo: int = 5, buckets: int = 64) -> DataFrame:
+    """(mint, split): chronological train, validation, test, without `embargo` rows after each cut; labels has (mint, first_us)."""
+    x, n = chronological(labels.groupBy("mint").agg(F.min("first_us").alias("first_us")), buckets)
     a, z = int(n * train), int(n * (train + validate))
     i = F.col("i")
     split = F.when(i < a, "train").when(i < a + embargo, None).when(i < z, "validation").when(i < z + embargo, None).otherwise("test")
     return x.withColumn("split", split).where("split is not null").select("mint", "split")
 
 
+def walk_forward_two_sided(labels: DataFrame, train: float = 0.6, validate: float = 0.2, buckets: int = 64) -> DataFrame:
+    """(mint, split) of every label row, repeated mints included, without a hundredth of the rows (1 to 25) on either side of each cut."""
+    x, n = chronological(labels, buckets)
+    a, z, e = int(n * train), int(n * (train + validate)), min(25, max(1, n // 100))
+    i = F.col("i")
+    split = F.when(i < a - e, "train").when((i >= a + e) & (i < z - e), "validation").when(i >= z + e, "test")
+    return x.withColumn("split", split).where("split is not null").select("mint", "split")
+
+
 def readiness(counts: DataFrame, minima: dict[str, float]) -> DataFrame:
     """One row of counts with a decision and all that falls short."""
     short = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) < m, F.lit(c)) for c, m in minima.items()])), "|")

@@ -227,24 +227,9 @@ def l8_best_label(spark, sf_dir):
     return L.best_label(_outcomes(spark, sf_dir), ["HIGH", "POSITIVE", "NEAR_POSITIVE", "LOW"])
 
 
-_CHECKS = {"enough_buys": "buys >= 5", "flow_positive": "net_flow > 0", "breadth": "wallets >= 6", "not_sold_out": "sells <= buys * 2"}
-
-
-@query(with_views("ev", sql=_ASOF + f""", g AS (SELECT mint, horizon, concat_ws('|', {', '.join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n}' END" for n, c in _CHECKS.items())}) AS reasons, buys, sells, wallets FROM asof_)
-    SELECT mint, horizon, reasons, CASE WHEN reasons = '' THEN 'CONTINUE' ELSE 'AVOID' END AS decision, CASE WHEN buys IS NULL THEN 'MISSING' WHEN buys <= 0 THEN 'LOW' WHEN buys >= 12 THEN 'HIGH' WHEN buys >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS buy_bin,
-        CASE WHEN sells IS NULL THEN 'MISSING' WHEN sells >= 12 THEN 'UNSAFE' WHEN sells >= 8 THEN 'HIGH' WHEN sells >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS sell_bin,
-        CASE WHEN wallets IS NULL THEN 'not_reached' WHEN buys = 0 THEN 'no_buys' WHEN sells > buys THEN 'sellers_lead' WHEN wallets < 4 THEN 'narrow' ELSE 'none' END AS blocker FROM g"""))
-def p1_p12_gates(spark, sf_dir):
-    from ..functions.math import descriptive_bin, risk_bin
-
-    decision, reasons = L.gate({n: F.expr(c) for n, c in _CHECKS.items()}, "CONTINUE", "AVOID")
-    blocker = L.first_match([("not_reached", F.col("wallets").isNull()), ("no_buys", F.col("buys") == 0), ("sellers_lead", F.col("sells") > F.col("buys")), ("narrow", F.col("wallets") < 4)], "none")
-    return asof(spark, sf_dir).select("mint", "horizon", reasons.alias("reasons"), decision.alias("decision"), descriptive_bin(F.col("buys"), 4, 12).alias("buy_bin"), risk_bin(F.col("sells"), 4, 8, 12).alias("sell_bin"), blocker.alias("blocker"))
-
-
 @query("""WITH d AS (SELECT o_custkey AS mint, max(CASE WHEN o_totalprice > 400000 THEN 3 WHEN o_totalprice > 300000 THEN 2 WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS s FROM orders GROUP BY 1), m AS (SELECT unnest(range(s + 1)) AS i FROM d), c AS (SELECT i, count(*) AS mints FROM m GROUP BY i)
     SELECT ['seen', 'tracked', 'candidate', 'entered'][i + 1] AS stage, mints, mints / lag(mints) OVER (ORDER BY i) AS step_ratio FROM c""")
-def p13_p15_funnel(spark, sf_dir):
+def p13_funnel_stages(spark, sf_dir):
     o = table(spark, sf_dir, "orders").selectExpr("o_custkey as mint", "case when o_totalprice > 400000 then 3 when o_totalprice > 300000 then 2 when o_orderstatus = 'F' then 1 else 0 end as stage")
     return L.funnel(o, ["seen", "tracked", "candidate", "entered"])
 
@@ -275,7 +260,7 @@ def _split(spark, sf_dir):
 
 
 @query(f"WITH {_SPLIT} SELECT mint, split FROM s WHERE split IS NOT NULL")
-def s1_s2_walk_forward(spark, sf_dir):
+def s1_walk_forward(spark, sf_dir):
     return _split(spark, sf_dir)
 
 

@@ -75,23 +75,46 @@ RESULTS: dict[str, str] = {
     "j_asof_last_order": "l_orderkey bigint, l_linenumber int, us bigint, o_custkey bigint, price double",
     "k1_k2_orders": "k bigint, impact double, fill_price double, notional double, filled double, creator_fee double, protocol_fee double, failed_fee double, total_fee double",
     "k3_k4_backtest": "trades bigint, total_pnl double, net_pnl double, fee_drag double, slippage_drag double, hit_rate double",
-    "k5_token_labels": "mint bigint, oracle_pnl double, realistic_pnl double, scalpable boolean, rug boolean, profitable boolean",
     "k5_k7_mark_to_market": "position bigint, mint bigint, tokens double, price double, value double, pnl double",
+    "k5_token_labels": "mint bigint, oracle_pnl double, realistic_pnl double, scalpable boolean, rug boolean, profitable boolean",
     "l1_l4_asof_features": "mint bigint, horizon int, asof_us bigint, reached boolean, buys bigint, sells bigint, volume double, net_flow double, wallets bigint",
     "l5_l7_positive_outcomes": "mint bigint, horizon int, strength string",
     "l6_validation_rows": "mint bigint, horizon int, favourable double, adverse double, time_to_peak int, could_exit boolean",
     "l8_best_label": "mint bigint, strength string, horizons bigint, first_horizon int, last_horizon int, class string",
-    "p13_p15_funnel": "stage string, mints bigint, step_ratio double",
+    "p10_replay_blockers": "k bigint, blocker string, root_cause string, action string",
+    "p11_continue_gap": "k bigint, first_failed_gate string, gap string",
+    "p12_discovery": "mint bigint, horizons_reached string, decision string, top_reasons string, why string, next_data string",
+    "p13_funnel_stages": "stage string, mints bigint, step_ratio double",
+    "p13_token_funnel": "mint bigint, highest string, strategies string, final_decision string, top_blocker string, LiveDisabled bigint, TopHolderDump bigint, NoBuyGap bigint, HighFakeMomentumRisk bigint, DataGapActive bigint, DevSoldEarly bigint, edge double, mfe double, mae double, missing_label boolean, missing_price boolean, missed string, justified boolean, confidence double",
+    "p14_missed_winners": "mint bigint, later_mfe double, later_mae double, opportunity double, executable boolean, gate_blocked string, admits_losers boolean, classification string",
+    "p15_inactive_strategies": "strategy string, evaluated bigint, candidates bigint, near bigint, top_blockers string, threshold_blockers string, signal string",
     "p16_ablation": "blocker string, blocked bigint, recovered_winners bigint, admitted_losers bigint",
     "p17_p18_complete_cohort": "mint bigint, complete_horizons bigint, reached int, status string",
-    "p1_p12_gates": "mint bigint, horizon int, reasons string, decision string, buy_bin string, sell_bin string, blocker string",
+    "p1_early_avoid_bins": "k bigint, decision string, reasons string",
+    "p1_early_avoid_v0": "k bigint, decision string, reasons string, score string",
+    "p1_early_avoid_v1": "k bigint, decision string, reasons string",
+    "p2_continue_bins": "k bigint, decision string, reasons string",
+    "p2_continue_v0": "k bigint, decision string, reasons string",
+    "p2_continue_v1": "k bigint, decision string, reasons string",
+    "p3_eligibility_v0": "k bigint, decision string, reasons string",
+    "p3_eligibility_v1": "k bigint, decision string, reasons string, first_failed_gate string",
+    "p3_eligibility_v2_bins": "k bigint, decision string, reasons string, score string",
+    "p3_eligibility_v2_gates": "k bigint, decision string, reasons string, confidence string",
+    "p4_alpha_bins": "k bigint, trade_delta_bin string, buy_followthrough_bin string, sell_pressure_bin string, holder_growth_bin string, holder_risk_bin string, vault_curve_progress_bin string, liquidity_risk_bin string",
+    "p5_early_burst_v0": "k bigint, decision string, reasons string, confidence string",
+    "p6_promotion_priority": "k bigint, decision string, reasons string, confidence string",
+    "p7_early_burst_in_out_v0": "k bigint, decision string, reasons string, prefilter string, top_blocker string, curve_progress_bin string, buy_sell_followthrough_bin string, volume_followthrough_bin string, holder_growth_bin string, sell_pressure_bin string, holder_dev_risk_bin string, liquidity_risk_bin string",
+    "p8_survivor_runner": "k bigint, decision string, reasons string, prefilter string, top_blocker string, survival_horizon_bin string, holder_growth_bin string, holder_stability_bin string, curve_progress_bin string, sell_pressure_bin string, liquidity_risk_bin string, holder_dev_risk_bin string",
+    "p9_early_burst_in_out_v1": "k bigint, v1_decision string, v1_reasons string, v1_top_blocker string, guard_decision string, guard_reasons string, replay_blocker string",
     "q1_q3_leakage_audit": "check string, key string",
+    "q2_label_audit": "check string, mint bigint",
     "r10_r14_decisions": "mint bigint, momentum double, holder_quality double, fee_adjusted_edge double, overhang double, authenticity double, anti_rug double, eligibility double, reason string, decision string, strategy string, size double",
     "r15_exits": "position bigint, mint bigint, rule string, exit_us bigint, exit_price double",
     "r16_r17_rules": "mint bigint, rule string, outcome string",
     "r1_r7_risks": "mint bigint, rug double, bundle double, dev double, top_holder double, fake_momentum double, data_quality double, overall double, policy string, reasons string, severity string, missing_penalty double",
     "r8_r9_evidence": "mint bigint, available int, unavailable string, total double, classification string",
-    "s1_s2_walk_forward": "mint bigint, split string",
+    "s1_walk_forward": "mint bigint, split string",
+    "s2_two_sided_embargo": "mint bigint, split string",
     "s3_readiness": "positive bigint, negative bigint, mints bigint, completeness double, blockers string, decision string",
     "s4_freeze": "dataset string, rows bigint, content_hash string",
     "t10_threshold_step": "samples bigint, false_rate double, missed_rate double, threshold double",
