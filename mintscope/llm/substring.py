@@ -10,12 +10,13 @@ builds it in parts that can be sorted apart:
    bytes of all its windows, is hashed.
 2. Anchors are dealt out by hash, packed. Where two contexts are equal (anchor and context agree in 48 bits each), the
    later document's is covered whole; within a task of step 1 that is seen before anything is sent. What is left are
-   different contexts that share an anchor.
-3. Their text is fetched from the documents. A window has SIDE bytes or more after its anchor, or more than that before
-   it: windows of the first kind are dealt out by the anchor and the bytes after it, the others by the bytes before it
-   and the anchor. So an anchor that is frequent in changing surroundings is spread over many groups. In a group,
-   windows that occur once are put aside; the others' suffixes are sorted, and the previous and the next suffix from a
-   smaller document give each its longest previous factor (up to MIN), which tells what is covered.
+   different contexts that share an anchor. A window has SIDE bytes or more after its anchor, or more than that before
+   it; so of these a context stays only if it also shares SIDE bytes after its anchor, or that many before it, with
+   another document's (told by a hash of 23 bits beside the anchor's).
+3. The text of what stays is fetched from the documents and dealt out by the anchor and the bytes after it, or the bytes
+   before it and the anchor. So an anchor that is frequent in changing surroundings is spread over many groups. In a
+   group, windows that occur once are put aside; the others' suffixes are sorted, and the previous and the next suffix
+   from a smaller document give each its longest previous factor (up to MIN), which tells what is covered.
 4. The covered spans meet their documents.
 
 The number of groups of steps 2 and 3 grows with the bytes of the input, so that a task's share stays the same.
@@ -124,7 +125,7 @@ def _pieces(keys, texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
         yield np.frombuffer(b"".join(held), np.uint8), *(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
 
 
-_FIELDS = (("anchor", "<u8", 6), ("context", "<u8", 6), ("doc", "<i8", 8), ("start", "<u4", 4), ("size", "<u1", 1), ("off", "<u1", 1))
+_FIELDS = (("anchor", "<u8", 6), ("context", "<u8", 6), ("doc", "<i8", 8), ("start", "<u4", 4), ("size", "<u1", 1), ("off", "<u1", 1), ("after", "<u4", 3), ("before", "<u4", 3))
 
 
 def _squeeze(cols: dict[str, np.ndarray]) -> bytes:
@@ -178,9 +179,14 @@ def _pack_anchors(buckets: int):
                 a, z = np.maximum(p - (MIN - K), low[i]), np.minimum(p + MIN, high[i])
                 ok = z - a >= MIN
                 p, h, i, a, z = p[ok], h[ok], i[ok], a[ok], z[ok]
-                context = _Prefix(buf).of(a, z) + (p - a).astype(np.uint64) * _M
+                prefix = _Prefix(buf)
+                context = prefix.of(a, z) + (p - a).astype(np.uint64) * _M
                 context = context ^ (context >> np.uint64(31))
-                held.append({"anchor": h, "context": context, "doc": doc[i], "start": a - low[i] + offset[i], "size": z - a, "off": p - a})
+                # what stands beside the anchor, 0 where no window reaches that far
+                last, first = np.minimum(p + K + SIDE, z), np.maximum(p - (MIN - K - SIDE) - 1, a)
+                after = np.where(last - p == K + SIDE, ((prefix.of(p + K, last) * _M) >> np.uint64(40)) | np.uint64(1), 0)
+                before = np.where(p - first > MIN - K - SIDE, ((prefix.of(first, p) * _M) >> np.uint64(40)) | np.uint64(1), 0)
+                held.append({"anchor": h, "context": context, "doc": doc[i], "start": a - low[i] + offset[i], "size": z - a, "off": p - a, "after": after, "before": before})
                 if sum(len(x["doc"]) for x in held) >= PACK:
                     yield _flush(held, buckets)
                     held = []
@@ -197,6 +203,7 @@ def _flush(held: list[dict], buckets: int) -> pd.DataFrame:
     known[order] = _later(order, first_c, t["doc"])
     to = ((t["anchor"] >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
     to[known] = t["doc"][known] % buckets  # these need no comparing, so they don't crowd their anchor's bucket
+    t["after"], t["before"] = np.where(known, 0, t["after"]), np.where(known, 0, t["before"])
     out = []
     for flag in (False, True):
         rows = np.flatnonzero(known == flag)
@@ -209,40 +216,51 @@ def _flush(held: list[dict], buckets: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "known", "blob"])
 
 
+def _met(anchor: np.ndarray, side: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another document has the same anchor and the same bytes on this side of it."""
+    order = np.lexsort((doc, side, anchor))
+    a, s, d = anchor[order], side[order], doc[order]
+    heads = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])]))
+    ends = np.append(heads[1:], len(d)) - 1
+    out = np.zeros(len(d), bool)
+    out[order] = np.repeat(d[ends] > d[heads], ends - heads + 1)
+    return out & (side > 0)
+
+
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's anchors: contexts that are covered, and (compare) those whose text must be compared; span is start, anchor's place and length."""
-    doc, span, compare = [], [], []
+    """Of a bucket's anchors: contexts that are covered (sides 0), and those whose text must be compared: 1 after the anchor, 2 before, 3 both.
+
+    span is start, anchor's place and length.
+    """
+    doc, span, sides = [], [], []
 
-    def give(t: dict[str, np.ndarray], rows, flag: bool) -> None:
+    def give(t: dict[str, np.ndarray], rows, which) -> None:
         doc.append(t["doc"][rows])
         span.append((t["start"][rows].astype(np.int64) << 16) | (t["off"][rows].astype(np.int64) << 8) | t["size"][rows])
-        compare.append(np.full(len(doc[-1]), flag))
+        sides.append(np.broadcast_to(which, len(doc[-1])))
 
     for flag, own in pdf.groupby("known"):
         t = _gather(own["blob"])
         if flag:
-            give(t, slice(None), False)
+            give(t, slice(None), 0)
             continue
-        order, first_a, first_c = _by_context(t)
+        order, _, first_c = _by_context(t)
         later = _later(order, first_c, t["doc"])
-        g = np.cumsum(first_a) - 1
-        heads = np.flatnonzero(first_a)
-        d = t["doc"][order]
-        contexts = np.add.reduceat(first_c.astype(np.int64), heads)[g]
-        shared = (np.maximum.reduceat(d, heads) > np.minimum.reduceat(d, heads))[g]
-        give(t, order[later], False)
-        give(t, order[~later & (contexts > 1) & shared], True)
-    return pd.DataFrame({"d": np.concatenate(doc), "span": np.concatenate(span), "compare": np.concatenate(compare)})
-
-
-def _sides(b: bytes, start: int, off: int, size: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(start, bytes, what they are dealt out by) of the windows of a context that reach SIDE bytes after its anchor, and of the others."""
+        give(t, order[later], 0)
+        rows = order[~later]
+        which = _met(t["anchor"][rows], t["after"][rows], t["doc"][rows]) + 2 * _met(t["anchor"][rows], t["before"][rows], t["doc"][rows])
+        give(t, rows[which > 0], which[which > 0])
+    return pd.DataFrame({"d": np.concatenate(doc), "span": np.concatenate(span), "sides": np.concatenate(sides).astype(np.int32)})
+
+
+def _sides(b: bytes, start: int, off: int, size: int, sides: int = 3) -> Iterator[tuple[int, bytes, bytes]]:
+    """(start, bytes, what they are dealt out by) of the windows of a context that reach SIDE bytes after its anchor (1), and of the others (2)."""
     p, end = start + off, start + size
     low = max(start, p - (MIN - K - SIDE))
-    if end - low >= MIN:
+    if sides & 1 and end - low >= MIN:
         yield low, b[low:end], b[p : p + K + SIDE]
     high = min(end, p + K + SIDE - 1)
-    if high - start >= MIN:
+    if sides & 2 and high - start >= MIN:
         yield start, b[start:high], b[p - (MIN - K - SIDE + 1) : p + K]
 
 
@@ -253,7 +271,7 @@ def _fetch(buckets: int):
             for d, x, spans in zip(pdf["d"], pdf["x"], pdf["spans"], strict=True):
                 b = x.encode("utf-8", "surrogatepass")
                 for span in spans.tolist():
-                    for start, text, key in _sides(b, span >> 16, span >> 8 & 255, span & 255):
+                    for start, text, key in _sides(b, span >> 24, span >> 16 & 255, span >> 8 & 255, span & 255):
                         docs.append(d)
                         starts.append(start)
                         texts.append(text)
@@ -387,12 +405,12 @@ def covered(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("x")).alias("n")).first()["n"] or 0
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET))
     packed = docs.mapInPandas(_pack_anchors(buckets), "bucket int, known boolean, blob binary")
-    settled = cut(packed.groupBy("bucket").applyInPandas(_settle, "d long, span long, compare boolean"), "anchors")
-    asked = settled.where("compare").groupBy("d").agg(F.collect_list("span").alias("spans"))
+    settled = cut(packed.groupBy("bucket").applyInPandas(_settle, "d long, span long, sides int"), "anchors")
+    asked = settled.where("sides > 0").groupBy("d").agg(F.collect_list(F.shiftleft("span", 8).bitwiseOR(F.col("sides").cast("long"))).alias("spans"))
     fetched = docs.join(asked, "d").select("d", "x", "spans")
     compared = fetched.mapInPandas(_fetch(buckets), "bucket int, n int, blob binary").groupBy("bucket").applyInPandas(_compare, "d long, span long")
     whole = F.shiftleft(F.shiftright("span", 16), 8).bitwiseOR(F.col("span").bitwiseAND(F.lit(255)))
-    return settled.where("not compare").select("d", whole.alias("span")).union(compared)
+    return settled.where("sides = 0").select("d", whole.alias("span")).union(compared)
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
