@@ -94,18 +94,20 @@ def rates(docs: DataFrame, targets: list[float], steps: int = STEPS, posterior:
 
     Minimises sum over domains of (expected tokens - target)^2 / total^2 over rates >= 0 by projected gradient from rate
     1. A step moves a rate along its own posterior only, so that long and short documents of a kind get equal rates.
-    Every step sums one total a domain over all rows; a row replays the steps' gradients from their list, so no table of
-    rates is kept between them. Null or non-positive tokens count as 0.
+    A rate depends on the posterior alone, so rows are first summed up by equal posterior; every step sums one total a
+    domain over those. A row replays the steps' gradients from their list, so no table of rates is kept between them.
+    Null or non-positive tokens count as 0.
     """
     k = len(targets)
     t = F.greatest(F.coalesce(F.col(tokens).cast("double"), F.lit(0.0)), F.lit(0.0))
     p = F.col(posterior)
-    total = float(docs.agg(F.sum(t).alias("n")).first()["n"] or 0)
+    alike = cut(docs.groupBy(p.alias("p")).agg(F.sum(t).alias("t")), "posteriors")
+    total = float(alike.agg(F.sum("t").alias("n")).first()["n"] or 0)
     if not total:
         return docs.withColumn(out, F.lit(1.0))
     gradients: list[list[float]] = []
 
-    def replay():
+    def replay(p):
         path = F.array(*[F.array(*[F.lit(v) for v in g]) for g in gradients]).cast("array<array<double>>")
         move = lambda g: sum((p[i] * g[i] for i in range(1, k)), p[0] * g[0])
         return F.aggregate(path, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - move(g)))
@@ -114,7 +116,7 @@ def rates(docs: DataFrame, targets: list[float], steps: int = STEPS, posterior:
     r, weight = F.col("r"), F.when(F.col("r") > 0, F.col("t")).otherwise(F.lit(0.0))
     sums = [F.sum(r * F.col("t") * F.col("p")[i]).alias(f"e{i}") for i in range(k)] + [F.sum(weight * F.col("p")[i] * F.col("p")[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)]
     for _ in range(steps):
-        now = docs.select(replay().alias("r"), t.alias("t"), p.alias("p")).agg(*sums).first()
+        now = alike.select(replay(F.col("p")).alias("r"), "t", "p").agg(*sums).first()
         miss = np.array([now[f"e{i}"] - targets[i] for i in range(k)]) / total
         loss = float(miss @ miss)
         if tried and loss > best:  # too far: half the step
@@ -130,7 +132,7 @@ def rates(docs: DataFrame, targets: list[float], steps: int = STEPS, posterior:
         gradients.append([float(v) for v in metric @ miss])
     if tried:
         gradients.pop()  # the last step was never looked at
-    return docs.withColumn(out, replay())
+    return docs.withColumn(out, replay(p))
 
 
 def mix(df: DataFrame, labels: DataFrame, shares: dict[str, float], key: str = "doc_id", text: str = "text", domain: str = "domain", steps: int = STEPS, **how) -> tuple[DataFrame, list[str]]:
