@@ -48,8 +48,9 @@ def reconcile(tentative: DataFrame, canonical: DataFrame, ttl_us: int) -> DataFr
 
 
 def first_resolution(pending: DataFrame, events: DataFrame, keys: list[str], ttl_us: int, priority) -> DataFrame:
-    """Each pending row (id, keys, us) with the first event of its keys in (us, us + ttl]; at one time the smallest priority; expired if none."""
-    x = pending.join(events.select(*keys, F.col("us").alias("e_us"), priority.alias("p"), "kind"), keys).where(f"e_us > us and e_us <= us + {ttl_us}")
+    """Each pending row (id, keys, us) with the first event of its keys in (us, us + ttl]; at one time the smallest priority; expired if none. Buckets of ttl bound what meets."""
+    near = pending.withColumn("b", F.explode(F.expr(f"array(us div {ttl_us}, us div {ttl_us} + 1)")))
+    x = near.join(events.select(*keys, F.col("us").alias("e_us"), priority.alias("p"), "kind").withColumn("b", F.expr(f"e_us div {ttl_us}")), [*keys, "b"]).where(f"e_us > us and e_us <= us + {ttl_us}")
     best = x.groupBy("id").agg(F.min(F.struct("e_us", "p", "kind")).alias("m"))
     return pending.join(best, "id", "left").select("id", *keys, "us", F.coalesce("m.kind", F.lit("expired")).alias("resolution"), (F.col("m.e_us") - F.col("us")).alias("latency_us"))
 

@@ -34,8 +34,13 @@ def window_returns(trades: DataFrame, seconds: list[int]) -> DataFrame:
 
 
 def mean_absolute_return(trades: DataFrame, anchors: DataFrame, seconds: int) -> DataFrame:
-    """(mint, at, volatility): mean absolute return of neighbouring prices in the window before each anchor (mint, at); NULL below two prices."""
-    inside = trades.join(anchors, "mint").where((F.col("us") >= F.col("at") - seconds * SECOND) & (F.col("us") <= F.col("at")))
+    """(mint, at, volatility): mean absolute return of neighbouring prices in the window before each anchor (mint, at); NULL below two prices.
+
+    Buckets of the window's width bound what an anchor meets.
+    """
+    width = seconds * SECOND
+    near = anchors.withColumn("b", F.explode(F.expr(f"array(at div {width} - 1, at div {width})")))
+    inside = trades.withColumn("b", F.expr(f"us div {width}")).join(near, ["mint", "b"]).where((F.col("us") >= F.col("at") - width) & (F.col("us") <= F.col("at")))
     before = F.lag("price").over(Window.partitionBy("mint", "at").orderBy(*ORDER))
     moves = inside.withColumn("before", before).where("before > 0")
     found = moves.groupBy("mint", "at").agg(F.avg(F.abs(F.col("price") / F.col("before") - 1)).alias("volatility"))
@@ -59,14 +64,25 @@ def price_path(trades: DataFrame) -> DataFrame:
 
 
 def window_flow(trades: DataFrame, seconds: int) -> DataFrame:
-    """Each trade with buy volume, net flow and distinct buyers of the look-back window."""
-    frame = Window.partitionBy("mint").orderBy("us").rangeBetween(-seconds * SECOND, 0)
+    """Each trade with buy volume, net flow and distinct buyers of the look-back window.
+
+    A wallet counts from a buy until the window has passed its last one: +1 where it comes in, -1 just after it is out,
+    and their running sum is the number of buyers; no set of wallets is held for a row.
+    """
+    width = seconds * SECOND
+    frame = Window.partitionBy("mint").orderBy("us").rangeBetween(-width, 0)
     buy = F.col("side") == "buy"
-    return trades.withColumns({
+    own = Window.partitionBy("mint", "wallet").orderBy(*ORDER)
+    buys = trades.where(buy).select("mint", "us", (F.coalesce(F.lag("us").over(own) < F.col("us") - width, F.lit(True))).alias("comes"), (F.coalesce(F.lead("us").over(own) > F.col("us") + width, F.lit(True))).alias("goes"))
+    turns = buys.select("mint", F.explode(F.array_compact(F.array(F.when(F.col("comes"), F.struct("us", F.lit(1).alias("d"))), F.when(F.col("goes"), F.struct((F.col("us") + width + 1).alias("us"), F.lit(-1).alias("d")))))).alias("t")).select("mint", "t.us", "t.d")
+    x = trades.withColumns({
         "buy_volume": F.coalesce(F.sum(F.when(buy, F.col("quote"))).over(frame), F.lit(0.0)),
         "net_flow": F.sum(F.when(buy, F.col("quote")).otherwise(-F.col("quote"))).over(frame),
-        "buyers": F.size(F.collect_set(F.when(buy, F.col("wallet"))).over(frame)),
     })
+    x = x.unionByName(turns, allowMissingColumns=True)
+    upto = Window.partitionBy("mint").orderBy("us").rangeBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("buyers", F.coalesce(F.sum("d").over(upto), F.lit(0)).cast("int"))
+    return x.where("d is null").drop("d")
 
 
 def first_trades(trades: DataFrame, n: int) -> DataFrame:
@@ -141,26 +157,53 @@ def trailing_mean(trades: DataFrame, n: int = 12) -> DataFrame:
     return trades.withColumn("trailing_mean", F.avg("price").over(_w("mint").rowsBetween(-(n - 1), 0)))
 
 
-def lifecycle(trades: DataFrame, hot: int = 4, warm: int = 2, buyers: int = 3) -> DataFrame:
-    """State of each mint after each trade by running counts, and where it changes: new, warm, active, and for good dead once the price has halved from its high."""
+#: States that end a lifecycle, or hold it until it is looked at again: activity changes them no more.
+HELD = ["DataGap", "SoftDiscarded", "HardDiscarded", "RugArchive", "Migrated", "Completed"]
+#: Seconds without an event after which a token in a state expires.
+TTL = {"Discovered": 900, "FirstPass": 1800, "ActiveLight": 1800, "ActiveDeep": 7200, "SoftDiscarded": 259_200, "HardDiscarded": 259_200, "RugArchive": 604_800, "Migrated": 259_200, "Completed": 259_200, "DataGap": 259_200}
+
+
+def target_state(trades: Column, holders: Column, buyers: Column) -> Column:
+    """The state that activity asks for: by trades so far, holders with a balance, distinct buyers so far."""
+    return F.when((trades >= 4) | (holders >= 4) | (buyers >= 3), "ActiveDeep").when((trades >= 2) | (holders >= 2), "ActiveLight").when(trades >= 1, "FirstPass").otherwise("Discovered")
+
+
+def lifecycle_states(trades: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Every trade, and every mark (mint, us, seq, mark), with n, holders, buyers so far and the mint's state.
+
+    A mark names one of HELD; the first holds from then on. Counts are running sums: a wallet's first buy, and its
+    balance's turns to and from zero, count once each.
+    """
+    own = Window.partitionBy("mint", "wallet").orderBy(*ORDER)
+    buy = F.col("side") == "buy"
+    signed = F.when(buy, F.col("tokens")).otherwise(-F.col("tokens"))
+    after = F.sum(signed).over(own.rowsBetween(Window.unboundedPreceding, 0))
+    x = trades.withColumns({"after": after, "first": buy & (F.coalesce(F.sum(buy.cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 0)})
+    x = x.withColumn("turn", (F.col("after") > 0).cast("int") - (F.col("after") - signed > 0).cast("int"))
+    x = x.select("mint", "us", "seq", F.lit(1).alias("one"), "turn", F.col("first").cast("int").alias("first"), F.lit(None).cast("string").alias("mark"))
+    if marks is not None:
+        x = x.union(marks.select("mint", "us", "seq", F.lit(0), F.lit(0), F.lit(0), "mark"))
     upto = _w("mint").rowsBetween(Window.unboundedPreceding, 0)
-    x = trades.withColumns({
-        "n": F.row_number().over(_w("mint")),
-        "b": F.size(F.collect_set(F.when(F.col("side") == "buy", F.col("wallet"))).over(upto)),
-        "run": F.max("price").over(upto),
-    })
-    x = x.withColumn("dead", F.max((F.col("price") <= F.col("run") * 0.5).cast("int")).over(upto))
-    state = F.when(F.col("dead") == 1, "dead").when((F.col("n") >= hot) & (F.col("b") >= buyers), "active").when(F.col("n") >= warm, "warm").otherwise("new")
-    x = x.withColumn("state", state)
-    was = F.lag("state").over(_w("mint"))
-    return x.withColumn("was", was).where("was is null or was <> state").select("mint", "us", "seq", "was", "state", "n", "b")
+    x = x.withColumns({"n": F.sum("one").over(upto), "holders": F.sum("turn").over(upto), "buyers": F.sum("first").over(upto), "held": F.first("mark", ignorenulls=True).over(upto)})
+    return x.select("mint", "us", "seq", "n", "holders", "buyers", F.coalesce("held", target_state(F.col("n"), F.col("holders"), F.col("buyers"))).alias("state"))
+
+
+def ttl_seconds(state: Column) -> Column:
+    return F.create_map(*[F.lit(v) for kv in TTL.items() for v in kv])[state].cast("long")
+
+
+def lifecycle(trades: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Where a mint's state changes (from Discovered at first), and when it would expire."""
+    x = lifecycle_states(trades, marks)
+    x = x.withColumn("was", F.coalesce(F.lag("state").over(_w("mint")), F.lit("Discovered"))).where("was <> state")
+    return x.select("mint", "us", "seq", "was", "state", "n", "holders", "buyers", (F.col("us") + ttl_seconds(F.col("state")) * SECOND).alias("expires_us"))
 
 
-def expiries(trades: DataFrame, ttl: Column) -> DataFrame:
-    """Trades after which a mint expires: none follows within ttl (seconds, by row), or none at all."""
+def expiries(rows: DataFrame, ttl: Column, *more: str) -> DataFrame:
+    """Rows (mint, us, seq) after which a mint expires: none follows within ttl (seconds, by row), or none at all."""
     nxt = F.lead("us").over(_w("mint"))
-    x = trades.withColumns({"next_us": nxt, "expires_us": F.col("us") + ttl * SECOND})
-    return x.where("next_us is null or next_us > expires_us").select("mint", "us", "seq", "expires_us", "next_us")
+    x = rows.withColumns({"next_us": nxt, "expires_us": F.col("us") + ttl * SECOND})
+    return x.where("next_us is null or next_us > expires_us").select("mint", "us", "seq", *more, "expires_us", "next_us")
 
 
 def horizon_peaks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -46,12 +46,20 @@ def orders(x: DataFrame, fee: dict = FEES) -> DataFrame:
     return x.withColumns({"filled": got, **fees(F.col("notional"), F.col("failed"), fee)})
 
 
+def trip(size: Column, entry: Column, exit_: Column, depth: Column, fee: dict = FEES) -> dict[str, Column]:
+    """Columns of a round trip, buy at entry and sell all at exit: tokens, proceeds, fees, impacts of both orders, gross and net profit."""
+    bought, buy_impact = fill_price(F.lit("buy"), entry, size, depth, fee)
+    tokens = size / bought
+    sold, sell_impact = fill_price(F.lit("sell"), exit_, tokens * exit_, depth, fee)
+    proceeds = tokens * sold
+    total = fees(size, False, fee)["total_fee"] + fees(proceeds, False, fee)["total_fee"]
+    return {"tokens": tokens, "proceeds": proceeds, "fees": total, "buy_impact": buy_impact, "sell_impact": sell_impact, "gross_pnl": proceeds - size, "net_pnl": proceeds - size - total}
+
+
 def round_trips(x: DataFrame, fee: dict = FEES) -> DataFrame:
     """Adds gross and net profit to intents (size, entry_price, exit_price, depth): buy at entry, sell all at exit."""
-    bought, _ = fill_price(F.lit("buy"), F.col("entry_price"), F.col("size"), F.col("depth"), fee)
-    x = x.withColumn("tokens", F.col("size") / bought)
-    sold, _ = fill_price(F.lit("sell"), F.col("exit_price"), F.col("tokens") * F.col("exit_price"), F.col("depth"), fee)
-    x = x.withColumn("proceeds", F.col("tokens") * sold)
+    t = trip(F.col("size"), F.col("entry_price"), F.col("exit_price"), F.col("depth"), fee)
+    x = x.withColumn("tokens", t["tokens"]).withColumn("proceeds", t["proceeds"])
     total = fees(F.col("size"), False, fee)["total_fee"] + fees(F.col("proceeds"), False, fee)["total_fee"]
     gross = F.col("proceeds") - F.col("size")
     slip = (F.col("size") + F.col("proceeds")) * (fee["slippage_bps"] / 10_000)
@@ -75,12 +83,25 @@ def exits(positions: DataFrame, marks: DataFrame, take: float = 0.5, stop: float
     from pyspark.sql.window import Window
 
     m = marks.select("mint", F.col("us").alias("m_us"), F.col("seq").alias("m_seq"), F.col("price").alias("m_price"))
-    x = positions.join(m, "mint").where("m_us > us")
+
+    def rule(best):
+        return F.when(F.col("m_price") >= F.col("price") * (1 + take), "take_profit").when(F.col("m_price") <= F.col("price") * (1 - stop), "stop_loss").when(F.col("m_price") <= best * (1 - trail), "trailing_stop").when(F.col("m_us") - F.col("us") >= hold_us, "max_hold")
+
+    # marks within the holding time, by buckets of it
+    near = positions.withColumn("b", F.explode(F.expr(f"array(us div {hold_us}, us div {hold_us} + 1)")))
+    x = near.join(m.withColumn("b", F.expr(f"m_us div {hold_us}")), ["mint", "b"]).where(f"m_us > us and m_us < us + {hold_us}")
     best = F.max("m_price").over(Window.partitionBy("position").orderBy("m_us", "m_seq").rowsBetween(Window.unboundedPreceding, 0))
-    x = x.withColumn("best", best)
-    rule = F.when(F.col("m_price") >= F.col("price") * (1 + take), "take_profit").when(F.col("m_price") <= F.col("price") * (1 - stop), "stop_loss").when(F.col("m_price") <= F.col("best") * (1 - trail), "trailing_stop").when(F.col("m_us") - F.col("us") >= hold_us, "max_hold")
-    hit = x.withColumn("rule", rule).where("rule is not null").groupBy("position").agg(F.min_by(F.struct("rule", "m_us", "m_price"), F.struct("m_us", "m_seq")).alias("h"))
-    return positions.join(hit, "position", "left").select("position", "mint", F.coalesce("h.rule", F.lit("open")).alias("rule"), F.col("h.m_us").alias("exit_us"), F.col("h.m_price").alias("exit_price"))
+    x = x.withColumn("rule", rule(best))
+    hit = x.groupBy("position").agg(F.min_by(F.when(F.col("rule").isNotNull(), F.struct("rule", "m_us", "m_price")), F.when(F.col("rule").isNotNull(), F.struct("m_us", "m_seq"))).alias("h"), F.max("m_price").alias("top"))
+    # the first mark at or after its end, at which the longest holding time fires at last: a union and one window
+    ends = positions.select("mint", (F.col("us") + hold_us).alias("t"), F.lit(0).alias("kind"), "position", F.lit(None).cast(m.schema["m_seq"].dataType).alias("m_seq"), F.lit(None).cast("double").alias("m_price"))
+    both = ends.union(m.select("mint", "m_us", F.lit(1), F.lit(None).cast(positions.schema["position"].dataType), "m_seq", "m_price"))
+    after = Window.partitionBy("mint").orderBy("t", "kind", "m_seq").rowsBetween(0, Window.unboundedFollowing)
+    late = both.withColumn("next", F.first(F.when(F.col("kind") == 1, F.struct(F.col("t").alias("m_us"), "m_price")), ignorenulls=True).over(after)).where("kind = 0").select("position", "next.*")
+    y = positions.join(hit, "position", "left").join(late, "position", "left")
+    last = F.when(F.col("m_us").isNotNull(), F.struct(rule(F.greatest(F.coalesce("top", "m_price"), "m_price")).alias("rule"), "m_us", "m_price"))
+    y = y.withColumn("h", F.coalesce("h", last))
+    return y.select("position", "mint", F.coalesce("h.rule", F.lit("open")).alias("rule"), F.col("h.m_us").alias("exit_us"), F.col("h.m_price").alias("exit_price"))
 
 
 def token_labels(trades: DataFrame, size: float, depth: float, horizon_s: int, fee: dict = FEES) -> DataFrame:

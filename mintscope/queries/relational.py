@@ -168,11 +168,11 @@ def b23_without_reverted(spark, sf_dir):
     return Q.without_reverted(e, r).select("event_id")
 
 
-@query(f"""WITH {_E}, s AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'finalized' WHEN 'click' THEN 'confirmed' WHEN 'view' THEN 'processed' ELSE 'tentative' END AS status FROM e WHERE k % 50 = 3),
+@query(f"""WITH {_E}, s AS (SELECT user_id, CASE event_type WHEN 'purchase' THEN 'finalized' WHEN 'click' THEN 'confirmed' WHEN 'view' THEN 'processed' ELSE 'tentative' END AS status FROM e),
     r AS (SELECT *, CASE status WHEN 'finalized' THEN 3 WHEN 'confirmed' THEN 2 WHEN 'processed' THEN 1 ELSE 0 END AS rank FROM s)
     SELECT user_id, arg_max(status, rank) AS status, max(rank) = 0 AS tentative_only FROM r GROUP BY user_id""")
 def b24_corrected(spark, sf_dir):
-    e = events(spark, sf_dir).where("k % 50 = 3").withColumn("status", F.expr("case event_type when 'purchase' then 'finalized' when 'click' then 'confirmed' when 'view' then 'processed' else 'tentative' end"))
+    e = events(spark, sf_dir).withColumn("status", F.expr("case event_type when 'purchase' then 'finalized' when 'click' then 'confirmed' when 'view' then 'processed' else 'tentative' end"))
     return Q.corrected(e, "user_id")
 
 
@@ -199,9 +199,9 @@ def b27_b28_b29_trade_amounts(spark, sf_dir):
     return e.select("event_id", tokens.alias("tokens"), quote.alias("quote"), Q.priority_fee(F.col("k"), F.col("event_id")).alias("fee_observed"), Q.priority_fee(F.col("k"), F.col("event_id"), True).alias("fee_modelled"), first.alias("first_buy"))
 
 
-@query(f"WITH {_E}, r AS (SELECT user_id, event_type AS source, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS p FROM e WHERE k % 40 = 1) SELECT user_id, arg_min(source, (p, source)) AS source, count(*) AS reports FROM r GROUP BY user_id")
+@query(f"WITH {_E}, r AS (SELECT user_id, event_type AS source, CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END AS p FROM e) SELECT user_id, arg_min(source, (p, source)) AS source, count(*) AS reports FROM r GROUP BY user_id")
 def z8_preferred_source(spark, sf_dir):
-    return Q.preferred_source(events(spark, sf_dir).where("k % 40 = 1").withColumnRenamed("event_type", "source"), ["user_id"], {"purchase": 0, "click": 1})
+    return Q.preferred_source(events(spark, sf_dir).withColumnRenamed("event_type", "source"), ["user_id"], {"purchase": 0, "click": 1})
 
 
 @query(with_views("ev", sql="""o AS (SELECT o_custkey, epoch_us(o_orderdate) AS us, max(o_totalprice) AS price FROM orders GROUP BY 1, 2),
@@ -222,11 +222,11 @@ def j1_j4_j10_left_joins(spark, sf_dir):
     return li.join(o, "l_orderkey", "left").join(s, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "l_suppkey", "shape", F.col("there").isNotNull().alias("known"))
 
 
-@query(with_views("ev", sql="""t AS (SELECT wallet AS key, min(us) AS a FROM ev WHERE side = 'buy' GROUP BY 1), c AS (SELECT wallet AS key, min(us) AS b FROM ev WHERE side = 'sell' AND mint % 3 = 0 GROUP BY 1)
+@query(with_views("ev", sql="""t AS (SELECT wallet AS key, min(us) AS a FROM ev WHERE side = 'buy' GROUP BY 1), c AS (SELECT wallet AS key, min(us) AS b FROM ev WHERE side = 'sell' GROUP BY 1)
     SELECT key, CASE WHEN a IS NULL THEN 'canonical_only' WHEN b IS NULL THEN 'false_positive' WHEN b - a <= 86400000000 THEN 'matched' ELSE 'missing_later' END AS outcome, b - a AS lag_us FROM t FULL JOIN c USING (key)"""))
 def j5_t8_reconcile(spark, sf_dir):
     t = ev_trades(spark, sf_dir).withColumn("key", F.col("wallet"))
-    return J.reconcile(t.where("side = 'buy'").select("key", "us"), t.where("side = 'sell' and mint % 3 = 0").select("key", "us"), 86_400_000_000)
+    return J.reconcile(t.where("side = 'buy'").select("key", "us"), t.where("side = 'sell'").select("key", "us"), 86_400_000_000)
 
 
 @query(with_views("ev", sql="""x AS (
@@ -261,11 +261,11 @@ def j14_f12_rotation(spark, sf_dir):
     return J.rotation(ev_trades(spark, sf_dir))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS position, o_custkey, epoch_us(o_orderdate) AS us, o_totalprice AS quote FROM orders WHERE o_orderkey % 7 <> 0),
+@query("""WITH o AS (SELECT o_orderkey AS position, o_custkey, epoch_us(o_orderdate) AS us, o_totalprice AS quote FROM orders WHERE o_orderstatus <> 'P'),
     l AS (SELECT l_orderkey AS position, max(epoch_us(l_shipdate)) AS exit_us, sum(l_extendedprice) AS exit_quote FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
     SELECT position, us AS entry_us, exit_us, quote AS entry_quote, exit_quote, exit_quote - quote AS pnl, CASE WHEN us IS NULL THEN 'orphan_exit' WHEN exit_us IS NULL THEN 'open' ELSE 'closed' END AS status FROM o FULL JOIN l USING (position)""")
 def j11_k6_pair_fills(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("position"), F.lit("buy").alias("side"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"), F.col("o_totalprice").alias("quote"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("position"), F.lit("buy").alias("side"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"), F.col("o_totalprice").alias("quote"))
     x = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("position"), F.lit("sell").alias("side"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"), F.col("l_extendedprice").alias("quote"))
     return J.pair_fills(o.union(x))
 
@@ -278,14 +278,14 @@ def j12_fallback(spark, sf_dir):
     return J.fallback(o.select("o_custkey", "o_orderpriority").distinct(), o.where("o_orderstatus = 'F'"), ["o_custkey", "o_orderpriority"], ["o_custkey"], "o_orderkey", ["o_orderkey"])
 
 
-@query("""WITH a AS (SELECT c_custkey AS k, 0 AS i, nullif(c_mktsegment, 'BUILDING') AS name, c_acctbal < 0 AS flag FROM customer WHERE c_custkey % 3 = 0),
-    b AS (SELECT s_suppkey, 1, s_name, s_acctbal < 0 FROM supplier), c AS (SELECT p_partkey, 2, p_name, NULL::BOOLEAN FROM part WHERE p_partkey < 400),
+@query("""WITH a AS (SELECT c_custkey AS k, 0 AS i, nullif(c_mktsegment, 'BUILDING') AS name, c_acctbal < 0 AS flag FROM customer),
+    b AS (SELECT s_suppkey, 1, s_name, s_acctbal < 0 FROM supplier), c AS (SELECT p_partkey, 2, p_name, NULL::BOOLEAN FROM part),
     u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
     SELECT k, arg_min(name, i) FILTER (name IS NOT NULL) AS name, coalesce(bool_or(flag), false) AS flag, string_agg(DISTINCT i::VARCHAR, ',' ORDER BY i::VARCHAR) AS sources FROM u GROUP BY k""")
 def j13_j16_merge_sources(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey as k", "nullif(c_mktsegment, 'BUILDING') as name", "c_acctbal < 0 as flag")
+    a = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", "nullif(c_mktsegment, 'BUILDING') as name", "c_acctbal < 0 as flag")
     b = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k", "s_name as name", "s_acctbal < 0 as flag")
-    c = table(spark, sf_dir, "part").where("p_partkey < 400").selectExpr("p_partkey as k", "p_name as name")
+    c = table(spark, sf_dir, "part").selectExpr("p_partkey as k", "p_name as name")
     return J.merge_sources([a, b, c], ["k"], ["name"], ["flag"])
 
 

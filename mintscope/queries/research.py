@@ -17,9 +17,12 @@ _NAMES = sorted({
     "developer_in_cluster", "tentative_sell_from_dev_count", "profit_overhang_score", "free_roll_dump_risk_score", "top_holders_same_funder_pct", "top_holders_same_client_fingerprint_pct", "price_up_top_holders_selling", "top1_holder_pct", "tentative_sell_from_top_holder_count", "vertical_move_without_holder_growth", "vertical_move_without_unique_buyers",
     "price_up_no_retail_breadth", "price_up_bundle_selling", "price_up_dev_selling", "price_up_only_one_or_two_large_buys", "price_up_buy_size_concentration_high", "exit_liquidity_trap_score", "momentum_authenticity_score", "absorption_success_score", "holder_stickiness_score", "critical_feature_missing_count", "source_disagreement_flag",
     "shred_signal_stale_flag", "trade_allowed_data_quality_flag", "no_buys_for_x_seconds", "one_wallet_controls_market_flag", "return_pct_30s", "organic_flow_score", "token_relative_strength_score", "sustained_holder_growth_score", "holder_balance_hhi", "organic_survival_score", "quote_asset_specific_depth_score", "latency_adjusted_trade_eligibility",
-    "smart_capital_rotation_score", "fee_adjusted_edge",
+    "smart_capital_rotation_score", "fee_war_score", "rug_confidence", "bundle_confidence",
 })
-_RARE = {"price_drop_70pct_from_launch_within_5m", "source_disagreement_flag", "shred_signal_stale_flag", "dev_sold_flag", "shred_emergency_exit_triggered_flag", "one_wallet_controls_market_flag", "price_up_top_holders_selling", "no_buys_for_x_seconds"}
+_RARE = {
+    "price_drop_70pct_from_launch_within_5m", "source_disagreement_flag", "shred_signal_stale_flag", "dev_sold_flag", "shred_emergency_exit_triggered_flag", "one_wallet_controls_market_flag", "price_up_top_holders_selling", "no_buys_for_x_seconds", "vertical_move_without_holder_growth", "vertical_move_without_unique_buyers",
+    "price_up_no_retail_breadth", "price_up_bundle_selling", "price_up_dev_selling", "price_up_only_one_or_two_large_buys", "price_up_buy_size_concentration_high", "creator_is_top1_holder", "creator_reuses_same_payer", "creator_launching_spam_wave_flag", "developer_in_cluster",
+}
 
 
 def _cell(i: int, name: str) -> str:
@@ -28,15 +31,27 @@ def _cell(i: int, name: str) -> str:
     if name in _RARE:
         v = f"(CASE WHEN {x} < 6 THEN 1.0 ELSE 0.0 END)"
     elif name.endswith("_count") or name.endswith("_level"):
-        v = f"(({x} % 5) * 1.0)"
+        v = f"(CASE WHEN {x} < 60 THEN 0.0 ELSE {x} % 5 END)"
     elif name == "dev_sold_pct" or name == "drawdown_from_ath_pct":
-        v = f"(CASE WHEN {x} < 60 THEN 0.0 ELSE {x} / 100.0 END)"
+        v = f"(CASE WHEN {x} < 80 THEN 0.0 ELSE {x} / 100.0 END)"
+    elif name in ("data_quality_score", "trade_allowed_data_quality_flag"):
+        v = f"(CASE WHEN {x} < 70 THEN 1.0 - {x} / 400.0 ELSE 0.0 END)"
+    elif name.startswith("rug_") or name.startswith("bundle_") or name in ("top1_holder_pct", "concentration_risk_score"):
+        v = f"(CAST({x} AS DOUBLE) / 180)"
     else:
         v = f"({x} / 100.0)"
     return f"CASE WHEN {x} % 17 = 5 THEN NULL ELSE CAST({v} AS DOUBLE) END AS {name}"
 
 
-_CELLS = [_cell(i, n) for i, n in enumerate(_NAMES)]
+_STATES = ["Discovered", "FirstPass", "ActiveLight", "ActiveDeep", "InPosition", "ActiveDeep", "ActiveDeep", "Completed", "ActiveLight", "ActiveDeep", "SoftDiscarded"]
+_STRATEGIES = ["LaunchMomentumScalp", "HolderGrowthContinuation", "SellAbsorptionBounce", "SmartCapitalRotation", "OrganicSlowGrind", "DefensiveNoTrade"]
+_pick = lambda names, x: "CASE " + " ".join(f"WHEN {x} % {len(names)} = {i} THEN '{n}'" for i, n in enumerate(names)) + " END"
+_CELLS = [_cell(i, n) for i, n in enumerate(_NAMES)] + [
+    "CASE WHEN o_custkey % 9 = 1 THEN NULL ELSE CAST(o_custkey % 40 + 1 AS DOUBLE) / 1000 END AS latest_price",
+    "CASE WHEN o_custkey % 8 = 2 THEN CAST(0 AS DOUBLE) ELSE CAST(o_orderkey % 700 AS DOUBLE) + 30 END AS depth_quote",
+    "CAST(o_orderkey % 90 AS DOUBLE) AS buy_volume", "CAST(o_orderkey % 70 AS DOUBLE) AS sell_volume", "o_orderkey % 7 AS unique_buyers", "o_custkey % 6 AS holders", f"{_pick(_STATES, 'o_orderkey')} AS lifecycle",
+    "CASE WHEN o_orderkey % 5 = 1 THEN CAST(o_custkey % 5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS early_level", "CAST(o_custkey % 10 AS DOUBLE) / 10 AS early_confidence",
+]
 _FEATURES = f"f AS (SELECT o_orderkey AS mint, {', '.join(_CELLS)} FROM orders)"
 
 
@@ -46,74 +61,182 @@ def score_features(spark, sf_dir):
 
 _k = lambda c: f"coalesce({c}, 0)"
 _clamp = lambda e: f"least(1.0, greatest(0.0, {e}))"
-_SQL_PARTS = {
-    "dev_sold": f"greatest({_k('dev_sold_pct')}, {_k('dev_sold_flag')})",
-    "collapse": f"greatest({_k('price_drop_70pct_from_launch_within_5m')}, {_clamp('(' + _k('drawdown_from_ath_pct') + ' - 0.70) / 0.30')})",
-    "poor_data": f"(1 - {_k('data_quality_score')})",
-    "early_exit": f"greatest({_k('shred_emergency_exit_triggered_flag')}, {_k('shred_sell_warning_level')} / 4)",
-    "warning": f"({_k('shred_sell_warning_level')} / 4)",
-    "clustered": f"(0.1 * {_k('developer_in_cluster')})",
-    "extreme": _clamp(f"({_k('top1_holder_pct')} - 0.65) / 0.35"),
-    "unauthentic": f"(1 - {_k('momentum_authenticity_score')})",
-    "rug_overlap": f"({_k('rug_probability_score')} / 2)",
-}
 
 
-def _sql_part(name: str) -> str:
-    if name in _SQL_PARTS:
-        return _SQL_PARTS[name]
-    if "/" in name:
-        c, n = name.split("/")
-        return _clamp(f"{_k(c)} / {n}.0")
-    return f"(1 - {_k(name[2:])})" if name.startswith("1-") else _k(name)
+def _mean_of(total: float, *terms: tuple[float, str]) -> str:
+    """SQL of a weighted mean; the weights are written out where this is called, not taken from the plan."""
+    return f"(({' + '.join(f'{w} * {e}' for w, e in terms)}) / {total})"
+
+
+_SOLD = f"greatest({_k('dev_sold_pct')}, {_k('dev_sold_flag')})"
+_ATH = _clamp(f"({_k('drawdown_from_ath_pct')} - 0.70) / 0.30")
+_WARN = f"({_k('shred_sell_warning_level')} / 4)"
+_count = lambda c, n: _clamp(f"{_k(c)} / {n}.0")
+_RUG = _mean_of(1.18, (0.35, _k("rug_probability_score")), (0.20, _SOLD), (0.20, f"greatest({_k('price_drop_70pct_from_launch_within_5m')}, {_ATH})"), (0.08, _k("holder_growth_stalled")), (0.07, _k("sells_dominate_after_launch")), (0.05, _k("concentration_risk_score")), (0.05, f"(1 - {_k('data_quality_score')})"), (0.08, _k("malicious_sell_intent_score")), (0.10, f"greatest({_k('shred_emergency_exit_triggered_flag')}, {_WARN})"))
+_BUNDLE = _mean_of(1.25, (0.50, _k("bundle_risk_score")), (0.15, _count("same_slot_multi_buy_count", 8)), (0.15, _count("first_n_buys_identical_amount_count", 8)), (0.10, _count("first_n_buys_same_funder_count", 8)), (0.10, _k("bundle_wallets_top_holder_pct")), (0.15, _count("tentative_sell_from_bundle_count", 4)), (0.10, _WARN))
+_DEV = _mean_of(1.40, (0.40, _SOLD), (0.15, _k("creator_is_top1_holder")), (0.15, _k("creator_retained_supply_pct")), (0.10, _count("creator_launches_last_1h", 5)), (0.10, _k("creator_reuses_same_payer")), (0.10, _k("creator_launching_spam_wave_flag")), (0.10, f"0.1 * {_k('developer_in_cluster')}"), (0.20, _count("tentative_sell_from_dev_count", 3)), (0.10, _WARN))
+_TOP = _mean_of(1.15, (0.30, _k("concentration_risk_score")), (0.20, _k("profit_overhang_score")), (0.15, _k("free_roll_dump_risk_score")), (0.10, _k("top_holders_same_funder_pct")), (0.10, _k("top_holders_same_client_fingerprint_pct")), (0.10, _k("price_up_top_holders_selling")), (0.05, _k("top1_holder_pct")), (0.15, _count("tentative_sell_from_top_holder_count", 4)))
+_EXTREME = _clamp(f"({_k('top1_holder_pct')} - 0.65) / 0.35")
+_FAKE = _mean_of(1.33, (0.18, _k("vertical_move_without_holder_growth")), (0.15, _k("vertical_move_without_unique_buyers")), (0.15, _k("price_up_no_retail_breadth")), (0.15, _k("price_up_top_holders_selling")), (0.10, _k("price_up_bundle_selling")), (0.10, _k("price_up_dev_selling")), (0.07, _k("price_up_only_one_or_two_large_buys")), (0.05, _k("price_up_buy_size_concentration_high")),
+    (0.08, _k("exit_liquidity_trap_score")), (0.07, _EXTREME), (0.05, _k("dev_sold_flag")), (0.07, f"(1 - {_k('momentum_authenticity_score')})"), (0.05, f"{_k('rug_probability_score')} / 2"), (0.06, _WARN)) + " - " + _mean_of(0.32, (0.20, _k("absorption_success_score")), (0.12, _k("holder_stickiness_score")))
+_QUALITY_RISK = _mean_of(1.10, (0.60, f"(1 - {_k('data_quality_score')})"), (0.25, _count("critical_feature_missing_count", 5)), (0.15, _k("source_disagreement_flag")), (0.10, _k("shred_signal_stale_flag")))
+_severe = lambda c: f"CASE WHEN {c} >= 0.85 THEN 'critical' WHEN {c} >= 0.65 THEN 'high' WHEN {c} >= 0.35 THEN 'medium' ELSE 'low' END"
+_RISKS = f"""{_FEATURES},
+    a AS (SELECT *, {_clamp(_RUG)} AS rug, {_clamp(_BUNDLE)} AS bundle, {_clamp(_DEV)} AS dev, {_clamp(_TOP)} AS top_holder, {_clamp(_FAKE)} AS fake_momentum, {_clamp(_QUALITY_RISK)} AS data_quality,
+        {_k('price_drop_70pct_from_launch_within_5m')} > 0 OR {_ATH} >= 0.5 AS collapsed, {_SOLD} > 0 AS sold, greatest({_k('source_disagreement_flag')}, {_k('shred_signal_stale_flag')}) > 0 AS gap, {_k('trade_allowed_data_quality_flag')} = 0 AS stopped, {_k('first_n_buys_same_funder_count')} > 0 AS shared,
+        greatest({_k('vertical_move_without_holder_growth')}, {_k('vertical_move_without_unique_buyers')}, {_k('price_up_no_retail_breadth')}, {_k('price_up_top_holders_selling')}, {_k('price_up_bundle_selling')}, {_k('price_up_dev_selling')}, {_k('price_up_buy_size_concentration_high')}) > 0 OR ({_EXTREME} > 0 AND {_k('dev_sold_flag')} > 0) AS faked FROM f),
+    p AS (SELECT *, {_clamp('rug * 0.30 + bundle * 0.15 + dev * 0.15 + top_holder * 0.15 + fake_momentum * 0.15 + data_quality * 0.10')} AS overall, gap AND ({_k('data_quality_score')} < 0.50 OR stopped) AS gap_stop,
+        0.30 * greatest({_k('rug_confidence')}, 0.5) + 0.15 * greatest({_k('bundle_confidence')}, 0.5) + 0.15 * 0.75 + 0.15 * 0.8 + 0.15 * 0.7 + 0.10 * 0.9 AS overall_confidence FROM a),
+    q AS (SELECT *, CASE WHEN gap_stop THEN 'DataGapStop' WHEN rug >= 0.85 OR collapsed THEN CASE WHEN dev >= 0.6 THEN 'RugArchive' ELSE 'HardDiscard' END WHEN sold AND (top_holder >= 0.30 OR fake_momentum >= 0.40 OR rug >= 0.25) THEN 'SoftDiscard'
+        WHEN bundle >= 0.75 OR top_holder >= 0.75 OR fake_momentum >= 0.70 THEN 'SoftDiscard' WHEN rug >= 0.60 OR dev >= 0.65 THEN 'ResearchSample' ELSE 'Keep' END AS policy FROM p),
+    r AS (SELECT *, list_sort(list_distinct(list_filter([CASE WHEN sold THEN 'DevSoldEarly' END, CASE WHEN collapsed THEN 'PriceCollapse70' END, CASE WHEN {_k('no_buys_for_x_seconds')} > 0 THEN 'NoBuyGap' END, CASE WHEN {_k('shred_sell_warning_level')} >= 3 OR {_k('shred_emergency_exit_triggered_flag')} > 0 THEN 'ShredSellImpactHigh' END,
+        CASE WHEN rug >= 0.7 THEN 'HighRugRisk' END, CASE WHEN shared THEN 'BundleConcentration' END, CASE WHEN {_k('tentative_sell_from_bundle_count')} > 0 THEN 'ShredBundleExitWarning' END, CASE WHEN bundle >= 0.40 THEN 'HighBundleRisk' END, CASE WHEN {_k('tentative_sell_from_dev_count')} > 0 THEN 'ShredDevSellWarning' END,
+        CASE WHEN {_k('one_wallet_controls_market_flag')} > 0 OR {_k('price_up_top_holders_selling')} > 0 OR {_k('top1_holder_pct')} >= 0.55 THEN 'TopHolderDump' END, CASE WHEN {_k('tentative_sell_from_top_holder_count')} > 0 THEN 'ShredTopHolderSellWarning' END, CASE WHEN top_holder >= 0.7 THEN 'HighTopHolderRisk' END,
+        CASE WHEN faked THEN 'HighFakeMomentumRisk' END, CASE WHEN stopped AND gap OR policy = 'DataGapStop' THEN 'DataGapActive' END, CASE WHEN policy = 'SoftDiscard' THEN 'SoftDiscarded' WHEN policy = 'HardDiscard' THEN 'HardDiscarded' END], lambda x: x IS NOT NULL))) AS reasons FROM q)"""
 
 
-def _sql_score(table_: str) -> str:
-    w = R.WEIGHTS[table_]
-    return f"(({' + '.join(f'{_sql_part(p)} * {x}' for p, x in w.items())}) / {sum(w.values())})"
+def _risk_rows(spark, sf_dir):
+    return R.risks(score_features(spark, sf_dir))
 
 
-_RISKS = f"""{_FEATURES},
-    a AS (SELECT *, {', '.join(f'{_clamp(_sql_score(n))} AS {n}' for n in ('rug', 'bundle', 'dev', 'top_holder', 'data_quality'))},
-        {_clamp(_sql_score('fake_momentum') + ' - ' + _sql_score('fake_momentum_relief'))} AS fake_momentum,
-        {_k('price_drop_70pct_from_launch_within_5m')} > 0 OR {_clamp('(' + _k('drawdown_from_ath_pct') + ' - 0.70) / 0.30')} >= 0.5 AS collapsed,
-        {_SQL_PARTS['dev_sold']} > 0 AS sold, greatest({_k('source_disagreement_flag')}, {_k('shred_signal_stale_flag')}) > 0 AS gap FROM f),
-    r AS (SELECT *, {_clamp(_sql_score('overall'))} AS overall,
-        CASE WHEN gap AND ({_k('data_quality_score')} < 0.35 OR {_k('trade_allowed_data_quality_flag')} = 0) THEN 'data_gap_stop'
-            WHEN rug >= 0.85 OR collapsed THEN CASE WHEN dev >= 0.6 THEN 'rug_archive' ELSE 'hard_discard' END
-            WHEN sold AND (top_holder >= 0.30 OR fake_momentum >= 0.40 OR rug >= 0.25) THEN 'soft_discard'
-            WHEN bundle >= 0.8 OR top_holder >= 0.8 OR fake_momentum >= 0.8 THEN 'soft_discard' WHEN rug >= 0.6 OR dev >= 0.65 THEN 'research_sample' ELSE 'keep' END AS policy,
-        array_to_string(list_sort(list_filter([CASE WHEN sold THEN 'dev_sold_early' END, CASE WHEN collapsed THEN 'price_collapse_70' END, CASE WHEN {_k('no_buys_for_x_seconds')} > 0 THEN 'no_buy_gap' END,
-            CASE WHEN rug >= 0.7 THEN 'high_rug_risk' END, CASE WHEN bundle >= 0.4 THEN 'high_bundle_risk' END, CASE WHEN top_holder >= 0.7 THEN 'high_top_holder_risk' END,
-            CASE WHEN {_k('one_wallet_controls_market_flag')} > 0 OR {_k('price_up_top_holders_selling')} > 0 OR {_k('top1_holder_pct')} >= 0.55 THEN 'top_holder_dump' END,
-            CASE WHEN {_k('trade_allowed_data_quality_flag')} = 0 AND gap THEN 'data_gap_active' END], lambda x: x IS NOT NULL)), '|') AS reasons FROM a)"""
-
-
-@query(f"""WITH {_RISKS} SELECT mint, rug, bundle, dev, top_holder, fake_momentum, data_quality, overall, policy, reasons,
-    CASE WHEN overall >= 0.85 THEN 'critical' WHEN overall >= 0.65 THEN 'high' WHEN overall >= 0.4 THEN 'medium' ELSE 'low' END AS severity,
-    0.1 * ({' + '.join(f'({c} IS NULL)::INT' for v in R.NEEDED.values() for c in v)}) AS missing_penalty FROM r""")
-def r1_r7_risks(spark, sf_dir):
-    x = R.risks(score_features(spark, sf_dir))
-    return x.select("mint", "rug", "bundle", "dev", "top_holder", "fake_momentum", "data_quality", "overall", "policy", F.array_join("reasons", "|").alias("reasons"), "severity", "missing_penalty")
-
-
-_less = lambda e, p: _clamp(f"{e} - ({p})")
-_COMPOSITES = f"""{_RISKS},
-    c AS (SELECT mint, policy, overall, rug, bundle, top_holder, fake_momentum, data_quality, {_less(_sql_score('momentum'), 'fake_momentum / 2')} AS momentum, {_less(_sql_score('holder_quality'), 'top_holder / 2')} AS holder_quality,
-        {_less(_k('fee_adjusted_edge'), 'bundle / 3')} AS fee_adjusted_edge, {_less(_k('quote_asset_specific_depth_score'), '0')} AS liquidity, {_less(_k('latency_adjusted_trade_eligibility'), '0')} AS latency,
-        {_less(_k('token_relative_strength_score'), '0')} AS relative_strength, {_less(_k('holder_stickiness_score'), '0')} AS stickiness, {_less(_k('absorption_success_score'), '0')} AS absorption, {_less(_k('smart_capital_rotation_score'), '0')} AS rotation,
-        {_less('1 - ' + _k('profit_overhang_score'), 'top_holder / 3')} AS overhang, {_less(_k('momentum_authenticity_score'), 'fake_momentum / 3')} AS authenticity, {_less(_sql_score('anti_rug'), 'rug / 2')} AS anti_rug FROM r),
-    d AS (SELECT *, {_clamp(_sql_score('eligibility') + ' - ' + _sql_score('eligibility_penalty'))} AS eligibility FROM c)"""
-
-
-@query(f"""WITH {_COMPOSITES}, g AS (SELECT *, CASE WHEN policy <> 'keep' THEN policy WHEN overall >= 0.6 THEN 'risk_too_high' WHEN fee_adjusted_edge < 0.2 THEN 'edge_too_low' WHEN eligibility < 0.25 THEN 'not_eligible' END AS reason FROM d),
-    h AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'skip' WHEN eligibility >= 0.45 THEN 'enter' ELSE 'watch' END AS decision FROM g)
-    SELECT mint, momentum, holder_quality, fee_adjusted_edge, overhang, authenticity, anti_rug, eligibility, reason, decision,
-        CASE WHEN rotation >= 0.6 THEN 'rotation' WHEN absorption >= 0.6 THEN 'absorption' WHEN momentum >= 0.5 THEN 'momentum' WHEN stickiness >= 0.6 THEN 'holder' WHEN anti_rug >= 0.5 THEN 'survival' ELSE 'observe' END AS strategy,
-        CASE WHEN decision = 'enter' THEN least(1.0, greatest(0.05, eligibility * (1 - overall))) ELSE 0 END AS size FROM h""")
-def r10_r14_decisions(spark, sf_dir):
-    x = R.decide(R.composites(R.risks(score_features(spark, sf_dir))))
-    return x.select("mint", "momentum", "holder_quality", "fee_adjusted_edge", "overhang", "authenticity", "anti_rug", "eligibility", "reason", "decision", "strategy", "size")
+def _one_risk(name: str, confidence: str, reasons: list[tuple[str, str]], needed: list[str], action: str) -> str:
+    codes = ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in reasons)
+    missing = " + ".join(f"({c} IS NULL)::INT" for c in needed)
+    return f"WITH {_RISKS} SELECT mint, {name} AS score, {confidence} AS confidence, {_severe(name)} AS severity, concat_ws('|', {codes}) AS reasons, ({missing}) / {len(needed)} AS missing_penalty, {action} AS action FROM r"
+
+
+def _risk_of(spark, sf_dir, name):
+    r = F.col(f"{name}_risk")
+    return _risk_rows(spark, sf_dir).select("mint", F.col(name).alias("score"), r["confidence"].alias("confidence"), r["severity"].alias("severity"), F.array_join(r["reasons"], "|").alias("reasons"), r["missing_penalty"].alias("missing_penalty"), r["action"].alias("action"))
+
+
+@query(_one_risk("rug", f"greatest({_k('rug_confidence')}, 0.5)", [("DevSoldEarly", "sold"), ("PriceCollapse70", "collapsed"), ("NoBuyGap", f"{_k('no_buys_for_x_seconds')} > 0"), ("ShredSellImpactHigh", f"{_k('shred_sell_warning_level')} >= 3 OR {_k('shred_emergency_exit_triggered_flag')} > 0"), ("HighRugRisk", "rug >= 0.7")],
+    ["rug_probability_score", "dev_sold_pct"], "CASE WHEN collapsed OR rug >= 0.9 THEN 'HardDiscard' WHEN rug >= 0.75 THEN 'RugArchive' WHEN rug >= 0.60 THEN 'SoftDiscard' ELSE 'KeepWatching' END"))
+def r1_rug_risk(spark, sf_dir):
+    return _risk_of(spark, sf_dir, "rug")
+
+
+@query(_one_risk("bundle", f"greatest({_k('bundle_confidence')}, 0.5)", [("BundleConcentration", "shared"), ("ShredBundleExitWarning", f"{_k('tentative_sell_from_bundle_count')} > 0"), ("HighBundleRisk", "bundle >= 0.40")], ["bundle_risk_score"], "CASE WHEN bundle >= 0.85 THEN 'HardDiscard' WHEN bundle >= 0.70 THEN 'SoftDiscard' ELSE 'KeepWatching' END"))
+def r2_bundle_risk(spark, sf_dir):
+    return _risk_of(spark, sf_dir, "bundle")
+
+
+@query(_one_risk("dev", "0.75", [("DevSoldEarly", "sold"), ("ShredDevSellWarning", f"{_k('tentative_sell_from_dev_count')} > 0")], ["dev_sold_pct"], "CASE WHEN dev >= 0.75 THEN 'SoftDiscard' ELSE 'KeepWatching' END"))
+def r3_dev_risk(spark, sf_dir):
+    return _risk_of(spark, sf_dir, "dev")
+
+
+@query(_one_risk("top_holder", "0.8", [("TopHolderDump", f"{_k('one_wallet_controls_market_flag')} > 0 OR {_k('price_up_top_holders_selling')} > 0 OR {_k('top1_holder_pct')} >= 0.55"), ("ShredTopHolderSellWarning", f"{_k('tentative_sell_from_top_holder_count')} > 0"), ("HighTopHolderRisk", "top_holder >= 0.7")],
+    ["top1_holder_pct", "profit_overhang_score", "free_roll_dump_risk_score"], "CASE WHEN top_holder >= 0.8 THEN 'SoftDiscard' ELSE 'KeepWatching' END"))
+def r4_top_holder_risk(spark, sf_dir):
+    return _risk_of(spark, sf_dir, "top_holder")
+
+
+@query(_one_risk("fake_momentum", "0.7", [("HighFakeMomentumRisk", "faked")], ["vertical_move_without_holder_growth", "momentum_authenticity_score"], "CASE WHEN fake_momentum >= 0.8 THEN 'SoftDiscard' ELSE 'KeepWatching' END"))
+def r5_fake_momentum_risk(spark, sf_dir):
+    return _risk_of(spark, sf_dir, "fake_momentum")
+
+
+@query(_one_risk("data_quality", "0.9", [("DataGapActive", "stopped AND gap")], ["data_quality_score", "critical_feature_missing_count"], "CASE WHEN gap_stop THEN 'DataGapStop' ELSE 'KeepWatching' END"))
+def r6_data_quality_risk(spark, sf_dir):
+    return _risk_of(spark, sf_dir, "data_quality")
+
+
+@query(f"WITH {_RISKS} SELECT mint, rug, bundle, dev, top_holder, fake_momentum, data_quality, overall, overall_confidence, {_severe('overall')} AS severity, policy, array_to_string(reasons, '|') AS reasons FROM r")
+def r7_assessment(spark, sf_dir):
+    return _risk_rows(spark, sf_dir).select("mint", *R.RISKS, "overall", "overall_confidence", "severity", "policy", F.array_join("reasons", "|").alias("reasons"))
+
+
+_RISE = f"greatest({_k('return_pct_30s')}, 0)"
+
+
+def _trip(size: str, price: str, exit_: str, depth: str) -> tuple[str, str, str]:
+    """SQL of (proceeds, impact of the buy, impact of the sale)."""
+    tokens = f"({size} / ({price} * (1 + {size} / {depth} + 0.01)))"
+    return f"({tokens} * {exit_} / (1 + {tokens} * {exit_} / {depth} + 0.01))", f"({size} / {depth})", f"({tokens} * {exit_} / {depth})"
+
+
+_SCORES = ["momentum", "holder_quality", "fee_adjusted_edge", "liquidity", "latency", "relative_strength", "stickiness", "absorption", "rotation", "overhang", "authenticity", "anti_rug", "eligibility"]
+_adj = lambda name, raw, pen: f"{_clamp(raw)} AS {name}_raw, {_clamp(f'{raw} - ({pen}) / 2')} AS {name}, {_clamp(f'1 - ({pen})')} AS {name}_confidence"
+_COMPOSITES = f"""{_RISKS}, c0 AS (SELECT *, greatest({_k('latest_price')}, 1e-9) AS lp, CASE WHEN depth_quote > 0 THEN depth_quote ELSE 100.0 END AS dq FROM r), c1 AS (SELECT *, {_trip('25.0', 'lp', f'(lp * (1 + {_RISE}))', 'dq')[0]} AS back FROM c0),
+    c2 AS (SELECT *, {_adj('momentum', f"(0.45 * {_k('return_pct_30s')} + 0.35 * {_k('organic_flow_score')} + 0.20 * {_k('token_relative_strength_score')})", 'fake_momentum / 2')}, {_adj('holder_quality', f"(0.5 * {_k('sustained_holder_growth_score')} + 0.3 * (1 - {_k('concentration_risk_score')}) + 0.2 * (1 - {_k('holder_balance_hhi')}))", 'top_holder / 2')},
+        {_adj('fee_adjusted_edge', _clamp('((back - 25.0 - 0.00004 - (25.0 + back) * 0.0125) / 25.0 + 1) / 2'), 'bundle / 3')}, {_adj('liquidity', _k('quote_asset_specific_depth_score'), '0')}, {_adj('latency', _k('latency_adjusted_trade_eligibility'), '0')}, {_adj('relative_strength', _k('token_relative_strength_score'), '0')},
+        {_adj('stickiness', _k('holder_stickiness_score'), '0')}, {_adj('absorption', _k('absorption_success_score'), '0')}, {_adj('rotation', _k('smart_capital_rotation_score'), '0')}, {_adj('overhang', f"(1 - {_k('profit_overhang_score')})", 'top_holder / 3')}, {_adj('authenticity', _k('momentum_authenticity_score'), 'fake_momentum / 3')},
+        {_adj('anti_rug', f"(0.7 * {_k('organic_survival_score')} + 0.3 * (1 - rug))", 'rug / 2')} FROM c1),
+    c AS (SELECT *, {_adj('eligibility', '((0.20 * momentum + 0.20 * holder_quality + 0.20 * fee_adjusted_edge + 0.10 * liquidity + 0.05 * latency + 0.10 * relative_strength + 0.10 * stickiness + 0.05 * absorption + 0.05 * rotation + 0.05 * overhang + 0.05 * authenticity + 0.05 * anti_rug) / 1.2)', '0.35 * rug + 0.20 * bundle + 0.15 * top_holder + 0.15 * fake_momentum + 0.15 * data_quality')} FROM c2)"""
+
+
+@query(f"WITH {_COMPOSITES} SELECT mint, {', '.join(f'{n}_raw, {n}, {n}_confidence' for n in _SCORES)} FROM c")
+def r10_composites(spark, sf_dir):
+    return R.composites(_risk_rows(spark, sf_dir)).select("mint", *[f"{n}{e}" for n in _SCORES for e in ("_raw", "", "_confidence")])
+
+
+_STRATEGY = f"""CASE WHEN rug >= 0.7 OR data_quality >= 0.75 THEN 'DefensiveNoTrade' WHEN holder_quality >= 0.36 AND {_k('holder_stickiness_score')} >= 0.22 AND {_k('organic_survival_score')} >= 0.30 AND {_k('token_relative_strength_score')} >= 0.45 AND fake_momentum < 0.30 AND NOT faked THEN 'HolderGrowthContinuation'
+    WHEN momentum >= 0.48 AND {_k('momentum_authenticity_score')} >= 0.45 AND fake_momentum < 0.30 AND NOT faked THEN 'LaunchMomentumScalp' WHEN {_k('absorption_success_score')} >= 0.22 AND {_k('holder_stickiness_score')} >= 0.15 AND bundle < 0.65 AND top_holder < 0.75 AND fake_momentum < 0.60 THEN 'SellAbsorptionBounce'
+    WHEN {_k('smart_capital_rotation_score')} >= 0.12 AND momentum >= 0.15 THEN 'SmartCapitalRotation' WHEN {_k('organic_survival_score')} >= 0.30 AND holder_quality >= 0.25 AND bundle < 0.60 THEN 'OrganicSlowGrind' ELSE 'DefensiveNoTrade' END"""
+_DECIDE = f"""{_COMPOSITES}, s AS (SELECT *, {_STRATEGY} AS strategy FROM c),
+    e0 AS (SELECT *, CASE strategy WHEN 'LaunchMomentumScalp' THEN 0.25 * {_RISE} + 0.20 * {_k('token_relative_strength_score')} + 0.30 * {_k('momentum_authenticity_score')} + 0.25 * {_k('organic_flow_score')}
+            WHEN 'HolderGrowthContinuation' THEN 0.30 * {_k('sustained_holder_growth_score')} + 0.30 * {_k('holder_stickiness_score')} + 0.20 * {_k('token_relative_strength_score')} + 0.20 * {_k('organic_survival_score')}
+            WHEN 'SellAbsorptionBounce' THEN 0.40 * {_k('absorption_success_score')} + 0.25 * {_k('momentum_authenticity_score')} + 0.20 * {_k('holder_stickiness_score')} + 0.15 * {_k('organic_flow_score')}
+            WHEN 'SmartCapitalRotation' THEN 0.35 * {_k('smart_capital_rotation_score')} + 0.25 * {_k('token_relative_strength_score')} + 0.20 * {_k('holder_stickiness_score')} + 0.20 * {_k('momentum_authenticity_score')}
+            WHEN 'OrganicSlowGrind' THEN 0.35 * {_k('organic_survival_score')} + 0.25 * {_k('holder_stickiness_score')} + 0.20 * {_k('sustained_holder_growth_score')} + 0.20 * (1 - bundle) ELSE 0 END AS q,
+        0.30 * rug + 0.15 * bundle + 0.15 * top_holder + 0.20 * fake_momentum + 0.10 * {_k('profit_overhang_score')} + 0.10 * {_k('fee_war_score')} AS pen,
+        CASE strategy WHEN 'LaunchMomentumScalp' THEN 0.18 WHEN 'HolderGrowthContinuation' THEN 0.28 WHEN 'SellAbsorptionBounce' THEN 0.14 WHEN 'SmartCapitalRotation' THEN 0.20 ELSE 0.24 END AS take, CASE WHEN depth_quote > 0 THEN depth_quote ELSE buy_volume + sell_volume + 50 END AS de FROM s),
+    e1 AS (SELECT *, {_clamp("q * 0.60 + (1 - pen) * 0.20 + coalesce(data_quality_score, 0.5) * 0.20")} AS edge_confidence, {_clamp(f"take * {_clamp('q')} * {_clamp('1 - pen / 2')}")} AS expected_move FROM e0),
+    e2 AS (SELECT *, {_trip('1.5', 'lp', '(lp * (1 + expected_move))', 'de')[0]} AS eback, 1.5 * ({_trip('1.5', 'lp', '(lp * (1 + expected_move))', 'de')[1]} + {_trip('1.5', 'lp', '(lp * (1 + expected_move))', 'de')[2]}) AS impact_drag FROM e1),
+    e3 AS (SELECT *, 0.00004 + (1.5 + eback) * 0.0125 AS fee_drag, 1.5 * (1 - coalesce(latency_adjusted_trade_eligibility, 0.5)) * 0.10 * 1.20 AS latency_drag FROM e2),
+    e4 AS (SELECT *, (fee_drag + 0.03 + impact_drag + latency_drag) / 1.5 AS required_move, eback - 1.5 - fee_drag - (fee_drag + 0.03 + impact_drag) * 0.20 - latency_drag AS net_edge_quote FROM e3),
+    g AS (SELECT *, CASE WHEN gap_stop THEN 'data_gap' WHEN rug >= 0.45 OR bundle >= 0.55 OR fake_momentum >= 0.50 THEN 'risk' WHEN {_k('data_quality_score')} < 0.75 THEN 'data_quality' WHEN fee_adjusted_edge_raw < 0.008 THEN 'fee_edge' WHEN lifecycle IN ('Completed', 'SoftDiscarded') THEN 'lifecycle' END AS blocked_by,
+        early_level >= 2 AS warned, early_confidence < 0.55 AS unsure FROM e4),
+    d AS (SELECT *, CASE WHEN blocked_by IN ('data_gap', 'risk') THEN CASE WHEN lifecycle = 'InPosition' THEN 'EmergencyExit' ELSE 'StopTracking' END WHEN blocked_by = 'data_quality' THEN 'WatchLight' WHEN blocked_by = 'fee_edge' THEN 'WatchDeep' WHEN blocked_by = 'lifecycle' THEN 'StopTracking'
+        WHEN strategy <> 'DefensiveNoTrade' AND eligibility >= 0.30 AND (unique_buyers >= 3 OR holders >= 3) AND bundle < 0.45 AND NOT shared AND bundle < 0.40 AND NOT faked AND (NOT warned OR unsure) AND {_k('holder_stickiness_score')} >= 0.20 AND {_k('momentum_authenticity_score')} >= 0.15 AND {_k('profit_overhang_score')} <= 0.90
+            AND net_edge_quote > 0.02 AND net_edge_quote / 1.5 > 0.01 AND edge_confidence >= 0.35 THEN 'EnterPaper' WHEN strategy = 'DefensiveNoTrade' THEN 'WatchLight' WHEN eligibility >= 0.15 THEN 'WatchDeep' ELSE 'WatchLight' END AS decision FROM g)"""
+
+
+def _decided(spark, sf_dir):
+    return R.decide(R.composites(_risk_rows(spark, sf_dir)))
+
+
+@query(f"WITH {_DECIDE} SELECT mint, strategy FROM s")
+def r11_strategies(spark, sf_dir):
+    return R.composites(_risk_rows(spark, sf_dir)).select("mint", R.strategy().alias("strategy"))
+
+
+@query(f"""WITH {_DECIDE} SELECT mint, strategy, expected_move, fee_drag, 0.03 AS slippage_drag, impact_drag, latency_drag, required_move, net_edge_quote, net_edge_quote / 1.5 AS net_edge_pct, edge_confidence,
+    concat_ws('|', CASE WHEN net_edge_quote <= 0.02 OR net_edge_quote / 1.5 <= 0.01 THEN 'FeeAdjustedEdgeTooLow' END, CASE WHEN fee_war_score >= 0.60 THEN 'FeeWarTooExpensive' END) AS edge_reasons FROM e4""")
+def r12_expected_edge(spark, sf_dir):
+    x = R.expected_edge(R.composites(_risk_rows(spark, sf_dir)).withColumn("strategy", R.strategy()))
+    return x.select("mint", "strategy", "expected_move", "fee_drag", "slippage_drag", "impact_drag", "latency_drag", "required_move", "net_edge_quote", "net_edge_pct", "edge_confidence", F.array_join("edge_reasons", "|").alias("edge_reasons"))
+
+
+@query(f"WITH {_COMPOSITES} SELECT mint, least(50.0 * eligibility * {_clamp('(CASE WHEN depth_quote > 0 THEN depth_quote ELSE buy_volume + sell_volume + 25 END) / 500')} * {_clamp('1 - (0.4 * rug + 0.2 * bundle + 0.2 * top_holder + 0.2 * fake_momentum)')}, 250.0, 1.5) AS size FROM c")
+def r13_position_sizes(spark, sf_dir):
+    return R.composites(_risk_rows(spark, sf_dir)).select("mint", R.position_size().alias("size"))
+
+
+@query(f"""WITH {_DECIDE} SELECT mint, strategy, decision, blocked_by, array_to_string(list_sort(list_distinct(list_concat(reasons, list_filter([CASE WHEN blocked_by IN ('data_gap', 'data_quality') THEN 'DataGapActive' END, CASE WHEN blocked_by = 'risk' AND rug >= 0.45 THEN 'HighRugRisk' END, CASE WHEN blocked_by = 'risk' AND bundle >= 0.55 THEN 'HighBundleRisk' END,
+        CASE WHEN blocked_by = 'risk' AND fake_momentum >= 0.50 THEN 'HighFakeMomentumRisk' END, CASE WHEN blocked_by = 'fee_edge' THEN 'FeeAdjustedEdgeTooLow' END, CASE WHEN blocked_by IS NULL AND warned AND NOT unsure THEN 'EarlyIntentSellWarning' END, CASE WHEN decision = 'EnterPaper' THEN 'EnterPaper' WHEN decision = 'EmergencyExit' THEN 'ExitPaper' END, 'LiveDisabled'],
+        lambda x: x IS NOT NULL)))), '|') AS decision_reasons FROM d""")
+def r14_entry_decisions(spark, sf_dir):
+    return _decided(spark, sf_dir).select("mint", "strategy", "decision", "blocked_by", F.array_join("decision_reasons", "|").alias("decision_reasons"))
+
+
+_POSITION = {
+    "own": _pick(_STRATEGIES, "o_custkey"), "size_quote": "CASE WHEN o_orderkey % 19 = 1 THEN CAST(0 AS DOUBLE) ELSE CAST(o_orderkey % 40 AS DOUBLE) / 10 + 1 END", "size_tokens": "CAST(o_orderkey % 300 AS DOUBLE) + 100", "entry_fees": "CAST(o_custkey % 5 AS DOUBLE) / 100",
+    "best_gain": "CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(o_custkey % 30 AS DOUBLE) / 30 END", "held_ms": "CAST(o_orderkey % 200 AS BIGINT) * 1000", "exit_triggered": "o_orderkey % 37 = 1", "exit_armed": "o_orderkey % 23 = 2", "k": "o_orderkey",
+}
+
+
+@query(f"""WITH {_RISKS}, o AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _POSITION.items())} FROM orders), x AS (SELECT *, CASE WHEN size_quote > 0 THEN (size_tokens * {_k('latest_price')} - size_quote - entry_fees) / size_quote ELSE 0 END AS gain, CASE WHEN size_quote > 0 THEN best_gain / size_quote ELSE 0 END AS best,
+        CASE own WHEN 'LaunchMomentumScalp' THEN [0.18, 0.08, 0.09, 20000] WHEN 'HolderGrowthContinuation' THEN [0.28, 0.12, 0.12, 90000] WHEN 'SellAbsorptionBounce' THEN [0.14, 0.07, 0.08, 35000] WHEN 'SmartCapitalRotation' THEN [0.20, 0.10, 0.10, 60000] ELSE [0.24, 0.10, 0.11, 120000] END AS pr FROM r JOIN o ON mint = k),
+    y AS (SELECT *, CASE WHEN exit_triggered THEN 'shred_emergency_exit' WHEN exit_armed THEN 'shred_exit_armed' WHEN rug >= 0.75 OR fake_momentum >= 0.75 OR bundle >= 0.80 THEN 'emergency_risk' WHEN gain >= pr[1] THEN 'take_profit' WHEN gain <= -pr[3] THEN 'stop_loss' WHEN best_gain > 0 AND gain <= best - pr[2] THEN 'trailing_stop' WHEN held_ms >= pr[4] THEN 'max_hold'
+        WHEN CASE own WHEN 'LaunchMomentumScalp' THEN {_k('momentum_authenticity_score')} < 0.15 OR {_k('return_pct_30s')} < 0 WHEN 'HolderGrowthContinuation' THEN {_k('holder_stickiness_score')} < 0.20 OR {_k('profit_overhang_score')} > 0.90 OR top_holder > 0.55 WHEN 'SellAbsorptionBounce' THEN {_k('absorption_success_score')} < 0.12 OR fake_momentum > 0.55
+            WHEN 'SmartCapitalRotation' THEN {_k('smart_capital_rotation_score')} < 0.10 OR {_k('token_relative_strength_score')} < 0.15 WHEN 'OrganicSlowGrind' THEN {_k('organic_survival_score')} < 0.25 OR bundle > 0.60 ELSE true END THEN 'strategy_decay' END AS exit_by FROM x)
+    SELECT mint, own AS strategy, gain, exit_by, CASE WHEN exit_by IN ('shred_emergency_exit', 'emergency_risk') THEN 'EmergencyExit' WHEN exit_by IS NULL OR exit_by = 'shred_exit_armed' THEN 'Hold' ELSE 'Exit' END AS decision FROM y""")
+def r15_exit_decisions(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr(*[f"{v} as {n}" for n, v in _POSITION.items()])
+    x = _risk_rows(spark, sf_dir).withColumn("latest_price", F.coalesce("latest_price", F.lit(0.0))).join(o, F.col("mint") == F.col("k")).withColumnRenamed("own", "strategy")
+    return R.exit_decision(x).select("mint", "strategy", "gain", "exit_by", "decision")
 
 
 _FAMILIES = {"supply": ["top1_holder_pct", "concentration_risk_score"], "developer": ["dev_sold_pct", "creator_retained_supply_pct"], "flow": ["organic_flow_score"], "survival": ["organic_survival_score", "momentum_authenticity_score"]}
@@ -132,14 +255,14 @@ def r8_r9_evidence(spark, sf_dir):
     return R.evidence(score_features(spark, sf_dir), _FAMILIES, "mint")
 
 
-@query(with_views("ev", sql="""e AS (SELECT seq AS position, mint, us, price FROM ev WHERE side = 'buy' AND seq % 3 = 0),
+@query(with_views("ev", sql="""e AS (SELECT seq AS position, mint, us, price FROM ev WHERE side = 'buy'),
     x AS (SELECT e.position, e.mint, e.us, e.price, m.us AS mu, m.seq AS ms, m.price AS mp, max(m.price) OVER (PARTITION BY e.position ORDER BY m.us, m.seq ROWS UNBOUNDED PRECEDING) AS best FROM e JOIN ev AS m ON m.mint = e.mint AND m.us > e.us),
     r AS (SELECT *, CASE WHEN mp >= price * 1.5 THEN 'take_profit' WHEN mp <= price * 0.7 THEN 'stop_loss' WHEN mp <= best * 0.75 THEN 'trailing_stop' WHEN mu - us >= 864000000000 THEN 'max_hold' END AS rule FROM x),
     h AS (SELECT position, arg_min(rule, (mu, ms)) AS rule, arg_min(mu, (mu, ms)) AS mu, arg_min(mp, (mu, ms)) AS mp FROM r WHERE rule IS NOT NULL GROUP BY 1)
     SELECT e.position, e.mint, coalesce(rule, 'open') AS rule, mu AS exit_us, mp AS exit_price FROM e LEFT JOIN h USING (position)"""))
 def r15_exits(spark, sf_dir):
     t = ev_trades(spark, sf_dir)
-    return K.exits(t.where("side = 'buy' and seq % 3 = 0").select(F.col("seq").alias("position"), "mint", "us", "price"), t)
+    return K.exits(t.where("side = 'buy'").select(F.col("seq").alias("position"), "mint", "us", "price"), t)
 
 
 @query(f"""WITH {_FEATURES}, x AS (SELECT *, mint % 300 AS age FROM f)

@@ -108,10 +108,21 @@ RESULTS: dict[str, str] = {
     "p9_early_burst_in_out_v1": "k bigint, v1_decision string, v1_reasons string, v1_top_blocker string, guard_decision string, guard_reasons string, replay_blocker string",
     "q1_q3_leakage_audit": "check string, key string",
     "q2_label_audit": "check string, mint bigint",
-    "r10_r14_decisions": "mint bigint, momentum double, holder_quality double, fee_adjusted_edge double, overhang double, authenticity double, anti_rug double, eligibility double, reason string, decision string, strategy string, size double",
+    "r10_composites": "mint bigint, momentum_raw double, momentum double, momentum_confidence double, holder_quality_raw double, holder_quality double, holder_quality_confidence double, fee_adjusted_edge_raw double, fee_adjusted_edge double, fee_adjusted_edge_confidence double, liquidity_raw double, liquidity double, liquidity_confidence double, latency_raw double, latency double, latency_confidence double, relative_strength_raw double, relative_strength double, relative_strength_confidence double, stickiness_raw double, stickiness double, stickiness_confidence double, absorption_raw double, absorption double, absorption_confidence double, rotation_raw double, rotation double, rotation_confidence double, overhang_raw double, overhang double, overhang_confidence double, authenticity_raw double, authenticity double, authenticity_confidence double, anti_rug_raw double, anti_rug double, anti_rug_confidence double, eligibility_raw double, eligibility double, eligibility_confidence double",
+    "r11_strategies": "mint bigint, strategy string",
+    "r12_expected_edge": "mint bigint, strategy string, expected_move double, fee_drag double, slippage_drag double, impact_drag double, latency_drag double, required_move double, net_edge_quote double, net_edge_pct double, edge_confidence double, edge_reasons string",
+    "r13_position_sizes": "mint bigint, size double",
+    "r14_entry_decisions": "mint bigint, strategy string, decision string, blocked_by string, decision_reasons string",
+    "r15_exit_decisions": "mint bigint, strategy string, gain double, exit_by string, decision string",
     "r15_exits": "position bigint, mint bigint, rule string, exit_us bigint, exit_price double",
     "r16_r17_rules": "mint bigint, rule string, outcome string",
-    "r1_r7_risks": "mint bigint, rug double, bundle double, dev double, top_holder double, fake_momentum double, data_quality double, overall double, policy string, reasons string, severity string, missing_penalty double",
+    "r1_rug_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
+    "r2_bundle_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
+    "r3_dev_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
+    "r4_top_holder_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
+    "r5_fake_momentum_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
+    "r6_data_quality_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
+    "r7_assessment": "mint bigint, rug double, bundle double, dev double, top_holder double, fake_momentum double, data_quality double, overall double, overall_confidence double, severity string, policy string, reasons string",
     "r8_r9_evidence": "mint bigint, available int, unavailable string, total double, classification string",
     "s1_walk_forward": "mint bigint, split string",
     "s2_two_sided_embargo": "mint bigint, split string",
@@ -150,9 +161,9 @@ RESULTS: dict[str, str] = {
     "w16_absorption": "mint bigint, buys_after bigint, volume_after double, buyers_after bigint, recovery_us bigint, recovery double",
     "w17_forward_extremes": "mint bigint, max_return_86400s double, max_drawdown_86400s double, max_return_604800s double, max_drawdown_604800s double, up20_us bigint, down50_us bigint",
     "w18_trailing_mean": "mint bigint, seq bigint, trailing_mean double",
-    "w19_lifecycle": "mint bigint, us bigint, seq bigint, was string, state string, n int, b int",
+    "w19_lifecycle": "mint bigint, us bigint, seq bigint, was string, state string, n bigint, holders bigint, buyers bigint, expires_us bigint",
     "w1_bounded_history": "mint bigint, wallet bigint, side string, seq bigint, place int",
-    "w20_expiries": "mint bigint, us bigint, seq bigint, expires_us bigint, next_us bigint",
+    "w20_expiries": "mint bigint, us bigint, seq bigint, state string, expires_us bigint, next_us bigint",
     "w21_j2_horizon_peaks": "mint bigint, horizon bigint, peak double, peak_horizon bigint, time_to_peak bigint",
     "w22_first_per_mint": "mint bigint, us bigint, seq bigint",
     "w23_excursions": "mint bigint, seq bigint, best double, worst double",

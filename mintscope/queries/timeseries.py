@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import balances, ev_launches, ev_trades, li_trades, with_views
+from ..adapters import balances, ev_launches, ev_trades, li_trades, table, with_views
 from ..operators import windows as W
 from . import query
 
@@ -141,23 +141,31 @@ def w18_trailing_mean(spark, sf_dir):
     return W.trailing_mean(ev_trades(spark, sf_dir)).select("mint", "seq", "trailing_mean")
 
 
-@query(with_views("ev", sql="""
-    x AS (
-        SELECT *, row_number() OVER o AS n, count(DISTINCT CASE WHEN side = 'buy' THEN wallet END) OVER (o ROWS UNBOUNDED PRECEDING) AS b, max(price) OVER (o ROWS UNBOUNDED PRECEDING) AS run
-        FROM ev WINDOW o AS (PARTITION BY mint ORDER BY us, seq)),
-    y AS (SELECT *, max((price <= run * 0.5)::INT) OVER (PARTITION BY mint ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS dead FROM x),
-    z AS (SELECT *, CASE WHEN dead = 1 THEN 'dead' WHEN n >= 4 AND b >= 3 THEN 'active' WHEN n >= 2 THEN 'warm' ELSE 'new' END AS state FROM y),
-    t AS (SELECT *, lag(state) OVER (PARTITION BY mint ORDER BY us, seq) AS was FROM z)
-    SELECT mint, us, seq, was, state, n, b FROM t WHERE was IS NULL OR was <> state"""))
+_STATES = """
+    b AS (SELECT *, sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) OVER (PARTITION BY mint, wallet ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS bal FROM ev),
+    d AS (SELECT mint, us, seq, wallet, side, (bal > 0)::INT - (bal - CASE WHEN side = 'buy' THEN tokens ELSE -tokens END > 0)::INT AS turn, NULL AS mark, 1 AS one FROM b
+        UNION ALL SELECT user_id, epoch_us(ts), event_id, NULL, NULL, 0, CASE WHEN (props->>'$.k')::BIGINT < 40 THEN 'DataGap' ELSE 'HardDiscarded' END, 0 FROM events WHERE event_type = 'view' AND (props->>'$.k')::BIGINT BETWEEN 38 AND 41),
+    c AS (SELECT *, sum(one) OVER w AS n, sum(turn) OVER w AS holders, count(DISTINCT CASE WHEN side = 'buy' THEN wallet END) OVER w AS buyers, first_value(mark IGNORE NULLS) OVER w AS held FROM d WINDOW w AS (PARTITION BY mint ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
+    z AS (SELECT *, CASE WHEN held IS NOT NULL THEN held WHEN n >= 4 OR holders >= 4 OR buyers >= 3 THEN 'ActiveDeep' WHEN n >= 2 OR holders >= 2 THEN 'ActiveLight' WHEN n >= 1 THEN 'FirstPass' ELSE 'Discovered' END AS state FROM c),
+    e AS (SELECT *, us + 1000000::BIGINT * CASE state WHEN 'Discovered' THEN 900 WHEN 'ActiveDeep' THEN 7200 WHEN 'FirstPass' THEN 1800 WHEN 'ActiveLight' THEN 1800 ELSE 259200 END AS expires_us, lag(state) OVER (PARTITION BY mint ORDER BY us, seq) AS p, lead(us) OVER (PARTITION BY mint ORDER BY us, seq) AS next_us FROM z)"""
+
+
+def lifecycle_marks(spark, sf_dir):
+    """Gaps and discards that a token's state is held at: some of its views."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    e = table(spark, sf_dir, "events").where((F.col("event_type") == "view") & k.between(38, 41))
+    return e.select(F.col("user_id").alias("mint"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("event_id").alias("seq"), F.when(k < 40, "DataGap").otherwise("HardDiscarded").alias("mark"))
+
+
+@query(with_views("ev", sql=_STATES + " SELECT mint, us, seq, coalesce(p, 'Discovered') AS was, state, n, holders, buyers, expires_us FROM e WHERE coalesce(p, 'Discovered') <> state"))
 def w19_lifecycle(spark, sf_dir):
-    return W.lifecycle(ev_trades(spark, sf_dir))
+    return W.lifecycle(ev_trades(spark, sf_dir), lifecycle_marks(spark, sf_dir))
 
 
-@query(with_views("ev", sql="""
-    x AS (SELECT mint, us, seq, us + CASE WHEN side = 'buy' THEN 172800 ELSE 43200 END * 1000000 AS expires_us, lead(us) OVER (PARTITION BY mint ORDER BY us, seq) AS next_us FROM ev)
-    SELECT * FROM x WHERE next_us IS NULL OR next_us > expires_us""").replace("THEN 172800 ELSE 43200 END * 1000000", "THEN 172800000000 ELSE 43200000000 END"))
+@query(with_views("ev", sql=_STATES + " SELECT mint, us, seq, state, expires_us, next_us FROM e WHERE next_us IS NULL OR next_us > expires_us"))
 def w20_expiries(spark, sf_dir):
-    return W.expiries(ev_trades(spark, sf_dir), F.when(F.col("side") == "buy", 172800).otherwise(43200).cast("long"))
+    x = W.lifecycle_states(ev_trades(spark, sf_dir), lifecycle_marks(spark, sf_dir))
+    return W.expiries(x, W.ttl_seconds(F.col("state")), "state")
 
 
 @query(with_views("ev", sql="""
