@@ -79,7 +79,7 @@ def a9_export_fills(spark, sf_dir):
 
 @query("""SELECT o_orderkey, concat_ws(';', CASE WHEN NOT coalesce(o_totalprice > 50000, false) THEN 'volume' END, CASE WHEN o_orderstatus = 'P' THEN 'complete' END, CASE WHEN o_custkey % 7 = 0 THEN 'sequence' END) AS reason,
     o_totalprice > 50000 AND o_orderstatus <> 'P' AND o_custkey % 7 <> 0 AS included, CASE WHEN o_orderstatus = 'P' THEN 'blocked' WHEN o_custkey % 7 = 0 THEN 'partial' WHEN o_totalprice <= 50000 THEN 'thin' ELSE 'primary' END AS class FROM orders""")
-def a18_a21_a23_slices(spark, sf_dir):
+def a_slices_by_checks(spark, sf_dir):
     from ..plans.labels import first_match
 
     x = C.include_slices(table(spark, sf_dir, "orders"), {"volume": F.col("o_totalprice") > 50000, "complete": F.col("o_orderstatus") != "P", "sequence": F.col("o_custkey") % 7 != 0})
@@ -104,7 +104,7 @@ def a17_a24_merge_quality(spark, sf_dir):
 
 
 @query("SELECT l_linenumber AS horizon, count(*) AS rows, count(DISTINCT l_partkey) AS mints FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
-def a16_a20_a22_mart(spark, sf_dir):
+def a_mart_counts(spark, sf_dir):
     s = table(spark, sf_dir, "orders").selectExpr("o_orderkey as slice_id", "o_orderstatus = 'F' as included", "o_custkey as mint")
     f = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as slice_id", "l_linenumber as horizon", "l_partkey as mint")
     return C.mart(s, f, s)[1]

@@ -7,13 +7,24 @@ RESULTS: dict[str, str] = {
     "a13_run_statistics": "run_id bigint, events bigint, first_us bigint, last_us bigint, fills bigint, pnl double",
     "a14_run_kinds": "record_id bigint, kind string, role string",
     "a15_latest_id": "run_id string",
-    "a16_a20_a22_mart": "horizon int, rows bigint, mints bigint",
+    "a16_a22_mart_cut": "horizon int, rows bigint, mints bigint, mean_quantity double, labels bigint",
     "a17_a24_merge_quality": "k bigint, verified boolean, counted boolean, ledgers bigint, uniform boolean",
-    "a18_a21_a23_slices": "o_orderkey bigint, reason string, included boolean, class string",
+    "a18_slice_inclusion": "k bigint, reason string, included boolean",
     "a19_segment_integrity": "segment bigint, expected bigint, rows bigint, corrupt bigint, status string",
+    "a1_event_log": "event_id string, kind string, slot bigint, run_id string, scenario_id string",
+    "a20_coverage": "run_id bigint, segments bigint, verified bigint, counted bigint, empty bigint, attempted bigint, bytes double, last_segment bigint",
+    "a21_slice_classes": "k bigint, blockers string, class string, collected string",
+    "a23_raw_frames": "k bigint, class string, usable boolean",
+    "a2_filtered_log": "event_id string, mint string, quote double",
+    "a3_tolerant_log": "scenario_id string, good bigint, bad bigint",
+    "a4_csv_table": "p_partkey bigint, p_name string, p_size int",
+    "a5_append_log": "status string, rows bigint, price double",
+    "a6_snapshot_chunks": "status string, rows bigint, in_bounds boolean, named boolean",
     "a7_long_features": "mint bigint, feature string, num double, txt string, flag boolean, status string",
     "a8_export_decisions": "record_id bigint, run_id string, kind string, low double, reason_codes string",
     "a9_export_fills": "l_orderkey bigint, l_linenumber int, fill_id string, position_id string, fill_us bigint, l_partkey bigint",
+    "a_mart_counts": "horizon int, rows bigint, mints bigint",
+    "a_slices_by_checks": "o_orderkey bigint, reason string, included boolean, class string",
     "b10_b11_shapes_and_tags": "o_orderkey bigint, shape string, tag string",
     "b12_enriched_curve": "p_partkey bigint, price_source string, price double, progress double, market_cap double, price_confidence double",
     "b13_b14_class_volume": "class string, user_id bigint, updates bigint, place int",
@@ -40,6 +51,11 @@ RESULTS: dict[str, str] = {
     "b8_transfer_edges": "signature bigint, funder bigint, wallet bigint, amount bigint",
     "b9_owner_delta": "l_orderkey bigint, delta bigint",
     "c10_c24_texts": "event_id bigint, hour int, weekday int, truthy boolean, level bigint, key string, slug string, reasons string",
+    "c13_client_fingerprints": "event_id bigint, fingerprint string",
+    "c17_timestamps": "o_orderkey bigint, us bigint",
+    "c20_first_gate": "o_orderkey bigint, gate string",
+    "c21_row_hash": "o_orderkey bigint, row_hash string",
+    "c22_mint_lists": "o_orderkey bigint, mints string, n int",
     "c7_c9_c14_c15_numbers": "o_orderkey bigint, share01 double, impact double, exit_impact double, bucket int, label string, mean double",
     "f10_rug": "mint bigint, dev_sold boolean, half_from_high boolean, no_buys boolean, sells_lead boolean, rug_probability double, rug_confidence double",
     "f11_cohort": "mint bigint, cohort bigint, active bigint, attention double, distance_to_best double, leader boolean",
@@ -51,6 +67,7 @@ RESULTS: dict[str, str] = {
     "f19_f20_f22_f23_snapshot": "mint bigint, available int, unavailable int, feature_hash string, critical_missing int, completeness double, quality double, trade_allowed boolean, wallet_vector_similarity double, launch_factory_id double, event_grammar_class double, path_similarity_score double, hazard_rate double, anomaly_score double",
     "f1_launch_identity": "mint bigint, name_length int, has_empty_name boolean, duplicate_name_seen bigint, name_entropy double, duplicate_symbol_seen bigint, duplicate_uri_seen bigint, uri_scheme string, uri_host string, suspicious_unicode_score double",
     "f21_t6_defence": "mint bigint, wallet bigint, seq bigint, class string, confidence double, impact double, level string, armed boolean, triggered boolean",
+    "f24_registry": "feature string, kind string, category string, available bigint, missing bigint",
     "f25_c6_metric_rows": "mint bigint, metric string, value double, confidence string",
     "f2_creator": "mint bigint, launches_seen bigint, launches_recent bigint, spam_wave boolean, age_us bigint",
     "f3_developer": "mint bigint, net_tokens double, net_quote double, sold_share double, has_sold boolean, first_sell_ms double, dev_balance double, ownership double, balance_rank int, is_top1 boolean, is_top3 boolean, is_top5 boolean, is_top10 boolean",
@@ -171,10 +188,13 @@ RESULTS: dict[str, str] = {
     "w3_mean_absolute_return": "mint bigint, at bigint, volatility double",
     "w5_w6_w7_price_path": "mint bigint, ath_us bigint, new_highs bigint, max_drawdown double, end_drawdown double, longest_gap_us bigint",
     "w8_w9_window_flow": "mint bigint, seq bigint, buy_volume double, net_flow double, buyers int",
+    "z10_gap_fail_closed": "event_id bigint, allowed boolean",
     "z1_z2_stream_rate": "user_id bigint, start_us bigint, n bigint",
     "z3_stream_sliding_flow": "mint bigint, end_us bigint, buy_volume double, net_flow double",
     "z4_stream_sessions": "user_id bigint, start_us bigint, end_us bigint, n bigint",
+    "z5_stream_ledger": "mint bigint, wallet bigint, held double, cost double, realised double",
     "z6_stream_dedup": "user_id bigint, k bigint, n bigint, seen boolean",
     "z7_stream_reconcile": "key bigint, t_us bigint, c_us bigint",
     "z8_preferred_source": "user_id bigint, source string, reports bigint",
+    "z9_replay_equals_live": "side string, positions bigint",
 }

@@ -82,3 +82,74 @@ def mart(labels: DataFrame, features: DataFrame, slices: DataFrame) -> tuple[Dat
     good = slices.where("included").select("slice_id")
     f = features.join(good, "slice_id", "left_semi")
     return labels.join(good, "slice_id", "left_semi"), f.groupBy("horizon").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("mint").alias("mints"))
+
+
+# What a slice must pass to be counted, in order, and what its failure is called.
+SLICE_CHECKS = {
+    "counted": "counted_phase107b_result_false", "r2_verified": "r2_not_verified", "artifact_consistency_ok": "artifact_consistency_not_ok", "no_sequence_gaps": "sequence_gap_count_nonzero", "no_hash_mismatches": "hash_mismatch_count_nonzero", "no_backpressure": "receiver_backpressure_count_nonzero",
+    "holder_rpc_disabled": "holder_rpc_enabled", "rpc_non_canonical": "rpc_mint_supply_canonical", "replay_disabled": "replay_enabled", "backtesting_disabled": "formal_backtesting_enabled", "tuning_disabled": "threshold_tuning_enabled", "trading_disabled": "trading_enabled",
+}
+# Blockers in the order that decides, with the class that each gives.
+BLOCKED = [
+    (["sequence_gap_count"], "SEQUENCE_GAP"), (["hash_mismatch_count"], "HASH_MISMATCH"), (["receiver_backpressure_count"], "RECEIVER_BACKPRESSURE"), (["receiver_unavailable_count"], "RECEIVER_UNAVAILABLE"), (["r2_failed", "retention_not_ok", "r2_timeout"], "R2"), (["r2_local_spool_full"], "SPOOL"),
+    (["artifact_consistency"], "ARTIFACT_CONSISTENCY"), (["asof_alpha_feature_validation"], "ASOF_ALPHA_FEATURES"), (["vps_forbidden_artifacts"], "VPS_FORBIDDEN_ARTIFACTS"), (["not_counted"], "COUNTABILITY"), (["local_rc", "remote_rc", "local_finalization_timeout", "remote_relay_timeout"], "ORCHESTRATION"),
+]
+
+
+def slice_checks(slices: DataFrame) -> DataFrame:
+    """Slices with included and all failed checks joined by ;. A slice has a flag for each of SLICE_CHECKS, or the counts that stand for it."""
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    ok = {"counted": flag("counted"), "r2_verified": flag("r2_verified"), "artifact_consistency_ok": flag("artifact_consistency_ok"), "no_sequence_gaps": none("sequence_gap_count"), "no_hash_mismatches": none("hash_mismatch_count"), "no_backpressure": none("receiver_backpressure_count")}
+    for name, column in (("holder_rpc_disabled", "holder_rpc_enabled"), ("rpc_non_canonical", "rpc_mint_supply_canonical"), ("replay_disabled", "replay_allowed"), ("backtesting_disabled", "formal_backtesting_allowed"), ("tuning_disabled", "threshold_tuning_allowed"), ("trading_disabled", "live_trading_enabled")):
+        ok[name] = ~flag(column)
+    return include_slices(slices, {SLICE_CHECKS[n]: c for n, c in ok.items()})
+
+
+def slice_class(blockers: str = "blockers") -> Column:
+    """The class of a slice by its blockers; without any, by whether there were attempts and provider gaps."""
+    b = F.col(blockers)
+    name = lambda s: F.lit(f"RELAY_LOCAL_DATASET_BLOCK_{s}")
+    quiet = F.coalesce(F.col("zero_attempt_no_signal"), F.lit(False))
+    passed = F.when(quiet & (F.coalesce("all_launches_seen", F.lit(0)) == 0), "RELAY_LOCAL_DATASET_PASS_EMPTY_NO_ATTEMPTS").when(quiet, "RELAY_LOCAL_DATASET_PASS_NO_SIGNAL").when(F.coalesce("upstream_provider_blocker_count", F.lit(0)) > 0, "RELAY_PROVIDER_GAP_CONTINUATION_PASS").otherwise("RELAY_LOCAL_DATASET_PASS")
+    out = F.when(F.coalesce(F.size(b), F.lit(0)) <= 0, passed)
+    for flags, short in BLOCKED:
+        met = F.arrays_overlap(b, F.array(*[F.lit(f) for f in flags]))
+        if short == "COUNTABILITY":
+            out = out.when(met & (F.coalesce("provider_blocker_class", F.lit("")) != ""), name("PROVIDER"))
+        out = out.when(met, name(short))
+    return out.otherwise(name("STRUCTURAL"))
+
+
+def collection_class() -> Column:
+    """The class of a slice that passed, by what it collected."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    quiet, off = F.coalesce("zero_attempt_no_signal", F.lit(False)), F.coalesce("replay_allowed", F.lit(False))
+    return (
+        F.when(quiet & (n("all_launches_seen") == 0), "RELAY_LOCAL_DATASET_PASS_EMPTY_NO_ATTEMPTS")
+        .when(quiet, "RELAY_LOCAL_DATASET_PASS_NO_SIGNAL")
+        .when((n("candidate_checkpoint_count") > 0) | ((n("replay_eligible_count") > 0) & off), "RELAY_COLLECTION_PASS_REVIEW_CANDIDATE")
+        .when(n("upstream_provider_blocker_count") > 0, "RELAY_COLLECTION_PASS_PROVIDER_GAP_CONTINUED")
+        .otherwise("RELAY_COLLECTION_PASS_COUNTED_NO_CANDIDATE")
+    )
+
+
+def raw_frames_class() -> Column:
+    """Where a slice's raw frames are; usable where the class says AVAILABLE."""
+    f = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    stored = F.coalesce("r2_count", F.lit(0)) > 0
+    return (
+        F.when(f("local_present") & stored, "RAW_FRAMES_AVAILABLE_LOCAL_AND_R2")
+        .when(f("local_present"), "RAW_FRAMES_AVAILABLE_LOCAL")
+        .when(stored, "RAW_FRAMES_AVAILABLE_R2")
+        .when(f("pruned"), "RAW_FRAMES_PRUNED_AFTER_VERIFICATION")
+        .when((F.coalesce("frames_received", F.lit(0)) == 0) & ~f("relay_manifest_present"), "RAW_FRAMES_NOT_CAPTURED")
+        .when(~f("completed") | (f("r2_present") & ~f("retention_ok")), "RAW_FRAMES_UNVERIFIED_ABORTED_RUN")
+        .otherwise("RAW_FRAMES_UNKNOWN_NEEDS_MANUAL_REVIEW")
+    )
+
+
+def coverage(segments: DataFrame, run: str = "run_id") -> DataFrame:
+    """Per run: segments, how many are verified, counted and empty, launches attempted, bytes held, the last segment's number."""
+    flag = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
+    return segments.groupBy(run).agg(F.count(F.lit(1)).alias("segments"), flag("verified").alias("verified"), flag("counted").alias("counted"), F.count_if(F.coalesce("attempted", F.lit(0)) == 0).alias("empty"), F.coalesce(F.sum("attempted"), F.lit(0)).alias("attempted"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.max("segment").alias("last_segment"))

@@ -48,6 +48,15 @@ def reconciled(tentative: DataFrame, canonical: DataFrame, ttl: str, late: str)
 LEDGER = T.StructType([T.StructField("mint", T.LongType()), T.StructField("wallet", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("held", T.DoubleType()), T.StructField("cost", T.DoubleType()), T.StructField("realised", T.DoubleType())])
 
 
+def step(held: float, cost: float, realised: float, side: str, tokens: float, quote: float) -> tuple[float, float, float]:
+    """A position at average cost after one more trade; what is sold beyond what is held brings nothing."""
+    if side == "buy":
+        return held + tokens, cost + quote, realised
+    gone = min(tokens, held)
+    basis = cost / held * gone if held > 0 else 0.0
+    return held - gone, cost - basis, realised + (quote * gone / tokens if tokens > 0 else 0.0) - basis
+
+
 class Ledger(StatefulProcessor):
     """The average-cost position of a (mint, wallet) after each of its trades; trades of one batch are taken in order of seq."""
 
@@ -58,13 +67,7 @@ class Ledger(StatefulProcessor):
         held, cost, realised = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0)
         out = []
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if r.side == "buy":
-                held, cost = held + r.tokens, cost + r.quote
-            else:
-                gone = min(r.tokens, held)
-                basis = cost / held * gone if held > 0 else 0.0
-                realised += (r.quote * gone / r.tokens if r.tokens > 0 else 0.0) - basis
-                held, cost = held - gone, cost - basis
+            held, cost, realised = step(held, cost, realised, r.side, r.tokens, r.quote)
             out.append((key[0], key[1], r.seq, held, cost, realised))
         self.state.update((held, cost, realised))
         yield pd.DataFrame(out, columns=[f.name for f in LEDGER.fields])
@@ -77,6 +80,21 @@ def ledger(trades: DataFrame) -> DataFrame:
     return trades.groupBy("mint", "wallet").transformWithStateInPandas(Ledger(), LEDGER, "append", "none")
 
 
+def positions(trades: DataFrame) -> DataFrame:
+    """T1, Z5 as `ledger`, with the state in grouped pandas: it needs no particular state store. Trades of one batch are taken in order of (us, seq)."""
+
+    def fold(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held, cost, realised = state.get if state.exists else (0.0, 0.0, 0.0)
+        out = []
+        for r in pd.concat(list(parts)).sort_values(["us", "seq"]).itertuples():
+            held, cost, realised = step(held, cost, realised, r.side, r.tokens, r.quote)
+            out.append((key[0], key[1], r.seq, held, cost, realised))
+        state.update((held, cost, realised))
+        yield pd.DataFrame(out, columns=[f.name for f in LEDGER.fields])
+
+    return trades.groupBy("mint", "wallet").applyInPandasWithState(fold, LEDGER, "held double, cost double, realised double", "append", "NoTimeout")
+
+
 def newest_versions(updates: DataFrame, key: str, version: str) -> DataFrame:
     """B2: updates whose version is above all that came before for their key; versions of one batch are taken in order of arrival."""
 
