@@ -64,14 +64,22 @@ RESULTS: dict[str, str] = {
     "f15_holder_lifecycle": "mint bigint, age_us bigint, retention_10 double, retention_20 double, half_life_s double",
     "f16_f18_fingerprints_and_fees": "mint bigint, dominant_share double, diversity double, fee_median double, fee_p90 double, fee_spike boolean, war_score double",
     "f17_funding_profile": "funder bigint, wallets bigint, amount double, mean_amount double, density double, burst boolean, multi_launch bigint",
+    "f18_fee_columns": "mint bigint, launch_priority_fee_median double, launch_priority_fee_p90 double, pump_buy_priority_fee_median double, pump_sell_priority_fee_median double, first_buyers_priority_fee_median double, priority_fee_spike_near_launch boolean, our_required_priority_fee_estimate double, fee_war_score double, minimum_move_to_cover_observed_fees double, edge_minus_fee_war_cost double, high_fee_low_edge_warning boolean",
+    "f19_execution_columns": "mint bigint, first_seen_by_shred_ns bigint, shred_lead_time_ms double, token_signal_available_before_geyser_flag boolean, slot_id bigint, competition_intensity_score double, counterfactual_buy_after_100ms_pnl double, latency_adjusted_trade_eligibility double",
     "f19_f20_f22_f23_snapshot": "mint bigint, available int, unavailable int, feature_hash string, critical_missing int, completeness double, quality double, trade_allowed boolean, wallet_vector_similarity double, launch_factory_id double, event_grammar_class double, path_similarity_score double, hazard_rate double, anomaly_score double",
+    "f1_launch_columns": "mint bigint, launch_slot bigint, quote_mint string, creator_wallet string, payer_wallet string, bonding_curve_pubkey string, associated_bonding_curve_pubkey string, metadata_pubkey string, create_instruction_variant string, launch_same_tx_buy_count int, launch_same_slot_buy_count int, launch_tx_client_fingerprint string, time_since_launch_ms bigint, quote_asset_type string, token_program_type string, first_seen_source string, name_length int, symbol_length int, uri_length int, has_empty_name boolean, has_empty_symbol boolean, has_empty_uri boolean, name_entropy double, symbol_entropy double, uri_entropy double, duplicate_name_seen_historically bigint, duplicate_symbol_seen_historically bigint, duplicate_uri_seen_historically bigint, suspicious_unicode_score double, uri_scheme string",
     "f1_launch_identity": "mint bigint, name_length int, has_empty_name boolean, duplicate_name_seen bigint, name_entropy double, duplicate_symbol_seen bigint, duplicate_uri_seen bigint, uri_scheme string, uri_host string, suspicious_unicode_score double",
+    "f20_data_quality_columns": "mint bigint, geyser_connected_flag boolean, shred_connected_flag boolean, source_disagreement_flag boolean, critical_feature_missing_count bigint, feature_completeness_pct double, data_quality_score double, trade_allowed_data_quality_flag boolean",
     "f21_t6_defence": "mint bigint, wallet bigint, seq bigint, class string, confidence double, impact double, level string, armed boolean, triggered boolean",
+    "f23_placeholders": "mint bigint, feature string, status string",
     "f24_registry": "feature string, kind string, category string, available bigint, missing bigint",
     "f25_c6_metric_rows": "mint bigint, metric string, value double, confidence string",
     "f2_creator": "mint bigint, launches_seen bigint, launches_recent bigint, spam_wave boolean, age_us bigint",
+    "f2_creator_columns": "mint bigint, creator_age_in_local_index bigint, creator_total_launches_seen bigint, creator_launches_last_1h bigint, creator_cluster_id string, creator_reuses_same_payer boolean, creator_reuses_same_metadata_domain boolean, creator_launching_spam_wave_flag boolean",
     "f3_developer": "mint bigint, net_tokens double, net_quote double, sold_share double, has_sold boolean, first_sell_ms double, dev_balance double, ownership double, balance_rank int, is_top1 boolean, is_top3 boolean, is_top5 boolean, is_top10 boolean",
+    "f3_developer_columns": "mint bigint, creator_initial_token_balance double, dev_balance double, creator_retained_supply_pct double, dev_holding_pct_total_supply double, dev_holding_pct_curve_economic_supply double, dev_holding_pct_circulating double, creator_ownership_pct double, token_supply_selected_for_holder_pct string, creator_net_tokens_after_10s double, creator_net_tokens_after_30s double, creator_net_tokens_after_1m double, creator_net_tokens_after_5m double, creator_net_quote_flow_after_10s double, creator_net_quote_flow_after_30s double, creator_net_quote_flow_after_1m double, creator_net_quote_flow_after_5m double, creator_has_sold boolean, creator_first_sell_time_ms bigint, creator_dump_velocity double, creator_balance_rank bigint, creator_is_top1_holder boolean, creator_is_top3_holder boolean, creator_is_top5_holder boolean, creator_is_top10_holder boolean",
     "f4_c1_c5_curve": "mint bigint, price double, market_cap double, progress double, depth double",
+    "f4_curve_columns": "mint bigint, virtual_quote_reserves double, virtual_token_reserves double, real_quote_reserves double, real_token_reserves double, token_decimals int, price_lamports_per_raw_token double, price_sol_per_token double, reserve_price_confidence double, price_current double, price_launch double, price_change_from_launch_pct double, market_cap_quote_1b double, market_cap_quote_total_supply double, token_supply_curve_economic_ui double, token_supply_protocol_constant_ui double, token_supply_selected_for_market_cap string, token_supply_selected_for_curve_progress string, supply_denominator_policy_version string, market_cap_confidence double, curve_complete_flag boolean, curve_progress_pct double, curve_completion_pct double, curve_progress_confidence double, curve_staleness_ms bigint, quote_asset_specific_depth_score double, quote_asset_specific_curve_health double",
     "f5_f6_trade_flow": "mint bigint, buy_median double, buy_p90 double, sell_median double, sell_p90 double, first10_buy_ratio double, count_ratio double, volume_ratio double, breadth double",
     "f7_f8_holders": "mint bigint, holders bigint, mean_balance double, median_balance double, p90_balance double, whales bigint, whale_share double, top1_is_creator boolean, concentration_risk double, confidence double",
     "f9_bundle": "mint bigint, first_buyers bigint, same_slot bigint, identical_amounts bigint, pairs bigint, top_share double, bundle_risk double, bundle_confidence double",
@@ -187,6 +195,7 @@ RESULTS: dict[str, str] = {
     "w2_w4_window_returns": "mint bigint, seq bigint, return_43200s double, velocity_43200s double, return_172800s double, velocity_172800s double",
     "w3_mean_absolute_return": "mint bigint, at bigint, volatility double",
     "w5_w6_w7_price_path": "mint bigint, ath_us bigint, new_highs bigint, max_drawdown double, end_drawdown double, longest_gap_us bigint",
+    "w6_drawdowns": "mint bigint, max_drawdown double, drawdown_from_ath double, drawdown_from_launch double, below_launch_us bigint",
     "w8_w9_window_flow": "mint bigint, seq bigint, buy_volume double, net_flow double, buyers int",
     "z10_gap_fail_closed": "event_id bigint, allowed boolean",
     "z1_z2_stream_rate": "user_id bigint, start_us bigint, n bigint",
