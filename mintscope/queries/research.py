@@ -251,7 +251,7 @@ def _mean(cols):
     t AS (SELECT mint, {' + '.join(f'({n} IS NOT NULL)::INT' for n in _FAMILIES)} AS available, concat_ws(',', {', '.join(f"CASE WHEN {n} IS NULL THEN '{n}' END" for n in sorted(_FAMILIES))}) AS unavailable, {' + '.join(_k(n) for n in _FAMILIES)} AS s FROM e)
     SELECT mint, available, unavailable, CASE WHEN available > 0 THEN s / available END AS total,
         CASE WHEN available = 0 THEN 'unavailable' WHEN s / available >= 0.6 THEN 'elevated' WHEN s / available >= 0.4 THEN 'mixed' ELSE 'calm' END AS classification FROM t""")
-def r8_r9_evidence(spark, sf_dir):
+def r_evidence_families(spark, sf_dir):
     return R.evidence(score_features(spark, sf_dir), _FAMILIES, "mint")
 
 
@@ -268,7 +268,7 @@ def r15_exits(spark, sf_dir):
 @query(f"""WITH {_FEATURES}, x AS (SELECT *, mint % 300 AS age FROM f)
     SELECT mint, 'developer_exit' AS rule, CASE WHEN age < 10 THEN 'too_early' WHEN dev_sold_pct IS NULL THEN 'unavailable' WHEN dev_sold_pct >= 0.8 THEN 'hit' ELSE 'miss' END AS outcome FROM x
     UNION ALL SELECT mint, 'collapse', CASE WHEN age < 60 THEN 'too_early' WHEN drawdown_from_ath_pct IS NULL OR top1_holder_pct IS NULL THEN 'unavailable' WHEN drawdown_from_ath_pct >= 0.8 AND top1_holder_pct > 0.3 THEN 'hit' ELSE 'miss' END FROM x""")
-def r16_r17_rules(spark, sf_dir):
+def r16_table_rules(spark, sf_dir):
     x = score_features(spark, sf_dir).withColumn("age_seconds", F.col("mint") % 300)
     return R.rules(x, [("developer_exit", ["dev_sold_pct"], F.col("dev_sold_pct") >= 0.8, 10), ("collapse", ["drawdown_from_ath_pct", "top1_holder_pct"], (F.col("drawdown_from_ath_pct") >= 0.8) & (F.col("top1_holder_pct") > 0.3), 60)], "mint")
 
@@ -321,7 +321,7 @@ def asof(spark, sf_dir):
 
 
 @query(with_views("ev", sql=_ASOF + " SELECT * FROM asof_"))
-def l1_l4_asof_features(spark, sf_dir):
+def l2_l3_asof_features(spark, sf_dir):
     return asof(spark, sf_dir)
 
 
@@ -339,7 +339,7 @@ def _outcomes(spark, sf_dir):
 
 
 @query(with_views("ev", sql=_OUTCOME + " SELECT * FROM s"))
-def l5_l7_positive_outcomes(spark, sf_dir):
+def l5_positive_outcomes(spark, sf_dir):
     return _outcomes(spark, sf_dir)
 
 
@@ -366,7 +366,7 @@ def p16_ablation(spark, sf_dir):
 
 @query(with_views("ev", sql=_ASOF + """, x AS (SELECT mint, horizon, net_flow IS NOT NULL AND buys > 0 AS complete FROM asof_), c AS (SELECT mint, count(*) FILTER (complete) AS n, max(horizon) FILTER (complete) AS reached, arg_min(horizon, horizon) FILTER (NOT complete) AS first_gap FROM x GROUP BY mint)
     SELECT mint, n AS complete_horizons, reached, CASE WHEN n = 5 THEN 'included' WHEN n = 0 THEN 'no_complete_horizon' WHEN first_gap <= 3 THEN 'early_gap' ELSE 'late_gap' END AS status FROM c"""))
-def p17_p18_complete_cohort(spark, sf_dir):
+def p_complete_horizons(spark, sf_dir):
     x = asof(spark, sf_dir).withColumn("complete", F.col("net_flow").isNotNull() & (F.col("buys") > 0))
     x = x.withColumn("complete", F.coalesce("complete", F.lit(False)))
     c = x.groupBy("mint").agg(F.count_if("complete").alias("complete_horizons"), F.max(F.when(F.col("complete"), F.col("horizon"))).alias("reached"), F.min(F.when(~F.col("complete"), F.col("horizon"))).alias("gap"))

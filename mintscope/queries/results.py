@@ -102,9 +102,12 @@ RESULTS: dict[str, str] = {
     "k3_k4_backtest": "trades bigint, total_pnl double, net_pnl double, fee_drag double, slippage_drag double, hit_rate double",
     "k5_k7_mark_to_market": "position bigint, mint bigint, tokens double, price double, value double, pnl double",
     "k5_token_labels": "mint bigint, oracle_pnl double, realistic_pnl double, scalpable boolean, rug boolean, profitable boolean",
-    "l1_l4_asof_features": "mint bigint, horizon int, asof_us bigint, reached boolean, buys bigint, sells bigint, volume double, net_flow double, wallets bigint",
-    "l5_l7_positive_outcomes": "mint bigint, horizon int, strength string",
+    "l1_mint_labels": "slice_id bigint, segment_id bigint, mint string, final_outcome string, final_outcome_reason string, rejection_reason string, terminal_inconclusive_reason string, time_to_rejection_ms bigint, time_to_terminal_ms bigint, provider_gap_exposed boolean, relay_gap_exposed boolean, sequence_gap_exposed boolean, hash_mismatch_exposed boolean, receiver_backpressure_exposed boolean, candidate_checkpoint_seen boolean, replay_eligible boolean, clean_negative_label boolean, clean_positive_label boolean, censored_label boolean, label_quality string",
+    "l2_l3_asof_features": "mint bigint, horizon int, asof_us bigint, reached boolean, buys bigint, sells bigint, volume double, net_flow double, wallets bigint",
+    "l4_merge_alpha": "k bigint, asof_alpha_feature_available boolean, asof_alpha_trade_delta_available boolean, asof_alpha_holder_state_available boolean, asof_alpha_vault_curve_available boolean, tracked_at_least_horizon boolean, provider_gap_exposed boolean, relay_gap_exposed boolean, sequence_gap_exposed boolean, hash_mismatch_exposed boolean, receiver_backpressure_exposed boolean",
+    "l5_positive_outcomes": "mint bigint, horizon int, strength string",
     "l6_validation_rows": "mint bigint, horizon int, favourable double, adverse double, time_to_peak int, could_exit boolean",
+    "l7_validation_features": "k bigint, curve double, note string, horizon_reached boolean, data_complete_for_horizon boolean",
     "l8_best_label": "mint bigint, strength string, horizons bigint, first_horizon int, last_horizon int, class string",
     "p10_replay_blockers": "k bigint, blocker string, root_cause string, action string",
     "p11_continue_gap": "k bigint, first_failed_gate string, gap string",
@@ -114,7 +117,8 @@ RESULTS: dict[str, str] = {
     "p14_missed_winners": "mint bigint, later_mfe double, later_mae double, opportunity double, executable boolean, gate_blocked string, admits_losers boolean, classification string",
     "p15_inactive_strategies": "strategy string, evaluated bigint, candidates bigint, near bigint, top_blockers string, threshold_blockers string, signal string",
     "p16_ablation": "blocker string, blocked bigint, recovered_winners bigint, admitted_losers bigint",
-    "p17_p18_complete_cohort": "mint bigint, complete_horizons bigint, reached int, status string",
+    "p17_feature_complete_cohort": "k bigint, reason string, cohort string",
+    "p18_survivor_diagnostics": "mint bigint, slice_id bigint, observed_seconds bigint, horizons_reached string, candidate_gates_passed string, first_failed_candidate_gate string, censored boolean, data_quality_excluded boolean, missing_asof_features boolean, decision string",
     "p1_early_avoid_bins": "k bigint, decision string, reasons string",
     "p1_early_avoid_v0": "k bigint, decision string, reasons string, score string",
     "p1_early_avoid_v1": "k bigint, decision string, reasons string",
@@ -131,6 +135,7 @@ RESULTS: dict[str, str] = {
     "p7_early_burst_in_out_v0": "k bigint, decision string, reasons string, prefilter string, top_blocker string, curve_progress_bin string, buy_sell_followthrough_bin string, volume_followthrough_bin string, holder_growth_bin string, sell_pressure_bin string, holder_dev_risk_bin string, liquidity_risk_bin string",
     "p8_survivor_runner": "k bigint, decision string, reasons string, prefilter string, top_blocker string, survival_horizon_bin string, holder_growth_bin string, holder_stability_bin string, curve_progress_bin string, sell_pressure_bin string, liquidity_risk_bin string, holder_dev_risk_bin string",
     "p9_early_burst_in_out_v1": "k bigint, v1_decision string, v1_reasons string, v1_top_blocker string, guard_decision string, guard_reasons string, replay_blocker string",
+    "p_complete_horizons": "mint bigint, complete_horizons bigint, reached int, status string",
     "q1_q3_leakage_audit": "check string, key string",
     "q2_label_audit": "check string, mint bigint",
     "r10_composites": "mint bigint, momentum_raw double, momentum double, momentum_confidence double, holder_quality_raw double, holder_quality double, holder_quality_confidence double, fee_adjusted_edge_raw double, fee_adjusted_edge double, fee_adjusted_edge_confidence double, liquidity_raw double, liquidity double, liquidity_confidence double, latency_raw double, latency double, latency_confidence double, relative_strength_raw double, relative_strength double, relative_strength_confidence double, stickiness_raw double, stickiness double, stickiness_confidence double, absorption_raw double, absorption double, absorption_confidence double, rotation_raw double, rotation double, rotation_confidence double, overhang_raw double, overhang double, overhang_confidence double, authenticity_raw double, authenticity double, authenticity_confidence double, anti_rug_raw double, anti_rug double, anti_rug_confidence double, eligibility_raw double, eligibility double, eligibility_confidence double",
@@ -140,7 +145,9 @@ RESULTS: dict[str, str] = {
     "r14_entry_decisions": "mint bigint, strategy string, decision string, blocked_by string, decision_reasons string",
     "r15_exit_decisions": "mint bigint, strategy string, gain double, exit_by string, decision string",
     "r15_exits": "position bigint, mint bigint, rule string, exit_us bigint, exit_price double",
-    "r16_r17_rules": "mint bigint, rule string, outcome string",
+    "r16_early_rules": "mint bigint, rule string, pre_entry_safe boolean, outcome string",
+    "r16_table_rules": "mint bigint, rule string, outcome string",
+    "r17_rug_outcomes": "mint bigint, horizon int, drawdown double, buys bigint, collapsed_80 boolean, collapsed_95 boolean, no_buy_followthrough boolean, volume_evaporated boolean, holder_collapse boolean",
     "r1_rug_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
     "r2_bundle_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
     "r3_dev_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
@@ -148,7 +155,9 @@ RESULTS: dict[str, str] = {
     "r5_fake_momentum_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
     "r6_data_quality_risk": "mint bigint, score double, confidence double, severity string, reasons string, missing_penalty double, action string",
     "r7_assessment": "mint bigint, rug double, bundle double, dev double, top_holder double, fake_momentum double, data_quality double, overall double, overall_confidence double, severity string, policy string, reasons string",
-    "r8_r9_evidence": "mint bigint, available int, unavailable string, total double, classification string",
+    "r8_diagnostic_risk": "mint bigint, total double, stream_only double, enrichment double, confidence double, evidence_count int, classification string, unavailable string, pre_entry_safe string, blocking string, supply_status string",
+    "r9_time_role_leaks": "mint bigint, risk_id string, role string",
+    "r_evidence_families": "mint bigint, available int, unavailable string, total double, classification string",
     "s1_walk_forward": "mint bigint, split string",
     "s2_two_sided_embargo": "mint bigint, split string",
     "s3_readiness": "positive bigint, negative bigint, mints bigint, completeness double, blockers string, decision string",
