@@ -91,7 +91,7 @@ def u11_creator_state(spark, sf_dir):
 @query(with_views("ev", sql="""
     SELECT mint, sum(quote) FILTER (side = 'buy') AS buy_volume, count(*) FILTER (side = 'buy') AS buys FROM ev GROUP BY mint
     ORDER BY buy_volume DESC, buys DESC, mint LIMIT 10"""))
-def u12_u13_top_mints(spark, sf_dir):
+def u13_top_mints(spark, sf_dir):
     return A.top_mints(A.trade_stats(ev_trades(spark, sf_dir)).select("mint", "buys", "sells", "buy_volume"), 10)
 
 
@@ -114,7 +114,7 @@ def u14_reason_histogram(spark, sf_dir):
 @query(f"""WITH {_REASONS}, c AS (SELECT l_linestatus, code, count(*) AS count FROM r GROUP BY 1, 2),
     p AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY count DESC, code) AS place FROM c)
     SELECT * FROM p WHERE place <= 3""")
-def u18_u25_top_reasons(spark, sf_dir):
+def u18_top_reasons(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     return A.top_reasons(lines.select("l_linestatus", _reasons().alias("codes")), ["l_linestatus"], "codes", 3)
 
@@ -145,7 +145,7 @@ def u16_edge_calibration(spark, sf_dir):
         SELECT 'all' AS cohort, * FROM o UNION ALL SELECT 'large', * FROM o WHERE o_totalprice >= 300000
         UNION ALL SELECT 'open', * FROM o WHERE o_orderstatus = 'O' UNION ALL SELECT 'sampled', * FROM o WHERE k)
     SELECT cohort, count(*) AS rows, avg((o_totalprice > 150000)::INT) AS hit_rate, avg((o_orderstatus = 'F')::INT) AS done_rate FROM c GROUP BY cohort""")
-def u17_u19_u20_u21_cohort_rates(spark, sf_dir):
+def u20_cohort_rates(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     cohorts = {"all": F.lit(True), "large": F.col("o_totalprice") >= 300000, "open": F.col("o_orderstatus") == "O", "sampled": F.col("o_custkey") % 20 == 0}
     return A.overlapping_rates(o, cohorts, {"hit_rate": F.col("o_totalprice") > 150000, "done_rate": F.col("o_orderstatus") == "F"})
@@ -154,7 +154,7 @@ def u17_u19_u20_u21_cohort_rates(spark, sf_dir):
 @query("""
     SELECT unnest(['rows', 'open', 'mean_price', 'max_price']) AS metric,
         unnest([count(*)::DOUBLE, count(*) FILTER (o_orderstatus = 'O')::DOUBLE, avg(o_totalprice), max(o_totalprice)]) AS value FROM orders""")
-def u22_u26_u28_long_summary(spark, sf_dir):
+def u_long_summary(spark, sf_dir):
     return A.long_summary(table(spark, sf_dir, "orders"), {"rows": F.count(F.lit(1)), "open": F.count_if(F.col("o_orderstatus") == "O"), "mean_price": F.avg("o_totalprice"), "max_price": F.max("o_totalprice")})
 
 

@@ -172,21 +172,29 @@ RESULTS: dict[str, str] = {
     "t9_calibration": "source string, samples bigint, true_positive bigint, false_positive bigint, missed bigint, mean_latency_us double, precision double, recall double",
     "u10_wallet_summary": "wallet bigint, first_us bigint, last_us bigint, mints bigint, bought double, sold double",
     "u11_creator_state": "mint bigint, wallet bigint, net_tokens double, net_quote double, first_sell_us bigint, sold_share double",
-    "u12_u13_top_mints": "mint bigint, buy_volume double, buys bigint",
+    "u12_compact_tokens": "mint bigint, lifecycle string, latest_price double, holder_count bigint, top1_holder_pct double, creator_sold_pct double, canonical_trade_count bigint, reason_codes string",
+    "u13_top_mints": "mint bigint, buy_volume double, buys bigint",
     "u14_reason_histogram": "code string, count bigint",
     "u15_strategy_attribution": "strategy string, fills bigint, wins bigint, net_pnl double, best double, status_O bigint, status_F bigint, status_P bigint",
     "u16_edge_calibration": "expected double, realised double, gap double, entered bigint, watched bigint",
-    "u17_u19_u20_u21_cohort_rates": "cohort string, rows bigint, hit_rate double, done_rate double",
-    "u18_u25_top_reasons": "l_linestatus string, code string, count bigint, place int",
+    "u17_label_counts": "total bigint, unique_mints bigint, clean_negative bigint, censored bigint, clean_positive bigint, candidate_checkpoint bigint, replay_eligible bigint, forward_window_observed bigint, positive bigint, high_positive bigint, positive_or_high bigint, positive_or_high_strength bigint, positive_not_candidates bigint, strong_censored_or_invalid bigint, replay_eligible_positive bigint",
+    "u18_top_reasons": "l_linestatus string, code string, count bigint, place int",
+    "u19_track_metrics": "rows_scored bigint, unique_mints bigint, review_candidates bigint, review_mints bigint, positive_high_captured bigint, high_captured bigint, dead_rejected bigint, excluded bigint, candidate_checkpoints bigint, replay_eligible bigint",
     "u1_trade_stats": "mint bigint, buys bigint, sells bigint, buy_volume double, sell_volume double, unique_buyers bigint, unique_sellers bigint, ath double, atl double, latest_price double, first_price double, last_buy_us bigint, last_sell_us bigint, first_large_sell_us bigint",
-    "u22_u26_u28_long_summary": "metric string, value double",
+    "u20_cohort_rates": "cohort string, rows bigint, hit_rate double, done_rate double",
+    "u21_cohort_comparison": "cohort string, rows bigint, unique_mints bigint, rejected string, throughput string, never string, outcome string",
+    "u22_exit_windows": "metric string, value bigint",
     "u23_u24_missingness": "horizon string, feature_group string, rows bigint, present_ratio double, complete bigint",
+    "u25_gate_funnel": "metric string, value bigint",
+    "u26_root_causes": "rows bigint, positive_or_high_rows bigint, high_positive_rows bigint, candidate_checkpoint_rows bigint, replay_eligible_rows bigint, promoted_rows bigint, clean_blocked_rows bigint, collection_rows bigint, mismatch_rows bigint, collection_primary boolean, strictness_primary boolean, separate_type_needed boolean",
+    "u28_policy_comparison": "shadow_rows bigint, shadow_mints bigint, high_positive_rows bigint, high_positive_promoted bigint, high_positive_mints bigint, dead_promoted bigint, admitted_would_reject bigint, blocked_would_promote bigint, rejected_later_positive bigint, promoted_later_positive bigint, promoted_later_high bigint, captures_all boolean",
     "u29_source_metrics": "source string, events bigint, users bigint, duplicates bigint",
     "u2_percentiles": "mint bigint, p50 double, p90 double",
     "u3_u4_u5_concentration": "mint bigint, holders bigint, supply double, gini double, hhi double, top1_pct double, top3_pct double, top5_pct double, top10_pct double, top20_pct double",
     "u6_u7_top_share_without_owners": "mint bigint, holders bigint, top_pct double",
     "u8_dominant_share": "mint bigint, max_group bigint, dominant_share double, groups bigint",
     "u9_identical_amounts": "mint bigint, identical_amounts bigint",
+    "u_long_summary": "metric string, value double",
     "w10_first_buyers": "mint bigint, wallet bigint, place int, us bigint, quote double",
     "w11_holding_times": "mint bigint, wallets bigint, mean_seconds double, max_seconds double",
     "w12_retention": "mint bigint, retention double",
