@@ -221,3 +221,93 @@ def price_path(trades: DataFrame, starts: DataFrame) -> DataFrame:
         F.when(F.min("start_price") > 0, F.greatest(F.lit(0.0), (F.min("start_price") - last) / F.min("start_price"))).alias("drawdown_from_launch"),
         F.sum(below).alias("below_launch_us"),
     )
+
+
+WINDOWS = {"30s": 30, "1m": 60, "5m": 300}
+
+
+def price_columns(trades: DataFrame, anchors: DataFrame, windows: dict[str, int] = WINDOWS) -> DataFrame:
+    """F5, 14 columns, at each mint's observed_us; anchors: mint, observed_us, launch_us, launch_price; windows: seconds by name (volatility of the first two, velocity of the first)."""
+    order = Window.partitionBy("mint").orderBy("us", "seq")
+    x = trades.join(anchors, "mint").where("us <= observed_us").withColumns({"p0": F.lag("price").over(order), "u0": F.lag("us").over(order), "run": F.max("price").over(order.rowsBetween(Window.unboundedPreceding, -1))})
+    price, at = F.col("price"), F.struct("us", "seq")
+    since = lambda s: F.col("us") >= F.col("observed_us") - s * 1_000_000
+    first = {n: F.min_by(F.when(since(s), F.struct("price", "us")), F.when(since(s), at)).alias(f"first_{n}") for n, s in windows.items()}
+    names = list(windows)
+    moves = {n: F.avg(F.when((F.col("u0") >= F.col("observed_us") - windows[n] * 1_000_000) & (F.col("p0") > 0), F.abs((price - F.col("p0")) / F.col("p0")))).alias(f"realized_volatility_{n}") for n in names[:2]}
+    y = x.groupBy("mint", "observed_us", "launch_us", "launch_price").agg(
+        F.max("price").alias("price_high"), F.min("price").alias("price_low"), F.max_by("price", at).alias("latest"), F.min_by("us", F.struct((-price).alias("p"), "us", "seq")).alias("ath_us"),
+        F.count_if((price > 0) & (price > F.coalesce("run", F.lit(0.0)))).alias("new_ath_frequency"), F.avg((price < F.col("launch_price")).cast("double")).alias("below"), F.bool_or(F.col("side") == "sell").alias("sold"), *first.values(), *moves.values(),
+    )
+    latest, high, launch = F.col("latest"), F.col("price_high"), F.col("launch_price")
+    v = names[0]
+    elapsed = F.expr(f"(observed_us - first_{v}.us) div 1000")
+    return y.select(
+        "mint", "price_high", "price_low", F.when(high > 0, (high - latest) / high).alias("drawdown_from_ath_pct"), F.when(launch > 0, F.greatest(launch - latest, F.lit(0.0)) / launch).alias("drawdown_from_launch_pct"),
+        *[F.when(F.col(f"first_{n}.price") > 0, (latest - F.col(f"first_{n}.price")) / F.col(f"first_{n}.price")).alias(f"return_pct_{n}") for n in names], *[f"realized_volatility_{n}" for n in names[:2]],
+        F.when(elapsed > 0, (latest - F.col(f"first_{v}.price")) / elapsed).alias(f"price_velocity_{v}"), F.when(F.col("launch_us").isNotNull(), F.greatest(F.lit(0), F.expr("(ath_us - launch_us) div 1000"))).alias("time_to_ath_ms"),
+        F.when(launch > 0, F.col("below")).otherwise(F.lit(0.0)).alias("time_below_launch_price_pct"), "new_ath_frequency", F.when((high > 0) & F.col("sold"), F.greatest(high - latest, F.lit(0.0))).alias("post_ath_selloff_velocity"),
+    )
+
+
+def flow_columns(trades: DataFrame, shares: DataFrame) -> DataFrame:
+    """F6, 20 columns; shares: mint, top5_share, dev_sold (missing counts as 0). Medians and p90 are lower ranks."""
+    s = A.trade_stats(trades)
+    big = trades.groupBy("mint").agg(F.max(F.when(F.col("side") == "buy", F.col("quote"))).alias("largest_buy_quote"), F.max(F.when(F.col("side") == "sell", F.col("quote"))).alias("largest_sell_quote"))
+    x = s.join(big, "mint")
+    for side in ("buy", "sell"):
+        x = x.join(A.percentiles(trades.where(F.col("side") == side), ["mint"], "quote", [50, 90]).select("mint", F.col("p50").alias(f"median_{side}_size_quote"), F.col("p90").alias(f"p90_{side}_size_quote")), "mint", "left")
+    ten = W.first_trades(trades, 10).groupBy("mint").agg(F.avg((F.col("side") == "buy").cast("double")).alias("first_10_trades_buy_ratio"))
+    gap = W.price_path(trades).select("mint", F.expr("coalesce(longest_gap_us, 0) div 1000").alias("no_buy_gap_longest_ms"))
+    x = x.join(ten, "mint", "left").join(gap, "mint", "left").join(shares, "mint", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    breadth = F.when(F.col("buys") > 0, F.col("unique_buyers") / F.col("buys")).otherwise(F.lit(0.0))
+    organic = clamp01(breadth * clamp01(1 - zero("top5_share")))
+    return x.select(
+        "mint", F.col("buys").alias("buy_count"), F.col("sells").alias("sell_count"), (F.col("buys") + F.col("sells")).alias("trade_count"), "unique_buyers", "unique_sellers", F.col("buy_volume").alias("buy_volume_quote"), F.col("sell_volume").alias("sell_volume_quote"), (F.col("buy_volume") - F.col("sell_volume")).alias("net_flow_quote"),
+        F.when(F.col("sells") > 0, F.col("buys") / F.col("sells")).alias("buy_sell_count_ratio"), F.when(F.col("sell_volume") > 0, F.col("buy_volume") / F.col("sell_volume")).alias("buy_sell_volume_ratio"), "largest_buy_quote", "largest_sell_quote", "median_buy_size_quote", "median_sell_size_quote", "p90_buy_size_quote", "p90_sell_size_quote",
+        "first_10_trades_buy_ratio", "no_buy_gap_longest_ms", organic.alias("organic_flow_score"), clamp01(1 - organic + zero("dev_sold")).alias("toxic_flow_score"),
+    )
+
+
+COUNTERS = ["holder_updates_seen", "holder_updates_applied", "holder_updates_deduped", "holder_owner_changes", "holder_missing_owner_mapping", "holder_fallback_trade_updates_used"]
+
+
+def holder_columns(held: DataFrame, context: DataFrame, supply: float = SUPPLY) -> DataFrame:
+    """F7 (32 columns) and F8 (5). held: mint, wallet, balance in whole tokens; only positive balances count.
+
+    context, one row a mint: creator, curve, associated_curve (wallets to leave out), reliable, net_tokens, creator_sold, growth, missing_owners and the six counters. What needs a supply is NULL unless
+    the context is reliable and what is observed doesn't exceed it.
+    """
+    own = held.where("balance > 0")
+    c = A.concentration(own)
+    p = A.percentiles(own, ["mint"], "balance", [50, 90]).select("mint", F.col("p50").alias("median_holder_balance"), F.col("p90").alias("p90_holder_balance"))
+    x = own.join(context.select("mint", "creator", "curve", "associated_curve"), "mint")
+    same = lambda n: F.coalesce(F.col("wallet") == F.col(n), F.lit(False))
+    on_curve = same("curve") | same("associated_curve")
+    place = Window.partitionBy("mint").orderBy(F.desc("balance"), "wallet")
+    x = x.withColumns({"share": F.col("balance") / F.sum("balance").over(Window.partitionBy("mint")), "r": F.row_number().over(place)})
+    whale = (F.col("share") >= 0.1) & (F.col("r") <= 20)
+    counts = x.groupBy("mint").agg(
+        F.count_if(~on_curve).alias("holder_count_excluding_curve"), F.count_if(~on_curve & ~same("creator")).alias("holder_count_excluding_curve_and_dev"), F.max(F.when(~on_curve, F.col("balance"))).alias("first"), F.max(F.when(same("creator"), F.col("balance"))).alias("dev"),
+        F.count_if(whale).alias("whale_count"), F.coalesce(F.sum(F.when(whale, F.col("share"))), F.lit(0.0)).alias("whale_holding_pct"), F.coalesce(F.bool_or(F.when(F.col("r") == 1, same("creator"))), F.lit(False)).alias("top1_is_creator"),
+    )
+    y = context.join(c, "mint", "left").join(p, "mint", "left").join(counts, "mint", "left")
+    zero = lambda n: F.coalesce(F.col(n), F.lit(0.0))
+    n = F.coalesce("holders", F.lit(0))
+    reliable = F.coalesce("reliable", F.lit(False))
+    circulating = F.greatest(F.lit(float(supply)) - F.greatest(F.coalesce("dev", "net_tokens", F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    good = reliable & (zero("supply") <= supply + 1e-6)
+    top = {k: zero(f"top{k}_pct") / 100 for k in (1, 3, 5, 10, 20)}
+    of_total, of_rest = zero("first") / supply, F.when(circulating > 0, zero("first") / circulating).otherwise(F.lit(0.0))
+    diverse = clamp01(F.greatest(n, F.lit(1)) / 5)
+    risk = clamp01(0.45 * clamp01((top[1] - 0.30) / 0.40) + 0.30 * clamp01((top[5] - 0.75) / 0.25) * diverse + 0.15 * zero("creator_sold") + 0.10 * zero("gini"))
+    zeroed = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return y.select(
+        "mint", n.alias("holder_count_current"), n.alias("holders_with_nonzero_balance"), n.alias("holder_count_owner_wallets"), *[zeroed(k) for k in COUNTERS], zeroed("holder_count_excluding_curve"), zeroed("holder_count_excluding_curve_and_dev"),
+        F.when(good, zero("supply")).alias("observed_holder_supply"), F.when(reliable, circulating).alias("circulating_holder_supply"), F.col("growth").alias("holder_growth_rate"), F.when(F.col("growth").isNotNull(), clamp01(F.col("growth"))).alias("sustained_holder_growth_score"),
+        F.when(n > 0, F.col("supply") / n).alias("average_holder_balance"), "median_holder_balance", "p90_holder_balance", zero("gini").alias("holder_balance_gini"), zero("hhi").alias("holder_balance_hhi"), top[1].alias("top1_holder_pct"), top[1].alias("top1_holder_pct_observed"),
+        F.when(good, of_total).alias("top1_holder_pct_total_supply"), F.when(good, of_total).alias("top1_holder_pct_curve_economic_supply"), F.when(good & (of_rest <= 1 + 1e-6), of_rest).alias("top1_holder_pct_circulating"), F.when(good, HOLDER_SUPPLY).alias("token_supply_selected_for_holder_pct"),
+        *[top[k].alias(f"top{k}_holder_pct") for k in (3, 5, 10, 20)], F.when(~reliable, 0.3).when(F.coalesce("missing_owners", F.lit(0)) == 0, 0.9).otherwise(0.5).alias("holder_metric_confidence"), zeroed("missing_owners").alias("missing_owner_mapping_count"),
+        (clamp01(1 - top[5] + F.greatest(zero("gini"), F.lit(0.0))) / 2).alias("holder_distribution_improvement_score"), zeroed("whale_count"), F.coalesce("whale_holding_pct", F.lit(0.0)).alias("whale_holding_pct"), F.coalesce("top1_is_creator", F.lit(False)).alias("top1_is_creator"), risk.alias("concentration_risk_score"), (top[1] >= 0.55).alias("one_wallet_controls_market_flag"),
+    )

@@ -132,3 +132,60 @@ def f23_placeholders(spark, sf_dir):
 def w6_drawdowns(spark, sf_dir):
     t = ev_trades(spark, sf_dir)
     return P.price_path(t, t.groupBy("mint").agg(F.min("us").alias("start_us"), F.min_by("price", F.struct("us", "seq")).alias("start_price")))
+
+
+_SPANS = {"30s": 172_800, "1m": 432_000, "5m": 1_296_000}
+
+
+@query(with_views("ev", sql=f"""o AS (SELECT mint, max(us) + 3600000000 AS ob, CASE WHEN mint % 4 = 0 THEN NULL ELSE min(us) - 5000000 END AS la, CASE WHEN mint % 5 = 0 THEN NULL WHEN mint % 5 = 1 THEN 0 ELSE avg(price) END AS lp FROM ev GROUP BY mint),
+    x AS (SELECT ev.*, ob, la, lp, lag(price) OVER w AS p0, lag(us) OVER w AS u0, max(price) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM ev JOIN o USING (mint) WINDOW w AS (PARTITION BY mint ORDER BY us, seq)),
+    g AS (SELECT mint, any_value(ob) AS ob, any_value(la) AS la, any_value(lp) AS lp, max(price) AS hi, min(price) AS lo, arg_max(price, (us, seq)) AS last, arg_min(us, (-price, us, seq)) AS ath, count(*) FILTER (price > coalesce(run, 0)) AS n, avg((price < lp)::INT) AS below, bool_or(side = 'sell') AS sold,
+        {', '.join(f"arg_min(price, (us, seq)) FILTER (us >= ob - {s * 1_000_000}) AS f_{n}" for n, s in _SPANS.items())}, min(us) FILTER (us >= ob - {_SPANS['30s'] * 1_000_000}) AS fu, {', '.join(f"avg(abs(price / p0 - 1)) FILTER (u0 >= ob - {_SPANS[n] * 1_000_000} AND p0 > 0) AS v_{n}" for n in ("30s", "1m"))} FROM x GROUP BY mint)
+    SELECT mint, hi AS price_high, lo AS price_low, CASE WHEN hi > 0 THEN 1 - last / hi END AS drawdown_from_ath_pct, CASE WHEN lp > 0 THEN greatest(0, 1 - last / lp) END AS drawdown_from_launch_pct, {', '.join(f"CASE WHEN f_{n} > 0 THEN last / f_{n} - 1 END AS return_pct_{n}" for n in _SPANS)}, v_30s AS realized_volatility_30s, v_1m AS realized_volatility_1m,
+        CASE WHEN (ob - fu) // 1000 > 0 THEN (last - f_30s) / ((ob - fu) // 1000) END AS price_velocity_30s, CASE WHEN la IS NOT NULL THEN greatest(0, (ath - la) // 1000) END AS time_to_ath_ms, CASE WHEN lp > 0 THEN below ELSE 0 END AS time_below_launch_price_pct, n AS new_ath_frequency, CASE WHEN hi > 0 AND sold THEN hi - last END AS post_ath_selloff_velocity FROM g"""))
+def f5_price_columns(spark, sf_dir):
+    t = ev_trades(spark, sf_dir)
+    m = F.col("mint")
+    a = t.groupBy("mint").agg((F.max("us") + 3_600_000_000).alias("observed_us"), F.min("us").alias("first"), F.avg("price").alias("mean"))
+    a = a.select("mint", "observed_us", F.when(m % 4 != 0, F.col("first") - 5_000_000).alias("launch_us"), F.when(m % 5 == 0, None).when(m % 5 == 1, F.lit(0.0)).otherwise(F.col("mean")).alias("launch_price"))
+    return P.price_columns(t, a, _SPANS)
+
+
+_RANK = lambda side, q: f"max(quote) FILTER (side = '{side}' AND i = (n - 1) * {q} // 100)"
+
+
+@query(with_views("ev", sql=f"""r AS (SELECT *, row_number() OVER (PARTITION BY mint, side ORDER BY quote) - 1 AS i, count(*) OVER (PARTITION BY mint, side) AS n, row_number() OVER (PARTITION BY mint ORDER BY us, seq) AS k, max(us) FILTER (side = 'buy') OVER (PARTITION BY mint ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM ev),
+    g AS (SELECT mint, count(*) FILTER (side = 'buy') AS b, count(*) FILTER (side = 'sell') AS s, count(DISTINCT wallet) FILTER (side = 'buy') AS ub, count(DISTINCT wallet) FILTER (side = 'sell') AS us_, coalesce(sum(quote) FILTER (side = 'buy'), 0) AS bv, coalesce(sum(quote) FILTER (side = 'sell'), 0) AS sv, max(quote) FILTER (side = 'buy') AS lb, max(quote) FILTER (side = 'sell') AS ls,
+        {_RANK('buy', 50)} AS mb, {_RANK('sell', 50)} AS ms, {_RANK('buy', 90)} AS pb9, {_RANK('sell', 90)} AS ps9, avg((side = 'buy')::INT) FILTER (k <= 10) AS ten, coalesce(max(us - pb) FILTER (side = 'buy'), 0) // 1000 AS gap, CASE WHEN mint % 3 = 0 THEN 0 ELSE (mint % 10) / 12 END AS t5, CASE WHEN mint % 3 = 0 THEN 0 ELSE (mint % 4) / 5 END AS ds FROM r GROUP BY mint),
+    o AS (SELECT *, CASE WHEN b > 0 THEN ub / b ELSE 0 END * (1 - t5) AS org FROM g)
+    SELECT mint, b AS buy_count, s AS sell_count, b + s AS trade_count, ub AS unique_buyers, us_ AS unique_sellers, bv AS buy_volume_quote, sv AS sell_volume_quote, bv - sv AS net_flow_quote, CASE WHEN s > 0 THEN b / s END AS buy_sell_count_ratio, CASE WHEN sv > 0 THEN bv / sv END AS buy_sell_volume_ratio, lb AS largest_buy_quote, ls AS largest_sell_quote,
+        mb AS median_buy_size_quote, ms AS median_sell_size_quote, pb9 AS p90_buy_size_quote, ps9 AS p90_sell_size_quote, ten AS first_10_trades_buy_ratio, gap AS no_buy_gap_longest_ms, org AS organic_flow_score, least(1, 1 - org + ds) AS toxic_flow_score FROM o"""))
+def f6_flow_columns(spark, sf_dir):
+    t = ev_trades(spark, sf_dir)
+    m = F.col("mint")
+    shares = t.select("mint").distinct().where(m % 3 != 0).select("mint", ((m % 10) / 12).alias("top5_share"), ((m % 4) / 5).alias("dev_sold"))
+    return P.flow_columns(t, shares)
+
+
+_CONTEXT = {
+    "mint": "p_partkey", "curve": "p_partkey % 60", "associated_curve": "CASE WHEN p_partkey % 2 = 0 THEN NULL ELSE p_size END", "reliable": "p_partkey % 7 <> 0", "net_tokens": "CAST(p_size AS DOUBLE)", "creator_sold": "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 100 END", "growth": "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 40 - 0.1 END", "missing_owners": "p_size % 3",
+    **{c: f"CASE WHEN p_partkey % 10 = {i} THEN NULL ELSE p_size + {i} END" for i, c in enumerate(P.COUNTERS)},
+}
+
+
+@query(with_views("li", "bal", sql=f"""cr AS (SELECT mint, min(wallet) AS creator FROM li WHERE side = 'buy' GROUP BY mint), cx AS (SELECT x.*, creator FROM (SELECT {', '.join(f'{v} AS {n}' for n, v in _CONTEXT.items())} FROM part) AS x LEFT JOIN cr USING (mint)),
+    r AS (SELECT b.mint, b.wallet, b.balance, curve, associated_curve, creator, b.balance / sum(b.balance) OVER w AS share, row_number() OVER (PARTITION BY b.mint ORDER BY b.balance DESC, b.wallet) AS r, row_number() OVER (PARTITION BY b.mint ORDER BY b.balance) - 1 AS i, count(*) OVER w AS n, coalesce(b.wallet = curve, false) OR coalesce(b.wallet = associated_curve, false) AS oc, coalesce(b.wallet = creator, false) AS ow FROM bal AS b JOIN cx ON cx.mint = b.mint WINDOW w AS (PARTITION BY b.mint)),
+    g AS (SELECT mint, count(*) AS n, sum(balance) AS s, count(*) FILTER (NOT oc) AS ec, count(*) FILTER (NOT oc AND NOT ow) AS ecd, max(balance) FILTER (NOT oc) AS f, max(balance) FILTER (ow) AS dev, count(*) FILTER (share >= 0.1 AND r <= 20) AS wc, coalesce(sum(share) FILTER (share >= 0.1 AND r <= 20), 0) AS wp, coalesce(bool_or(ow) FILTER (r = 1), false) AS tc, max(balance) FILTER (i = (n - 1) * 50 // 100) AS med,
+        max(balance) FILTER (i = (n - 1) * 90 // 100) AS p90, 2 * sum((i + 1) * balance) / (count(*) * sum(balance)) - (count(*) + 1) / count(*) AS gini, sum(share * share) AS hhi, {', '.join(f'sum(share) FILTER (r <= {k}) AS t{k}' for k in (1, 3, 5, 10, 20))} FROM r GROUP BY mint),
+    y AS (SELECT cx.*, coalesce(n, 0) AS n, coalesce(s, 0) AS s, coalesce(ec, 0) AS ec, coalesce(ecd, 0) AS ecd, coalesce(f, 0) AS f, greatest(0, 250 - greatest(0, coalesce(dev, net_tokens))) AS ci, coalesce(wc, 0) AS wc, coalesce(wp, 0) AS wp, coalesce(tc, false) AS tc, med, p90, coalesce(gini, 0) AS gini, coalesce(hhi, 0) AS hhi, {', '.join(f'coalesce(t{k}, 0) AS t{k}' for k in (1, 3, 5, 10, 20))}, reliable AND coalesce(s, 0) <= 250.000001 AS ok FROM cx LEFT JOIN g ON g.mint = cx.mint)
+    SELECT mint, n AS holder_count_current, n AS holders_with_nonzero_balance, n AS holder_count_owner_wallets, {', '.join(f'coalesce({c}, 0) AS {c}' for c in P.COUNTERS)}, ec AS holder_count_excluding_curve, ecd AS holder_count_excluding_curve_and_dev, CASE WHEN ok THEN s END AS observed_holder_supply, CASE WHEN reliable THEN ci END AS circulating_holder_supply, growth AS holder_growth_rate,
+        CASE WHEN growth IS NOT NULL THEN least(1, greatest(0, growth)) END AS sustained_holder_growth_score, CASE WHEN n > 0 THEN s / n END AS average_holder_balance, med AS median_holder_balance, p90 AS p90_holder_balance, gini AS holder_balance_gini, hhi AS holder_balance_hhi, t1 AS top1_holder_pct, t1 AS top1_holder_pct_observed, CASE WHEN ok THEN f / 250 END AS top1_holder_pct_total_supply,
+        CASE WHEN ok THEN f / 250 END AS top1_holder_pct_curve_economic_supply, CASE WHEN ok AND CASE WHEN ci > 0 THEN f / ci ELSE 0 END <= 1.000001 THEN CASE WHEN ci > 0 THEN f / ci ELSE 0 END END AS top1_holder_pct_circulating, CASE WHEN ok THEN 'token_supply_curve_economic_or_protocol_constant' END AS token_supply_selected_for_holder_pct, t3 AS top3_holder_pct, t5 AS top5_holder_pct, t10 AS top10_holder_pct,
+        t20 AS top20_holder_pct, CASE WHEN NOT reliable THEN 0.3 WHEN missing_owners = 0 THEN 0.9 ELSE 0.5 END AS holder_metric_confidence, missing_owners AS missing_owner_mapping_count, least(1, greatest(0, 1 - t5 + greatest(gini, 0))) / 2 AS holder_distribution_improvement_score, wc AS whale_count, wp AS whale_holding_pct, tc AS top1_is_creator,
+        least(1, 0.45 * least(1, greatest(0, (t1 - 0.30) / 0.40)) + 0.30 * least(1, greatest(0, (t5 - 0.75) / 0.25)) * least(1, greatest(n, 1) / 5) + 0.15 * coalesce(creator_sold, 0) + 0.10 * gini) AS concentration_risk_score, t1 >= 0.55 AS one_wallet_controls_market_flag FROM y"""))
+def f7_f8_holder_columns(spark, sf_dir):
+    from ..adapters import balances, li_trades
+
+    first = li_trades(spark, sf_dir).where("side = 'buy'").groupBy("mint").agg(F.min("wallet").alias("creator"))
+    context = table(spark, sf_dir, "part").selectExpr(*[f"{v} as {n}" for n, v in _CONTEXT.items()]).join(first, "mint", "left")
+    return P.holder_columns(balances(spark, sf_dir), context, 250.0)

@@ -81,6 +81,9 @@ RESULTS: dict[str, str] = {
     "f4_c1_c5_curve": "mint bigint, price double, market_cap double, progress double, depth double",
     "f4_curve_columns": "mint bigint, virtual_quote_reserves double, virtual_token_reserves double, real_quote_reserves double, real_token_reserves double, token_decimals int, price_lamports_per_raw_token double, price_sol_per_token double, reserve_price_confidence double, price_current double, price_launch double, price_change_from_launch_pct double, market_cap_quote_1b double, market_cap_quote_total_supply double, token_supply_curve_economic_ui double, token_supply_protocol_constant_ui double, token_supply_selected_for_market_cap string, token_supply_selected_for_curve_progress string, supply_denominator_policy_version string, market_cap_confidence double, curve_complete_flag boolean, curve_progress_pct double, curve_completion_pct double, curve_progress_confidence double, curve_staleness_ms bigint, quote_asset_specific_depth_score double, quote_asset_specific_curve_health double",
     "f5_f6_trade_flow": "mint bigint, buy_median double, buy_p90 double, sell_median double, sell_p90 double, first10_buy_ratio double, count_ratio double, volume_ratio double, breadth double",
+    "f5_price_columns": "mint bigint, price_high double, price_low double, drawdown_from_ath_pct double, drawdown_from_launch_pct double, return_pct_30s double, return_pct_1m double, return_pct_5m double, realized_volatility_30s double, realized_volatility_1m double, price_velocity_30s double, time_to_ath_ms bigint, time_below_launch_price_pct double, new_ath_frequency bigint, post_ath_selloff_velocity double",
+    "f6_flow_columns": "mint bigint, buy_count bigint, sell_count bigint, trade_count bigint, unique_buyers bigint, unique_sellers bigint, buy_volume_quote double, sell_volume_quote double, net_flow_quote double, buy_sell_count_ratio double, buy_sell_volume_ratio double, largest_buy_quote double, largest_sell_quote double, median_buy_size_quote double, median_sell_size_quote double, p90_buy_size_quote double, p90_sell_size_quote double, first_10_trades_buy_ratio double, no_buy_gap_longest_ms bigint, organic_flow_score double, toxic_flow_score double",
+    "f7_f8_holder_columns": "mint bigint, holder_count_current bigint, holders_with_nonzero_balance bigint, holder_count_owner_wallets bigint, holder_updates_seen int, holder_updates_applied int, holder_updates_deduped int, holder_owner_changes int, holder_missing_owner_mapping int, holder_fallback_trade_updates_used int, holder_count_excluding_curve bigint, holder_count_excluding_curve_and_dev bigint, observed_holder_supply double, circulating_holder_supply double, holder_growth_rate double, sustained_holder_growth_score double, average_holder_balance double, median_holder_balance double, p90_holder_balance double, holder_balance_gini double, holder_balance_hhi double, top1_holder_pct double, top1_holder_pct_observed double, top1_holder_pct_total_supply double, top1_holder_pct_curve_economic_supply double, top1_holder_pct_circulating double, token_supply_selected_for_holder_pct string, top3_holder_pct double, top5_holder_pct double, top10_holder_pct double, top20_holder_pct double, holder_metric_confidence double, missing_owner_mapping_count int, holder_distribution_improvement_score double, whale_count bigint, whale_holding_pct double, top1_is_creator boolean, concentration_risk_score double, one_wallet_controls_market_flag boolean",
     "f7_f8_holders": "mint bigint, holders bigint, mean_balance double, median_balance double, p90_balance double, whales bigint, whale_share double, top1_is_creator boolean, concentration_risk double, confidence double",
     "f9_bundle": "mint bigint, first_buyers bigint, same_slot bigint, identical_amounts bigint, pairs bigint, top_share double, bundle_risk double, bundle_confidence double",
     "g1_funding_edges": "funder bigint, wallet bigint, amount double, last_us bigint, transfers bigint",
