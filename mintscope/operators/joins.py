@@ -56,11 +56,18 @@ def first_resolution(pending: DataFrame, events: DataFrame, keys: list[str], ttl
 
 
 def duplicate_intents(intents: DataFrame, window_us: int, tolerance: float) -> DataFrame:
-    """(id, original): the earliest earlier intent of the same mint and seller near in time and amount. Buckets of time bound what meets."""
+    """(id, original): the earliest earlier intent (mint, signature, wallet, us, quote) that is the same one.
+
+    Two intents of a mint that both have a signature are the same if it is; otherwise if the seller is, and time and
+    amount are near: within window_us, and within `tolerance` of the larger amount (1 at least). Buckets of time bound
+    what meets; equal signatures need no pairs, only their first.
+    """
+    signed = intents.where("signature is not null").select("id", F.expr("first(us) over (partition by mint, signature order by us, id)").alias("o_us"), F.expr("first(id) over (partition by mint, signature order by us, id)").alias("original")).where("original <> id")
     a = intents.withColumn("b", F.explode(F.expr(f"array(us div {window_us} - 1, us div {window_us})")))
-    o = intents.select(F.col("id").alias("original"), "mint", "wallet", F.col("us").alias("o_us"), F.col("quote").alias("o_quote"), F.expr(f"us div {window_us}").alias("b"))
-    x = a.join(o, ["mint", "wallet", "b"]).where(f"(o_us < us or (o_us = us and original < id)) and us - o_us <= {window_us} and abs(quote - o_quote) <= {tolerance} * o_quote")
-    return x.groupBy("id").agg(F.min_by("original", F.struct("o_us", "original")).alias("original"))
+    o = intents.select(F.col("id").alias("original"), "mint", "wallet", F.col("us").alias("o_us"), F.col("quote").alias("o_quote"), F.col("signature").alias("o_signature"), F.expr(f"us div {window_us}").alias("b"))
+    near = f"(o_us < us or (o_us = us and original < id)) and us - o_us <= {window_us} and abs(quote - o_quote) <= {tolerance} * greatest(quote, o_quote, 1)"
+    x = a.join(o, ["mint", "wallet", "b"]).where(f"(signature is null or o_signature is null) and {near}")
+    return x.select("id", "o_us", "original").union(signed).groupBy("id").agg(F.min_by("original", F.struct("o_us", "original")).alias("original"))
 
 
 def fallback(left: DataFrame, right: DataFrame, exact: list[str], loose: list[str], value: str, order: list[str]) -> DataFrame:

@@ -53,11 +53,11 @@ def f3_developer(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT p_partkey AS mint, p_retailprice AS q, p_size * 1000000.0 AS b FROM part)
-    SELECT mint, CASE WHEN q > 0 AND b > 0 THEN q / b END AS price, CASE WHEN q > 0 AND b > 0 THEN q / b END * 1000000000 AS market_cap, least(100, greatest(0, 100 - greatest(b * 20 - 206900000, 0) * 100 / 793100000)) AS progress, least(1, greatest(0, q / 2000)) AS depth FROM p""")
+    SELECT mint, CASE WHEN q > 0 AND b > 0 THEN q / b END AS price, CASE WHEN q > 0 AND b > 0 THEN q / b END * 1000000000 AS market_cap, least(100, greatest(0, 100 - greatest(b * 20 - 206900000, 0) * 100 / 793100000)) AS progress, least(1, greatest(0, q / 2000)) AS depth, CASE WHEN q > 0 AND b > 0 THEN (mint % 90 / 1e6) / (q / b) END AS fill_ratio FROM p""")
 def f4_c1_c5_curve(spark, sf_dir):
     p = table(spark, sf_dir, "part").selectExpr("p_partkey as mint", "p_retailprice as q", "p_size * 1000000D as b")
     price = M.price_of(F.col("q"), F.col("b"))
-    return p.select("mint", price.alias("price"), M.market_cap(price).alias("market_cap"), M.curve_progress(F.col("b") * 20).alias("progress"), M.clamp01(F.col("q") / 2000).alias("depth"))
+    return p.select("mint", price.alias("price"), M.market_cap(price).alias("market_cap"), M.curve_progress(F.col("b") * 20).alias("progress"), M.clamp01(F.col("q") / 2000).alias("depth"), F.when(price > 0, (F.col("mint") % 90 / 1e6) / price).alias("fill_ratio"))
 
 
 @query(with_views("ev", sql="""s AS (SELECT mint, count(*) FILTER (side = 'buy') AS buys, count(*) FILTER (side = 'sell') AS sells, coalesce(sum(quote) FILTER (side = 'buy'), 0) AS bv, coalesce(sum(quote) FILTER (side = 'sell'), 0) AS sv, count(DISTINCT wallet) FILTER (side = 'buy') AS ub FROM ev GROUP BY mint),

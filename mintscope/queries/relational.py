@@ -239,10 +239,13 @@ def j6_t7_first_resolution(spark, sf_dir):
     return J.first_resolution(pending, t.withColumn("kind", F.col("side")), ["mint"], 172_800_000_000, F.when(F.col("side") == "sell", 0).otherwise(1))
 
 
-@query(with_views("ev", sql="""SELECT a.seq AS id, arg_min(b.seq, (b.us, b.seq)) AS original FROM ev AS a JOIN ev AS b ON a.mint = b.mint AND a.wallet = b.wallet
-    AND (b.us < a.us OR b.us = a.us AND b.seq < a.seq) AND a.us - b.us <= 864000000000 AND abs(a.quote - b.quote) <= 0.5 * b.quote GROUP BY 1"""))
+_SIGNATURE = "CASE WHEN seq % 3 = 0 THEN NULL ELSE CAST(quote AS INT) % 12 END"
+
+
+@query(with_views("ev", sql=f"""i AS (SELECT *, {_SIGNATURE.replace('CAST(quote AS INT)', 'CAST(trunc(quote) AS INT)')} AS sig FROM ev) SELECT a.seq AS id, arg_min(b.seq, (b.us, b.seq)) AS original FROM i AS a JOIN i AS b ON a.mint = b.mint AND (b.us < a.us OR b.us = a.us AND b.seq < a.seq)
+    AND CASE WHEN a.sig IS NOT NULL AND b.sig IS NOT NULL THEN a.sig = b.sig ELSE a.wallet = b.wallet AND a.us - b.us <= 864000000000 AND abs(a.quote - b.quote) <= 0.5 * greatest(a.quote, b.quote, 1) END GROUP BY 1"""))
 def j7_duplicate_intents(spark, sf_dir):
-    return J.duplicate_intents(ev_trades(spark, sf_dir).withColumn("id", F.col("seq")), 864_000_000_000, 0.5)
+    return J.duplicate_intents(ev_trades(spark, sf_dir).withColumns({"id": F.col("seq"), "signature": F.expr(_SIGNATURE)}), 864_000_000_000, 0.5)
 
 
 @query(with_views("li", "fund", sql="""f AS (SELECT wallet, arg_max(funder, (us, edge)) AS funder FROM fund GROUP BY wallet),

@@ -78,7 +78,7 @@ RESULTS: dict[str, str] = {
     "f2_creator_columns": "mint bigint, creator_age_in_local_index bigint, creator_total_launches_seen bigint, creator_launches_last_1h bigint, creator_cluster_id string, creator_reuses_same_payer boolean, creator_reuses_same_metadata_domain boolean, creator_launching_spam_wave_flag boolean",
     "f3_developer": "mint bigint, net_tokens double, net_quote double, sold_share double, has_sold boolean, first_sell_ms double, dev_balance double, ownership double, balance_rank int, is_top1 boolean, is_top3 boolean, is_top5 boolean, is_top10 boolean",
     "f3_developer_columns": "mint bigint, creator_initial_token_balance double, dev_balance double, creator_retained_supply_pct double, dev_holding_pct_total_supply double, dev_holding_pct_curve_economic_supply double, dev_holding_pct_circulating double, creator_ownership_pct double, token_supply_selected_for_holder_pct string, creator_net_tokens_after_10s double, creator_net_tokens_after_30s double, creator_net_tokens_after_1m double, creator_net_tokens_after_5m double, creator_net_quote_flow_after_10s double, creator_net_quote_flow_after_30s double, creator_net_quote_flow_after_1m double, creator_net_quote_flow_after_5m double, creator_has_sold boolean, creator_first_sell_time_ms bigint, creator_dump_velocity double, creator_balance_rank bigint, creator_is_top1_holder boolean, creator_is_top3_holder boolean, creator_is_top5_holder boolean, creator_is_top10_holder boolean",
-    "f4_c1_c5_curve": "mint bigint, price double, market_cap double, progress double, depth double",
+    "f4_c1_c5_curve": "mint bigint, price double, market_cap double, progress double, depth double, fill_ratio double",
     "f4_curve_columns": "mint bigint, virtual_quote_reserves double, virtual_token_reserves double, real_quote_reserves double, real_token_reserves double, token_decimals int, price_lamports_per_raw_token double, price_sol_per_token double, reserve_price_confidence double, price_current double, price_launch double, price_change_from_launch_pct double, market_cap_quote_1b double, market_cap_quote_total_supply double, token_supply_curve_economic_ui double, token_supply_protocol_constant_ui double, token_supply_selected_for_market_cap string, token_supply_selected_for_curve_progress string, supply_denominator_policy_version string, market_cap_confidence double, curve_complete_flag boolean, curve_progress_pct double, curve_completion_pct double, curve_progress_confidence double, curve_staleness_ms bigint, quote_asset_specific_depth_score double, quote_asset_specific_curve_health double",
     "f5_f6_trade_flow": "mint bigint, buy_median double, buy_p90 double, sell_median double, sell_p90 double, first10_buy_ratio double, count_ratio double, volume_ratio double, breadth double",
     "f5_price_columns": "mint bigint, price_high double, price_low double, drawdown_from_ath_pct double, drawdown_from_launch_pct double, return_pct_30s double, return_pct_1m double, return_pct_5m double, realized_volatility_30s double, realized_volatility_1m double, price_velocity_30s double, time_to_ath_ms bigint, time_below_launch_price_pct double, new_ath_frequency bigint, post_ath_selloff_velocity double",
@@ -222,8 +222,8 @@ RESULTS: dict[str, str] = {
     "z3_stream_sliding_flow": "mint bigint, end_us bigint, buy_volume double, net_flow double",
     "z4_stream_sessions": "user_id bigint, start_us bigint, end_us bigint, n bigint",
     "z5_stream_ledger": "mint bigint, wallet bigint, held double, cost double, realised double",
-    "z6_stream_dedup": "user_id bigint, k bigint, n bigint, seen boolean",
-    "z7_stream_reconcile": "key bigint, t_us bigint, c_us bigint",
+    "z6_stream_dedup": "user_id bigint, k bigint, kept bigint, reports bigint, is_one_of_them boolean",
+    "z7_stream_reconcile": "key bigint, t_us bigint, c_us bigint, outcome string",
     "z8_preferred_source": "user_id bigint, source string, reports bigint",
     "z9_replay_equals_live": "side string, positions bigint",
 }

@@ -25,10 +25,14 @@ def _finished(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
 
 
-@query("SELECT user_id, k, count(*) AS n, min(event_id) >= 0 AS seen FROM (SELECT DISTINCT ON (user_id, k) event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY 1, 2")
+@query("SELECT user_id, (props->>'$.k')::BIGINT AS k, 1 AS kept, count(*) AS reports, true AS is_one_of_them FROM events GROUP BY 1, 2")
 def z6_stream_dedup(spark, sf_dir):
+    """What the stream keeps of each key (which report that is, depends on arrival), beside the key's reports."""
     out = _finished(spark, S.deduplicated(_stream(spark, sf_dir), ["user_id", "k"], "60 days"), "dedup")
-    return out.groupBy("user_id", "k").agg(F.count(F.lit(1)).alias("n"), (F.min("event_id") >= 0).alias("seen"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    x = e.join(out.select("event_id", F.lit(True).alias("there")), "event_id", "left").groupBy("user_id", "k").agg(F.count(F.lit(1)).alias("reports"), F.count("there").alias("own"))
+    kept = out.groupBy("user_id", "k").agg(F.count(F.lit(1)).alias("kept"))
+    return kept.join(x, ["user_id", "k"], "full").select("user_id", "k", "kept", "reports", (F.col("own") == F.col("kept")).alias("is_one_of_them"))
 
 
 @query("""WITH w AS (SELECT user_id, epoch_us(date_trunc('day', ts)) AS start_us, count(*) AS n FROM events GROUP BY 1, 2)
@@ -54,9 +58,11 @@ def z4_stream_sessions(spark, sf_dir):
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query("""WITH e AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, ts FROM events), a AS (SELECT event_id, user_id * 1000 + k AS key, ts FROM e WHERE event_type = 'click'), b AS (SELECT user_id * 1000 + k AS key, ts FROM e WHERE event_type = 'view')
-    SELECT a.key, epoch_us(a.ts) AS t_us, epoch_us(b.ts) AS c_us FROM a JOIN b ON a.key = b.key AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 DAY""")
+@query("""WITH e AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, ts FROM events), a AS (SELECT event_id, user_id * 1000 + k AS key, ts FROM e WHERE event_type = 'click'), b AS (SELECT user_id * 1000 + k AS key, ts FROM e WHERE event_type = 'view'),
+    w AS (SELECT least((SELECT max(epoch_ms(ts)) FROM a), (SELECT max(epoch_ms(ts)) FROM b)) - 86400000 AS w), j AS (SELECT a.key, epoch_us(a.ts) AS t_us, epoch_us(b.ts) AS c_us FROM a LEFT JOIN b ON a.key = b.key AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 10 DAY)
+    SELECT key, t_us, c_us, CASE WHEN c_us IS NULL THEN 'unmatched' ELSE 'matched' END AS outcome FROM j, w WHERE c_us IS NOT NULL OR t_us + 864000000000 < w * 1000""")
 def z7_stream_reconcile(spark, sf_dir):
+    """Matched pairs, and what is left alone once the watermark (a day behind the slower side) has passed its ten days."""
     e = _stream(spark, sf_dir).withColumn("key", F.col("user_id") * 1000 + F.col("k"))
-    out = _finished(spark, S.reconciled(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "10 days", "40 days"), "reconcile")
-    return out.where("outcome = 'matched'").select("key", F.unix_micros("t_ts").alias("t_us"), F.unix_micros("c_ts").alias("c_us"))
+    out = _finished(spark, S.reconciled(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "10 days", "1 day"), "reconcile")
+    return out.select("key", F.unix_micros("t_ts").alias("t_us"), F.unix_micros("c_ts").alias("c_us"), "outcome")
