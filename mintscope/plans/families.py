@@ -311,3 +311,47 @@ def holder_columns(held: DataFrame, context: DataFrame, supply: float = SUPPLY)
         *[top[k].alias(f"top{k}_holder_pct") for k in (3, 5, 10, 20)], F.when(~reliable, 0.3).when(F.coalesce("missing_owners", F.lit(0)) == 0, 0.9).otherwise(0.5).alias("holder_metric_confidence"), zeroed("missing_owners").alias("missing_owner_mapping_count"),
         (clamp01(1 - top[5] + F.greatest(zero("gini"), F.lit(0.0))) / 2).alias("holder_distribution_improvement_score"), zeroed("whale_count"), F.coalesce("whale_holding_pct", F.lit(0.0)).alias("whale_holding_pct"), F.coalesce("top1_is_creator", F.lit(False)).alias("top1_is_creator"), risk.alias("concentration_risk_score"), (top[1] >= 0.55).alias("one_wallet_controls_market_flag"),
     )
+
+
+def rug_columns(rows: DataFrame) -> DataFrame:
+    """F10, 9 columns. rows: mint, first_sell_us, sold_share, drawdown_from_ath_pct, drawdown_from_launch_pct, launch_us, observed_us, growth, buy_volume, sell_volume, last_buy_us, top1_share, trades."""
+    k = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    early = F.coalesce(F.col("observed_us") <= F.col("launch_us") + 300_000_000, F.lit(False))
+    fell = early & (k("drawdown_from_launch_pct") >= 0.7)
+    quiet = F.coalesce(F.col("observed_us") - F.col("last_buy_us") >= 20_000_000, F.lit(True))
+    one = lambda c, w: F.when(c, w).otherwise(0.0)
+    return rows.select(
+        "mint", F.col("first_sell_us").isNotNull().alias("dev_sold_flag"), k("sold_share").alias("dev_sold_pct"), (k("drawdown_from_ath_pct") >= 0.5).alias("price_drop_50pct_from_ath"), fell.alias("price_drop_70pct_from_launch_within_5m"), F.coalesce(F.col("growth") <= 0, F.lit(False)).alias("holder_growth_stalled"),
+        (k("sell_volume") > k("buy_volume")).alias("sells_dominate_after_launch"), quiet.alias("no_buys_for_x_seconds"), clamp01(k("sold_share") + one(quiet, 0.3) + one(fell, 0.6) + one(k("top1_share") >= 0.35, 0.2)).alias("rug_probability_score"), clamp01(F.least(k("trades"), F.lit(20.0)) / 20).alias("rug_confidence"),
+    )
+
+
+def rotation_columns(trades: DataFrame) -> DataFrame:
+    """F12, 4 columns: wallets that bought a mint and sold others, what they sold there, their part of all wallets, and whether that is more than was sold here."""
+    own = trades.groupBy("mint", "wallet").agg(F.count_if(F.col("side") == "buy").alias("buys"), F.coalesce(F.sum(F.when(F.col("side") == "sell", F.col("tokens"))), F.lit(0.0)).alias("sold"))
+    total = own.groupBy("wallet").agg(F.sum("sold").alias("all_sold"))
+    wallets = own.agg(F.count_distinct("wallet").alias("wallets"))
+    x = own.join(total, "wallet").withColumn("elsewhere", F.when((F.col("buys") > 0) & (F.col("all_sold") > F.col("sold")), F.col("all_sold") - F.col("sold")))
+    here = trades.groupBy("mint").agg(F.coalesce(F.sum(F.when(F.col("side") == "sell", F.col("quote"))), F.lit(0.0)).alias("sell_volume"))
+    y = x.groupBy("mint").agg(F.count("elsewhere").alias("n"), F.coalesce(F.sum("elsewhere"), F.lit(0.0)).alias("moved")).join(here, "mint").join(F.broadcast(wallets))  # wallets is one row
+    return y.select("mint", F.col("n").alias("wallets_sold_other_token_then_bought_this_count"), F.col("moved").alias("net_capital_rotated_into_this_from_other_launches"), clamp01(F.col("n") / F.greatest("wallets", F.lit(1))).alias("smart_capital_rotation_score"), ((F.col("n") > 0) & (F.col("moved") > F.col("sell_volume"))).alias("this_token_becoming_primary_capital_destination_flag"))
+
+
+def cost_columns(positions: DataFrame, volumes: DataFrame) -> DataFrame:
+    """F13, 15 columns. positions: mint, wallet, held, realised, unrealised, taken_profit, round_trip; volumes: (mint, sell_volume)."""
+    x = positions.withColumns({"held": F.greatest("held", F.lit(0.0)), "r": F.row_number().over(Window.partitionBy("mint").orderBy(F.desc("held"), "wallet")), "share": F.greatest("held", F.lit(0.0)) / F.nullif(F.sum(F.greatest("held", F.lit(0.0))).over(Window.partitionBy("mint")), F.lit(0.0))})
+    held, pnl = F.col("held"), F.col("unrealised")
+    part = lambda c: F.when(F.sum("held") > 0, F.coalesce(F.sum(F.when(c, held)), F.lit(0.0)) / F.sum("held"))
+    top = lambda c, n: F.coalesce(F.sum(F.when((F.col("r") <= n) & (held > 0), F.col(c))), F.lit(0.0))
+    y = x.groupBy("mint").agg(
+        F.avg(pnl).alias("holder_unrealized_pnl_mean"), part(pnl > 0).alias("unrealized_profit_supply_pct"), part(pnl < 0).alias("underwater_supply_pct"), part(F.abs(pnl) <= 0.0001).alias("breakeven_supply_pct"), part(F.col("taken_profit")).alias("free_rolling_supply_pct"), top("unrealised", 5).alias("top5_unrealized_pnl"), top("unrealised", 10).alias("top10_unrealized_pnl"),
+        (F.sum(F.greatest("realised", F.lit(0.0))) / F.nullif(F.sum(F.abs("realised")), F.lit(0.0))).alias("realized_profit_taking_rate"), F.count_if("taken_profit").alias("holders_taking_initials_out_count"), F.count_if("round_trip").alias("holders_fully_exiting_count"), top("share", 1).alias("t1"), top("share", 5).alias("t5"),
+    )
+    p = A.percentiles(positions, ["mint"], "unrealised", [50, 90]).select("mint", F.col("p50").alias("holder_unrealized_pnl_median"), F.col("p90").alias("holder_unrealized_pnl_p90"))
+    z = y.join(p, "mint", "left").join(volumes, "mint", "left")
+    k = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    over = clamp01(0.35 * k("unrealized_profit_supply_pct") + 0.35 * k("free_rolling_supply_pct") + 0.15 * clamp01((F.col("t1") - 0.45) / 0.55) + 0.15 * clamp01((F.col("t5") - 0.80) / 0.20))
+    return z.select(
+        "mint", "holder_unrealized_pnl_mean", "holder_unrealized_pnl_median", "holder_unrealized_pnl_p90", "unrealized_profit_supply_pct", "underwater_supply_pct", "breakeven_supply_pct", "free_rolling_supply_pct", "top5_unrealized_pnl", "top10_unrealized_pnl", "realized_profit_taking_rate",
+        over.alias("profit_overhang_score"), clamp01(k("underwater_supply_pct") + k("sell_volume") / 100).alias("underwater_capitulation_risk"), clamp01(k("free_rolling_supply_pct") + F.col("t5") / 2).alias("free_roll_dump_risk_score"), "holders_taking_initials_out_count", "holders_fully_exiting_count",
+    )

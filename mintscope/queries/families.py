@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import ev_trades, table, with_views
 from ..plans import families as P
 from . import query
+from .relational import _LEDGER
 
 #: Launches made of parts, by expressions that both engines read.
 _LAUNCH = {
@@ -189,3 +190,38 @@ def f7_f8_holder_columns(spark, sf_dir):
     first = li_trades(spark, sf_dir).where("side = 'buy'").groupBy("mint").agg(F.min("wallet").alias("creator"))
     context = table(spark, sf_dir, "part").selectExpr(*[f"{v} as {n}" for n, v in _CONTEXT.items()]).join(first, "mint", "left")
     return P.holder_columns(balances(spark, sf_dir), context, 250.0)
+
+
+_RUG = {
+    "mint": "o_orderkey", "first_sell_us": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey END", "sold_share": "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS DOUBLE) / 20 END", "drawdown_from_ath_pct": "CASE WHEN o_custkey % 8 = 0 THEN NULL ELSE CAST(o_custkey % 100 AS DOUBLE) / 100 END", "drawdown_from_launch_pct": "CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE CAST(o_orderkey % 100 AS DOUBLE) / 100 END",
+    "launch_us": "CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey * 1000000 END", "observed_us": "o_custkey * 1000000 + o_orderkey % 500 * 1000000", "growth": "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS DOUBLE) - 1 END", "buy_volume": "CAST(o_orderkey % 60 AS DOUBLE)", "sell_volume": "CAST(o_custkey % 60 AS DOUBLE)",
+    "last_buy_us": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey * 1000000 + o_orderkey % 500 * 1000000 - o_custkey % 45 * 1000000 END", "top1_share": "CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE CAST(o_custkey % 70 AS DOUBLE) / 100 END", "trades": "o_custkey % 40",
+}
+
+
+@query(f"""WITH x AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _RUG.items())} FROM orders), y AS (SELECT *, coalesce(observed_us - launch_us <= 300000000, false) AND coalesce(drawdown_from_launch_pct, 0) >= 0.7 AS fell, coalesce(observed_us - last_buy_us >= 20000000, true) AS quiet FROM x)
+    SELECT mint, first_sell_us IS NOT NULL AS dev_sold_flag, coalesce(sold_share, 0) AS dev_sold_pct, coalesce(drawdown_from_ath_pct, 0) >= 0.5 AS price_drop_50pct_from_ath, fell AS price_drop_70pct_from_launch_within_5m, coalesce(growth <= 0, false) AS holder_growth_stalled, sell_volume > buy_volume AS sells_dominate_after_launch, quiet AS no_buys_for_x_seconds,
+        least(1, coalesce(sold_share, 0) + CASE WHEN quiet THEN 0.3 ELSE 0 END + CASE WHEN fell THEN 0.6 ELSE 0 END + CASE WHEN coalesce(top1_share, 0) >= 0.35 THEN 0.2 ELSE 0 END) AS rug_probability_score, least(1, trades / 20) AS rug_confidence FROM y""")
+def f10_rug_columns(spark, sf_dir):
+    return P.rug_columns(table(spark, sf_dir, "orders").selectExpr(*[f"{v} as {n}" for n, v in _RUG.items()]))
+
+
+@query(with_views("ev", sql="""o AS (SELECT mint, wallet, count(*) FILTER (side = 'buy') AS b, coalesce(sum(tokens) FILTER (side = 'sell'), 0) AS s FROM ev GROUP BY 1, 2), t AS (SELECT wallet, sum(s) AS a FROM o GROUP BY 1), x AS (SELECT mint, CASE WHEN b > 0 AND a > s THEN a - s END AS e FROM o JOIN t USING (wallet)),
+    g AS (SELECT mint, count(e) AS n, coalesce(sum(e), 0) AS m FROM x GROUP BY 1), v AS (SELECT mint, coalesce(sum(quote) FILTER (side = 'sell'), 0) AS sv FROM ev GROUP BY 1)
+    SELECT mint, n AS wallets_sold_other_token_then_bought_this_count, m AS net_capital_rotated_into_this_from_other_launches, n / (SELECT count(DISTINCT wallet) FROM ev) AS smart_capital_rotation_score, n > 0 AND m > sv AS this_token_becoming_primary_capital_destination_flag FROM g JOIN v USING (mint)"""))
+def f12_rotation_columns(spark, sf_dir):
+    return P.rotation_columns(ev_trades(spark, sf_dir))
+
+
+@query(with_views("ev", sql=_LEDGER + """, m AS (SELECT mint, arg_max(price, (us, seq)) AS price, coalesce(sum(quote) FILTER (side = 'sell'), 0) AS sv FROM ev GROUP BY mint), x AS (SELECT p.*, sv, held * price - cost AS u, realised > 0 AS tp, sold > 0 AND held <= 0 AS rt FROM p JOIN m USING (mint)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY held DESC, wallet) AS r, held / nullif(sum(held) OVER (PARTITION BY mint), 0) AS share, row_number() OVER (PARTITION BY mint ORDER BY u) - 1 AS k, count(*) OVER (PARTITION BY mint) AS n FROM x),
+    g AS (SELECT mint, any_value(sv) AS sv, avg(u) AS mean, max(u) FILTER (k = (n - 1) * 50 // 100) AS med, max(u) FILTER (k = (n - 1) * 90 // 100) AS p90, CASE WHEN sum(held) > 0 THEN coalesce(sum(held) FILTER (u > 0), 0) / sum(held) END AS pr, CASE WHEN sum(held) > 0 THEN coalesce(sum(held) FILTER (u < 0), 0) / sum(held) END AS un, CASE WHEN sum(held) > 0 THEN coalesce(sum(held) FILTER (abs(u) <= 0.0001), 0) / sum(held) END AS br,
+        CASE WHEN sum(held) > 0 THEN coalesce(sum(held) FILTER (tp), 0) / sum(held) END AS fr, coalesce(sum(u) FILTER (r <= 5 AND held > 0), 0) AS u5, coalesce(sum(u) FILTER (r <= 10 AND held > 0), 0) AS u10, sum(greatest(realised, 0)) / nullif(sum(abs(realised)), 0) AS rate, count(*) FILTER (tp) AS io, count(*) FILTER (rt) AS fe, coalesce(sum(share) FILTER (r <= 1), 0) AS t1, coalesce(sum(share) FILTER (r <= 5), 0) AS t5 FROM rk GROUP BY mint)
+    SELECT mint, mean AS holder_unrealized_pnl_mean, med AS holder_unrealized_pnl_median, p90 AS holder_unrealized_pnl_p90, pr AS unrealized_profit_supply_pct, un AS underwater_supply_pct, br AS breakeven_supply_pct, fr AS free_rolling_supply_pct, u5 AS top5_unrealized_pnl, u10 AS top10_unrealized_pnl, rate AS realized_profit_taking_rate,
+        least(1, 0.35 * coalesce(pr, 0) + 0.35 * coalesce(fr, 0) + 0.15 * least(1, greatest(0, (t1 - 0.45) / 0.55)) + 0.15 * least(1, greatest(0, (t5 - 0.80) / 0.20))) AS profit_overhang_score, least(1, coalesce(un, 0) + sv / 100) AS underwater_capitulation_risk, least(1, coalesce(fr, 0) + t5 / 2) AS free_roll_dump_risk_score, io AS holders_taking_initials_out_count, fe AS holders_fully_exiting_count FROM g""").replace("WITH", "WITH RECURSIVE", 1))
+def f13_cost_columns(spark, sf_dir):
+    from ..operators import ledger as L
+
+    t = ev_trades(spark, sf_dir)
+    marked = L.marked(L.positions(t), t.groupBy("mint").agg(F.max_by("price", F.struct("us", "seq")).alias("price")))
+    return P.cost_columns(marked, t.groupBy("mint").agg(F.coalesce(F.sum(F.when(F.col("side") == "sell", F.col("quote"))), F.lit(0.0)).alias("sell_volume")))

@@ -58,8 +58,11 @@ RESULTS: dict[str, str] = {
     "c22_mint_lists": "o_orderkey bigint, mints string, n int",
     "c7_c9_c14_c15_numbers": "o_orderkey bigint, share01 double, impact double, exit_impact double, bucket int, label string, mean double",
     "f10_rug": "mint bigint, dev_sold boolean, half_from_high boolean, no_buys boolean, sells_lead boolean, rug_probability double, rug_confidence double",
+    "f10_rug_columns": "mint bigint, dev_sold_flag boolean, dev_sold_pct double, price_drop_50pct_from_ath boolean, price_drop_70pct_from_launch_within_5m boolean, holder_growth_stalled boolean, sells_dominate_after_launch boolean, no_buys_for_x_seconds boolean, rug_probability_score double, rug_confidence double",
     "f11_cohort": "mint bigint, cohort bigint, active bigint, attention double, distance_to_best double, leader boolean",
+    "f12_rotation_columns": "mint bigint, wallets_sold_other_token_then_bought_this_count bigint, net_capital_rotated_into_this_from_other_launches double, smart_capital_rotation_score double, this_token_becoming_primary_capital_destination_flag boolean",
     "f13_cost_basis": "mint bigint, mean_unrealised double, profit_supply double, underwater_supply double, free_roll_supply double, initials_out bigint, full_exits bigint",
+    "f13_cost_columns": "mint bigint, holder_unrealized_pnl_mean double, holder_unrealized_pnl_median double, holder_unrealized_pnl_p90 double, unrealized_profit_supply_pct double, underwater_supply_pct double, breakeven_supply_pct double, free_rolling_supply_pct double, top5_unrealized_pnl double, top10_unrealized_pnl double, realized_profit_taking_rate double, profit_overhang_score double, underwater_capitulation_risk double, free_roll_dump_risk_score double, holders_taking_initials_out_count bigint, holders_fully_exiting_count bigint",
     "f14_survival": "mint bigint, large_sells bigint, buyers_after bigint, recovery_ms double, recovery double, absorption_score double, absorbed boolean",
     "f15_holder_lifecycle": "mint bigint, age_us bigint, retention_10 double, retention_20 double, half_life_s double",
     "f16_f18_fingerprints_and_fees": "mint bigint, dominant_share double, diversity double, fee_median double, fee_p90 double, fee_spike boolean, war_score double",
