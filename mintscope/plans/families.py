@@ -355,3 +355,63 @@ def cost_columns(positions: DataFrame, volumes: DataFrame) -> DataFrame:
         "mint", "holder_unrealized_pnl_mean", "holder_unrealized_pnl_median", "holder_unrealized_pnl_p90", "unrealized_profit_supply_pct", "underwater_supply_pct", "breakeven_supply_pct", "free_rolling_supply_pct", "top5_unrealized_pnl", "top10_unrealized_pnl", "realized_profit_taking_rate",
         over.alias("profit_overhang_score"), clamp01(k("underwater_supply_pct") + k("sell_volume") / 100).alias("underwater_capitulation_risk"), clamp01(k("free_rolling_supply_pct") + F.col("t5") / 2).alias("free_roll_dump_risk_score"), "holders_taking_initials_out_count", "holders_fully_exiting_count",
     )
+
+
+def _groups(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """(mint, <name>_max, <name>_n, <name>_groups): the largest group of equal values, all rows, and how many groups; rows with a NULL are out."""
+    x = rows
+    for c in columns:
+        x = x.where(F.col(c).isNotNull())
+    g = x.groupBy("mint", *columns).agg(F.count(F.lit(1)).alias("n"))
+    return g.groupBy("mint").agg(F.max("n").alias(f"{name}_max"), F.sum("n").alias(f"{name}_n"), F.count(F.lit(1)).alias(f"{name}_groups"))
+
+
+def fingerprint_columns(trades: DataFrame, top: DataFrame) -> DataFrame:
+    """F16, 17 columns. trades: mint, wallet, side, us, seq, compute_limit, compute_price, account_count, instruction_count, fingerprint (NULL where not seen); top: (mint, wallet) of the five largest holders."""
+    from ..functions.math import bucket_index
+
+    measures = ["compute_limit", "compute_price", "account_count", "instruction_count"]
+    x = trades.select("mint").distinct()
+    for c in measures:
+        x = x.join(A.percentiles(trades.where(F.col(c).isNotNull()).withColumn("v", F.col(c).cast("double")), ["mint"], "v", [50]).select("mint", F.col("p50").alias(c)), "mint", "left")
+    buyers = trades.where("side = 'buy'").withColumn("r", F.row_number().over(Window.partitionBy("mint").orderBy("us", "seq"))).where("r <= 8")
+    for part in (
+        _groups(trades, "profile", "compute_limit", "compute_price"), _groups(buyers, "first", "compute_limit", "compute_price"), _groups(trades, "sequence", "instruction_count"), _groups(trades, "pattern", "account_count"), _groups(trades, "client", "fingerprint"),
+        _groups(buyers, "first_client", "fingerprint"), _groups(trades.join(top, ["mint", "wallet"], "left_semi"), "top_client", "fingerprint"),
+    ):
+        x = x.join(part, "mint", "left")
+    again = lambda n: F.greatest(F.coalesce(F.col(f"{n}_max"), F.lit(0)) - 1, F.lit(0)).cast("long")
+    share = lambda n, of="max": F.coalesce(F.col(f"{n}_{of}") / F.col(f"{n}_n"), F.lit(0.0))
+    return x.select(
+        "mint", F.col("account_count").alias("tx_account_count"), F.col("instruction_count").alias("tx_instruction_count"), F.when(F.col("instruction_count").isNotNull(), 0.0).alias("tx_inner_instruction_count"), (F.col("compute_limit").isNotNull() | F.col("compute_price").isNotNull()).alias("compute_budget_instruction_present"),
+        F.col("compute_limit").alias("compute_unit_limit"), bucket_index(F.col("compute_limit"), [100_000, 200_000, 400_000]).alias("compute_unit_limit_bucket"), F.col("compute_price").alias("compute_unit_price"), bucket_index(F.col("compute_price"), [1_000, 5_000, 10_000]).alias("compute_unit_price_bucket"),
+        again("profile").alias("duplicate_compute_profile_count"), again("first").alias("duplicate_compute_profile_among_first_buyers"), again("sequence").alias("duplicate_instruction_sequence_count"), again("pattern").alias("duplicate_account_pattern_count"), share("client").alias("identical_client_fingerprint_score"),
+        share("first_client").alias("first_buyers_same_client_fingerprint_pct"), share("top_client").alias("top_holders_same_client_fingerprint_pct"), share("client").alias("bot_family_dominance_score"), share("client", "groups").alias("bot_family_diversity_score"),
+    )
+
+
+def lifecycle_columns(holders: DataFrame, trades: DataFrame, context: DataFrame, windows: tuple[int, int] = (30, 60)) -> DataFrame:
+    """F15, 15 columns, at each mint's observed_us. holders: mint, wallet, balance, first_seen_us; context: mint, observed_us, launch_us, hhi; windows: seconds of a new holder's survival."""
+    age = F.greatest(F.lit(0), F.expr("(observed_us - first_seen_us) div 1000000")).cast("double")
+    x = holders.join(context.select("mint", "observed_us"), "mint").withColumns({"age": F.when(F.col("first_seen_us").isNotNull(), age), "b": F.greatest("balance", F.lit(0.0)), "us_old": F.col("observed_us") - F.col("first_seen_us")})
+    counts = {}
+    for i, s in enumerate(windows):
+        counts |= {f"new{i}": F.count_if(F.col("us_old") <= s * 1_000_000), f"old{i}": F.count_if(F.col("us_old") >= s * 1_000_000)}
+    y = x.groupBy("mint").agg(F.avg("age").alias("holder_age_mean"), (F.sum(F.col("age") * F.col("b")) / F.nullif(F.sum("b"), F.lit(0.0))).alias("holder_age_weighted_by_balance"), F.count_if(F.col("b") > 0).alias("nonzero"), *[v.alias(k) for k, v in counts.items()])
+    median = A.percentiles(x.where("age is not null"), ["mint"], "age", [50]).select("mint", F.col("p50").alias("holder_age_median"))
+    z = context.join(y, "mint", "left").join(median, "mint", "left")
+    for n in (10, 20):
+        z = z.join(W.retention(trades, holders, n).withColumnRenamed("retention", f"r{n}"), "mint", "left")
+    sold = trades.where("side = 'sell'").groupBy("mint").agg(F.count_distinct("wallet").alias("exited"))
+    z = z.join(W.holding_times(trades).select("mint", F.col("mean_seconds").alias("average_time_to_first_sell_by_holder")), "mint", "left").join(sold, "mint", "left")
+    k = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    over = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    lived = [over(k(f"old{i}"), F.greatest(k(f"new{i}"), k(f"old{i}"))) for i in range(2)]
+    launch = F.coalesce(F.greatest(F.lit(0), F.expr("(observed_us - launch_us) div 1000000")).cast("double"), F.lit(0.0))
+    launch = F.when(F.col("launch_us").isNotNull(), launch).otherwise(F.lit(0.0))
+    sticky = clamp01(0.5 * k("r20") + 0.25 * lived[0] + 0.25 * (1 - k("hhi")))
+    return z.select(
+        "mint", "holder_age_mean", "holder_age_median", "holder_age_weighted_by_balance", lived[0].alias("new_holder_survival_30s"), lived[1].alias("new_holder_survival_1m"), k("r10").alias("first_10_buyers_retention"), k("r20").alias("first_20_buyers_retention"), "average_time_to_first_sell_by_holder",
+        (launch * (1 - k("r20"))).alias("holder_half_life"), (1 - k("r20")).alias("holder_decay_rate"), sticky.alias("holder_stickiness_score"), (1 - sticky).alias("holder_paper_hands_score"), clamp01(k("new0") / F.greatest(k("exited"), F.lit(1.0))).alias("healthy_churn_score"), clamp01(k("exited") / F.greatest(k("new0"), F.lit(1.0))).alias("unhealthy_churn_score"),
+        clamp01(k("new0") / F.greatest(k("nonzero"), F.lit(1.0))).alias("new_holders_replacing_old_holders_score"),
+    )

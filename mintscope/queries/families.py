@@ -225,3 +225,41 @@ def f13_cost_columns(spark, sf_dir):
     t = ev_trades(spark, sf_dir)
     marked = L.marked(L.positions(t), t.groupBy("mint").agg(F.max_by("price", F.struct("us", "seq")).alias("price")))
     return P.cost_columns(marked, t.groupBy("mint").agg(F.coalesce(F.sum(F.when(F.col("side") == "sell", F.col("quote"))), F.lit(0.0)).alias("sell_volume")))
+
+
+_TX = {
+    "compute_limit": "CASE WHEN seq % 5 = 0 THEN NULL ELSE (wallet % 7) * 100000 END", "compute_price": "CASE WHEN seq % 4 = 0 THEN NULL ELSE (wallet % 5) * 3000 END", "account_count": "CASE WHEN seq % 6 = 0 THEN NULL ELSE wallet % 9 + 10 END", "instruction_count": "CASE WHEN mint % 6 = 0 OR seq % 7 = 0 THEN NULL ELSE wallet % 4 + 2 END",
+    "fingerprint": "CASE WHEN seq % 3 = 0 THEN NULL ELSE concat('f', wallet % 6) END",
+}
+_mode = lambda name, cols, where="true", src="t": f"{name} AS (SELECT mint, max(n) AS mx, sum(n) AS nn, count(*) AS g FROM (SELECT mint, {', '.join(cols)}, count(*) AS n FROM {src} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)} AND {where} GROUP BY ALL) GROUP BY mint)"
+_med = lambda c: f"(SELECT mint, max({c}) FILTER (i = (n - 1) * 50 // 100) AS v FROM (SELECT mint, {c}, row_number() OVER (PARTITION BY mint ORDER BY {c}) - 1 AS i, count(*) OVER (PARTITION BY mint) AS n FROM t WHERE {c} IS NOT NULL) GROUP BY mint)"
+
+
+@query(with_views("ev", sql=f"""bl AS (SELECT mint, wallet, sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) AS b FROM ev GROUP BY 1, 2), tp AS (SELECT mint, wallet FROM bl WHERE b > 0 QUALIFY row_number() OVER (PARTITION BY mint ORDER BY b DESC, wallet) <= 5),
+    t AS (SELECT ev.*, {', '.join(f'{v} AS {n}' for n, v in _TX.items())}, row_number() OVER (PARTITION BY mint, side ORDER BY us, seq) AS r, (mint, wallet) IN (SELECT (mint, wallet) FROM tp) AS it FROM ev), {_mode('pf', ['compute_limit', 'compute_price'])}, {_mode('pb', ['compute_limit', 'compute_price'], "side = 'buy' AND r <= 8")}, {_mode('sq', ['instruction_count'])},
+    {_mode('pt', ['account_count'])}, {_mode('cl', ['fingerprint'])}, {_mode('cb', ['fingerprint'], "side = 'buy' AND r <= 8")}, {_mode('ct', ['fingerprint'], 'it')}, m AS (SELECT DISTINCT mint FROM ev)
+    SELECT m.mint, ac.v AS tx_account_count, ic.v AS tx_instruction_count, CASE WHEN ic.v IS NOT NULL THEN 0 END AS tx_inner_instruction_count, li.v IS NOT NULL OR pr.v IS NOT NULL AS compute_budget_instruction_present, li.v AS compute_unit_limit, (li.v >= 100000)::INT + (li.v >= 200000)::INT + (li.v >= 400000)::INT AS compute_unit_limit_bucket, pr.v AS compute_unit_price,
+        (pr.v >= 1000)::INT + (pr.v >= 5000)::INT + (pr.v >= 10000)::INT AS compute_unit_price_bucket, coalesce(pf.mx, 1) - 1 AS duplicate_compute_profile_count, coalesce(pb.mx, 1) - 1 AS duplicate_compute_profile_among_first_buyers, coalesce(sq.mx, 1) - 1 AS duplicate_instruction_sequence_count, coalesce(pt.mx, 1) - 1 AS duplicate_account_pattern_count,
+        coalesce(cl.mx / cl.nn, 0) AS identical_client_fingerprint_score, coalesce(cb.mx / cb.nn, 0) AS first_buyers_same_client_fingerprint_pct, coalesce(ct.mx / ct.nn, 0) AS top_holders_same_client_fingerprint_pct, coalesce(cl.mx / cl.nn, 0) AS bot_family_dominance_score, coalesce(cl.g / cl.nn, 0) AS bot_family_diversity_score
+    FROM m LEFT JOIN {_med('account_count')} AS ac USING (mint) LEFT JOIN {_med('instruction_count')} AS ic USING (mint) LEFT JOIN {_med('compute_limit')} AS li USING (mint) LEFT JOIN {_med('compute_price')} AS pr USING (mint) LEFT JOIN pf USING (mint) LEFT JOIN pb USING (mint) LEFT JOIN sq USING (mint) LEFT JOIN pt USING (mint) LEFT JOIN cl USING (mint) LEFT JOIN cb USING (mint) LEFT JOIN ct USING (mint)"""))
+def f16_fingerprint_columns(spark, sf_dir):
+    t = ev_trades(spark, sf_dir).withColumns({n: F.expr(v) for n, v in _TX.items()})
+    held = t.groupBy("mint", "wallet").agg(F.sum(F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))).alias("b")).where("b > 0")
+    top = held.withColumn("r", F.expr("row_number() over (partition by mint order by b desc, wallet)")).where("r <= 5").select("mint", "wallet")
+    return P.fingerprint_columns(t, top)
+
+
+@query(with_views("ev", sql="""h AS (SELECT mint, wallet, sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) AS balance, CASE WHEN wallet % 7 = 0 THEN NULL ELSE min(us) END AS fs FROM ev GROUP BY 1, 2), c AS (SELECT mint, max(us) + 7000000 AS ob, CASE WHEN mint % 5 = 0 THEN NULL ELSE min(us) END AS la, (mint % 8) / 10 AS hhi FROM ev GROUP BY 1),
+    x AS (SELECT h.*, ob, (ob - fs) // 1000000 AS age, greatest(balance, 0) AS b FROM h JOIN c USING (mint)), a AS (SELECT mint, avg(age) AS mean, sum(age * b) / nullif(sum(b), 0) AS wt, count(*) FILTER (b > 0) AS nz, count(*) FILTER (ob - fs <= 259200000000) AS n0, count(*) FILTER (ob - fs >= 259200000000) AS o0, count(*) FILTER (ob - fs <= 864000000000) AS n1, count(*) FILTER (ob - fs >= 864000000000) AS o1 FROM x GROUP BY 1),
+    md AS (SELECT mint, max(age) FILTER (i = (n - 1) * 50 // 100) AS med FROM (SELECT mint, age, row_number() OVER (PARTITION BY mint ORDER BY age) - 1 AS i, count(*) OVER (PARTITION BY mint) AS n FROM x WHERE age IS NOT NULL) GROUP BY 1),
+    f AS (SELECT mint, wallet, min(us) AS us, arg_min(seq, (us, seq)) AS seq FROM ev WHERE side = 'buy' GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY us, seq) AS p FROM f), r AS (SELECT k.mint, count(h.mint) FILTER (p <= 10) / count(*) FILTER (p <= 10) AS r10, count(h.mint) / count(*) AS r20 FROM k LEFT JOIN h ON h.mint = k.mint AND h.wallet = k.wallet AND balance > 0 WHERE p <= 20 GROUP BY 1),
+    ht AS (SELECT mint, avg(greatest(0, s - b) / 1000000) AS t FROM (SELECT mint, wallet, min(us) FILTER (side = 'buy') AS b, min(us) FILTER (side = 'sell') AS s FROM ev GROUP BY 1, 2) WHERE b IS NOT NULL AND s IS NOT NULL GROUP BY 1), e AS (SELECT mint, count(DISTINCT wallet) AS ex FROM ev WHERE side = 'sell' GROUP BY 1),
+    z AS (SELECT c.mint, mean, med, wt, CASE WHEN greatest(n0, o0) > 0 THEN o0 / greatest(n0, o0) ELSE 0 END AS s0, CASE WHEN greatest(n1, o1) > 0 THEN o1 / greatest(n1, o1) ELSE 0 END AS s1, coalesce(r10, 0) AS r10, coalesce(r20, 0) AS r20, t, CASE WHEN la IS NULL THEN 0 ELSE (ob - la) // 1000000 END AS la, hhi, n0, coalesce(ex, 0) AS ex, nz FROM c LEFT JOIN a USING (mint) LEFT JOIN md USING (mint) LEFT JOIN r USING (mint) LEFT JOIN ht USING (mint) LEFT JOIN e USING (mint))
+    SELECT mint, mean AS holder_age_mean, med AS holder_age_median, wt AS holder_age_weighted_by_balance, s0 AS new_holder_survival_30s, s1 AS new_holder_survival_1m, r10 AS first_10_buyers_retention, r20 AS first_20_buyers_retention, t AS average_time_to_first_sell_by_holder, la * (1 - r20) AS holder_half_life, 1 - r20 AS holder_decay_rate, least(1, 0.5 * r20 + 0.25 * s0 + 0.25 * (1 - hhi)) AS holder_stickiness_score,
+        1 - least(1, 0.5 * r20 + 0.25 * s0 + 0.25 * (1 - hhi)) AS holder_paper_hands_score, least(1, n0 / greatest(ex, 1)) AS healthy_churn_score, least(1, ex / greatest(n0, 1)) AS unhealthy_churn_score, least(1, n0 / greatest(nz, 1)) AS new_holders_replacing_old_holders_score FROM z"""))
+def f15_lifecycle_columns(spark, sf_dir):
+    t = ev_trades(spark, sf_dir)
+    h = t.groupBy("mint", "wallet").agg(F.sum(F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))).alias("balance"), F.min("us").alias("first_seen_us"))
+    h = h.withColumn("first_seen_us", F.when(F.col("wallet") % 7 != 0, F.col("first_seen_us")))
+    c = t.groupBy("mint").agg((F.max("us") + 7_000_000).alias("observed_us"), F.min("us").alias("first")).select("mint", "observed_us", F.when(F.col("mint") % 5 != 0, F.col("first")).alias("launch_us"), ((F.col("mint") % 8) / 10).alias("hhi"))
+    return P.lifecycle_columns(h, t, c, (259_200, 864_000))
