@@ -415,3 +415,41 @@ def lifecycle_columns(holders: DataFrame, trades: DataFrame, context: DataFrame,
         (launch * (1 - k("r20"))).alias("holder_half_life"), (1 - k("r20")).alias("holder_decay_rate"), sticky.alias("holder_stickiness_score"), (1 - sticky).alias("holder_paper_hands_score"), clamp01(k("new0") / F.greatest(k("exited"), F.lit(1.0))).alias("healthy_churn_score"), clamp01(k("exited") / F.greatest(k("new0"), F.lit(1.0))).alias("unhealthy_churn_score"),
         clamp01(k("new0") / F.greatest(k("nonzero"), F.lit(1.0))).alias("new_holders_replacing_old_holders_score"),
     )
+
+
+def funding_columns(launches: DataFrame, edges: DataFrame, buyers: DataFrame, top: DataFrame, wallets: int) -> DataFrame:
+    """F17, 14 columns. launches: mint, creator, launch_us, observed_us; edges: funder, wallet, amount, us (one a pair: its last); buyers: (mint, wallet, place) of the first eight buys; top: (mint, wallet) of five holders.
+
+    wallets: how many are known at all. A wallet's funder is that of its latest edge (ties by name).
+    """
+    latest = edges.groupBy("wallet").agg(F.max_by(F.struct("funder", F.col("us").alias("f_us")), F.struct("us", "funder")).alias("f")).select("wallet", "f.*")
+    mine = launches.join(latest.withColumnRenamed("wallet", "creator"), "creator", "left")
+    b = buyers.join(latest, "wallet", "left").join(mine.select("mint", "launch_us", "observed_us", F.col("funder").alias("creator_funder")), "mint")
+    first = b.groupBy("mint").agg(
+        F.count_if(F.col("funder") == F.col("creator_funder")).alias("overlap"), F.count("funder").alias("n"), F.min_by("f_us", "place").alias("first_f_us"), F.count_if(F.col("observed_us") - F.col("f_us") <= 60_000_000).alias("just"),
+    )
+    one = lambda df, name: _groups(df.join(latest, "wallet"), name, "funder").select("mint", (F.col(f"{name}_max") / F.col(f"{name}_n")).alias(name))
+    many = mine.where("funder is not null").groupBy("funder").agg(F.count(F.lit(1)).alias("launched"))
+    funded = edges.groupBy("funder").agg(F.count(F.lit(1)).alias("funded"))
+    rounded = F.round("amount", 4).alias("a")
+    amounts = edges.groupBy("funder", rounded).agg(F.count(F.lit(1)).alias("m")).groupBy("funder").agg(F.max("m").alias("same"), F.sum("m").alias("all"))
+    anyone = edges.groupBy(rounded).agg(F.count(F.lit(1)).alias("m")).agg((F.max("m") / F.sum("m")).alias("of_all"))
+    total = edges.agg(F.count(F.lit(1)).alias("edges"))
+    # funding in the five minutes before each launch: edges and launches in order of time, counted once
+    marks = edges.select(F.col("us").alias("t"), F.lit(1).alias("k"), F.lit(None).cast("long").alias("mint"))
+    asks = launches.where("launch_us is not null").select(F.explode(F.array(F.struct((F.col("launch_us") - 300_000_000).alias("t"), F.lit(0).alias("k")), F.struct(F.col("launch_us").alias("t"), F.lit(2).alias("k")))).alias("a"), "mint").select("a.t", "a.k", "mint")
+    both = marks.union(asks).withColumn("day", F.expr("t div 86400000000"))
+    before = both.where("k = 1").groupBy("day").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.expr("coalesce(sum(c) over (order by day rows between unbounded preceding and 1 preceding), 0)"))  # one row a day
+    days = both.select("day").distinct().join(before, "day", "left").withColumn("before", F.expr("coalesce(before, max(before + c) over (order by day rows between unbounded preceding and 1 preceding), 0)")).select("day", "before")
+    counted = both.join(F.broadcast(days), "day").withColumn("c", F.col("before") + F.sum((F.col("k") == 1).cast("long")).over(Window.partitionBy("day").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)))
+    burst = counted.where("mint is not null").groupBy("mint").agg((F.max("c") - F.min("c")).alias("burst"))
+    x = mine.join(first, "mint", "left").join(one(buyers, "fs"), "mint", "left").join(one(top, "ts"), "mint", "left").join(many, "funder", "left").join(funded, "funder", "left").join(amounts, "funder", "left").join(burst, "mint", "left").join(F.broadcast(total)).join(F.broadcast(anyone))  # total and anyone are one row each
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    dense = clamp01(F.col("edges") / F.lit(float(max(1, wallets) ** 2)) * 10)
+    suspicion = clamp01(z("fs") + z("ts") + dense) / 3
+    age = lambda us: F.expr(f"abs(launch_us - {us}) div 1000000")
+    return x.select(
+        "mint", F.col("funder").alias("creator_recent_funder"), age("f_us").alias("funder_to_creator_edge_age"), z("overlap").cast("long").alias("buyer_recent_funder_overlap_count"), z("fs").cast("double").alias("first_buyers_same_funder_pct"), z("ts").cast("double").alias("top_holders_same_funder_pct"), F.when(F.col("n") > 0, age("first_f_us")).alias("funder_to_buyer_edge_age"),
+        F.when(F.col("funder").isNotNull(), z("launched")).alias("funder_to_multiple_launches_count"), F.coalesce(F.when(F.col("funder").isNotNull(), F.col("same") / F.col("all")).otherwise(F.col("of_all")), F.lit(0.0)).alias("same_funder_same_amount_pattern"), z("burst").cast("long").alias("funding_burst_before_launch"), z("just").cast("long").alias("wallets_funded_just_before_buy_count"), z("funded").cast("long").alias("fresh_wallets_funded_by_known_factory"),
+        dense.alias("funding_graph_density"), suspicion.alias("funding_graph_suspicion_score"), (1 - suspicion).alias("funding_graph_quality_score"),
+    )

@@ -263,3 +263,25 @@ def f15_lifecycle_columns(spark, sf_dir):
     h = h.withColumn("first_seen_us", F.when(F.col("wallet") % 7 != 0, F.col("first_seen_us")))
     c = t.groupBy("mint").agg((F.max("us") + 7_000_000).alias("observed_us"), F.min("us").alias("first")).select("mint", "observed_us", F.when(F.col("mint") % 5 != 0, F.col("first")).alias("launch_us"), ((F.col("mint") % 8) / 10).alias("hhi"))
     return P.lifecycle_columns(h, t, c, (259_200, 864_000))
+
+
+@query(with_views("ev", sql="""fe AS (SELECT c_nationkey * 100 + o_custkey % 7 AS funder, o_custkey % 100 AS wallet, round(o_totalprice / 1e5) AS amount, epoch_us(o_orderdate) + 915148800000000 + o_orderkey AS us FROM orders JOIN customer ON o_custkey = c_custkey), g AS (SELECT funder, wallet, sum(amount) AS amount, max(us) AS us FROM fe GROUP BY 1, 2), f AS (SELECT wallet, arg_max(funder, (us, funder)) AS funder, max(us) AS f_us FROM g GROUP BY 1),
+    l AS (SELECT mint, CASE WHEN mint % 6 = 0 THEN NULL ELSE mint % 90 END AS creator, CASE WHEN mint % 7 = 0 THEN NULL ELSE min(us) END AS launch, max(us) AS ob FROM ev GROUP BY 1), m AS (SELECT l.*, funder, f_us FROM l LEFT JOIN f ON f.wallet = creator), b AS (SELECT mint, wallet, row_number() OVER (PARTITION BY mint ORDER BY us, seq) AS p FROM ev WHERE side = 'buy' QUALIFY p <= 8),
+    bf AS (SELECT b.*, f.funder, f.f_us, m.funder AS cf, ob FROM b LEFT JOIN f USING (wallet) JOIN m ON m.mint = b.mint), fi AS (SELECT mint, count(*) FILTER (funder = cf) AS ov, count(funder) AS n, max(f_us) FILTER (p = 1) AS ff, count(*) FILTER (ob - f_us <= 60000000) AS ju FROM bf GROUP BY 1),
+    fs AS (SELECT mint, max(n) / sum(n) AS fs FROM (SELECT mint, funder, count(*) AS n FROM bf WHERE funder IS NOT NULL GROUP BY 1, 2) GROUP BY 1), bl AS (SELECT mint, wallet, sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) AS b FROM ev GROUP BY 1, 2), tp AS (SELECT mint, wallet FROM bl WHERE b > 0 QUALIFY row_number() OVER (PARTITION BY mint ORDER BY b DESC, wallet) <= 5),
+    ts AS (SELECT mint, max(n) / sum(n) AS ts FROM (SELECT mint, funder, count(*) AS n FROM tp JOIN f USING (wallet) GROUP BY 1, 2) GROUP BY 1), la AS (SELECT funder, count(*) AS la FROM m WHERE funder IS NOT NULL GROUP BY 1), fu AS (SELECT funder, count(*) AS fu FROM g GROUP BY 1), am AS (SELECT funder, max(n) / sum(n) AS am FROM (SELECT funder, round(amount, 4) AS a, count(*) AS n FROM g GROUP BY 1, 2) GROUP BY 1),
+    al AS (SELECT max(n) / sum(n) AS al FROM (SELECT round(amount, 4) AS a, count(*) AS n FROM g GROUP BY 1)), d AS (SELECT least(1, (SELECT count(*) FROM g) / 2500 * 10) AS d), bu AS (SELECT mint, (SELECT count(*) FROM g WHERE g.us <= launch AND g.us >= launch - 300000000) AS bu FROM l WHERE launch IS NOT NULL),
+    z AS (SELECT m.*, ov, n, ff, ju, coalesce(fs, 0) AS fs, coalesce(ts, 0) AS ts, la, fu, am, al, d, bu FROM m LEFT JOIN fi USING (mint) LEFT JOIN fs USING (mint) LEFT JOIN ts USING (mint) LEFT JOIN la ON la.funder = m.funder LEFT JOIN fu ON fu.funder = m.funder LEFT JOIN am ON am.funder = m.funder LEFT JOIN bu USING (mint), al, d)
+    SELECT mint, funder AS creator_recent_funder, abs(launch - f_us) // 1000000 AS funder_to_creator_edge_age, coalesce(ov, 0) AS buyer_recent_funder_overlap_count, fs AS first_buyers_same_funder_pct, ts AS top_holders_same_funder_pct, CASE WHEN n > 0 THEN abs(launch - ff) // 1000000 END AS funder_to_buyer_edge_age, CASE WHEN funder IS NOT NULL THEN la END AS funder_to_multiple_launches_count,
+        CASE WHEN funder IS NULL THEN al ELSE am END AS same_funder_same_amount_pattern, coalesce(bu, 0) AS funding_burst_before_launch, coalesce(ju, 0) AS wallets_funded_just_before_buy_count, coalesce(fu, 0) AS fresh_wallets_funded_by_known_factory, d AS funding_graph_density, least(1, fs + ts + d) / 3 AS funding_graph_suspicion_score, 1 - least(1, fs + ts + d) / 3 AS funding_graph_quality_score FROM z"""))
+def f17_funding_columns(spark, sf_dir):
+    t = ev_trades(spark, sf_dir)
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    raw = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select((F.col("c_nationkey") * 100 + F.col("o_custkey") % 7).cast("long").alias("funder"), (F.col("o_custkey") % 100).alias("wallet"), F.round(F.col("o_totalprice") / 1e5).alias("amount"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) + 915_148_800_000_000 + F.col("o_orderkey")).alias("us"))
+    edges = raw.groupBy("funder", "wallet").agg(F.sum("amount").alias("amount"), F.max("us").alias("us"))
+    m = F.col("mint")
+    launches_ = t.groupBy("mint").agg(F.min("us").alias("first"), F.max("us").alias("observed_us")).select("mint", F.when(m % 6 != 0, m % 90).alias("creator"), F.when(m % 7 != 0, F.col("first")).alias("launch_us"), "observed_us")
+    buyers = t.where("side = 'buy'").withColumn("place", F.expr("row_number() over (partition by mint order by us, seq)")).where("place <= 8").select("mint", "wallet", "place")
+    held = t.groupBy("mint", "wallet").agg(F.sum(F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))).alias("b")).where("b > 0")
+    top = held.withColumn("r", F.expr("row_number() over (partition by mint order by b desc, wallet)")).where("r <= 5").select("mint", "wallet")
+    return P.funding_columns(launches_, edges, buyers, top, 50)

@@ -68,6 +68,7 @@ RESULTS: dict[str, str] = {
     "f15_lifecycle_columns": "mint bigint, holder_age_mean double, holder_age_median double, holder_age_weighted_by_balance double, new_holder_survival_30s double, new_holder_survival_1m double, first_10_buyers_retention double, first_20_buyers_retention double, average_time_to_first_sell_by_holder double, holder_half_life double, holder_decay_rate double, holder_stickiness_score double, holder_paper_hands_score double, healthy_churn_score double, unhealthy_churn_score double, new_holders_replacing_old_holders_score double",
     "f16_f18_fingerprints_and_fees": "mint bigint, dominant_share double, diversity double, fee_median double, fee_p90 double, fee_spike boolean, war_score double",
     "f16_fingerprint_columns": "mint bigint, tx_account_count double, tx_instruction_count double, tx_inner_instruction_count double, compute_budget_instruction_present boolean, compute_unit_limit double, compute_unit_limit_bucket int, compute_unit_price double, compute_unit_price_bucket int, duplicate_compute_profile_count bigint, duplicate_compute_profile_among_first_buyers bigint, duplicate_instruction_sequence_count bigint, duplicate_account_pattern_count bigint, identical_client_fingerprint_score double, first_buyers_same_client_fingerprint_pct double, top_holders_same_client_fingerprint_pct double, bot_family_dominance_score double, bot_family_diversity_score double",
+    "f17_funding_columns": "mint bigint, creator_recent_funder bigint, funder_to_creator_edge_age bigint, buyer_recent_funder_overlap_count bigint, first_buyers_same_funder_pct double, top_holders_same_funder_pct double, funder_to_buyer_edge_age bigint, funder_to_multiple_launches_count bigint, same_funder_same_amount_pattern double, funding_burst_before_launch bigint, wallets_funded_just_before_buy_count bigint, fresh_wallets_funded_by_known_factory bigint, funding_graph_density double, funding_graph_suspicion_score double, funding_graph_quality_score double",
     "f17_funding_profile": "funder bigint, wallets bigint, amount double, mean_amount double, density double, burst boolean, multi_launch bigint",
     "f18_fee_columns": "mint bigint, launch_priority_fee_median double, launch_priority_fee_p90 double, pump_buy_priority_fee_median double, pump_sell_priority_fee_median double, first_buyers_priority_fee_median double, priority_fee_spike_near_launch boolean, our_required_priority_fee_estimate double, fee_war_score double, minimum_move_to_cover_observed_fees double, edge_minus_fee_war_cost double, high_fee_low_edge_warning boolean",
     "f19_execution_columns": "mint bigint, first_seen_by_shred_ns bigint, shred_lead_time_ms double, token_signal_available_before_geyser_flag boolean, slot_id bigint, competition_intensity_score double, counterfactual_buy_after_100ms_pnl double, latency_adjusted_trade_eligibility double",
