@@ -61,8 +61,9 @@ def judge(captures: DataFrame, events: DataFrame, key: str, url: str = "url", at
     """(key, host, fetched_at, verdict, entry, valid_from, n_active) for every capture.
 
     verdict is that of the most specific entry active at the fetch time (path prefix, host, then nearest domain; at
-    equal specificity `allow` over `block`), else `none`. A capture without a host or time has verdict none. Repeated
-    captures are answered row by row.
+    equal specificity `allow` over `block`), else `none`. A capture without a host or time has verdict none, and so
+    has every capture of an empty list. Repeated captures are answered row by row; a long URL is read whole; no capture
+    gives no row. Columns of captures other than the three named are not read.
     """
     rows = captures.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.col(at).alias("t"))
     host = host_of(F.col("u"))
