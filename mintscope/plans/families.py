@@ -453,3 +453,39 @@ def funding_columns(launches: DataFrame, edges: DataFrame, buyers: DataFrame, to
         F.when(F.col("funder").isNotNull(), z("launched")).alias("funder_to_multiple_launches_count"), F.coalesce(F.when(F.col("funder").isNotNull(), F.col("same") / F.col("all")).otherwise(F.col("of_all")), F.lit(0.0)).alias("same_funder_same_amount_pattern"), z("burst").cast("long").alias("funding_burst_before_launch"), z("just").cast("long").alias("wallets_funded_just_before_buy_count"), z("funded").cast("long").alias("fresh_wallets_funded_by_known_factory"),
         dense.alias("funding_graph_density"), suspicion.alias("funding_graph_suspicion_score"), (1 - suspicion).alias("funding_graph_quality_score"),
     )
+
+
+def cohort_columns(tokens: DataFrame, seconds: tuple[int, int, int] = (30, 5, 15)) -> DataFrame:
+    """F11, 22 columns. tokens: mint, launch_us, observed_us, lifecycle, unique_buyers and the measures buy_volume, net_flow, growth, price_return, growth_1m, return_1m, buy_volume_5s, buy_volume_15s (missing counts as 0).
+
+    A cohort is what was launched within seconds[0] of a mint, and before its observed_us. Ranks fall with the measure, ties by mint. A token without a launch is a cohort of its own.
+    """
+    measures = ["buy_volume", "net_flow", "growth", "price_return", "growth_1m", "return_1m", "buy_volume_5s", "buy_volume_15s"]
+    t = tokens.select("mint", "launch_us", "observed_us", "lifecycle", F.coalesce("unique_buyers", F.lit(0)).alias("unique_buyers"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in measures])
+    other = t.select(F.col("mint").alias("other"), F.col("lifecycle").alias("o_lifecycle"), F.col("unique_buyers").alias("o_unique_buyers"), *[F.col(m).alias(f"o_{m}") for m in measures])
+
+    def cohort(s: int) -> DataFrame:
+        pairs = W.cohort_pairs(t.where("launch_us is not null").select("mint", "launch_us"), s).select("mint", "other", "other_us")
+        alone = t.where("launch_us is null").select("mint", F.col("mint").alias("other"), F.lit(None).cast("long").alias("other_us"))
+        return pairs.union(alone).join(t, "mint").where("other_us is null or other_us <= observed_us").join(other, "other")
+
+    ahead = lambda m: (F.count_if((F.col(f"o_{m}") > F.col(m)) | ((F.col(f"o_{m}") == F.col(m)) & (F.col("other") < F.col("mint")))) + 1)
+    upto = lambda m: F.avg((F.col(f"o_{m}") <= F.col(m)).cast("double"))
+    life = lambda *v: F.count_if(F.col("o_lifecycle").isin(*v))
+    x = cohort(seconds[0]).groupBy("mint", "buy_volume", "unique_buyers").agg(
+        F.count(F.lit(1)).alias("n"), life("ActiveLight", "ActiveDeep", "TradeCandidate", "InPosition", "ExitPending").alias("active"), life("SoftDiscarded", "HardDiscarded").alias("discarded"), life("RugArchive").alias("rugs"), ahead("buy_volume").alias("r1"), ahead("net_flow").alias("r2"), ahead("growth").alias("r3"), ahead("price_return").alias("r4"),
+        F.sum("o_buy_volume").alias("volume"), F.max("o_buy_volume").alias("best"), F.sum("o_unique_buyers").alias("buyers"), upto("buy_volume").alias("p1"), upto("net_flow").alias("p2"), upto("growth_1m").alias("p3"), upto("return_1m").alias("p4"),
+    )
+    short = [cohort(s).groupBy("mint").agg(ahead(m).alias(f"rank_{i}")) for i, (s, m) in enumerate(zip(seconds[1:], ("buy_volume_5s", "buy_volume_15s"), strict=True))]
+    x = x.join(short[0], "mint").join(short[1], "mint")
+    c = F.col
+    strength = F.when(c("n") <= 1, 1.0).otherwise(clamp01(1 - (c("r1") + c("r2") + c("r3") + c("r4") - 4) / ((c("n") - 1) * 4)))
+    velocity = c("rank_1") - c("rank_0")
+    share = F.when(c("volume") > 0, c("buy_volume") / c("volume"))
+    out = x.select(
+        "mint", c("n").alias("cohort_launch_count"), c("active").alias("cohort_active_count"), (c("discarded") / c("n")).alias("cohort_discard_rate"), (c("rugs") / c("n")).alias("cohort_rug_rate"), c("r1").alias("token_rank_by_buy_volume_30s"), c("r2").alias("token_rank_by_net_flow_30s"), c("r3").alias("token_rank_by_holder_growth_30s"), c("r4").alias("token_rank_by_price_return_30s"),
+        strength.alias("token_relative_strength_score"), (1 - strength).alias("token_relative_weakness_score"), share.alias("cohort_attention_share"), F.greatest(c("best") - c("buy_volume"), F.lit(0.0)).alias("best_launch_in_cohort_distance"), share.alias("this_token_share_of_all_launch_buy_volume"), F.when(c("buyers") > 0, c("unique_buyers") / c("buyers")).alias("this_token_share_of_all_unique_buyers"),
+        c("p1").alias("token_percentile_buy_volume_30s"), c("p2").alias("token_percentile_net_flow_30s"), c("p3").alias("token_percentile_holder_growth_1m"), c("p4").alias("token_percentile_price_return_1m"), ((c("r1") == 1) & (c("r4") <= 2)).alias("token_is_cohort_leader_flag"), ((c("r1") == c("n")) & (c("r4") == c("n"))).alias("token_is_cohort_laggard_flag"),
+        clamp01(F.greatest(-velocity, F.lit(0)).cast("double")).alias("token_improving_rank_velocity"), clamp01(F.greatest(velocity, F.lit(0)).cast("double")).alias("token_losing_rank_velocity"),
+    )
+    return tokens.select("mint").join(out, "mint", "left")

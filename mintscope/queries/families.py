@@ -285,3 +285,24 @@ def f17_funding_columns(spark, sf_dir):
     held = t.groupBy("mint", "wallet").agg(F.sum(F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))).alias("b")).where("b > 0")
     top = held.withColumn("r", F.expr("row_number() over (partition by mint order by b desc, wallet)")).where("r <= 5").select("mint", "wallet")
     return P.funding_columns(launches_, edges, buyers, top, 50)
+
+
+_TOKEN = {
+    "mint": "p_partkey", "launch_us": "CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_partkey * 3000000 + p_size % 5 * 700000 END", "observed_us": "p_partkey * 3000000 + p_size * 1000000", "lifecycle": "CASE p_size % 6 WHEN 0 THEN 'ActiveDeep' WHEN 1 THEN 'SoftDiscarded' WHEN 2 THEN 'RugArchive' WHEN 3 THEN 'InPosition' WHEN 4 THEN 'Discovered' ELSE 'HardDiscarded' END", "unique_buyers": "p_size % 8",
+    "buy_volume": "CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size % 30 AS DOUBLE) END", "net_flow": "CAST(p_partkey % 13 AS DOUBLE) - 6", "growth": "CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_partkey % 7 AS DOUBLE) / 7 END", "price_return": "CAST(p_size % 21 AS DOUBLE) / 10 - 1", "growth_1m": "CAST(p_partkey % 5 AS DOUBLE)", "return_1m": "CAST(p_size % 11 AS DOUBLE) / 5",
+    "buy_volume_5s": "CAST(p_size % 6 AS DOUBLE)", "buy_volume_15s": "CAST(p_partkey % 9 AS DOUBLE)",
+}
+_MEASURES = ["buy_volume", "net_flow", "growth", "price_return", "growth_1m", "return_1m", "buy_volume_5s", "buy_volume_15s"]
+_rk = lambda m: f"count(*) FILTER (b.{m} > a.{m} OR b.{m} = a.{m} AND b.mint < a.mint) + 1"
+_pairs = lambda s: f"FROM t AS a JOIN t AS b ON abs(a.launch_us - b.launch_us) <= {s} * 1000000 AND b.launch_us <= a.observed_us OR a.launch_us IS NULL AND a.mint = b.mint GROUP BY a.mint"
+
+
+@query(f"""WITH x AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _TOKEN.items())} FROM part), t AS (SELECT * REPLACE ({', '.join(f'coalesce({m}, 0) AS {m}' for m in _MEASURES)}) FROM x),
+    c AS (SELECT a.mint, count(*) AS n, count(*) FILTER (b.lifecycle IN ('ActiveDeep', 'InPosition')) AS ac, count(*) FILTER (b.lifecycle IN ('SoftDiscarded', 'HardDiscarded')) AS di, count(*) FILTER (b.lifecycle = 'RugArchive') AS ru, {_rk('buy_volume')} AS r1, {_rk('net_flow')} AS r2, {_rk('growth')} AS r3, {_rk('price_return')} AS r4, sum(b.buy_volume) AS v, max(b.buy_volume) AS best, sum(b.unique_buyers) AS ub, any_value(a.buy_volume) AS mine, any_value(a.unique_buyers) AS mub,
+        avg((b.buy_volume <= a.buy_volume)::INT) AS p1, avg((b.net_flow <= a.net_flow)::INT) AS p2, avg((b.growth_1m <= a.growth_1m)::INT) AS p3, avg((b.return_1m <= a.return_1m)::INT) AS p4 {_pairs(30)}), f AS (SELECT a.mint, {_rk('buy_volume_5s')} AS k5 {_pairs(5)}), g AS (SELECT a.mint, {_rk('buy_volume_15s')} AS k15 {_pairs(15)}),
+    s AS (SELECT *, CASE WHEN n <= 1 THEN 1 ELSE least(1, greatest(0, 1 - (r1 + r2 + r3 + r4 - 4) / ((n - 1) * 4))) END AS st, k15 - k5 AS ve FROM c JOIN f USING (mint) JOIN g USING (mint))
+    SELECT x.mint, n AS cohort_launch_count, ac AS cohort_active_count, di / n AS cohort_discard_rate, ru / n AS cohort_rug_rate, r1 AS token_rank_by_buy_volume_30s, r2 AS token_rank_by_net_flow_30s, r3 AS token_rank_by_holder_growth_30s, r4 AS token_rank_by_price_return_30s, st AS token_relative_strength_score, 1 - st AS token_relative_weakness_score, CASE WHEN v > 0 THEN mine / v END AS cohort_attention_share,
+        CASE WHEN n > 0 THEN greatest(best - mine, 0) END AS best_launch_in_cohort_distance, CASE WHEN v > 0 THEN mine / v END AS this_token_share_of_all_launch_buy_volume, CASE WHEN ub > 0 THEN mub / ub END AS this_token_share_of_all_unique_buyers, p1 AS token_percentile_buy_volume_30s, p2 AS token_percentile_net_flow_30s, p3 AS token_percentile_holder_growth_1m, p4 AS token_percentile_price_return_1m, r1 = 1 AND r4 <= 2 AS token_is_cohort_leader_flag,
+        r1 = n AND r4 = n AS token_is_cohort_laggard_flag, CASE WHEN n > 0 THEN least(1, greatest(-ve, 0)) END AS token_improving_rank_velocity, CASE WHEN n > 0 THEN least(1, greatest(ve, 0)) END AS token_losing_rank_velocity FROM x LEFT JOIN s USING (mint)""")
+def f11_cohort_columns(spark, sf_dir):
+    return P.cohort_columns(table(spark, sf_dir, "part").selectExpr(*[f"{v} as {n}" for n, v in _TOKEN.items()]))
