@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, linededup, matroska, mixing, packing, secrets, simhash, substring, urlfilter
+from . import ann, conversations, langid, linededup, matroska, mixing, packing, secrets, simhash, substring, urlfilter
 from .common import docs_table
 
 
@@ -111,6 +111,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs_table(spark, sf_dir))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns lost, emptied, cut off, repeated or given to the user, by a checksum of `conv_id:turn`; a null is one space."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    hurt = F.crc32(F.concat(named("conv_id"), F.lit(":"), named("turn"))) % 20
+    text = F.when(F.col("hurt") == 1, "").when(F.col("hurt") == 2, F.regexp_replace(named("text"), "[.!?]", "")).otherwise(named("text"))
+    role = F.when(F.col("hurt") == 4, "user").otherwise(named("role"))
+    times = F.when(F.col("hurt") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return conversations.withColumn("hurt", hurt).where("hurt <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("copy")).drop("copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = docs_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hurt = damaged(whole)
+    judged, rows = conversations.repair_conversations(hurt)
+    gaps = hurt.groupBy("conv_id").agg(F.coalesce(F.max("turn") - F.min("turn") + 1 - F.countDistinct("turn"), F.lit(0)).alias("gaps"))
+    out = whole.select("conv_id").distinct()
+    for df in (gaps, judged, conversations.digests(rows)):
+        other = df.withColumnRenamed("conv_id", "c")
+        out = out.join(other, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -122,6 +145,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
