@@ -5,8 +5,8 @@ re-roles, deletes or inserts turns until the roles read system? (user assistant)
 symbols are a run; a run's costs are its symbol's min-plus transition raised to the run's length by cached binary powers.
 The choices, the least audit of the cheapest, are then unrolled from the same powers, half by half.
 
-Spark judges faults, orders turns and brings symbols together on rows without texts, one character a turn; texts
-travel once, to be put out in order behind their conversation's audit.
+Spark orders the turns over all tasks, judges their faults and brings symbols together, one character a turn; texts stay in
+the block of rows that they were sorted to, where the block's part of the audit is replayed on them.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 WANTED = "uuau"
 ENDS = (0, 3)
 FAR = 1 << 60
+#: Characters of a piece of a long conversation's text on its way to be hashed.
+PIECE = 1 << 20
 SPACE = r"[\x20\x09-\x0D]"
 
 Matrix = tuple[tuple[int, ...], ...]
@@ -155,129 +157,177 @@ def illegal(symbols: str) -> int:
     return sum(p not in ("su", "ua", "au") for p in map("".join, zip(roles, roles[1:], strict=False)))
 
 
-def turns(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(k, turn, role, text, h): the table's turns by their key as a string, null roles and texts as one space; h orders and tells apart texts."""
+def turns(df: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
+    """(k, turn, role, text, h, block, at): the table's turns in order, written to the shared folder.
+
+    Null roles and texts are one space; h, the text's SHA-256, tells texts apart. Order: key, turn (nulls first), role,
+    h. The rows are sorted over all tasks, equal ones by where they were read, so that a conversation, or a row that repeats, may
+    fill many tasks: `block` is the task, `at` the place among all rows.
+    """
     filled = df.select(
         F.col(key).cast("string").alias("k"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit(" ")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit(" ")).alias("text")
     )
-    return filled.withColumn("h", F.unhex(F.sha2("text", 256)))
+    told = filled.withColumn("h", F.unhex(F.sha2("text", 256))).withColumn("read", F.monotonically_increasing_id())
+    order = ["k", "turn", "role", "h", "read"]
+    ordered = told.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(ordered.select("k", "turn", "role", "text", "h", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("at")), "turns")
 
 
 def symbols(rows: DataFrame) -> DataFrame:
-    """(k, symbols, blank, duplicate, truncated) of what `turns` gives: one character for each turn, in order.
+    """(k, blocks, blank, duplicate, truncated) of what `turns` gives; blocks: an array of (block, symbols), one character a turn.
 
-    Order: turn (nulls first), role, the text's SHA-256; rows that are alike in all of it are one row with a count
-    before they are shuffled. The rows are sorted over all tasks, so a conversation may fill many; what a task has
-    of it becomes a string of one character a turn there, and only these strings meet.
+    Texts stay where they are. What a block has of a conversation becomes a string there, and only these strings meet.
     """
     last = F.regexp_extract("text", rf"(?s)([^\x20\x09-\x0D]){SPACE}*\z", 1)
-    light = rows.select("k", "turn", "role", "h", last.alias("last"))
-    same = light.groupBy("k", "turn", "role", "h").agg(F.count("*").alias("n"), F.min("last").alias("last")).withColumn("blank", F.col("last") == "")
-    place = F.struct(F.col("turn").isNotNull().alias("is"), "turn")
-    first = same.where("not blank").groupBy(F.col("k").alias("fk"), F.col("role").alias("fr"), F.col("h").alias("fh")).agg(F.min(place).alias("first"))
-    met = same.join(first, F.col("k").eqNullSafe(F.col("fk")) & (F.col("role") == F.col("fr")) & (F.col("h") == F.col("fh")), "left")
-    new = ~F.col("blank") & (F.col("first.is") == F.col("turn").isNotNull()) & F.col("first.turn").eqNullSafe(F.col("turn"))
+    light = rows.select("k", "role", "h", "block", "at", last.alias("last"))
+    first = light.where("last <> ''").groupBy(F.col("k").alias("fk"), F.col("role").alias("fr"), F.col("h").alias("fh")).agg(F.min("at").alias("first"))
+    met = light.join(first, F.col("k").eqNullSafe(F.col("fk")) & (F.col("role") == F.col("fr")) & (F.col("h") == F.col("fh")), "left")
+    fault = F.when((F.col("last") == "") | (F.col("at") > F.col("first")), LOST).when(F.col("last").isin(".", "!", "?"), SOUND).otherwise(CUT_OFF)
     initial = F.when(F.col("role").startswith("s"), 0).when(F.col("role").startswith("u"), 1).when(F.col("role").startswith("a"), 2).otherwise(3)
-    cut_off = ~F.col("last").isin(".", "!", "?")
-    judged = met.select("k", "turn", "role", "h", "n", "blank", new.alias("new"), cut_off.alias("cut_off"), initial.alias("initial"))
-    letter = lambda fault: F.chr((F.lit(ord("a")) + 3 * F.col("initial") + fault).cast("int"))
-    string = F.when(F.col("new"), F.concat(letter(F.col("cut_off").cast("int")), F.repeat(letter(F.lit(LOST)), F.col("n").cast("int") - 1))).otherwise(F.repeat(letter(F.lit(LOST)), F.col("n").cast("int")))
-    ordered = judged.repartitionByRange("k", "turn", "role", "h").sortWithinPartitions("k", "turn", "role", "h")
-    counts = {
-        "blank": F.when(F.col("blank"), F.col("n")).otherwise(0),
-        "duplicate": F.when(F.col("blank"), 0).otherwise(F.col("n") - F.col("new").cast("long")),
-        "truncated": (F.col("new") & F.col("cut_off")).cast("long"),
-    }
-    placed = cut(ordered.select("k", string.alias("s"), F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("at"), *[c.alias(f"n_{n}") for n, c in counts.items()]), "turns")
-    joined = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "s"))), lambda x: x["s"]), "")
-    sums = [F.sum(f"n_{n}").alias(f"n_{n}") for n in counts]
-    blocks = placed.groupBy("k", "block").agg(joined("at").alias("s"), *sums)
-    return blocks.groupBy("k").agg(joined("block").alias("symbols"), *[F.sum(f"n_{n}").alias(n) for n in counts])
+    judged = met.select("k", "block", "at", "last", fault.alias("fault"), F.chr((ord("a") + 3 * initial + fault).cast("int")).alias("s"))
+    counts = [F.count_if(c).alias(n) for n, c in (("blank", F.col("last") == ""), ("duplicate", (F.col("last") != "") & (F.col("fault") == LOST)), ("truncated", F.col("fault") == CUT_OFF))]
+    string = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]), "").alias("symbols")
+    blocks = judged.groupBy("k", "block").agg(string, *counts)
+    return blocks.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("block", "symbols"))).alias("blocks"), *[F.sum(n).alias(n) for n in ("blank", "duplicate", "truncated")])
+
+
+def parts(blocks: list[dict], audit: str) -> list[dict]:
+    """What of the audit belongs to each block, and the state that it begins in."""
+    if len(blocks) == 1:
+        return [{"block": blocks[0]["block"], "state": 0, "edits": audit}]
+    out, at, state = [], 0, 0
+    for b in blocks:
+        begin, entry = at, state
+        for of in b["symbols"]:
+            while audit[at] == "I":
+                at, state = at + 1, NEXT[state][WANTED[state]]
+            if audit[at] == "K":
+                state = NEXT[state][INITIALS[(ord(of) - ord("a")) // 3]]
+            elif audit[at] == "R":
+                state = NEXT[state][WANTED[state]]
+            at += 1
+        out.append({"block": b["block"], "state": entry, "edits": audit[begin:at]})
+    out[-1]["edits"] += audit[at:]
+    return out
 
 
 def audits(found: DataFrame) -> DataFrame:
-    """Adds illegal, cost and audit to what `symbols` gives."""
+    """(k, blank, duplicate, truncated, illegal, cost, audit, parts) of what `symbols` gives."""
 
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            done = [repair(s) for s in pdf["symbols"]]
-            yield pdf.assign(illegal=[illegal(s) for s in pdf["symbols"]], cost=[c for c, _ in done], audit=[a for _, a in done])
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for blocks in pdf["blocks"]:
+                own = [b if isinstance(b, dict) else b.asDict() for b in blocks]
+                whole = "".join(b["symbols"] for b in own)
+                cost, audit = repair(whole)
+                out.append((illegal(whole), cost, audit, parts(own, audit)))
+            yield pdf.drop(columns="blocks").assign(**{c: [r[i] for r in out] for i, c in enumerate(("illegal", "cost", "audit", "parts"))})
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    return found.mapInPandas(judge, f"{schema}, illegal long, cost long, audit string")
+    return found.mapInPandas(judge, "k string, blank long, duplicate long, truncated long, illegal long, cost long, audit string, parts array<struct<block: int, state: int, edits: string>>")
 
 
 def repaired(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """(k, place, role, text): the turns that each audit leaves, re-roled and inserted ones among them, in order within each task.
+    """(k, block, place, role, text, first, whole): the turns that the audits leave, re-roled and inserted ones among them.
 
-    A conversation's audit and then its rows stream through one task, sorted by Spark; the task holds one batch and one audit.
+    In order of block and place; first: the conversation's first; whole: its block has all of it. A block's edits and then its
+    rows stream through one task, sorted by Spark; the task holds one batch and the edits of one block.
     """
-    heads = judged.select("k", F.lit(0).alias("body"), F.lit(None).cast("long").alias("turn"), F.lit("").alias("role"), F.lit(None).cast("binary").alias("h"), F.col("audit").alias("text"))
-    body = rows.select("k", F.lit(1).alias("body"), "turn", "role", "h", "text")
-    stream = heads.union(body).repartition("k").sortWithinPartitions("k", "body", "turn", "role", "h").drop("h", "turn")
+    head = judged.select("k", (F.size("parts") == 1).alias("whole"), F.explode("parts").alias("p"))
+    heads = head.select("k", "p.block", F.lit(-1).cast("long").alias("at"), F.lit("").alias("role"), F.col("p.edits").alias("text"), F.col("p.state").alias("state"), "whole")
+    body = rows.select("k", "block", "at", "role", "text", F.lit(None).cast("int").alias("state"), F.lit(None).cast("boolean").alias("whole"))
+    stream = heads.union(body).repartition("k", "block").sortWithinPartitions("k", "block", "at")
     names = {"u": "user", "a": "assistant"}
-    initials = {n: n[:1] for n in ("system", "user", "assistant")}
-
-    def replay(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        audit, at, state, place = "", 0, 0, 0
-        for pdf in parts:
-            out = []
 
-            def put(k, initial, role, text):
-                nonlocal state, place
-                out.append((k, place, role, text))
-                state, place = NEXT[state][initial], place + 1
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        audit, at, state, place, whole = "", 0, 0, 0, False
+        out: list[tuple] = []
 
-            def insert(k):
-                nonlocal at
-                while at < len(audit) and audit[at] == "I":
-                    put(k, WANTED[state], names[WANTED[state]], "")
-                    at += 1
+        def put(k, block, initial, role, text):
+            nonlocal state, place
+            out.append((k, block, place, role, text, state == 0, whole))
+            state, place = NEXT[state][initial], place + 1
 
-            for k, is_row, role, text in zip(pdf["k"], pdf["body"], pdf["role"], pdf["text"], strict=True):
-                if not is_row:
-                    audit, at, state, place = text, 0, 0, 0
+        for pdf in batches:
+            for k, block, no, role, text, entry, one in zip(*(pdf[c] for c in ("k", "block", "at", "role", "text", "state", "whole")), strict=True):
+                if no < 0:
+                    audit, at, state, place, whole = text, 0, int(entry), 0, bool(one)
                 else:
                     edit, at = audit[at], at + 1
                     if edit == "K":
-                        put(k, initials.get(role, role[:1]), role, text)
+                        put(k, block, role[:1], role, text)
                     elif edit == "R":
-                        put(k, WANTED[state], names[WANTED[state]], text)
-                insert(k)
-            yield pd.DataFrame(out, columns=["k", "place", "role", "text"])
+                        put(k, block, WANTED[state], names[WANTED[state]], text)
+                while at < len(audit) and audit[at] == "I":
+                    put(k, block, WANTED[state], names[WANTED[state]], "")
+                    at += 1
+            yield pd.DataFrame(out, columns=["k", "block", "place", "role", "text", "first", "whole"])
+            out = []
 
-    return stream.mapInPandas(replay, "k string, place long, role string, text string")
+    return stream.mapInPandas(replay, "k string, block int, place long, role string, text string, first boolean, whole boolean")
 
 
 def digests(out: DataFrame, key: str = "conv_id") -> DataFrame:
-    """(key, sha256) of each conversation's `role:text` joined by line ends, over the repaired rows as they stream."""
+    """(key, sha256) of each conversation's `role:text` joined by line ends, over the repaired rows as they stream.
+
+    What is in one block is hashed there. A conversation of many blocks comes as a few long pieces of text, which meet once more.
+    """
     import hashlib
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = digest = None
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[str] = []
+        done: list[tuple] = []
+        own, size, piece = None, 0, 0
+
+        def flush():
+            nonlocal size, piece
+            if held:
+                text = "".join(held)
+                done.append((own[0], None, None, None, hashlib.sha256(text.encode()).hexdigest()) if own[2] and not piece else (own[0], own[1], piece, text, None))
+            held.clear()
+            size, piece = 0, piece + 1
+
+        for pdf in batches:
+            for k, block, whole, first, role, text in zip(*(pdf[c] for c in ("k", "block", "whole", "first", "role", "text")), strict=True):
+                if own != (k, block, whole):
+                    flush()
+                    own, piece = (k, block, whole), 0
+                elif size > PIECE:
+                    flush()
+                held.append(f"{role}:{text}" if first else f"\n{role}:{text}")
+                size += len(held[-1])
+            yield pd.DataFrame(done, columns=["k", "block", "piece", "text", "sha256"]).astype({"block": "Int32", "piece": "Int32"})
+            done = []
+        flush()
+        yield pd.DataFrame(done, columns=["k", "block", "piece", "text", "sha256"]).astype({"block": "Int32", "piece": "Int32"})
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, digest = (None,), None
         done: list[tuple[str, str]] = []
-        for pdf in parts:
-            for k, place, role, text in zip(pdf["k"], pdf["place"], pdf["role"], pdf["text"], strict=True):
-                if place == 0:
+        for pdf in batches:
+            for k, text in zip(pdf["k"], pdf["text"], strict=True):
+                if own != (k, True):
                     if digest:
-                        done.append((own, digest.hexdigest()))
-                    own, digest = k, hashlib.sha256()
-                else:
-                    digest.update(b"\n")
-                digest.update(f"{role}:{text}".encode())
+                        done.append((own[0], digest.hexdigest()))
+                    own, digest = (k, True), hashlib.sha256()
+                digest.update(text.encode())
             yield pd.DataFrame(done, columns=["k", "sha256"])
             done = []
         if digest:
-            yield pd.DataFrame([(own, digest.hexdigest())], columns=["k", "sha256"])
+            yield pd.DataFrame([(own[0], digest.hexdigest())], columns=["k", "sha256"])
 
-    rows = out.select(F.col(key).cast("string").alias("k"), "place", "role", "text")
-    return rows.mapInPandas(run, "k string, sha256 string").select(F.col("k").cast(out.schema[key].dataType).alias(key), "sha256")
+    rows = out.select(F.col(key).cast("string").alias("k"), "block", "whole", "first", "role", "text")
+    short = cut(rows.mapInPandas(shorten, "k string, block int, piece int, text string, sha256 string"), "digests")
+    rest = short.where("sha256 is null").select("k", "block", "piece", "text").repartition("k").sortWithinPartitions("k", "block", "piece")
+    both = short.where("sha256 is not null").select("k", "sha256").union(rest.mapInPandas(join, "k string, sha256 string"))
+    return both.select(F.col("k").cast(out.schema[key].dataType).alias(key), "sha256")
 
 
 def repair_conversations(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(judged, rows): per conversation its faults, the cost and audit of its repair; and the repaired turns.
 
-    judged: key, symbols, blank, duplicate, truncated, illegal, cost, audit. rows: key, place (from 0), role, text.
+    judged: key, blank, duplicate, truncated, illegal, cost, audit, parts (the audit by blocks of rows). rows: key, block,
+    place, role, text, first, whole; in order of block and place.
     Null roles and texts count as one space, null turns come first, a null key is a key like others. Turns of one
     number are ordered by role and the text's SHA-256. Rows that repeat are duplicates of the first. Blank, empty and very
     long texts are texts like others. An empty table has no conversations. Other columns are not read, whatever their names.
@@ -287,4 +337,4 @@ def repair_conversations(df: DataFrame, key: str = "conv_id", turn: str = "turn"
     own = turns(df, key, turn, role, text)
     judged = cut(audits(symbols(own)), "audits")
     back = F.col("k").cast(df.schema[key].dataType).alias(key)
-    return judged.select(back, *judged.columns[1:]), repaired(own, judged).select(back, "place", "role", "text")
+    return judged.select(back, *judged.columns[1:]), repaired(own, judged).select(back, "block", "place", "role", "text", "first", "whole")
