@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversations, langid, linededup, matroska, mixing, packing, secrets, simhash, substring, urlfilter
+from . import ann, balanced, conversations, langid, linededup, matroska, mixing, packing, periods, secrets, simhash, substring, urlfilter
 from .common import docs_table
 
 
@@ -111,6 +111,35 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs_table(spark, sf_dir))
 
 
+def op11_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced.pack(docs_table(spark, sf_dir), vocabulary())
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by a checksum of doc_id, repeat a stretch of their words from some word on; a null id counts as empty."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    words = F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", h.alias("h")).withColumn("words", F.when(F.col("h") % 10 == 0, words))
+    n = F.size("words")
+    a = F.expr("floor(h / 10) % size(words)")
+    some = some.withColumn("a", F.when(n > 0, a).cast("int"))
+    p = F.expr("1 + floor((size(words) - a) / (3 + floor(h / 10) % 8))").cast("int")
+    some = some.withColumn("p", F.when(n > 0, p))
+    moved = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
+    return some.select("doc_id", F.when(n > 0, moved).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.find_runs(with_planted_runs(docs_table(spark, sf_dir)))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    ahead = F.expr("array_sort(runs, (x, y) -> case when x.length <> y.length then if(x.length > y.length, -1, 1) when x.start <> y.start then if(x.start < y.start, -1, 1) else if(x.period < y.period, -1, 1) end)[0]")
+    top = found.withColumn("top", F.when(F.size("runs") > 0, ahead))
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "top.start", "top.length", "top.period", F.expr("floor(1000 * top.length / top.period)").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Turns lost, emptied, cut off, repeated or given to the user, by a checksum of `conv_id:turn`; a null is one space."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -145,6 +174,8 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_language_id": op10_language_id,
+    "op11_balanced_packing": op11_balanced_packing,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
