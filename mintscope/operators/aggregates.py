@@ -152,3 +152,9 @@ def top_reasons(df: DataFrame, by: list[str], codes: str, n: int) -> DataFrame:
     return counts.withColumn("place", F.expr(f"row_number() over ({part}order by count desc, code)")).where(F.col("place") <= n)
 
 
+
+
+def count_alike(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with how many of its rows have the row's value of `by`; 0 where that is null. Counted before rows meet, so a common value is not one task."""
+    n = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__v")).agg(F.count(F.lit(1)).alias(name))
+    return df.join(n, F.col(by) == F.col("__v"), "left").drop("__v").fillna(0, [name])

@@ -110,22 +110,6 @@ def retention(trades: DataFrame, held: DataFrame, n: int) -> DataFrame:
     return first.join(own, ["mint", "wallet"], "left").groupBy("mint").agg((F.count("there") / F.count(F.lit(1))).alias("retention"))
 
 
-def cohort_pairs(launches: DataFrame, seconds: int) -> DataFrame:
-    """Band self-join: (mint, other, launch_us, other_us) with launches at most `seconds` apart. Buckets of the band's width bound what meets."""
-    width = seconds * SECOND
-    left = launches.withColumn("b", F.explode(F.expr(f"array(launch_us div {width} - 1, launch_us div {width}, launch_us div {width} + 1)")))
-    right = launches.select(F.col("mint").alias("other"), F.col("launch_us").alias("other_us"), F.expr(f"launch_us div {width}").alias("b"))
-    return left.join(right, "b").where(F.abs(F.col("launch_us") - F.col("other_us")) <= width).drop("b")
-
-
-def cohort_ranks(launches: DataFrame, score: DataFrame, seconds: int) -> DataFrame:
-    """(mint, cohort, rank, percentile) of score (mint, score) among launches at most `seconds` apart; ties by mint."""
-    s = score.select("mint", "score")
-    pairs = cohort_pairs(launches, seconds).join(s, "mint").join(s.withColumnRenamed("mint", "other").withColumnRenamed("score", "theirs"), "other")
-    ahead = (F.col("theirs") > F.col("score")) | ((F.col("theirs") == F.col("score")) & (F.col("other") < F.col("mint")))
-    return pairs.groupBy("mint").agg(F.count(F.lit(1)).alias("cohort"), (F.count_if(ahead) + 1).alias("rank"), F.avg((F.col("theirs") <= F.col("score")).cast("double")).alias("percentile"))
-
-
 def absorption(trades: DataFrame, large: float) -> DataFrame:
     """Per mint with a large sell: buys, volume and buyers after it, and how fast and far the price came back to the one before."""
     sells = trades.where((F.col("side") == "sell") & (F.col("quote") >= large)).groupBy("mint").agg(F.min(F.struct("us", "seq")).alias("hit"))

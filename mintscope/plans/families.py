@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 from ..functions.math import clamp01
 from ..functions.text import distinct_ratio, non_ascii_ratio, uri_host, uri_scheme
 from ..operators import aggregates as A
+from ..operators import cohorts as C
 from ..operators import windows as W
+from ..sources.shared import cut
 
 # The placeholders, the economic supply of a curve, and the texts that name what was divided by.
 PLACEHOLDERS = [
@@ -26,14 +28,11 @@ def launch_identity(launches: DataFrame) -> DataFrame:
 
     A name, symbol or URI counts as seen before if another mint has the same, and isn't empty.
     """
-
-    def seen(c: str) -> Column:
-        n = F.count(F.lit(1)).over(Window.partitionBy(c)) - 1
-        return F.when(F.coalesce(F.col(c), F.lit("")) == "", F.lit(0)).otherwise(n).cast("long")
-
     passed = ["mint", "launch_slot", "quote_mint", "creator_wallet", "payer_wallet", "bonding_curve_pubkey", "associated_bonding_curve_pubkey", "metadata_pubkey", "create_instruction_variant", "launch_same_tx_buy_count", "launch_same_slot_buy_count", "launch_tx_client_fingerprint"]
     texts = ("name", "symbol", "uri")
-    x = launches.withColumns({f"duplicate_{c}_seen_historically": seen(c) for c in texts})
+    x = launches
+    for c in texts:
+        x = A.count_alike(x.withColumn("__given", F.when(F.col(c) != "", F.col(c))), "__given", "__n").withColumn(f"duplicate_{c}_seen_historically", F.greatest(F.col("__n") - 1, F.lit(0))).drop("__given", "__n")
     t = {c: F.coalesce(F.col(c), F.lit("")) for c in texts}
     return x.select(
         *passed,
@@ -51,7 +50,7 @@ def launch_identity(launches: DataFrame) -> DataFrame:
 def creator(launches: DataFrame, clusters: DataFrame | None = None, hour_us: int = 3_600_000_000, wave: int = 3) -> DataFrame:
     """F2, 7 columns, at observed_us, which no launch is later than; launches: mint, creator, payer, uri, launch_us, observed_us; clusters: (wallet, cluster)."""
     host = uri_host(F.col("uri"))
-    x = launches.withColumn("host", host)
+    x = A.count_alike(launches.withColumn("host", host), "host", "host_n")
     by, payer = Window.partitionBy("creator"), Window.partitionBy("creator", "payer")
     # launches in the hour before a row's own time of observation: a merge of times of both kinds, counted in order
     t = x.select("creator", F.col("launch_us").alias("t"), F.lit(1).alias("n"), F.lit(None).cast("long").alias("mint"), F.lit(1).alias("kind"))
@@ -63,7 +62,7 @@ def creator(launches: DataFrame, clusters: DataFrame | None = None, hour_us: int
         "creator_age_in_local_index": F.expr("greatest(0, (observed_us - first_us) div 1000000)"),
         "creator_total_launches_seen": F.count(F.lit(1)).over(by),
         "creator_reuses_same_payer": F.count(F.lit(1)).over(payer) > 1,
-        "creator_reuses_same_metadata_domain": F.col("host").isNotNull() & (F.count(F.lit(1)).over(Window.partitionBy("host")) > 1),
+        "creator_reuses_same_metadata_domain": F.col("host_n") > 1,
     })
     out = out.join(counts, "mint", "left")
     out = out.join(clusters.select(F.col("wallet").alias("creator"), F.col("cluster").alias("creator_cluster_id")), "creator", "left") if clusters is not None else out.withColumn("creator_cluster_id", F.lit(None).cast("string"))
@@ -461,23 +460,24 @@ def cohort_columns(tokens: DataFrame, seconds: tuple[int, int, int] = (30, 5, 15
     A cohort is what was launched within seconds[0] of a mint, and before its observed_us. Ranks fall with the measure, ties by mint. A token without a launch is a cohort of its own.
     """
     measures = ["buy_volume", "net_flow", "growth", "price_return", "growth_1m", "return_1m", "buy_volume_5s", "buy_volume_15s"]
-    t = tokens.select("mint", "launch_us", "observed_us", "lifecycle", F.coalesce("unique_buyers", F.lit(0)).alias("unique_buyers"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in measures])
-    other = t.select(F.col("mint").alias("other"), F.col("lifecycle").alias("o_lifecycle"), F.col("unique_buyers").alias("o_unique_buyers"), *[F.col(m).alias(f"o_{m}") for m in measures])
-
-    def cohort(s: int) -> DataFrame:
-        pairs = W.cohort_pairs(t.where("launch_us is not null").select("mint", "launch_us"), s).select("mint", "other", "other_us")
-        alone = t.where("launch_us is null").select("mint", F.col("mint").alias("other"), F.lit(None).cast("long").alias("other_us"))
-        return pairs.union(alone).join(t, "mint").where("other_us is null or other_us <= observed_us").join(other, "other")
-
-    ahead = lambda m: (F.count_if((F.col(f"o_{m}") > F.col(m)) | ((F.col(f"o_{m}") == F.col(m)) & (F.col("other") < F.col("mint")))) + 1)
-    upto = lambda m: F.avg((F.col(f"o_{m}") <= F.col(m)).cast("double"))
-    life = lambda *v: F.count_if(F.col("o_lifecycle").isin(*v))
-    x = cohort(seconds[0]).groupBy("mint", "buy_volume", "unique_buyers").agg(
-        F.count(F.lit(1)).alias("n"), life("ActiveLight", "ActiveDeep", "TradeCandidate", "InPosition", "ExitPending").alias("active"), life("SoftDiscarded", "HardDiscarded").alias("discarded"), life("RugArchive").alias("rugs"), ahead("buy_volume").alias("r1"), ahead("net_flow").alias("r2"), ahead("growth").alias("r3"), ahead("price_return").alias("r4"),
-        F.sum("o_buy_volume").alias("volume"), F.max("o_buy_volume").alias("best"), F.sum("o_unique_buyers").alias("buyers"), upto("buy_volume").alias("p1"), upto("net_flow").alias("p2"), upto("growth_1m").alias("p3"), upto("return_1m").alias("p4"),
-    )
-    short = [cohort(s).groupBy("mint").agg(ahead(m).alias(f"rank_{i}")) for i, (s, m) in enumerate(zip(seconds[1:], ("buy_volume_5s", "buy_volume_15s"), strict=True))]
-    x = x.join(short[0], "mint").join(short[1], "mint")
+    t = cut(tokens.select("mint", "launch_us", "observed_us", "lifecycle", F.coalesce("unique_buyers", F.lit(0)).cast("long").alias("unique_buyers"), *[F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias(m) for m in measures]), "tokens")
+    launched, alone = t.where("launch_us is not null"), t.where("launch_us is null")
+    places, found = C.stretches(launched, list(seconds), "observed_us")
+    life = lambda *v: (F.col("lifecycle").isin(*v).cast("long"), "sum")
+    parts = {"active": life("ActiveLight", "ActiveDeep", "TradeCandidate", "InPosition", "ExitPending"), "discarded": life("SoftDiscarded", "HardDiscarded"), "rugs": life("RugArchive"), "volume": (F.col("buy_volume"), "sum"), "best": (F.col("buy_volume"), "max"), "buyers": (F.col("unique_buyers"), "sum")}
+    # (measure, band, kind) of each rank (from 1) and each share of the cohort that isn't above
+    ranks = {"r1": ("buy_volume", 0), "r2": ("net_flow", 0), "r3": ("growth", 0), "r4": ("price_return", 0), "rank_0": ("buy_volume_5s", 1), "rank_1": ("buy_volume_15s", 2)}
+    shares = {"p1": "buy_volume", "p2": "net_flow", "p3": "growth_1m", "p4": "return_1m"}
+    long = launched.select("mint", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("score")) for m in measures])).alias("m")).select("mint", "m.*")
+    wanted = [*[(m, seconds[i], "ahead") for m, i in ranks.values()], *[(m, seconds[0], "above") for m in shares.values()]]
+    ahead = C.counts_ahead(long, places, found, wanted)
+    one = lambda m, i, kind: F.max(F.when((F.col("measure") == m) & (F.col("band") == seconds[i]) & (F.col("kind") == kind), F.col("n")))
+    counts = ahead.groupBy("mint").agg(*[(one(m, i, "ahead") + 1).alias(k) for k, (m, i) in ranks.items()], *[one(m, 0, "above").alias(k) for k, m in shares.items()])
+    wide = found.where(F.col("band") == seconds[0])
+    x = wide.select("mint", (F.col("hi") - F.col("lo")).alias("n")).join(C.totals(launched, places, wide, parts).drop("band"), "mint").join(counts, "mint")
+    x = x.withColumns({p: 1 - F.col(p) / F.col("n") for p in shares}).where("rank_0 is not null and rank_1 is not null")
+    lone = alone.select("mint", F.lit(1).cast("long").alias("n"), *[v.alias(k) for k, (v, _) in parts.items()], *[F.lit(1).cast("long").alias(k) for k in ranks], *[F.lit(1.0).alias(k) for k in shares])
+    x = x.unionByName(lone).join(t.select("mint", "buy_volume", "unique_buyers"), "mint")
     c = F.col
     strength = F.when(c("n") <= 1, 1.0).otherwise(clamp01(1 - (c("r1") + c("r2") + c("r3") + c("r4") - 4) / ((c("n") - 1) * 4)))
     velocity = c("rank_1") - c("rank_0")

@@ -21,10 +21,10 @@ PLACEHOLDERS = ["wallet_vector_similarity", "launch_factory_id", "event_grammar_
 
 def launch_identity(launches: DataFrame) -> DataFrame:
     """F1 of launches (mint, name, symbol, uri, creator): lengths, empties, duplicates, text measures."""
-    dup = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) - 1
     out = launches
     for c in ("name", "symbol", "uri"):
-        out = out.withColumns({f"{c}_length": F.char_length(c), f"has_empty_{c}": F.coalesce(F.trim(c) == "", F.lit(True)), f"duplicate_{c}_seen": dup(c), f"{c}_entropy": distinct_ratio(F.col(c))})
+        out = A.count_alike(out, c, "__n").withColumn(f"duplicate_{c}_seen", F.col("__n") - 1).drop("__n")
+        out = out.withColumns({f"{c}_length": F.char_length(c), f"has_empty_{c}": F.coalesce(F.trim(c) == "", F.lit(True)), f"{c}_entropy": distinct_ratio(F.col(c))})
     return out.withColumns({"suspicious_unicode_score": non_ascii_ratio(F.col("name")), "uri_scheme": uri_scheme(F.col("uri")), "uri_host": uri_host(F.col("uri"))})
 
 

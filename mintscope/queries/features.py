@@ -203,9 +203,12 @@ def c10_c24_texts(spark, sf_dir):
 
 @query(with_views("ev", "launch", sql="""b AS (SELECT mint, coalesce(sum(quote) FILTER (side = 'buy'), 0) AS v, count(*) AS n FROM ev GROUP BY mint), p AS (SELECT a.mint, x.v AS own, y.v AS v, y.n AS n FROM launch AS a JOIN launch AS c ON abs(a.launch_us - c.launch_us) <= 43200000000 JOIN b AS x ON x.mint = a.mint JOIN b AS y ON y.mint = c.mint)
     SELECT mint, count(*) AS cohort, count(*) FILTER (n >= 20) AS active, max(own) / sum(v) AS attention, max(v) - max(own) AS distance_to_best, max(own) >= max(v) AS leader FROM p GROUP BY mint"""))
-def f11_cohort(spark, sf_dir):
-    from ..operators.windows import cohort_pairs
+def cohort_measures(spark, sf_dir):
+    from ..operators import cohorts as C
 
     b = ev_trades(spark, sf_dir).groupBy("mint").agg(F.coalesce(F.sum(F.when(F.col("side") == "buy", F.col("quote"))), F.lit(0.0)).alias("own"), F.count(F.lit(1)).alias("n"))
-    p = cohort_pairs(ev_launches(spark, sf_dir), 43200).join(b.select("mint", "own"), "mint").join(b.select(F.col("mint").alias("other"), F.col("own").alias("v"), "n"), "other")
-    return p.groupBy("mint").agg(F.count(F.lit(1)).alias("cohort"), F.count_if(F.col("n") >= 20).alias("active"), (F.max("own") / F.sum("v")).alias("attention"), (F.max("v") - F.max("own")).alias("distance_to_best"), (F.max("own") >= F.max("v")).alias("leader"))
+    launches = ev_launches(spark, sf_dir).join(b, "mint")
+    places, found = C.stretches(launches, [43200])
+    sums = {"active": ((F.col("n") >= 20).cast("long"), "sum"), "volume": (F.col("own"), "sum"), "best": (F.col("own"), "max")}
+    x = C.totals(launches, places, found, sums).join(found.select("mint", (F.col("hi") - F.col("lo")).alias("cohort")), "mint").join(b.select("mint", "own"), "mint")
+    return x.select("mint", "cohort", "active", (F.col("own") / F.col("volume")).alias("attention"), (F.col("best") - F.col("own")).alias("distance_to_best"), (F.col("own") >= F.col("best")).alias("leader"))

@@ -59,7 +59,7 @@ RESULTS: dict[str, str] = {
     "c7_c9_c14_c15_numbers": "o_orderkey bigint, share01 double, impact double, exit_impact double, bucket int, label string, mean double",
     "f10_rug": "mint bigint, dev_sold boolean, half_from_high boolean, no_buys boolean, sells_lead boolean, rug_probability double, rug_confidence double",
     "f10_rug_columns": "mint bigint, dev_sold_flag boolean, dev_sold_pct double, price_drop_50pct_from_ath boolean, price_drop_70pct_from_launch_within_5m boolean, holder_growth_stalled boolean, sells_dominate_after_launch boolean, no_buys_for_x_seconds boolean, rug_probability_score double, rug_confidence double",
-    "f11_cohort": "mint bigint, cohort bigint, active bigint, attention double, distance_to_best double, leader boolean",
+    "cohort_measures": "mint bigint, cohort bigint, active bigint, attention double, distance_to_best double, leader boolean",
     "f11_cohort_columns": "mint bigint, cohort_launch_count bigint, cohort_active_count bigint, cohort_discard_rate double, cohort_rug_rate double, token_rank_by_buy_volume_30s bigint, token_rank_by_net_flow_30s bigint, token_rank_by_holder_growth_30s bigint, token_rank_by_price_return_30s bigint, token_relative_strength_score double, token_relative_weakness_score double, cohort_attention_share double, best_launch_in_cohort_distance double, this_token_share_of_all_launch_buy_volume double, this_token_share_of_all_unique_buyers double, token_percentile_buy_volume_30s double, token_percentile_net_flow_30s double, token_percentile_holder_growth_1m double, token_percentile_price_return_1m double, token_is_cohort_leader_flag boolean, token_is_cohort_laggard_flag boolean, token_improving_rank_velocity double, token_losing_rank_velocity double",
     "f12_rotation_columns": "mint bigint, wallets_sold_other_token_then_bought_this_count bigint, net_capital_rotated_into_this_from_other_launches double, smart_capital_rotation_score double, this_token_becoming_primary_capital_destination_flag boolean",
     "f13_cost_basis": "mint bigint, mean_unrealised double, profit_supply double, underwater_supply double, free_roll_supply double, initials_out bigint, full_exits bigint",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mintscope.functions import math as M
 from mintscope.functions import text as T
 from mintscope.operators import aggregates as A
+from mintscope.operators import cohorts as CO
 from mintscope.operators import graph as G
 from mintscope.operators import joins as J
 from mintscope.operators import ledger as L
@@ -86,7 +87,28 @@ def test_closed_accounts_go_to_zero(spark):
 
 def test_cohorts_end_at_the_window(spark):
     df = spark.createDataFrame([(1, 0), (2, 30 * W.SECOND), (3, 61 * W.SECOND)], "mint long, launch_us long")
-    assert sorted((r.mint, r.other) for r in W.cohort_pairs(df, 30).collect() if r.mint < r.other) == [(1, 2)]
+    assert sorted(map(tuple, CO.stretches(df, [30])[1].collect())) == [(1, 30, 0, 2), (2, 30, 0, 2), (3, 30, 2, 3)]
+
+
+def test_cohort_counts(spark, monkeypatch):
+    monkeypatch.setattr(CO, "CHUNK", 3)
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(40) if i % 3 else 17, float(rng.randrange(6) if i % 4 else 2)) for i in range(300)]  # a crowded second, a common score
+    df = spark.createDataFrame([(m, u * W.SECOND, s, (u + 2) * W.SECOND) for m, u, s in rows], "mint long, launch_us long, score double, until long")
+    near = {m: [(n, t) for n, v, t in rows if abs(u - v) <= 4] for m, u, s in rows}
+    want = {m: (len(near[m]), 1 + sum(t > s or t == s and n < m for n, t in near[m]), round(sum(t <= s for _, t in near[m]) / len(near[m]), 9)) for m, u, s in rows}
+    assert {r[0]: (r[1], r[2], round(r[3], 9)) for r in CO.cohort_ranks(df, df, 4).collect()} == want
+    places, found = CO.stretches(df, [4, 1], "until")
+    got = CO.totals(df, places, found, {"n": (F.lit(1), "sum"), "s": (F.col("score"), "sum"), "top": (F.col("score"), "max")}).collect()
+    have = {(m, b): [t for _, v, t in rows if abs(u - v) <= b and v <= u + 2] for m, u, s in rows for b in (4, 1)}
+    assert {(r.mint, r.band): (r.n, r.s, r.top) for r in got} == {k: (len(v), sum(v), max(v)) for k, v in have.items()}
+    blocks = CO.blocks_of(found).groupBy("mint", "band").count().agg(F.max("count")).first()[0]
+    assert blocks <= 2 * len(rows).bit_length()
+
+
+def test_cohorts_of_nothing(spark):
+    df = spark.createDataFrame([], "mint long, launch_us long, score double")
+    assert CO.cohort_ranks(df, df, 5).collect() == []
 
 
 def test_reconciliation(spark):
