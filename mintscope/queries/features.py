@@ -20,7 +20,7 @@ def creators(trades):
 @query("""WITH l AS (SELECT p_partkey AS mint, p_name AS name, p_brand AS symbol, lower(p_type) || '://host' || p_size || '.example.org/' || p_partkey % 50 AS uri FROM part)
     SELECT mint, length(name) AS name_length, name = '' AS has_empty_name, count(*) OVER (PARTITION BY name) - 1 AS duplicate_name_seen, len(list_distinct(string_split(name, ''))) / length(name) AS name_entropy,
         count(*) OVER (PARTITION BY symbol) - 1 AS duplicate_symbol_seen, count(*) OVER (PARTITION BY uri) - 1 AS duplicate_uri_seen, split_part(uri, ':', 1) AS uri_scheme, split_part(split_part(uri, '://', 2), '/', 1) AS uri_host, 0.0 AS suspicious_unicode_score FROM l""")
-def f1_launch_identity(spark, sf_dir):
+def launch_texts(spark, sf_dir):
     l = table(spark, sf_dir, "part").selectExpr("p_partkey as mint", "p_name as name", "p_brand as symbol", "concat(lower(p_type), '://host', p_size, '.example.org/', p_partkey % 50) as uri")  # noqa: E741
     return P.launch_identity(l).select("mint", "name_length", "has_empty_name", "duplicate_name_seen", "name_entropy", "duplicate_symbol_seen", "duplicate_uri_seen", "uri_scheme", "uri_host", "suspicious_unicode_score")
 
@@ -28,7 +28,7 @@ def f1_launch_identity(spark, sf_dir):
 @query("""WITH l AS (SELECT o_orderkey AS mint, o_custkey AS creator, epoch_us(o_orderdate) AS us FROM orders)
     SELECT mint, count(*) OVER (PARTITION BY creator ORDER BY us RANGE UNBOUNDED PRECEDING) AS launches_seen, count(*) OVER w AS launches_recent, count(*) OVER w >= 3 AS spam_wave, us - min(us) OVER (PARTITION BY creator) AS age_us
     FROM l WINDOW w AS (PARTITION BY creator ORDER BY us RANGE BETWEEN 15552000000000 PRECEDING AND CURRENT ROW)""")
-def f2_creator(spark, sf_dir):
+def creator_launches(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("mint"), F.col("o_custkey").alias("creator"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("us"))
     return P.creator(o, 15_552_000_000_000).select("mint", "launches_seen", "launches_recent", "spam_wave", "age_us")
 
@@ -48,13 +48,13 @@ def dev(spark, sf_dir):
 
 
 @query(with_views("li", "bal", sql=_DEV + " SELECT * FROM dev"))
-def f3_developer(spark, sf_dir):
+def developer_measures(spark, sf_dir):
     return dev(spark, sf_dir)
 
 
 @query("""WITH p AS (SELECT p_partkey AS mint, p_retailprice AS q, p_size * 1000000.0 AS b FROM part)
     SELECT mint, CASE WHEN q > 0 AND b > 0 THEN q / b END AS price, CASE WHEN q > 0 AND b > 0 THEN q / b END * 1000000000 AS market_cap, least(100, greatest(0, 100 - greatest(b * 20 - 206900000, 0) * 100 / 793100000)) AS progress, least(1, greatest(0, q / 2000)) AS depth, CASE WHEN q > 0 AND b > 0 THEN (mint % 90 / 1e6) / (q / b) END AS fill_ratio FROM p""")
-def f4_c1_c5_curve(spark, sf_dir):
+def c1_c5_curve(spark, sf_dir):
     p = table(spark, sf_dir, "part").selectExpr("p_partkey as mint", "p_retailprice as q", "p_size * 1000000D as b")
     price = M.price_of(F.col("q"), F.col("b"))
     return p.select("mint", price.alias("price"), M.market_cap(price).alias("market_cap"), M.curve_progress(F.col("b") * 20).alias("progress"), M.clamp01(F.col("q") / 2000).alias("depth"), F.when(price > 0, (F.col("mint") % 90 / 1e6) / price).alias("fill_ratio"))
@@ -65,7 +65,7 @@ def f4_c1_c5_curve(spark, sf_dir):
     p AS (SELECT mint, max(quote) FILTER (side = 'buy' AND i = (n - 1) * 50 // 100) AS buy_median, max(quote) FILTER (side = 'buy' AND i = (n - 1) * 90 // 100) AS buy_p90, max(quote) FILTER (side = 'sell' AND i = (n - 1) * 50 // 100) AS sell_median, max(quote) FILTER (side = 'sell' AND i = (n - 1) * 90 // 100) AS sell_p90 FROM r GROUP BY mint),
     t AS (SELECT mint, avg((side = 'buy')::INT) AS first10_buy_ratio FROM (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY us, seq) AS k FROM ev) WHERE k <= 10 GROUP BY mint)
     SELECT mint, buy_median, buy_p90, sell_median, sell_p90, first10_buy_ratio, CASE WHEN buys + sells > 0 THEN buys / (buys + sells) ELSE 0 END AS count_ratio, CASE WHEN bv + sv > 0 THEN bv / (bv + sv) ELSE 0 END AS volume_ratio, least(1, ub / 20) AS breadth FROM s JOIN p USING (mint) JOIN t USING (mint)"""))
-def f5_f6_trade_flow(spark, sf_dir):
+def trade_flow_measures(spark, sf_dir):
     return P.trade_flow(ev_trades(spark, sf_dir)).select("mint", "buy_median", "buy_p90", "sell_median", "sell_p90", "first10_buy_ratio", "count_ratio", "volume_ratio", "breadth")
 
 
@@ -75,7 +75,7 @@ def f5_f6_trade_flow(spark, sf_dir):
         coalesce(sum(share) FILTER (share >= 0.1 AND r <= 20), 0) AS whale_share, coalesce(bool_or(c.wallet IS NOT NULL) FILTER (r = 1), false) AS top1_is_creator, sum(share) FILTER (r <= 1) AS t1, sum(share) FILTER (r <= 5) AS t5, sum(share) FILTER (r <= 10) AS t10, sum(share * share) AS hhi
         FROM r LEFT JOIN c ON c.mint = r.mint AND c.wallet = r.wallet GROUP BY r.mint)
     SELECT mint, holders, mean_balance, median_balance, p90_balance, whales, whale_share, top1_is_creator, least(1, greatest(0, t1 * 0.45 + t5 * 0.30 + t10 * 0.15 + hhi * 0.10)) AS concentration_risk, CASE WHEN holders >= 20 THEN 0.9 WHEN holders >= 5 THEN 0.5 ELSE 0.3 END AS confidence FROM a"""))
-def f7_f8_holders(spark, sf_dir):
+def holder_measures(spark, sf_dir):
     t = li_trades(spark, sf_dir)
     return P.holders(balances(spark, sf_dir), creators(t)).select("mint", "holders", "mean_balance", "median_balance", "p90_balance", "whales", "whale_share", "top1_is_creator", "concentration_risk", "confidence")
 
@@ -94,35 +94,35 @@ def f9_bundle(spark, sf_dir):
 @query(with_views("li", "bal", sql=_DEV + """, x AS (SELECT mint, count(*) FILTER (side = 'buy') AS buys, count(*) FILTER (side = 'sell') AS sells, max(price) AS ath, arg_max(price, (us, seq)) AS latest, max(us) FILTER (side = 'buy') AS lb FROM li GROUP BY mint),
     y AS (SELECT x.mint, coalesce(has_sold, false) AS dev_sold, latest <= ath * 0.5 AS half_from_high, coalesce((SELECT max(us) FROM li) - lb > 86400000000, true) AS no_buys, sells > buys AS sells_lead, coalesce(sold_share, 0) AS ss, buys + sells AS n FROM x LEFT JOIN dev USING (mint))
     SELECT mint, dev_sold, half_from_high, no_buys, sells_lead, least(1, ss + 0.3 * half_from_high::INT + 0.6 * no_buys::INT + 0.2 * sells_lead::INT) AS rug_probability, least(1, n / 20) AS rug_confidence FROM y"""))
-def f10_rug(spark, sf_dir):
+def rug_measures(spark, sf_dir):
     return P.rug(li_trades(spark, sf_dir), dev(spark, sf_dir), 86_400_000_000)
 
 
 @query(with_views("ev", sql=_LEDGER + """, m AS (SELECT mint, arg_max(price, (us, seq)) AS price FROM ev GROUP BY mint), x AS (SELECT *, held * price - cost AS u FROM p JOIN m USING (mint))
     SELECT mint, avg(u) FILTER (held > 0) AS mean_unrealised, CASE WHEN sum(held) > 0 THEN coalesce(sum(held) FILTER (u > 0), 0) / sum(held) END AS profit_supply, CASE WHEN sum(held) > 0 THEN coalesce(sum(held) FILTER (u < 0), 0) / sum(held) END AS underwater_supply,
         CASE WHEN sum(held) > 0 THEN coalesce(sum(held) FILTER (realised >= cost), 0) / sum(held) END AS free_roll_supply, count(*) FILTER (sold > 0 AND realised >= cost AND held > 0) AS initials_out, count(*) FILTER (bought > 0 AND held <= 0) AS full_exits FROM x GROUP BY mint""").replace("WITH", "WITH RECURSIVE", 1))
-def f13_cost_basis(spark, sf_dir):
+def cost_basis_measures(spark, sf_dir):
     return P.cost_basis(ev_trades(spark, sf_dir))
 
 
 @query(with_views("ev", sql="""h AS (SELECT mint, min(us) AS hus, arg_min(seq, (us, seq)) AS hseq, count(*) AS n FROM ev WHERE side = 'sell' AND quote >= 50 GROUP BY mint), b AS (SELECT ev.mint, arg_max(price, (us, seq)) AS pb FROM ev JOIN h USING (mint) WHERE (us, seq) < (hus, hseq) GROUP BY ev.mint),
     a AS (SELECT ev.mint, count(DISTINCT wallet) FILTER (side = 'buy') AS buyers, min(us - hus) FILTER (price >= pb) AS ru, max(price / pb) AS recovery FROM ev JOIN h USING (mint) LEFT JOIN b USING (mint) WHERE (us, seq) > (hus, hseq) GROUP BY ev.mint), m AS (SELECT DISTINCT mint FROM ev)
     SELECT m.mint, coalesce(n, 0) AS large_sells, CASE WHEN n > 0 THEN coalesce(buyers, 0) END AS buyers_after, ru / 1000 AS recovery_ms, recovery, CASE WHEN n > 0 THEN least(1, coalesce(recovery, 0) * 0.5 + coalesce(buyers, 0) / 20) END AS absorption_score, coalesce(buyers >= 3 AND recovery >= 1, false) AS absorbed FROM m LEFT JOIN h USING (mint) LEFT JOIN a USING (mint)"""))
-def f14_survival(spark, sf_dir):
+def survival_measures(spark, sf_dir):
     return P.survival(ev_trades(spark, sf_dir), 50.0)
 
 
 @query(with_views("li", "bal", sql="""a AS (SELECT mint, max(us) - min(us) AS age_us FROM li GROUP BY mint), f AS (SELECT mint, wallet, min(us) AS us, arg_min(seq, (us, seq)) AS seq FROM li WHERE side = 'buy' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY us, seq) AS place FROM f),
     t AS (SELECT r.mint, count(bal.mint) FILTER (place <= 10) / count(*) FILTER (place <= 10) AS retention_10, count(bal.mint) / count(*) AS retention_20 FROM r LEFT JOIN bal ON r.mint = bal.mint AND r.wallet = bal.wallet WHERE place <= 20 GROUP BY r.mint)
     SELECT mint, age_us, retention_10, retention_20, age_us / 1000000 * (1 - retention_10) AS half_life_s FROM a LEFT JOIN t USING (mint)"""))
-def f15_holder_lifecycle(spark, sf_dir):
+def holder_lifecycle_measures(spark, sf_dir):
     return P.holder_lifecycle(li_trades(spark, sf_dir), balances(spark, sf_dir)).select("mint", "age_us", "retention_10", "retention_20", "half_life_s")
 
 
 @query(with_views("li", sql="""c AS (SELECT mint, account, count(*) AS n FROM li GROUP BY 1, 2), r AS (SELECT mint, fee, row_number() OVER (PARTITION BY mint ORDER BY fee) - 1 AS i, count(*) OVER (PARTITION BY mint) AS n FROM li),
     p AS (SELECT mint, max(fee) FILTER (i = (n - 1) * 50 // 100) AS fee_median, max(fee) FILTER (i = (n - 1) * 90 // 100) AS fee_p90 FROM r GROUP BY mint)
     SELECT mint, max(n) / sum(n) AS dominant_share, count(*) / greatest(count(*), max(n)) AS diversity, any_value(fee_median) AS fee_median, any_value(fee_p90) AS fee_p90, any_value(fee_p90 >= fee_median * 2) AS fee_spike, any_value(least(1, fee_p90 / 10000)) AS war_score FROM c JOIN p USING (mint) GROUP BY mint"""))
-def f16_f18_fingerprints_and_fees(spark, sf_dir):
+def fingerprints_and_fees(spark, sf_dir):
     t = li_trades(spark, sf_dir)
     return P.fingerprint(t, "account").join(P.fees(t), "mint").select("mint", "dominant_share", "diversity", "fee_median", "fee_p90", "fee_spike", "war_score")
 
@@ -159,7 +159,7 @@ def f25_c6_metric_rows(spark, sf_dir):
 
 
 @query()
-def f21_t6_defence(spark, sf_dir):
+def defence_levels(spark, sf_dir):
     t = ev_trades(spark, sf_dir)
     ledger = L.positions(t)
     held = ledger.where("held > 0").select("mint", "wallet", F.col("held").alias("balance"))

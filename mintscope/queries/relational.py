@@ -260,7 +260,7 @@ def j8_j9_same_funder_pairs(spark, sf_dir):
 @query(with_views("ev", sql="""b AS (SELECT mint, wallet, coalesce(sum(quote) FILTER (side = 'buy'), 0) AS bought, coalesce(sum(quote) FILTER (side = 'sell'), 0) AS sold FROM ev GROUP BY 1, 2),
     x AS (SELECT *, round(sum(sold) OVER (PARTITION BY wallet) - sold, 6) AS elsewhere FROM b)
     SELECT mint, count(*) AS rotated_wallets, sum(elsewhere) AS rotated_notional FROM x WHERE bought > 0 AND elsewhere > 0 GROUP BY mint"""))
-def j14_f12_rotation(spark, sf_dir):
+def j14_rotation(spark, sf_dir):
     return J.rotation(ev_trades(spark, sf_dir))
 
 
@@ -327,7 +327,7 @@ def g4_related(spark, sf_dir):
 @query(with_views("li", "fund", sql="""g AS (SELECT funder, wallet, sum(amount) AS amount, max(us) AS last_us, count(*) AS transfers FROM fund GROUP BY 1, 2), m AS (SELECT wallet, count(DISTINCT mint) AS mints FROM li WHERE side = 'buy' GROUP BY 1)
     SELECT funder, count(*) AS wallets, sum(amount) AS amount, sum(amount) / count(*) AS mean_amount, sum(transfers) / count(*) AS density, max(last_us) - min(last_us) <= 31536000000000 AS burst, count(*) FILTER (mints > 1) AS multi_launch
     FROM g LEFT JOIN m USING (wallet) GROUP BY funder"""))
-def f17_funding_profile(spark, sf_dir):
+def funding_profile(spark, sf_dir):
     launches = li_trades(spark, sf_dir).where("side = 'buy'").select("wallet", "mint")
     return G.profile(G.edges(funding(spark, sf_dir)), launches, 31_536_000_000_000)
 

@@ -57,41 +57,41 @@ RESULTS: dict[str, str] = {
     "c21_row_hash": "o_orderkey bigint, row_hash string",
     "c22_mint_lists": "o_orderkey bigint, mints string, n int",
     "c7_c9_c14_c15_numbers": "o_orderkey bigint, share01 double, impact double, exit_impact double, bucket int, label string, mean double",
-    "f10_rug": "mint bigint, dev_sold boolean, half_from_high boolean, no_buys boolean, sells_lead boolean, rug_probability double, rug_confidence double",
+    "rug_measures": "mint bigint, dev_sold boolean, half_from_high boolean, no_buys boolean, sells_lead boolean, rug_probability double, rug_confidence double",
     "f10_rug_columns": "mint bigint, dev_sold_flag boolean, dev_sold_pct double, price_drop_50pct_from_ath boolean, price_drop_70pct_from_launch_within_5m boolean, holder_growth_stalled boolean, sells_dominate_after_launch boolean, no_buys_for_x_seconds boolean, rug_probability_score double, rug_confidence double",
     "cohort_measures": "mint bigint, cohort bigint, active bigint, attention double, distance_to_best double, leader boolean",
     "f11_cohort_columns": "mint bigint, cohort_launch_count bigint, cohort_active_count bigint, cohort_discard_rate double, cohort_rug_rate double, token_rank_by_buy_volume_30s bigint, token_rank_by_net_flow_30s bigint, token_rank_by_holder_growth_30s bigint, token_rank_by_price_return_30s bigint, token_relative_strength_score double, token_relative_weakness_score double, cohort_attention_share double, best_launch_in_cohort_distance double, this_token_share_of_all_launch_buy_volume double, this_token_share_of_all_unique_buyers double, token_percentile_buy_volume_30s double, token_percentile_net_flow_30s double, token_percentile_holder_growth_1m double, token_percentile_price_return_1m double, token_is_cohort_leader_flag boolean, token_is_cohort_laggard_flag boolean, token_improving_rank_velocity double, token_losing_rank_velocity double",
     "f12_rotation_columns": "mint bigint, wallets_sold_other_token_then_bought_this_count bigint, net_capital_rotated_into_this_from_other_launches double, smart_capital_rotation_score double, this_token_becoming_primary_capital_destination_flag boolean",
-    "f13_cost_basis": "mint bigint, mean_unrealised double, profit_supply double, underwater_supply double, free_roll_supply double, initials_out bigint, full_exits bigint",
+    "cost_basis_measures": "mint bigint, mean_unrealised double, profit_supply double, underwater_supply double, free_roll_supply double, initials_out bigint, full_exits bigint",
     "f13_cost_columns": "mint bigint, holder_unrealized_pnl_mean double, holder_unrealized_pnl_median double, holder_unrealized_pnl_p90 double, unrealized_profit_supply_pct double, underwater_supply_pct double, breakeven_supply_pct double, free_rolling_supply_pct double, top5_unrealized_pnl double, top10_unrealized_pnl double, realized_profit_taking_rate double, profit_overhang_score double, underwater_capitulation_risk double, free_roll_dump_risk_score double, holders_taking_initials_out_count bigint, holders_fully_exiting_count bigint",
-    "f14_survival": "mint bigint, large_sells bigint, buyers_after bigint, recovery_ms double, recovery double, absorption_score double, absorbed boolean",
-    "f15_holder_lifecycle": "mint bigint, age_us bigint, retention_10 double, retention_20 double, half_life_s double",
+    "survival_measures": "mint bigint, large_sells bigint, buyers_after bigint, recovery_ms double, recovery double, absorption_score double, absorbed boolean",
+    "holder_lifecycle_measures": "mint bigint, age_us bigint, retention_10 double, retention_20 double, half_life_s double",
     "f15_lifecycle_columns": "mint bigint, holder_age_mean double, holder_age_median double, holder_age_weighted_by_balance double, new_holder_survival_30s double, new_holder_survival_1m double, first_10_buyers_retention double, first_20_buyers_retention double, average_time_to_first_sell_by_holder double, holder_half_life double, holder_decay_rate double, holder_stickiness_score double, holder_paper_hands_score double, healthy_churn_score double, unhealthy_churn_score double, new_holders_replacing_old_holders_score double",
-    "f16_f18_fingerprints_and_fees": "mint bigint, dominant_share double, diversity double, fee_median double, fee_p90 double, fee_spike boolean, war_score double",
+    "fingerprints_and_fees": "mint bigint, dominant_share double, diversity double, fee_median double, fee_p90 double, fee_spike boolean, war_score double",
     "f16_fingerprint_columns": "mint bigint, tx_account_count double, tx_instruction_count double, tx_inner_instruction_count double, compute_budget_instruction_present boolean, compute_unit_limit double, compute_unit_limit_bucket int, compute_unit_price double, compute_unit_price_bucket int, duplicate_compute_profile_count bigint, duplicate_compute_profile_among_first_buyers bigint, duplicate_instruction_sequence_count bigint, duplicate_account_pattern_count bigint, identical_client_fingerprint_score double, first_buyers_same_client_fingerprint_pct double, top_holders_same_client_fingerprint_pct double, bot_family_dominance_score double, bot_family_diversity_score double",
     "f17_funding_columns": "mint bigint, creator_recent_funder bigint, funder_to_creator_edge_age bigint, buyer_recent_funder_overlap_count bigint, first_buyers_same_funder_pct double, top_holders_same_funder_pct double, funder_to_buyer_edge_age bigint, funder_to_multiple_launches_count bigint, same_funder_same_amount_pattern double, funding_burst_before_launch bigint, wallets_funded_just_before_buy_count bigint, fresh_wallets_funded_by_known_factory bigint, funding_graph_density double, funding_graph_suspicion_score double, funding_graph_quality_score double",
-    "f17_funding_profile": "funder bigint, wallets bigint, amount double, mean_amount double, density double, burst boolean, multi_launch bigint",
+    "funding_profile": "funder bigint, wallets bigint, amount double, mean_amount double, density double, burst boolean, multi_launch bigint",
     "f18_fee_columns": "mint bigint, launch_priority_fee_median double, launch_priority_fee_p90 double, pump_buy_priority_fee_median double, pump_sell_priority_fee_median double, first_buyers_priority_fee_median double, priority_fee_spike_near_launch boolean, our_required_priority_fee_estimate double, fee_war_score double, minimum_move_to_cover_observed_fees double, edge_minus_fee_war_cost double, high_fee_low_edge_warning boolean",
     "f19_execution_columns": "mint bigint, first_seen_by_shred_ns bigint, shred_lead_time_ms double, token_signal_available_before_geyser_flag boolean, slot_id bigint, competition_intensity_score double, counterfactual_buy_after_100ms_pnl double, latency_adjusted_trade_eligibility double",
     "f19_f20_f22_f23_snapshot": "mint bigint, available int, unavailable int, feature_hash string, critical_missing int, completeness double, quality double, trade_allowed boolean, wallet_vector_similarity double, launch_factory_id double, event_grammar_class double, path_similarity_score double, hazard_rate double, anomaly_score double",
     "f1_launch_columns": "mint bigint, launch_slot bigint, quote_mint string, creator_wallet string, payer_wallet string, bonding_curve_pubkey string, associated_bonding_curve_pubkey string, metadata_pubkey string, create_instruction_variant string, launch_same_tx_buy_count int, launch_same_slot_buy_count int, launch_tx_client_fingerprint string, time_since_launch_ms bigint, quote_asset_type string, token_program_type string, first_seen_source string, name_length int, symbol_length int, uri_length int, has_empty_name boolean, has_empty_symbol boolean, has_empty_uri boolean, name_entropy double, symbol_entropy double, uri_entropy double, duplicate_name_seen_historically bigint, duplicate_symbol_seen_historically bigint, duplicate_uri_seen_historically bigint, suspicious_unicode_score double, uri_scheme string",
-    "f1_launch_identity": "mint bigint, name_length int, has_empty_name boolean, duplicate_name_seen bigint, name_entropy double, duplicate_symbol_seen bigint, duplicate_uri_seen bigint, uri_scheme string, uri_host string, suspicious_unicode_score double",
+    "launch_texts": "mint bigint, name_length int, has_empty_name boolean, duplicate_name_seen bigint, name_entropy double, duplicate_symbol_seen bigint, duplicate_uri_seen bigint, uri_scheme string, uri_host string, suspicious_unicode_score double",
     "f20_data_quality_columns": "mint bigint, geyser_connected_flag boolean, shred_connected_flag boolean, source_disagreement_flag boolean, critical_feature_missing_count bigint, feature_completeness_pct double, data_quality_score double, trade_allowed_data_quality_flag boolean",
-    "f21_t6_defence": "mint bigint, wallet bigint, seq bigint, class string, confidence double, impact double, level string, armed boolean, triggered boolean",
+    "defence_levels": "mint bigint, wallet bigint, seq bigint, class string, confidence double, impact double, level string, armed boolean, triggered boolean",
     "f23_placeholders": "mint bigint, feature string, status string",
     "f24_registry": "feature string, kind string, category string, available bigint, missing bigint",
     "f25_c6_metric_rows": "mint bigint, metric string, value double, confidence string",
-    "f2_creator": "mint bigint, launches_seen bigint, launches_recent bigint, spam_wave boolean, age_us bigint",
+    "creator_launches": "mint bigint, launches_seen bigint, launches_recent bigint, spam_wave boolean, age_us bigint",
     "f2_creator_columns": "mint bigint, creator_age_in_local_index bigint, creator_total_launches_seen bigint, creator_launches_last_1h bigint, creator_cluster_id string, creator_reuses_same_payer boolean, creator_reuses_same_metadata_domain boolean, creator_launching_spam_wave_flag boolean",
-    "f3_developer": "mint bigint, net_tokens double, net_quote double, sold_share double, has_sold boolean, first_sell_ms double, dev_balance double, ownership double, balance_rank int, is_top1 boolean, is_top3 boolean, is_top5 boolean, is_top10 boolean",
+    "developer_measures": "mint bigint, net_tokens double, net_quote double, sold_share double, has_sold boolean, first_sell_ms double, dev_balance double, ownership double, balance_rank int, is_top1 boolean, is_top3 boolean, is_top5 boolean, is_top10 boolean",
     "f3_developer_columns": "mint bigint, creator_initial_token_balance double, dev_balance double, creator_retained_supply_pct double, dev_holding_pct_total_supply double, dev_holding_pct_curve_economic_supply double, dev_holding_pct_circulating double, creator_ownership_pct double, token_supply_selected_for_holder_pct string, creator_net_tokens_after_10s double, creator_net_tokens_after_30s double, creator_net_tokens_after_1m double, creator_net_tokens_after_5m double, creator_net_quote_flow_after_10s double, creator_net_quote_flow_after_30s double, creator_net_quote_flow_after_1m double, creator_net_quote_flow_after_5m double, creator_has_sold boolean, creator_first_sell_time_ms bigint, creator_dump_velocity double, creator_balance_rank bigint, creator_is_top1_holder boolean, creator_is_top3_holder boolean, creator_is_top5_holder boolean, creator_is_top10_holder boolean",
-    "f4_c1_c5_curve": "mint bigint, price double, market_cap double, progress double, depth double, fill_ratio double",
+    "c1_c5_curve": "mint bigint, price double, market_cap double, progress double, depth double, fill_ratio double",
     "f4_curve_columns": "mint bigint, virtual_quote_reserves double, virtual_token_reserves double, real_quote_reserves double, real_token_reserves double, token_decimals int, price_lamports_per_raw_token double, price_sol_per_token double, reserve_price_confidence double, price_current double, price_launch double, price_change_from_launch_pct double, market_cap_quote_1b double, market_cap_quote_total_supply double, token_supply_curve_economic_ui double, token_supply_protocol_constant_ui double, token_supply_selected_for_market_cap string, token_supply_selected_for_curve_progress string, supply_denominator_policy_version string, market_cap_confidence double, curve_complete_flag boolean, curve_progress_pct double, curve_completion_pct double, curve_progress_confidence double, curve_staleness_ms bigint, quote_asset_specific_depth_score double, quote_asset_specific_curve_health double",
-    "f5_f6_trade_flow": "mint bigint, buy_median double, buy_p90 double, sell_median double, sell_p90 double, first10_buy_ratio double, count_ratio double, volume_ratio double, breadth double",
+    "trade_flow_measures": "mint bigint, buy_median double, buy_p90 double, sell_median double, sell_p90 double, first10_buy_ratio double, count_ratio double, volume_ratio double, breadth double",
     "f5_price_columns": "mint bigint, price_high double, price_low double, drawdown_from_ath_pct double, drawdown_from_launch_pct double, return_pct_30s double, return_pct_1m double, return_pct_5m double, realized_volatility_30s double, realized_volatility_1m double, price_velocity_30s double, time_to_ath_ms bigint, time_below_launch_price_pct double, new_ath_frequency bigint, post_ath_selloff_velocity double",
     "f6_flow_columns": "mint bigint, buy_count bigint, sell_count bigint, trade_count bigint, unique_buyers bigint, unique_sellers bigint, buy_volume_quote double, sell_volume_quote double, net_flow_quote double, buy_sell_count_ratio double, buy_sell_volume_ratio double, largest_buy_quote double, largest_sell_quote double, median_buy_size_quote double, median_sell_size_quote double, p90_buy_size_quote double, p90_sell_size_quote double, first_10_trades_buy_ratio double, no_buy_gap_longest_ms bigint, organic_flow_score double, toxic_flow_score double",
     "f7_f8_holder_columns": "mint bigint, holder_count_current bigint, holders_with_nonzero_balance bigint, holder_count_owner_wallets bigint, holder_updates_seen int, holder_updates_applied int, holder_updates_deduped int, holder_owner_changes int, holder_missing_owner_mapping int, holder_fallback_trade_updates_used int, holder_count_excluding_curve bigint, holder_count_excluding_curve_and_dev bigint, observed_holder_supply double, circulating_holder_supply double, holder_growth_rate double, sustained_holder_growth_score double, average_holder_balance double, median_holder_balance double, p90_holder_balance double, holder_balance_gini double, holder_balance_hhi double, top1_holder_pct double, top1_holder_pct_observed double, top1_holder_pct_total_supply double, top1_holder_pct_curve_economic_supply double, top1_holder_pct_circulating double, token_supply_selected_for_holder_pct string, top3_holder_pct double, top5_holder_pct double, top10_holder_pct double, top20_holder_pct double, holder_metric_confidence double, missing_owner_mapping_count int, holder_distribution_improvement_score double, whale_count bigint, whale_holding_pct double, top1_is_creator boolean, concentration_risk_score double, one_wallet_controls_market_flag boolean",
-    "f7_f8_holders": "mint bigint, holders bigint, mean_balance double, median_balance double, p90_balance double, whales bigint, whale_share double, top1_is_creator boolean, concentration_risk double, confidence double",
+    "holder_measures": "mint bigint, holders bigint, mean_balance double, median_balance double, p90_balance double, whales bigint, whale_share double, top1_is_creator boolean, concentration_risk double, confidence double",
     "f9_bundle": "mint bigint, first_buyers bigint, same_slot bigint, identical_amounts bigint, pairs bigint, top_share double, bundle_risk double, bundle_confidence double",
     "g1_funding_edges": "funder bigint, wallet bigint, amount double, last_us bigint, transfers bigint",
     "g2_clusters": "wallet string, cluster string, members int",
@@ -100,7 +100,7 @@ RESULTS: dict[str, str] = {
     "j11_k6_pair_fills": "position bigint, entry_us bigint, exit_us bigint, entry_quote double, exit_quote double, pnl double, status string",
     "j12_fallback": "o_custkey bigint, o_orderpriority string, o_orderkey bigint",
     "j13_j16_merge_sources": "k bigint, name string, flag boolean, sources string",
-    "j14_f12_rotation": "mint bigint, rotated_wallets bigint, rotated_notional double",
+    "j14_rotation": "mint bigint, rotated_wallets bigint, rotated_notional double",
     "j15_j17_best_per_key": "o_custkey bigint, price double, o_orderkey bigint",
     "j1_j4_j10_left_joins": "l_orderkey bigint, l_linenumber int, l_suppkey bigint, shape string, known boolean",
     "j5_t8_reconcile": "key bigint, outcome string, lag_us bigint",
@@ -233,4 +233,9 @@ RESULTS: dict[str, str] = {
     "z7_stream_reconcile": "key bigint, t_us bigint, c_us bigint, outcome string",
     "z8_preferred_source": "user_id bigint, source string, reports bigint",
     "z9_replay_equals_live": "side string, positions bigint",
+    "sell_episodes": "mint bigint, episode bigint, us bigint, price double, buys bigint, volume double, buyers bigint, recovery_us bigint, end_us bigint",
+    "t7_sell_resolutions": "id bigint, mint bigint, us bigint, outcome string, false_positive boolean, saved double, latency_ms bigint",
+    "t6_tentative_sells": "id bigint, mint bigint, seller bigint, slot bigint, us bigint, signature string, source string, original bigint, token_in double, quote_out double, seller_class string, decoded_confidence double, account_confidence double, confidence double, seller_balance double, seller_holding_pct double, own_impact_pct double, impact_pct double, slot_before bigint, price_before double, price_after double, latency_edge_ratio double, can_land boolean, latency_advantage_ms bigint, required_latency_ms bigint, absorption_health_score double, post_sell_absorption_probability double, expected_saved_loss double, expected_opportunity_cost double, net_benefit double, net_benefit_confidence double, level int, risk_level string, reasons string, armed boolean, triggered boolean, expires_us bigint, size_quote double, size_tokens double",
+    "f21_defence_columns": "mint bigint, us bigint, step int, id bigint, tentative_sell_count_window bigint, tentative_sell_volume_quote_window double, tentative_sell_from_dev_count bigint, tentative_sell_from_top_holder_count bigint, tentative_sell_from_bundle_count bigint, tentative_sell_from_whale_count bigint, tentative_sell_same_slot_cluster_count bigint, tentative_sell_impact_max_pct double, tentative_sell_impact_sum_pct double, tentative_sell_confidence_max double, tentative_sell_confidence_mean double, shred_sell_warning_level int, shred_exit_armed_flag boolean, shred_emergency_exit_triggered_flag boolean, shred_to_geyser_processed_ms bigint, shred_to_account_effect_confirmation_ms bigint, shred_to_rooted_confirmation_ms bigint, shred_sell_false_positive_rate_wallet double, shred_sell_false_positive_rate_source double, shred_sell_saved_loss_estimate double, shred_sell_saved_loss_realized double, shred_exit_opportunity_cost double, shred_signal_stale_flag boolean, shred_exit_latency_budget_ms bigint, shred_exit_latency_used_ms bigint, shred_exit_edge_score double, malicious_sell_intent_score double, preconfirmation_exit_confidence double, dangerous_seller_precomputed_impact_score double, exit_threat_index_score double",
+    "f14_survival_columns": "mint bigint, large_sell_count bigint, large_sell_total_quote double, price_impact_of_large_sells double, recovery_after_large_sell_ms bigint, recovery_after_large_sell_pct double, buyers_after_large_sell_count bigint, unique_buyers_after_large_sell bigint, buy_volume_after_large_sell double, holder_count_after_large_sell bigint, absorption_success_score double, absorption_failure_score double, repeated_absorption_count bigint, distribution_into_buyers_score double, price_flat_volume_high_distribution_warning boolean, vertical_move_without_holder_growth boolean, vertical_move_without_unique_buyers boolean, price_up_top_holders_selling boolean, price_up_bundle_selling boolean, price_up_dev_selling boolean, price_up_unique_buyers_down boolean, price_up_holder_count_down boolean, price_up_buy_size_concentration_high boolean, price_up_only_one_or_two_large_buys boolean, price_up_no_retail_breadth boolean, momentum_authenticity_score double, exit_liquidity_trap_score double, dev_not_selling_while_price_up boolean, organic_survival_score double, anti_rug_confidence_score double",
 }

@@ -10,6 +10,7 @@ from mintscope.functions import math as M
 from mintscope.functions import text as T
 from mintscope.operators import aggregates as A
 from mintscope.operators import cohorts as CO
+from mintscope.operators import defence as D
 from mintscope.operators import graph as G
 from mintscope.operators import joins as J
 from mintscope.operators import ledger as L
@@ -176,3 +177,25 @@ def test_streamed_versions(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     S.run_once(S.newest_versions(stream, "k", "v"), str(tmp_path / "cp"), str(tmp_path / "out"))
     assert sorted((r.k, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 5), (1, 6), (2, 1)]
+
+
+def test_pending_sells_of_a_slot_add_up(spark):
+    rows = [(1, 1, 3.0, None), (2, 1, 2.0, None), (3, 1, 5.0, 2), (4, 1, 1.0, None), (5, 1, 40.0, None), (6, 1, 0.0, None), (7, 2, 9.0, None)]
+    df = spark.createDataFrame([(i, 1, s, i, v, o) for i, s, v, o in rows], "id long, mint long, slot long, us long, impact double, original long")
+    got = {r.id: (r.impact_pct, r.slot_before) for r in D.slot_impacts(df).collect()}
+    # a sell weighs with what was pending when it came: 3, 2 + 3, the copy 5 + 8, 1 + 8, 40 + 17, 0 + 74
+    assert got == {1: (3.0, 0), 2: (5.0, 1), 3: (13.0, 2), 4: (9.0, 2), 5: (57.0, 3), 6: (74.0, 4), 7: (9.0, 0)}
+
+
+def test_long_slots_end_at_a_hundred(spark):
+    df = spark.range(2500).selectExpr("id", "1L as mint", "1L as slot", "id as us", "if(id = 1, 1e-3, 0.0) as impact", "cast(null as long) as original")
+    got = {r.id: r.impact_pct for r in D.slot_impacts(df).where("id in (0, 1, 2, 12, 30, 950, 2000)").collect()}
+    assert got[0] == 0 and got[1] == got[2] == 1e-3 and abs(got[12] - 1.024) < 1e-9 and got[30] == got[950] == got[2000] == 100
+
+
+def test_resolutions(spark):
+    found = spark.createDataFrame([(1, 1, 7, 0, 10.0, True, 2.0, None), (2, 1, 8, 0, 10.0, True, 2.0, None), (3, 1, 9, 0, 10.0, True, 2.0, 1)], "id long, mint long, seller long, us long, price_before double, triggered boolean, size_tokens double, original long")
+    events = spark.createDataFrame([(1, 7, 4_000_000, "balance", 1.0), (1, 7, 4_000_000, "executed", 8.0), (1, 8, 5_000_001, "executed", 1.0)], "mint long, seller long, us long, kind string, price_after double")
+    prices = spark.createDataFrame([(1, 0, 10.0), (1, 4_999_999, 13.0), (1, 5_000_001, 99.0)], "mint long, us long, price double")
+    got = {r.id: (r.outcome, r.false_positive, r.saved, r.latency_ms) for r in D.resolve(found, events, prices).collect()}
+    assert got == {1: ("confirmed_executed", False, 4.0, 4000), 2: ("not_seen_within_ttl", True, -6.0, 5000)}
