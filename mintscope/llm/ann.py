@@ -2,8 +2,10 @@
 
 Vectors are projected on several random turns of their main axes, shifted, and ordered along a Hilbert curve each time.
 Spark range-partitions the keys; the sorted keys are numbered over all partitions and cut into blocks of BLOCK rows. A
-query meets its own block and the two beside it on every curve, so it sees BLOCK to 2 x BLOCK rows on each side of its
-place, whatever the size of the table. What the windows give is merged, and ranked by exact distance in double precision.
+query meets its own block and as many beside it, on as many curves, as the table needs: for a bounded sample of the queries the
+true neighbours are found among all rows, and the cheapest window that holds the wanted part of them is taken. Tight
+clusters need a block or three whatever the table's size; data without structure need windows that grow with it, up to
+all of it. What the windows give is merged, and ranked by exact distance in double precision.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from pyspark.sql import types as T
 from .common import cut
 
 CURVES, DIMS, BITS = 16, 10, 5
-#: Rows of a block. Places are unique, so a block is met by the queries of three blocks at most.
+#: Rows of a block.
 BLOCK = 1024
+#: Part of the true neighbours that windows have to hold, and bound on the queries that this is measured on.
+TARGET, MEASURED = 0.95, 200
 #: Bound on the rows that the axes are fitted on, and on the axes that are turned.
 SAMPLE, AXES = 5000, 64
 
@@ -57,14 +61,16 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 def usable(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """(id, vec) of the rows that can take part, and (node, vec, ids): their distinct vectors with the smallest keys that hold each.
 
-    Null, empty, zero and non-finite vectors are out, and those whose length isn't the most common one. A key that comes
+    Null, empty, zero and non-finite vectors are out. Shorter vectors count as if zeros followed. A key that comes
     with several vectors counts with the smallest of them, so that a node is known by its smallest key. Of equal vectors
     the eleven smallest keys are enough for any ten nearest, as ties go to smaller keys.
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).alias("vec"))
     rows = rows.where("forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vec, x -> x <> 0)")
-    sizes = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("vec") == (sizes[0]["n"] if sizes else 0)).groupBy("id").agg(F.min("vec").alias("vec"))
+    longest = rows.agg(F.max(F.size("vec"))).first()[0] or 0
+    zero = F.lit(0).cast(rows.schema["vec"].dataType.elementType)
+    padded = F.when(F.size("vec") < longest, F.concat("vec", F.array_repeat(zero, F.lit(longest) - F.size("vec")))).otherwise(F.col("vec"))
+    rows = rows.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("vec", padded)
     first = rows.withColumn("r", F.expr("row_number() over (partition by vec order by id)")).where("r <= 11")
     return rows, first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("node"), "vec", "ids")
 
@@ -122,12 +128,57 @@ def ordered(nodes: DataFrame, turns: list[tuple[np.ndarray, np.ndarray, np.ndarr
     return rows.join(F.broadcast(before), ["curve", "part"]).select("curve", "node", (F.col("before") + F.col("at")).alias("place"))  # before: at most one row a partition and curve
 
 
-def search(df: DataFrame, queries, key: str = "vec_id", vec: str = "embedding", k: int = 10, block: int = BLOCK, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, sample: int = SAMPLE, seed: int = 7) -> DataFrame:
+def true_neighbours(nodes: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query, node): the k nearest other nodes of each row (node, vec) of `asked`, a bounded table, among all nodes."""
+    some = asked.collect()
+    y = np.array([r["vec"] for r in some], dtype=np.float64)
+    ids = np.array([r["node"] for r in some], dtype=np.int64)
+    norms = np.square(y).sum(axis=1)
+
+    def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = np.full((len(ids), k), np.inf)
+        who = np.full((len(ids), k), -1, dtype=np.int64)
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            x = np.array(pdf["vec"].tolist(), dtype=np.float64)
+            nodes_ = pdf["node"].to_numpy()
+            d = norms[:, None] - 2 * y @ x.T + np.square(x).sum(axis=1)[None, :]
+            d[ids[:, None] == nodes_[None, :]] = np.inf
+            both, names = np.concatenate([best, d], axis=1), np.concatenate([who, np.broadcast_to(nodes_, d.shape)], axis=1)
+            keep = np.argpartition(both, k - 1, axis=1)[:, :k]
+            best, who = np.take_along_axis(both, keep, axis=1), np.take_along_axis(names, keep, axis=1)
+        i, j = np.nonzero(np.isfinite(best))
+        yield pd.DataFrame({"query": ids[i], "node": who[i, j], "d": best[i, j]})
+
+    found = nodes.select("node", "vec").mapInPandas(nearest, "query long, node long, d double")
+    return found.withColumn("r", F.expr("row_number() over (partition by query order by d, node)")).where(F.col("r") <= k).select("query", "node")
+
+
+def windows(places: DataFrame, pairs: DataFrame, block: int, count: int, target: float) -> tuple[int, int]:
+    """(curves, blocks to each side): the cheapest window in which at least `target` of the pairs (query, node) meet."""
+    at = places.withColumn("b", F.expr(f"place div {block}")).select("curve", "node", "b")
+    own = at.withColumnRenamed("node", "query").withColumnRenamed("b", "q")
+    apart = F.broadcast(pairs).join(at, "node").join(F.broadcast(pairs.select("query").distinct()).join(own, "query"), ["query", "curve"])  # pairs: k of each measured query
+    rows = apart.groupBy("query", "node").agg(F.array_sort(F.collect_list(F.struct("curve", F.abs(F.col("b") - F.col("q")).alias("d")))).alias("d")).collect()
+    if not rows:
+        return 1, 1
+    d = np.array([[x["d"] for x in r["d"]] for r in rows])
+    best = None
+    for c in range(1, d.shape[1] + 1):
+        w = max(1, int(np.quantile(d[:, :c].min(axis=1), target, method="higher")))
+        cost = c * min(2 * w + 1, count // block + 1)
+        best = min(best or (cost, c, w), (cost, c, w))
+    return best[1:]
+
+
+def search(df: DataFrame, queries, key: str = "vec_id", vec: str = "embedding", k: int = 10, block: int = BLOCK, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, sample: int = SAMPLE, seed: int = 7, target: float = TARGET, measured: int = MEASURED) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that meets the condition `queries` (on `key`), its k <= 10 nearest other rows found.
 
-    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller key. At least
-    `block` rows on each side of a query's place are searched on every curve. Rows that can't take part (see `usable`)
-    are no queries either; rows with the query's key are its own. Other columns are not read.
+    score is the Euclidean distance of the original vectors in double precision; ties go to the smaller key. Windows hold
+    `target` of the true neighbours of the `measured` queries of smallest hash, and at least `block` rows on each side of
+    a query's place. Rows that can't take part (see `usable`) are no queries either; rows with the query's key are its own.
+    Other columns are not read.
     """
     spark = df.sparkSession
     rows, nodes = usable(df.select(key, vec), key, vec)
@@ -145,8 +196,11 @@ def search(df: DataFrame, queries, key: str = "vec_id", vec: str = "embedding",
     members = cut(rows.where(queries(F.col("id"))).join(nodes, "vec").select(F.col("id").alias("query_id"), F.col("node").alias("query")), "queries")
     asked = members.select(F.col("query").alias("node")).distinct().withColumn("asked", F.lit(True))
     raw = nodes.join(asked, "node", "left").select("node", packed("vec").alias("raw"), F.coalesce("asked", F.lit(False)).alias("asked"))
-    placed = ordered(nodes, turns, count, bits).join(raw, "node").withColumn("block", F.expr(f"place div {block}"))
-    near = F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1))
+    places = cut(ordered(nodes, turns, count, bits), "places")
+    some = asked.orderBy(F.xxhash64("node"), "node").limit(measured).join(nodes, "node").select("node", "vec")
+    used, wide_by = windows(places, cut(true_neighbours(nodes, some, k), "neighbours"), block, count, target)
+    placed = places.where(F.col("curve") < used).join(raw, "node").withColumn("block", F.expr(f"place div {block}"))
+    near = F.explode(F.sequence(F.greatest(F.col("block") - wide_by, F.lit(0)), F.least(F.col("block") + wide_by, F.lit((count - 1) // block))))
     ask = placed.where("asked").select(F.col("curve").alias("c"), near.alias("b"), F.col("node").alias("query"), F.col("raw").alias("own"))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

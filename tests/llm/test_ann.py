@@ -48,7 +48,7 @@ def test_recall(spark, sf):
 
 
 def test_recall_where_windows_are_small_parts_of_the_table(spark):
-    """60,000 vectors of 24 dimensions: what a query sees is fixed, and far from all of them on any curve."""
+    """60,000 clustered vectors of 24 dimensions: what a query sees is far from all of them on any curve."""
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 24))[rng.integers(0, 300, 60_000)] * 2 + rng.normal(size=(60_000, 24)) * rng.uniform(0.1, 1, 24)
     df = spark.createDataFrame(pa.table({"vec_id": np.arange(60_000), "embedding": x.tolist()}))
@@ -64,6 +64,28 @@ def test_recall_where_windows_are_small_parts_of_the_table(spark):
     assert hits >= 0.9 * 6000
 
 
+def test_recall_without_structure(spark):
+    """200,000 vectors of 64 dimensions drawn like the provided ones: a mean and spread for each label, all axes alike."""
+    rng = np.random.default_rng(9)
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    v = np.array([r.embedding for r in given], dtype=np.float64)
+    label = np.array([r.label for r in given])
+    x = np.concatenate([v[label == a].mean(axis=0) + rng.normal(size=(-(-200_000 // len(set(label))), v.shape[1])) * v[label == a].std(axis=0) for a in sorted(set(label))])[:200_000].astype(np.float32)
+    rng.shuffle(x)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))}))
+    got = {}
+    for r in ann.search(df, lambda i: i % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.arange(0, len(x), 100)
+    norms = np.square(x).sum(axis=1)
+    hits = 0
+    for q in np.array_split(asked, 20):
+        d = norms[None, :] - 2 * x[q] @ x.T
+        d[np.arange(len(q)), q] = np.inf
+        hits += sum(len(got[int(i)] & set(best.tolist())) for i, best in zip(q, np.argpartition(d, 10, axis=1)[:, :10], strict=True))
+    assert len(got) == len(asked) and hits >= 0.9 * 10 * len(asked)
+
+
 @pytest.mark.parametrize("size", [2_000, 8_000])
 def test_a_query_sees_a_fixed_number_of_rows(spark, size):
     rng = np.random.default_rng(6)
@@ -88,7 +110,8 @@ def test_edge_rows(spark):
     got = {}
     for r in sorted(ann.search(df, lambda i: i % 100 == 0).collect()):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert got == brute(rows, lambda i: i % 100 == 0)
+    short = [(1100, [1.0, 2.0, 0.0])]  # [1.0, 2.0], as if a zero followed
+    assert got == brute(rows + short, lambda i: i % 100 == 0)
     assert ann.search(df.where("vec_id = 100"), lambda i: i % 100 == 0).count() == 0
     assert ann.search(df.where("false"), lambda i: i % 100 == 0).count() == 0
     few = ann.search(df.where("vec_id in (100, 3, 5)"), lambda i: i % 100 == 0).collect()
