@@ -76,30 +76,44 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-# How keys of well-known issuers begin.
-ISSUED = r"^(AKIA[0-9A-Z]{16}$|gh[opsru]_[A-Za-z0-9]{30,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|sk[_-](live|test|proj)?[_-]?[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ)"
+def planted_findings_of(docs: DataFrame, labels: DataFrame, bound: int = secrets.LABELLED) -> DataFrame:
+    """(text, finding, label): findings that are known because they were put there, in words around a place of the labelled documents.
 
-
-def labelled_findings_of(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Reviewed findings: those in the documents that the labels table covers, judged by what is to be known of them.
-
-    The tables have no verdicts on findings, so rules stand in for the reviewer. A secret is what begins like the key of
-    a well-known issuer, or is set to a name like token or key, quoted or not, in one word or three, and mixes digits
-    with letters. No secret is what is an address, a path of three parts, a number or date, is announced as a digest,
-    identifier or example, or stands in three or more of the documents. What neither or both say anything of has no label.
+    The tables have no verdicts on findings. So each document of `labels` (about `bound` at most, by hash) lends the ten
+    words before and after one of its places to one made secret and one made harmless string, of forms that come with and
+    without a name, an assignment and quotes: neither form nor surroundings alone tell which it is.
     """
+    share = "pmod(xxhash64(doc_id), 1000003) < {bound} / greatest(1, n) * 1000003"
+    seen = labels.select("doc_id").distinct().join(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")), "doc_id")
+    seen = seen.crossJoin(F.broadcast(labels.agg(F.count_distinct("doc_id").alias("n")))).where(F.expr(share.format(bound=bound)))  # n: one row
+    words = seen.select("doc_id", F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "").alias("w"))
+    at = words.withColumn("p", F.expr("cast(pmod(xxhash64(doc_id, 3), size(w) + 1) as int)"))
+    around = at.select("doc_id", F.expr("slice(w, greatest(1, p - 9), p - greatest(1, p - 9) + 1)").alias("left"), F.expr("slice(w, p + 1, 10)").alias("right"), *[F.expr(f"sha2(concat(doc_id, '{c}'), 256)").alias(f"x{i}") for i, c in enumerate("ab")])
+    made = lambda x: {
+        "hex": F.substring(x, 1, 40), "long": x, "plain": F.substring(F.regexp_replace(F.base64(F.unhex(x)), "[+/=]", "7"), 1, 24), "short": F.substring(F.regexp_replace(F.base64(F.unhex(x)), "[+/=]", "k"), 3, 11), "upper": F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(x)), "[+/=]", "Q")), 1, 16)),
+        "small": F.lower(F.substring(F.regexp_replace(F.base64(F.unhex(x)), "[+/=]", "z"), 9, 7)), "uuid": F.concat_ws("-", F.substring(x, 1, 8), F.substring(x, 9, 4), F.substring(x, 13, 4), F.substring(x, 17, 4), F.substring(x, 21, 12)), "number": F.conv(F.substring(x, 1, 5), 16, 10), "date": F.concat(F.lit("20"), F.lpad(F.conv(F.substring(x, 1, 1), 16, 10), 2, "0"), F.lit("-02-11")),
+        "path": F.concat(F.lit("src/part"), F.substring(x, 1, 2), F.lit("/file"), F.substring(x, 3, 2), F.lit(".java")), "mail": F.concat(F.lit("name"), F.substring(x, 1, 3), F.lit("@site.org")), "version": F.concat_ws(".", F.conv(F.substring(x, 1, 1), 16, 10), F.conv(F.substring(x, 2, 1), 16, 10), F.conv(F.substring(x, 3, 1), 16, 10)), "example": F.concat(F.lit("example"), F.substring(x, 1, 1)),
+    }
+    # Forms of a secret and of what looks like one; {} is the string itself.
+    real = [("hex", 'token = "{}"'), ("plain", "api_key={}"), ("short", "password: {}"), ("upper", "uses {} there"), ("plain", "Bearer {}"), ("hex", '"secret":"{}"'), ("small", "pwd={}"), ("long", "key = {}"), ("short", "'password': '{}'"), ("hex", "{}"), ("plain", "secret = '{}'"), ("upper", "key={}")]
+    fake = [("hex", "commit {}"), ("long", "sha256:{}"), ("uuid", "id = {}"), ("path", "in {}"), ("number", "number {}"), ("version", "version {}"), ("mail", "mail {}"), ("number", "key = {}"), ("example", "token = {}"), ("date", "on {}"), ("path", "https://host.org/{}"), ("number", "password: {}"), ("uuid", '"id":"{}"'), ("hex", "checksum = {}")]
+    pick = lambda forms, x, salt: F.element_at(F.array(*[F.struct(made(F.col(x))[k].alias("finding"), F.lit(f).alias("form")) for k, f in forms]), (F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(len(forms))) + 1).cast("int"))
+    both = around.select("left", "right", F.explode(F.array(F.struct(pick(real, "x0", 1).alias("f"), F.lit(1).alias("label")), F.struct(pick(fake, "x1", 2).alias("f"), F.lit(0).alias("label")))).alias("e"))
+    text = F.concat_ws(" ", F.array_join("left", " "), F.replace(F.col("e.f.form"), F.lit("{}"), F.col("e.f.finding")), F.array_join("right", " "))
+    finding = F.when(F.col("e.f.form").startswith("https"), F.concat(F.lit("//host.org/"), F.col("e.f.finding"))).otherwise(F.col("e.f.finding"))
+    return both.select(text.alias("text"), finding.alias("finding"), "e.label")
+
+
+def repeated_findings_of(found: DataFrame, labels: DataFrame, often: int = 3) -> DataFrame:
+    """What stands in `often` or more of the labelled documents is shared by them and no secret of one."""
     reviewed = found.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    f = F.col("finding")
-    often = reviewed.select("finding", "doc_id").distinct().groupBy("finding").count().where("count >= 3").select("finding", F.lit(True).alias("often"))
-    odd = f.rlike("@.*\\.") | F.col("raw").rlike("://|^[\"'(<]*www\\.") | f.rlike("[A-Za-z0-9]/[^/]+/[A-Za-z0-9]") | f.rlike("^[0-9+/_.#@-]+$") | secrets.announced(secrets.HARMLESS) | F.coalesce("often", F.lit(False))
-    set_to = secrets.announced(secrets.NAMES) & secrets.assigned() & f.rlike("[0-9]") & f.rlike("[A-Za-z]")
-    real = f.rlike(ISSUED) | set_to
-    return reviewed.join(often, "finding", "left").where(real != odd).select("doc_id", "at", "finding", real.cast("int").alias("label"))
+    shared = reviewed.select("finding", "doc_id").distinct().groupBy("finding").count().where(F.col("count") >= often).select("finding")
+    return reviewed.join(shared, "finding", "left_semi").select("doc_id", "at", "finding", F.lit(0).alias("label"))
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = docs_table(spark, sf_dir).select("doc_id", "text")
-    found = secrets.scan(docs, lambda c: labelled_findings_of(c, docs_table(spark, sf_dir, "labels")))
+    docs, labels = docs_table(spark, sf_dir).select("doc_id", "text"), docs_table(spark, sf_dir, "labels")
+    found = secrets.scan(docs, lambda c: repeated_findings_of(c, labels), examples=planted_findings_of(docs, labels))
     return found.select("doc_id", F.col("at").alias("word"), F.char_length("finding").alias("n_chars"), F.sha2("finding", 256).alias("finding_sha256"), "score", "is_secret")
 
 
@@ -217,10 +231,10 @@ ORACLES: dict[str, str] = {
             SELECT line, min(doc_id * 1000000 + no) AS first, length(line) AS n FROM l WHERE regexp_matches(line, '[\\p{L}\\p{N}]') GROUP BY line),
         h AS (
             SELECT line, first, n, b, side, CASE WHEN side = 0 THEN left(line, b // 2) ELSE right(line, b // 2) END AS half
-            FROM (SELECT *, unnest([n, n - 1]) AS b FROM d WHERE n >= 20), (VALUES (0), (1)) AS s(side)),
+            FROM (SELECT *, unnest([n, n - 1]) AS b FROM d), (VALUES (0), (1)) AS s(side)),
         near AS (
             SELECT DISTINCT y.first FROM h AS x JOIN h AS y ON x.b = y.b AND x.side = y.side AND x.half = y.half AND x.first < y.first
-            WHERE levenshtein(x.line, y.line) <= 1),
+            WHERE len(list_filter(range(greatest(x.n, y.n)), lambda i: left(x.line, i) = left(y.line, i) AND right(x.line, greatest(x.n, y.n) - i - 1) = right(y.line, greatest(x.n, y.n) - i - 1))) > 0),
         kept AS (SELECT first FROM d WHERE first NOT IN (SELECT first FROM near)),
         r AS (
             SELECT l.doc_id, l.no, l.line, NOT regexp_matches(l.line, '[\\p{L}\\p{N}]') OR k.first IS NOT NULL AS stays

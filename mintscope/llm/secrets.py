@@ -1,8 +1,9 @@
 """Secret scans with a random forest against false positives, in DataFrame functions only.
 
-Candidates are unbroken runs of key characters. Their features: length, how usual their character transitions are in
+Candidates are what quotes and white space leave whole. Their features: length, how usual their character transitions are in
 the corpus's own words, how much of them is covered by dictionary words (of the same corpus), whether they look like a
-path or address, and the words around them. A random forest trained on labelled findings scores them.
+path or address, and the words around them. A random forest trained on labelled findings scores them; the labels may be of
+findings in the texts themselves or in examples beside them.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MIN_CHARS = 8
 #: How often a word must come in the corpus to count as a dictionary word.
 DICTIONARY = 5
 #: Bound on the labelled findings that the forest is trained on.
@@ -26,8 +26,12 @@ FEATURES = ["length", "digits", "upper", "hexadecimal", "distinct", "transition"
 NAMES = ["api_key", "apikey", "auth", "authorization", "bearer", "credential", "key", "passwd", "password", "private_key", "pwd", "secret", "token"]
 # Words that announce a digest, an identifier or an example.
 HARMLESS = ["checksum", "commit", "digest", "dummy", "etag", "example", "fake", "fingerprint", "hash", "id", "isbn", "md5", "phone", "placeholder", "sample", "sha1", "sha256", "uuid", "version"]
-#: What a name is set to in one word (`key=value`, `"key":"value"`) is taken without the name.
-_RUN = r"""(?:[A-Za-z_][A-Za-z_.-]*["']?[=:]["']?)?([A-Za-z0-9+/_.@!#$%^&*~-]{8,}={0,2})"""
+#: A candidate: what quotes leave of a word, without a name that is set to it there (`key=value`, `"key":"value"`) and without brackets and commas around it.
+_RUN = r"""(?:[A-Za-z_][A-Za-z0-9_.-]*["'`]?[=:]+["'`]?)?[(<\[{]*([^"'`]*[^"'`,;)>\]}])"""
+#: The name that a candidate is set to in its own word; empty where there is none.
+_OWN_NAME = r"""^["'`(<\[{]*([A-Za-z_][A-Za-z0-9_.-]*)["'`]?[=:]"""
+#: What makes a word worth a look: a digit or a change of case.
+_MIXED = r"\p{Nd}|\p{Ll}\p{Lu}"
 _CLASSES = "abcdefghijklmnopqrstuvwxyz0*"
 
 
@@ -38,19 +42,21 @@ def _words(text) -> F.Column:
 def candidates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, at, finding, before, before2, after, raw): one row per candidate; at is the number of the word that holds it.
 
-    A word's candidates are its runs of 8 or more of letters, digits and + / _ . @ ! # $ % ^ & * ~ - (and = at the end)
-    with at least one digit or change of case, without a name that is set to them in the same word. The two words before
-    and the one after come along. Nulls, empty texts and texts without long words have none; texts are read whole, other
-    columns not at all.
+    A word's candidates are what its quotes leave, of any length and in any script: what has a digit or a change of case, and
+    whatever is set to one of NAMES. A name that is set to it in the same word isn't part of it, nor are brackets
+    around it and a comma or semicolon after it. The two words before and the one after come along. Nulls and empty
+    texts have none; texts are read whole, other columns not at all.
     """
     rows = df.select(F.col(key), _words(F.col(text).cast("string")).alias("w"))
-    long = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.char_length(F.element_at("w", i + 1)) >= MIN_CHARS)
     word = lambda i: F.when((i >= 0) & (i < F.size("w")), F.element_at("w", F.least(F.greatest(i, F.lit(0)) + 1, F.size("w")))).otherwise(F.lit(""))
-    spots = F.transform(long, lambda i: F.struct(i.cast("int").alias("at"), word(i).alias("raw"), word(i - 1).alias("before"), word(i - 2).alias("before2"), word(i + 1).alias("after")))
+    told = lambda i: word(i - 1).rlike(r"[=:]$") | word(i).rlike(r"[=:]")
+    some = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: word(i).rlike(_MIXED) | told(i))
+    spots = F.transform(some, lambda i: F.struct(i.cast("int").alias("at"), word(i).alias("raw"), word(i - 1).alias("before"), word(i - 2).alias("before2"), word(i + 1).alias("after")))
     spots = rows.where("w is not null").select(key, F.explode(spots).alias("s")).select(key, "s.*")
+    spots = spots.where(F.col("raw").rlike(_MIXED) | (announced(NAMES) & assigned()))
     runs = F.regexp_extract_all("raw", F.lit(_RUN), 1)
     found = spots.select(key, "at", F.explode(F.array_distinct(runs)).alias("finding"), "before", "before2", F.col("after").alias("after"), "raw")
-    return found.where(F.col("finding").rlike("[0-9]") | F.col("finding").rlike("[a-z][A-Z]"))
+    return found.where(F.col("finding").rlike(_MIXED) | (announced(NAMES) & assigned() & F.col("finding").rlike(r"[\p{L}\p{N}]"))).where(~F.col("finding").rlike(r"^[\p{L}_.-]*[=:]+$"))
 
 
 def _around(*columns) -> F.Column:
@@ -58,10 +64,6 @@ def _around(*columns) -> F.Column:
     return F.split(F.regexp_replace(F.lower(F.concat_ws(" ", *columns)), r"[^A-Za-z0-9_ ]", ""), " ")
 
 
-#: The name that a candidate is set to in its own word; empty where there is none.
-_OWN_NAME = r"""^["']?([A-Za-z_][A-Za-z_.-]*)["']?[=:]"""
-
-
 def announced(by: list[str]) -> F.Column:
     """Whether one of the two words before a candidate, or the name it is set to in its own word, is one of these."""
     return F.exists(_around("before2", "before", F.regexp_extract("raw", _OWN_NAME, 1)), lambda w: w.isin(*by))
@@ -121,13 +123,12 @@ def with_features(found: DataFrame, words: DataFrame, table: dict[str, float], k
     return joined.withColumn("coverage", F.least(F.lit(1.0), F.coalesce(F.col("covered"), F.lit(0)) / n)).drop("covered")
 
 
-def train(found: DataFrame, labels: DataFrame, keys: list[str], labelled: int = LABELLED, seed: int = 17):
-    """A forest over FEATURES from labelled findings (keys, label 0/1); at most about `labelled` rows, by hash. None if there aren't both kinds."""
+def train(rows: DataFrame, labelled: int = LABELLED, seed: int = 17):
+    """A forest over FEATURES from rows with a label (0 or 1); at most about `labelled` of them, by hash. None if there aren't both kinds."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
-    rows = found.join(labels.where(F.col("label").isin(0, 1)).select(*keys, F.col("label").cast("double").alias("label")).dropDuplicates(keys), keys).select(*FEATURES, "label", F.xxhash64(*keys).alias("h"))
-    rows = cut(rows, "findings")
+    rows = cut(rows.where("label in (0, 1)").select(*FEATURES, F.col("label").cast("double").alias("label"), F.xxhash64("finding", *FEATURES).alias("h")), "findings")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
@@ -151,16 +152,26 @@ def score(found: DataFrame, model, keys: list[str]) -> DataFrame:
     return model.transform(rows).select(*keys, vector_to_array("probability")[1].alias("score"))
 
 
-def scan(df: DataFrame, labels: DataFrame | Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """(key, at, finding, score, is_secret) for all candidates of df; labels has (key, at, finding, label), or is a function of the table of candidates.
+def scan(df: DataFrame, labels: DataFrame | Callable[[DataFrame], DataFrame] | None = None, key: str = "doc_id", text: str = "text", threshold: float = 0.5, examples: DataFrame | None = None) -> DataFrame:
+    """(key, at, finding, score, is_secret) for all candidates of df.
 
-    Repeated rows give repeated findings. A null key is a key like any other, but isn't labelled. Null and empty texts
-    have no candidates; a long text is a row of many words. Candidates are kept whatever their score; is_secret tells
-    them apart. Without labels of both kinds all are secrets.
+    The forest is trained on labels (key, at, finding, label) of df's own findings, or a function of the table of
+    candidates that gives them, and on examples (text, finding, label): texts beside df, whose candidates that equal
+    `finding` have the label. Repeated rows give repeated findings. A null key is a key like any other, but isn't
+    labelled. Null and empty texts have no candidates; a long text is a row of many words. Candidates are kept whatever
+    their score; is_secret tells them apart. Without labels of both kinds all are secrets.
     """
     words = cut(word_counts(df, text), "words")
     found = cut(candidates(df, key, text), "candidates")
-    rows = cut(with_features(found, words, transitions(words), key), "features")
+    table = transitions(words)
+    rows = cut(with_features(found, words, table, key), "features")
     keys = [key, "at", "finding"]
-    model = train(rows, labels(found) if callable(labels) else labels, keys)
-    return score(rows, model, keys).withColumn("is_secret", F.col("score") >= threshold)
+    known = rows.select("finding", *FEATURES, F.lit(None).cast("int").alias("label")).where("false")
+    if labels is not None:
+        own = labels(found) if callable(labels) else labels
+        known = known.union(rows.join(own.select(*keys, F.col("label").cast("int").alias("label")).dropDuplicates(keys), keys).select("finding", *FEATURES, "label"))
+    if examples is not None:
+        named = examples.select(F.struct("finding", F.col("label").cast("int").alias("label")).alias("about"), F.col("text"))
+        shown = with_features(candidates(named, "about", "text"), words, table, "about").where("finding = about.finding")
+        known = known.union(shown.select("finding", *FEATURES, "about.label"))
+    return score(rows, train(known), keys).withColumn("is_secret", F.col("score") >= threshold)

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from mintscope.llm import linededup
@@ -9,16 +10,24 @@ from mintscope.llm.queries import ORACLES, op7_line_dedup
 SF = "/root/testdata/sf0.01"
 
 
-def near(x, y):
-    if abs(len(x) - len(y)) > 1:
+def near(x, y, edits=1):
+    """Whether at most `edits` single-character edits turn x into y."""
+    if abs(len(x) - len(y)) > edits:
         return False
-    p = 0
-    while p < min(len(x), len(y)) and x[p] == y[p]:
-        p += 1
-    return x[p + 1 :] == y[p + 1 :] or x[p + 1 :] == y[p:] or x[p:] == y[p + 1 :]
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        row = _next(row, i, a, y)
+    return row[-1] <= edits
 
 
-def brute(rows, min_chars=20):
+def _next(row, i, a, y):
+    out = [i]
+    for j, b in enumerate(y, 1):
+        out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (a != b)))
+    return out
+
+
+def brute(rows, edits=1):
     seen, out = [], {}
     for d, text in sorted(rows):
         left = []
@@ -26,25 +35,35 @@ def brute(rows, min_chars=20):
             if not any(c.isalnum() for c in line):
                 left.append(line)
                 continue
-            if line not in seen and not any(near(line, s) for s in seen if min(len(line), len(s)) >= min_chars):
+            if line not in seen and not any(near(line, s, edits) for s in seen):
                 left.append(line)
             seen.append(line)
         out[d] = "\n".join(left)
     return out
 
 
-def test_edits_against_brute_force(spark):
+@pytest.mark.parametrize("edits", [0, 1, 2])
+def test_edits_against_brute_force(spark, edits):
     rng = random.Random(3)
-    base = ["".join(rng.choice("abé ") for _ in range(rng.randint(1, 70))) for _ in range(25)] + ["aaaaaaaaaaaaaaaaaaaaaa", "x" * 3000]
+    base = ["".join(rng.choice("abé ") for _ in range(rng.choice([1, 2, 3, 5, 8, 13, 30, 60]))) for _ in range(25)] + ["aaaaaaaaaaaaaaaaaaaaaa"] + ["x" * 500] * (edits < 2)
     def edit(s):
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 3)):
             p = rng.randrange(max(1, len(s)))
             s = rng.choice([s[:p] + s[p + 1 :], s[:p] + rng.choice("abq") + s[p:], s[:p] + rng.choice("abq") + s[p + 1 :]])
         return s
     rows = [(d, "\n".join(edit(rng.choice(base)) for _ in range(rng.randint(1, 6)))) for d in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in linededup.clean(df).collect()}
-    assert got == brute(rows)
+    got = {r.doc_id: r.text for r in linededup.clean(df, edits=edits).collect()}
+    assert got == brute(rows, edits)
+
+
+def test_short_lines_are_near_too(spark):
+    rows = [(1, "Copyright 2024 Foo\nShare this page now\na"), (2, "Copyright 2025 Foo\nShare this page now!\nb\nab\nabc\nabcd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit(7), "n_removed": F.lit(8)})
+    done = linededup.clean(df)
+    assert done.columns == ["doc_id", "text", "n_lines", "n_removed", "_n_lines", "_n_removed"]
+    assert sorted((r.text, r.n_lines, r.n_removed, r._n_lines, r._n_removed) for r in done.collect()) == [("", 7, 8, 6, 6), ("Copyright 2024 Foo\nShare this page now\na", 7, 8, 3, 0)]
+    assert linededup.drop_repeated_lines(df).columns == df.columns
 
 
 def test_whole_table_against_sql(spark):
@@ -59,7 +78,7 @@ def test_edge_rows(spark):
     rows = [(1, None, "t"), (2, "", "t"), (3, "short\n\n--\nshort\n\n--\nShort\nshor", "t"), (4, long, "t"), (4, long, "t"), (5, long[:-1] + "\nmine alone, and long enough too", "t"), (6, long, None), (None, None, None), (7, "short", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, t string").withColumn("kept", F.lit(0))
     got = sorted(((r.doc_id or 0, r.text, r.n_lines, r.n_removed) for r in linededup.clean(df).collect()), key=str)
-    assert got == sorted([(1, None, 0, 0), (2, "", 1, 0), (3, "short\n\n--\n\n--\nShort\nshor", 8, 1), (4, long, 1, 0), (4, long, 1, 0), (5, "mine alone, and long enough too", 2, 1), (6, "", 1, 1), (0, None, 0, 0), (7, "", 1, 1)], key=str)
+    assert got == sorted([(1, None, 0, 0), (2, "", 1, 0), (3, "short\n\n--\n\n--", 8, 3), (4, long, 1, 0), (4, long, 1, 0), (5, "mine alone, and long enough too", 2, 1), (6, "", 1, 1), (0, None, 0, 0), (7, "", 1, 1)], key=str)
     kept = linededup.drop_repeated_lines(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5]
     assert linededup.clean(df.where("false")).count() == 0
