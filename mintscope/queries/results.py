@@ -238,4 +238,5 @@ RESULTS: dict[str, str] = {
     "t6_tentative_sells": "id bigint, mint bigint, seller bigint, slot bigint, us bigint, signature string, source string, original bigint, token_in double, quote_out double, seller_class string, decoded_confidence double, account_confidence double, confidence double, seller_balance double, seller_holding_pct double, own_impact_pct double, impact_pct double, slot_before bigint, price_before double, price_after double, latency_edge_ratio double, can_land boolean, latency_advantage_ms bigint, required_latency_ms bigint, absorption_health_score double, post_sell_absorption_probability double, expected_saved_loss double, expected_opportunity_cost double, net_benefit double, net_benefit_confidence double, level int, risk_level string, reasons string, armed boolean, triggered boolean, expires_us bigint, size_quote double, size_tokens double",
     "f21_defence_columns": "mint bigint, us bigint, step int, id bigint, tentative_sell_count_window bigint, tentative_sell_volume_quote_window double, tentative_sell_from_dev_count bigint, tentative_sell_from_top_holder_count bigint, tentative_sell_from_bundle_count bigint, tentative_sell_from_whale_count bigint, tentative_sell_same_slot_cluster_count bigint, tentative_sell_impact_max_pct double, tentative_sell_impact_sum_pct double, tentative_sell_confidence_max double, tentative_sell_confidence_mean double, shred_sell_warning_level int, shred_exit_armed_flag boolean, shred_emergency_exit_triggered_flag boolean, shred_to_geyser_processed_ms bigint, shred_to_account_effect_confirmation_ms bigint, shred_to_rooted_confirmation_ms bigint, shred_sell_false_positive_rate_wallet double, shred_sell_false_positive_rate_source double, shred_sell_saved_loss_estimate double, shred_sell_saved_loss_realized double, shred_exit_opportunity_cost double, shred_signal_stale_flag boolean, shred_exit_latency_budget_ms bigint, shred_exit_latency_used_ms bigint, shred_exit_edge_score double, malicious_sell_intent_score double, preconfirmation_exit_confidence double, dangerous_seller_precomputed_impact_score double, exit_threat_index_score double",
     "f14_survival_columns": "mint bigint, large_sell_count bigint, large_sell_total_quote double, price_impact_of_large_sells double, recovery_after_large_sell_ms bigint, recovery_after_large_sell_pct double, buyers_after_large_sell_count bigint, unique_buyers_after_large_sell bigint, buy_volume_after_large_sell double, holder_count_after_large_sell bigint, absorption_success_score double, absorption_failure_score double, repeated_absorption_count bigint, distribution_into_buyers_score double, price_flat_volume_high_distribution_warning boolean, vertical_move_without_holder_growth boolean, vertical_move_without_unique_buyers boolean, price_up_top_holders_selling boolean, price_up_bundle_selling boolean, price_up_dev_selling boolean, price_up_unique_buyers_down boolean, price_up_holder_count_down boolean, price_up_buy_size_concentration_high boolean, price_up_only_one_or_two_large_buys boolean, price_up_no_retail_breadth boolean, momentum_authenticity_score double, exit_liquidity_trap_score double, dev_not_selling_while_price_up boolean, organic_survival_score double, anti_rug_confidence_score double",
+    "z5_w19_w20_stream_lifecycle": "mint bigint, us bigint, seq bigint, kind string, was string, state string, n bigint, holders bigint, buyers bigint, expires_us bigint",
 }

@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..adapters import ev_trades, with_views
+from ..operators.windows import TTL
 from ..streaming import operators as S
 from . import query
+from .timeseries import _STATES, lifecycle_marks
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,3 +69,24 @@ def z7_stream_reconcile(spark, sf_dir):
     e = _stream(spark, sf_dir).withColumn("key", F.col("user_id") * 1000 + F.col("k"))
     out = _finished(spark, S.reconciled(e.where("event_type = 'click'"), e.where("event_type = 'view'"), "10 days", "1 day"), "reconcile")
     return out.select("key", F.unix_micros("t_ts").alias("t_us"), F.unix_micros("c_ts").alias("c_us"), "outcome")
+
+
+@query(with_views("ev", sql=_STATES + """
+    SELECT mint, us, seq, 'transition' AS kind, coalesce(p, 'Discovered') AS was, state, n, holders, buyers, expires_us FROM e WHERE coalesce(p, 'Discovered') <> state
+    UNION ALL SELECT mint, us, seq, 'expiry', NULL, state, NULL, NULL, NULL, expires_us FROM e WHERE next_us IS NULL OR next_us > expires_us"""))
+def z5_w19_w20_stream_lifecycle(spark, sf_dir):
+    """Transitions and expiries from a stream that gets a third of the time at a time, goes on from its checkpoint each time, and is drained at last by an event a year later."""
+    trades = ev_trades(spark, sf_dir).select("mint", "us", "seq", "wallet", "side", F.col("tokens").cast("double").alias("tokens"), F.lit(None).cast("string").alias("mark"))
+    marks = lifecycle_marks(spark, sf_dir).select("mint", "us", "seq", F.lit(None).cast("long").alias("wallet"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("double").alias("tokens"), "mark")
+    events = trades.union(marks).withColumn("ts", F.timestamp_micros("us"))
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    at = f"{shared}/lifecycle-{uuid.uuid4().hex}"
+    first, last = events.agg(F.min("us"), F.max("us")).first()
+    drain = spark.range(1).select(F.lit(-1).cast("long").alias("mint"), F.lit((last or 0) + 366 * 86_400_000_000).alias("us"), F.lit(-1).cast("long").alias("seq"), F.lit(-1).cast("long").alias("wallet"), F.lit("buy").alias("side"), F.lit(0.0).alias("tokens"), F.lit(None).cast("string").alias("mark")).withColumn("ts", F.timestamp_micros("us"))
+    with S.rocksdb(spark):
+        for i in range(4):
+            lo, hi = (first or 0) + ((last or 0) - (first or 0)) * i // 3, (first or 0) + ((last or 0) - (first or 0)) * (i + 1) // 3
+            part = events.where(F.col("us").between(lo + (i > 0), hi)) if i < 3 else drain
+            part.write.mode("append").parquet(f"{at}/in")
+            S.run_once(S.lifecycle(spark.readStream.schema(events.schema).parquet(f"{at}/in"), TTL), f"{at}/state", f"{at}/rows")
+    return spark.read.schema(S.LIFECYCLE).parquet(f"{at}/rows").where("mint <> -1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,7 +64,7 @@ class Ledger(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("position", "held double, cost double, realised double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, cost, realised = self.state.get() if self.state.exists() else (0.0, 0.0, 0.0)
         out = []
         for r in pd.concat(list(rows)).sort_values("seq").itertuples():
@@ -95,6 +96,78 @@ def positions(trades: DataFrame) -> DataFrame:
     return trades.groupBy("mint", "wallet").applyInPandasWithState(fold, LEDGER, "held double, cost double, realised double", "append", "NoTimeout")
 
 
+LIFECYCLE = T.StructType([T.StructField(n, T.StringType() if n in ("kind", "was", "state") else T.LongType()) for n in ("mint", "us", "seq", "kind", "was", "state", "n", "holders", "buyers", "expires_us")])
+_NEW = (0, 0, 0, "Discovered", None, 0, 0, 0, True)
+
+
+class Lifecycle(StatefulProcessor):
+    """A mint's state machine. Transitions come out as events come in; a timer at the state's time to live says that none came.
+
+    State: the counts, state and last event of a mint, and a map of its wallets' balances, so that one event
+    touches one wallet. Events of one batch are taken in order of (us, seq). What an event finds expired is given before
+    it; what nothing follows is given when the watermark has passed the timer.
+    """
+
+    def __init__(self, target, ttl: dict[str, int]) -> None:
+        self.target, self.ttl = target, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "n long, holders long, buyers long, state string, held string, us long, seq long, expires_us long, done boolean")
+        self.wallets = handle.getMapState("wallets", "wallet long", "balance double, bought boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, holders, buyers, state, held, last_us, last_seq, expires, done = self.last.get() if self.last.exists() else _NEW
+        old, known, out = expires, {}, []
+        for r in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples():
+            if not done and r.us > expires:
+                out.append((key[0], last_us, last_seq, "expiry", None, state, None, None, None, expires))
+            if isinstance(r.mark, str):
+                held = held or r.mark
+            else:
+                w = int(r.wallet)
+                if w not in known:
+                    known[w] = self.wallets.getValue((w,)) if self.wallets.containsKey((w,)) else (0.0, False)
+                balance, bought = known[w]
+                signed = r.tokens if r.side == "buy" else -r.tokens
+                after = balance + signed
+                holders += int(after > 0) - int(after - signed > 0)
+                buyers += int(r.side == "buy" and not bought)
+                known[w] = (after, bought or r.side == "buy")
+                n += 1
+            was, state = state, held or self.target(n, holders, buyers)
+            last_us, last_seq, expires, done = int(r.us), int(r.seq), int(r.us) + self.ttl[state] * 1_000_000, False
+            if was != state:
+                out.append((key[0], last_us, last_seq, "transition", was, state, n, holders, buyers, expires))
+        for w, value in known.items():
+            self.wallets.updateValue((w,), value)
+        self.last.update((n, holders, buyers, state, held, last_us, last_seq, expires, done))
+        if old:
+            self.handle.deleteTimer(-(-old // 1000))
+        self.handle.registerTimer(-(-expires // 1000))
+        yield pd.DataFrame(out, columns=LIFECYCLE.names).astype({c: "Int64" for c in ("n", "holders", "buyers")})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n, holders, buyers, state, held, us, seq, expires, done = self.last.get()
+        out = [] if done or -(-expires // 1000) != expiredTimerInfo.getExpiryTimeInMs() else [(key[0], us, seq, "expiry", None, state, None, None, None, expires)]
+        if out:
+            self.last.update((n, holders, buyers, state, held, us, seq, expires, True))
+        yield pd.DataFrame(out, columns=LIFECYCLE.names).astype({c: "Int64" for c in ("n", "holders", "buyers")})
+
+    def close(self) -> None:
+        pass
+
+
+def active_state(n: int, holders: int, buyers: int) -> str:
+    """The state that activity asks for, as `windows.target_state` has it."""
+    return "ActiveDeep" if n >= 4 or holders >= 4 or buyers >= 3 else "ActiveLight" if n >= 2 or holders >= 2 else "FirstPass" if n >= 1 else "Discovered"
+
+
+def lifecycle(events: DataFrame, ttl: dict[str, int], late: str = "0 seconds") -> DataFrame:
+    """Transitions and expiries of events (mint, us, seq, ts, wallet, side, tokens, mark): trades, and marks that hold a state. Needs the RocksDB state store."""
+    return events.withWatermark("ts", late).groupBy("mint").transformWithStateInPandas(Lifecycle(active_state, ttl), LIFECYCLE, "append", "eventtime")
+
+
 def newest_versions(updates: DataFrame, key: str, version: str) -> DataFrame:
     """B2: updates whose version is above all that came before for their key; versions of one batch are taken in order of arrival."""
 
@@ -111,6 +184,18 @@ def newest_versions(updates: DataFrame, key: str, version: str) -> DataFrame:
     return updates.groupBy(key).applyInPandasWithState(keep, updates.schema, "high long", "append", "NoTimeout")
 
 
+@contextmanager
+def rocksdb(spark):
+    """The state store that state with timers and maps needs, for the streams that are started inside."""
+    name, wanted = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, wanted)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_once(stream: DataFrame, checkpoint: str, path: str) -> None:
     """Takes all that is there, writes it as Parquet, and stops; a later call goes on from there."""
     q = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).outputMode("append").trigger(availableNow=True).start()
