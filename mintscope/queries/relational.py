@@ -101,7 +101,7 @@ def b10_b11_shapes_and_tags(spark, sf_dir):
         SELECT CASE WHEN event_type = 'error' THEN 'failed' WHEN user_id % 10 = 0 THEN 'tombstoned' WHEN user_id % 3 = 0 AND event_type = 'purchase' THEN 'tracked_trade' WHEN user_id % 3 = 0 THEN 'tracked' ELSE 'unrelated' END AS class, user_id FROM e),
     n AS (SELECT class, user_id, count(*) AS updates FROM c GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY updates DESC, user_id) AS place FROM n)
     SELECT * FROM r WHERE place <= 5""")
-def b13_b14_class_volume(spark, sf_dir):
+def class_volume_top5(spark, sf_dir):
     user, kind = F.col("user_id"), F.col("event_type")
     rules = [(kind == "error", "failed"), (user % 10 == 0, "tombstoned"), ((user % 3 == 0) & (kind == "purchase"), "tracked_trade"), (user % 3 == 0, "tracked")]
     n = events(spark, sf_dir).groupBy(Q.class_of(rules, "unrelated").alias("class"), "user_id").agg(F.count(F.lit(1)).alias("updates"))

@@ -27,7 +27,7 @@ RESULTS: dict[str, str] = {
     "a_slices_by_checks": "o_orderkey bigint, reason string, included boolean, class string",
     "b10_b11_shapes_and_tags": "o_orderkey bigint, shape string, tag string",
     "b12_enriched_curve": "p_partkey bigint, price_source string, price double, progress double, market_cap double, price_confidence double",
-    "b13_b14_class_volume": "class string, user_id bigint, updates bigint, place int",
+    "class_volume_top5": "class string, user_id bigint, updates bigint, place int",
     "b15_noisy_keys": "user_id bigint, degraded_us bigint, reason string",
     "b16_coalesced": "user_id bigint, event_id bigint, us bigint",
     "b18_retained": "event_id bigint, user_id bigint",
@@ -239,4 +239,7 @@ RESULTS: dict[str, str] = {
     "f21_defence_columns": "mint bigint, us bigint, step int, id bigint, tentative_sell_count_window bigint, tentative_sell_volume_quote_window double, tentative_sell_from_dev_count bigint, tentative_sell_from_top_holder_count bigint, tentative_sell_from_bundle_count bigint, tentative_sell_from_whale_count bigint, tentative_sell_same_slot_cluster_count bigint, tentative_sell_impact_max_pct double, tentative_sell_impact_sum_pct double, tentative_sell_confidence_max double, tentative_sell_confidence_mean double, shred_sell_warning_level int, shred_exit_armed_flag boolean, shred_emergency_exit_triggered_flag boolean, shred_to_geyser_processed_ms bigint, shred_to_account_effect_confirmation_ms bigint, shred_to_rooted_confirmation_ms bigint, shred_sell_false_positive_rate_wallet double, shred_sell_false_positive_rate_source double, shred_sell_saved_loss_estimate double, shred_sell_saved_loss_realized double, shred_exit_opportunity_cost double, shred_signal_stale_flag boolean, shred_exit_latency_budget_ms bigint, shred_exit_latency_used_ms bigint, shred_exit_edge_score double, malicious_sell_intent_score double, preconfirmation_exit_confidence double, dangerous_seller_precomputed_impact_score double, exit_threat_index_score double",
     "f14_survival_columns": "mint bigint, large_sell_count bigint, large_sell_total_quote double, price_impact_of_large_sells double, recovery_after_large_sell_ms bigint, recovery_after_large_sell_pct double, buyers_after_large_sell_count bigint, unique_buyers_after_large_sell bigint, buy_volume_after_large_sell double, holder_count_after_large_sell bigint, absorption_success_score double, absorption_failure_score double, repeated_absorption_count bigint, distribution_into_buyers_score double, price_flat_volume_high_distribution_warning boolean, vertical_move_without_holder_growth boolean, vertical_move_without_unique_buyers boolean, price_up_top_holders_selling boolean, price_up_bundle_selling boolean, price_up_dev_selling boolean, price_up_unique_buyers_down boolean, price_up_holder_count_down boolean, price_up_buy_size_concentration_high boolean, price_up_only_one_or_two_large_buys boolean, price_up_no_retail_breadth boolean, momentum_authenticity_score double, exit_liquidity_trap_score double, dev_not_selling_while_price_up boolean, organic_survival_score double, anti_rug_confidence_score double",
     "z5_w19_w20_stream_lifecycle": "mint bigint, us bigint, seq bigint, kind string, was string, state string, n bigint, holders bigint, buyers bigint, expires_us bigint",
+    "b13_update_classes": "id bigint, class string, lane string, relevance string, deep boolean",
+    "b14_class_volume": "class string, updates bigint, keys bigint, p50 double, p90 double, p95 double, p99 double, top_keys string",
+    "b14_sketched_volume": "class string, updates bigint, p50 double, p90 double, p95 double, p99 double, top_keys string",
 }

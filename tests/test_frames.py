@@ -15,6 +15,7 @@ from mintscope.operators import graph as G
 from mintscope.operators import joins as J
 from mintscope.operators import ledger as L
 from mintscope.operators import quality as Q
+from mintscope.operators import updates as U
 from mintscope.operators import windows as W
 from mintscope.plans import labels as P
 from mintscope.sources import files
@@ -199,3 +200,21 @@ def test_resolutions(spark):
     prices = spark.createDataFrame([(1, 0, 10.0), (1, 4_999_999, 13.0), (1, 5_000_001, 99.0)], "mint long, us long, price double")
     got = {r.id: (r.outcome, r.false_positive, r.saved, r.latency_ms) for r in D.resolve(found, events, prices).collect()}
     assert got == {1: ("confirmed_executed", False, 4.0, 4000), 2: ("not_seen_within_ttl", True, -6.0, 5000)}
+
+
+def test_sketches_are_within_their_bounds(spark):
+    """100,000 updates of two classes in 20 parts: a key with a third of the rows, values with a long tail."""
+    df = spark.range(100_000).selectExpr("if(id % 3 = 0, 'a', 'b') as class", "id % 20 as part", "if(id % 9 < 3, 7L, xxhash64(id) % 5000) as key", "cast(pmod(xxhash64(id, 1), 1000) * pmod(xxhash64(id, 2), 1000) as double) as value").cache()
+    parts = U.sketches(df, ["class", "part"], "key", "value")
+    got = {r["class"]: r for r in U.from_sketches(parts, ["class"], top=3).collect()}
+    exact = {r["class"]: r for r in U.volume(df, "key", "value", top=3).collect()}
+    for c, r in got.items():
+        n = exact[c].updates
+        assert r.updates == n
+        for p in U.PERCENTILES:
+            below = df.where((F.col("class") == c) & (F.col("value") <= r[f"p{p}"])).count()
+            assert abs(below / n - p / 100) <= 0.02
+        # the one heavy key is first, its count off by less than 1 / (0.75 items) of the rows
+        key, count = r.top_keys.split("|")[0].split(":")
+        assert key == "7" == exact[c].top_keys.split(":")[0] and abs(int(count) - int(exact[c].top_keys.split("|")[0].split(":")[1])) <= n / 300
+    df.unpersist()
