@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import running_digest
+
 
 def edges(fundings: DataFrame) -> DataFrame:
     """(funder, wallet, amount, last_us, transfers)."""
@@ -15,12 +17,13 @@ def clusters(graph: DataFrame) -> DataFrame:
     """(wallet, cluster, members): the one-hop neighbourhood of each node (funders, funded and itself), not its component.
 
     The id is the first 20 characters of `cluster-` and the SHA-256 of the sorted members joined by |; NULL for a node alone.
+    Members are hashed one after the other in order, so a hub may have any number of them.
     """
     g = graph.where("funder <> wallet").select(F.col("funder").cast("string").alias("a"), F.col("wallet").cast("string").alias("b")).distinct()
-    both = g.union(g.select("b", "a"))
-    near = both.groupBy(F.col("a").alias("wallet")).agg(F.collect_set("b").alias("n"))
-    members = F.array_sort(F.array_union("n", F.array("wallet")))
-    return near.select("wallet", F.substring(F.concat(F.lit("cluster-"), F.sha2(F.array_join(members, "|"), 256)), 1, 20).alias("cluster"), F.size(members).alias("members"))
+    both = g.union(g.select("b", "a")).distinct()
+    members = both.select(F.col("a").alias("wallet"), "b").union(both.select("a", "a").distinct())
+    near = running_digest(members, ["wallet"], "b", "digest")
+    return near.select("wallet", F.substring(F.concat(F.lit("cluster-"), "digest"), 1, 20).alias("cluster"), F.col("n").cast("int").alias("members"))
 
 
 def evidence(graph: DataFrame, payers: DataFrame, same_funder: float = 0.10, same_payer: float = 0.15) -> DataFrame:

@@ -6,31 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import fold_sorted
+
 
 def positions(trades: DataFrame) -> DataFrame:
     """Average-cost ledger per (mint, wallet): tokens left, cost basis, average entry, realised profit, tokens bought and sold.
 
     A sell takes out its share of the average cost; tokens sold beyond what is held count as sold with no cost and no
-    proceeds. The fold runs over one wallet's trades of one mint, in total order, as a SQL aggregate.
+    proceeds; missing amounts count as 0. The fold runs over one wallet's trades of one mint in total order, as a
+    sorted stream whose state is five numbers, so that a wallet may have any number of trades.
     """
-    rows = F.array_sort(F.collect_list(F.struct("us", "seq", "side", "quote", "tokens")))
-    zero = F.struct(F.lit(0.0).alias("held"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("realised"), F.lit(0.0).alias("bought"), F.lit(0.0).alias("sold"))
-
-    def step(a, x):
-        buy = x["side"] == "buy"
-        out = F.least(x["tokens"], a["held"])
-        average = F.when(a["held"] > 0, a["cost"] / a["held"]).otherwise(F.lit(0.0))
-        proceeds = F.when(x["tokens"] > 0, x["quote"] * out / x["tokens"]).otherwise(F.lit(0.0))
-        return F.struct(
-            F.when(buy, a["held"] + x["tokens"]).otherwise(a["held"] - out).alias("held"),
-            F.when(buy, a["cost"] + x["quote"]).otherwise(a["cost"] - average * out).alias("cost"),
-            F.when(buy, a["realised"]).otherwise(a["realised"] + proceeds - average * out).alias("realised"),
-            F.when(buy, a["bought"] + x["tokens"]).otherwise(a["bought"]).alias("bought"),
-            F.when(buy, a["sold"]).otherwise(a["sold"] + x["tokens"]).alias("sold"),
-        )
-
-    p = trades.groupBy("mint", "wallet").agg(F.aggregate(rows, zero, step).alias("p"))
-    p = p.select("mint", "wallet", F.col("p.held").alias("held"), F.col("p.cost").alias("cost"), F.col("p.realised").alias("realised"), F.col("p.bought").alias("bought"), F.col("p.sold").alias("sold"))
+
+    def step(state, side, quote, tokens):
+        held, cost, realised, bought, sold = state
+        if side == "buy":
+            return (held + tokens, cost + quote, realised, bought + tokens, sold), None
+        out = min(tokens, held)
+        average = cost / held if held > 0 else 0.0
+        proceeds = quote * out / tokens if tokens > 0 else 0.0
+        return (held - out, cost - average * out, realised + proceeds - average * out, bought, sold + tokens), None
+
+    amount = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
+    rows = trades.select("mint", "wallet", "us", "seq", "side", amount("quote"), amount("tokens"))
+    p = fold_sorted(rows, ["mint", "wallet"], ["us", "seq"], ["side", "quote", "tokens"], "held double, cost double, realised double, bought double, sold double", lambda: (0.0,) * 5, step, lambda s: s)
     return p.withColumns({"average_entry": F.when(F.col("held") > 0, F.col("cost") / F.col("held")), "taken_profit": F.col("realised") > 0, "round_trip": (F.col("sold") > 0) & (F.col("held") <= 0)})
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .folds import fold_sorted
+
 #: Kinds that a replay takes from a stored log, with gaps that are not of a replay's own making.
 REPLAYED = ["token_created", "buy", "sell", "curve_update", "holder_update", "wallet_funding", "observed_tx"]
 
@@ -47,14 +49,18 @@ def sequence_gaps(frames: DataFrame, stream: str, seq: str) -> DataFrame:
 
 
 def sequence_verdicts(frames: DataFrame, stream: str, seq: str, order: str, ok: str) -> DataFrame:
-    """Frames with a verdict in arrival order. The expected number goes on only after a frame that passes, so after a failure the same number is awaited."""
-    fold = F.expr(
-        f"aggregate(array_sort(collect_list(struct({order} as o, {seq} as s, {ok} as k))), "
-        "named_struct('last', 0L, 'out', cast(array() as array<struct<o: bigint, s: bigint, pass: boolean>>)), "
-        "(a, x) -> named_struct('last', if(x.s = a.last + 1 and x.k, x.s, a.last), 'out', concat(a.out, array(named_struct('o', cast(x.o as bigint), 's', x.s, 'pass', x.s = a.last + 1 and x.k)))), a -> a.out)"
-    )
-    out = frames.groupBy(stream).agg(fold.alias("v"))
-    return out.select(stream, F.explode("v").alias("v")).select(stream, F.col("v.o").alias(order), F.col("v.s").alias(seq), F.col("v.pass").alias("passed"))
+    """Frames with a verdict in arrival order. The expected number goes on only after a frame that passes, so after a failure the same number is awaited.
+
+    The fold's state is the last number that passed; a stream may have any number of frames.
+    """
+
+    def step(last, o, s, k):
+        passed = s == last + 1 and bool(k)
+        return (s if passed else last), (o, s, passed)
+
+    rows = frames.select(stream, F.col(order).cast("long").alias(order), F.col(seq).cast("long").alias("__seq"), F.col(ok).alias("__ok"))
+    out = fold_sorted(rows, [stream], [order], [order, "__seq", "__ok"], f"__{order} long, __s long, passed boolean", lambda: 0, step)
+    return out.select(stream, F.col(f"__{order}").alias(order), F.col("__s").alias(seq), "passed")
 
 
 def payload_ok(payload: Column, digest: Column) -> Column:

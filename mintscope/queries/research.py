@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..adapters import ev_trades, table, with_views
+from ..plans import asof as A
 from ..plans import costs as K
 from ..plans import labels as L
 from ..plans import scores as R
@@ -323,7 +325,7 @@ def asof(spark, sf_dir):
 
 
 @query(with_views("ev", sql=_ASOF + " SELECT * FROM asof_"))
-def l2_l3_asof_features(spark, sf_dir):
+def l2_asof_features(spark, sf_dir):
     return asof(spark, sf_dir)
 
 
@@ -428,3 +430,36 @@ def k5_token_labels(spark, sf_dir):
     SELECT mint, horizon, hi - v AS favourable, lo - v AS adverse, at_ - horizon AS time_to_peak, hi > v AND at_ - horizon >= 4 AS could_exit FROM p"""))
 def l6_validation_rows(spark, sf_dir):
     return L.validation_rows(asof(spark, sf_dir), ["mint"], "volume", 4)
+
+
+#: Horizons of the as-of features, in days.
+_DAYS = [1, 3, 7, 14, 28]
+
+
+@query(with_views("ev", sql=f"""
+    la AS (SELECT mint, min(us) AS first_us FROM ev GROUP BY 1), g AS (SELECT mint, first_us, unnest({_DAYS}) AS horizon FROM la), z AS (SELECT max(us) AS last_us FROM ev), h AS (SELECT *, first_us + horizon * 86400000000 AS asof_us, first_us + horizon * 86400000000 <= last_us AS reached, lag(first_us + horizon * 86400000000) OVER (PARTITION BY mint ORDER BY horizon) AS prev_us FROM g, z),
+    x AS (SELECT *, sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) OVER o AS bal, sum(CASE WHEN side = 'buy' THEN quote ELSE -quote END) OVER m AS liq, sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) OVER m AS res FROM ev WINDOW o AS (PARTITION BY mint, wallet ORDER BY us, seq ROWS UNBOUNDED PRECEDING), m AS (PARTITION BY mint ORDER BY us, seq ROWS UNBOUNDED PRECEDING)),
+    b AS (SELECT *, coalesce(lag(round(bal, 6)) OVER (PARTITION BY mint, wallet ORDER BY us, seq), 0) AS was FROM x), cr AS (SELECT mint, min(wallet) AS dev FROM ev WHERE side = 'buy' GROUP BY 1),
+    t AS (SELECT h.mint, horizon, asof_us, reached, b.* EXCLUDE mint, us > coalesce(prev_us, first_us - 1) AS fresh FROM h LEFT JOIN b ON b.mint = h.mint AND us <= asof_us),
+    w AS (SELECT mint, horizon, wallet, arg_max(round(bal, 6), (us, seq)) AS bal FROM t WHERE wallet IS NOT NULL GROUP BY 1, 2, 3),
+    hs AS (SELECT mint, horizon, count(*) FILTER (bal > 0) AS holders, sum(greatest(bal, 0)) AS supply, max(bal) AS top, max(greatest(bal, 0)) FILTER (wallet = dev) AS dv, count(*) AS wallets FROM w LEFT JOIN cr USING (mint) GROUP BY 1, 2),
+    pk AS (SELECT *, max(holders) OVER (PARTITION BY mint ORDER BY horizon) AS peak FROM hs),
+    a AS (SELECT mint, horizon, any_value(asof_us) AS asof_us, any_value(reached) AS reached, count(seq) AS n, count(*) FILTER (side = 'buy') AS nb, count(*) FILTER (side = 'sell') AS ns, coalesce(sum(quote), 0) AS v, max(us) AS last_us, count(*) FILTER (fresh) AS recent, count(*) FILTER (round(bal, 6) > 0 AND was <= 0) AS come, count(*) FILTER (round(bal, 6) <= 0 AND was > 0) AS go,
+        count(*) FILTER (seq % 2 = 0) AS vaults, count(*) FILTER (seq % 2 = 1) AS curves, arg_max(liq, (us, seq)) - arg_min(liq, (us, seq)) AS dl, arg_max(res, (us, seq)) - arg_min(res, (us, seq)) AS dr, arg_max(least(100, greatest(0, res / 10)), (us, seq)) AS progress, arg_max(liq, (us, seq)) AS ll, max(liq) AS lt, arg_max(price, (us, seq)) AS lp, arg_min(price, (us, seq)) AS fp FROM t GROUP BY 1, 2)
+    SELECT mint, horizon, asof_us, reached, {', '.join(f'CASE WHEN reached THEN {v} END AS {n}' for n, v in {
+        'trade_update_count_asof': 'n', 'buy_count_delta_asof': 'nb', 'sell_count_delta_asof': 'ns', 'net_buy_sell_delta_asof': 'nb - ns', 'volume_delta_asof': 'v', 'unique_trade_accounts_asof': 'coalesce(wallets, 0)', 'last_trade_age_ms_asof': '(asof_us - last_us) // 1000', 'trade_burst_score_asof': 'CASE WHEN n > 0 THEN recent / n END',
+        'trade_direction_imbalance_asof': 'CASE WHEN n > 0 THEN (nb - ns) / n END', 'holder_update_count_asof': 'n', 'unique_holder_accounts_seen_asof': 'coalesce(wallets, 0)', 'top_holder_concentration_asof': 'CASE WHEN supply > 0 THEN top / supply END', 'dev_or_creator_holding_proxy_asof': 'CASE WHEN supply > 0 THEN coalesce(dv, 0) / supply END',
+        'holder_churn_proxy_asof': 'CASE WHEN come > 0 THEN go / come END', 'holder_collapse_proxy_asof': 'CASE WHEN peak > 0 THEN 1 - holders / peak END', 'new_holder_count_delta_asof': 'come', 'exiting_holder_count_delta_asof': 'go', 'vault_update_count_asof': 'vaults', 'bonding_curve_update_count_asof': 'curves', 'liquidity_delta_asof': 'dl', 'reserve_delta_asof': 'dr',
+        'curve_progress_proxy_asof': 'progress', 'liquidity_exit_proxy_asof': 'CASE WHEN lt > 0 THEN 1 - ll / lt END', 'price_or_curve_move_proxy_asof': 'CASE WHEN fp > 0 THEN lp / fp - 1 END'}.items())}
+    FROM a LEFT JOIN pk USING (mint, horizon)"""))
+def l3_alpha_features(spark, sf_dir):
+    """The curve's state after each trade is what the trades have put in and taken out; even event ids change the vault, odd ones the curve account."""
+    from ..operators.ledger import balance_history
+
+    t = ev_trades(spark, sf_dir)
+    labels = t.groupBy("mint").agg(F.min("us").alias("first_us")).join(t.agg(F.max("us").alias("last_us")))
+    order = Window.partitionBy("mint").orderBy("us", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    signed = lambda c: F.sum(F.when(F.col("side") == "buy", F.col(c)).otherwise(-F.col(c))).over(order)
+    curve = t.select("mint", "us", "seq", (F.col("seq") % 2 == 0).alias("vault"), signed("quote").alias("liquidity"), signed("tokens").alias("reserve"), "price").withColumn("progress", F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("reserve") / 10)))
+    creators = t.where("side = 'buy'").groupBy("mint").agg(F.min("wallet").alias("wallet"))
+    return A.alpha_features(t, balance_history(t), curve, creators, labels, _DAYS, _DAY)

@@ -113,7 +113,7 @@ RESULTS: dict[str, str] = {
     "k5_k7_mark_to_market": "position bigint, mint bigint, tokens double, price double, value double, pnl double",
     "k5_token_labels": "mint bigint, oracle_pnl double, realistic_pnl double, scalpable boolean, rug boolean, profitable boolean",
     "l1_mint_labels": "slice_id bigint, segment_id bigint, mint string, final_outcome string, final_outcome_reason string, rejection_reason string, terminal_inconclusive_reason string, time_to_rejection_ms bigint, time_to_terminal_ms bigint, provider_gap_exposed boolean, relay_gap_exposed boolean, sequence_gap_exposed boolean, hash_mismatch_exposed boolean, receiver_backpressure_exposed boolean, candidate_checkpoint_seen boolean, replay_eligible boolean, clean_negative_label boolean, clean_positive_label boolean, censored_label boolean, label_quality string",
-    "l2_l3_asof_features": "mint bigint, horizon int, asof_us bigint, reached boolean, buys bigint, sells bigint, volume double, net_flow double, wallets bigint",
+    "l2_asof_features": "mint bigint, horizon int, asof_us bigint, reached boolean, buys bigint, sells bigint, volume double, net_flow double, wallets bigint",
     "l4_merge_alpha": "k bigint, asof_alpha_feature_available boolean, asof_alpha_trade_delta_available boolean, asof_alpha_holder_state_available boolean, asof_alpha_vault_curve_available boolean, tracked_at_least_horizon boolean, provider_gap_exposed boolean, relay_gap_exposed boolean, sequence_gap_exposed boolean, hash_mismatch_exposed boolean, receiver_backpressure_exposed boolean",
     "l5_positive_outcomes": "mint bigint, horizon int, strength string",
     "l6_validation_rows": "mint bigint, horizon int, favourable double, adverse double, time_to_peak int, could_exit boolean",
@@ -242,4 +242,5 @@ RESULTS: dict[str, str] = {
     "b13_update_classes": "id bigint, class string, lane string, relevance string, deep boolean",
     "b14_class_volume": "class string, updates bigint, keys bigint, p50 double, p90 double, p95 double, p99 double, top_keys string",
     "b14_sketched_volume": "class string, updates bigint, p50 double, p90 double, p95 double, p99 double, top_keys string",
+    "l3_alpha_features": "mint bigint, horizon int, asof_us bigint, reached boolean, trade_update_count_asof bigint, buy_count_delta_asof bigint, sell_count_delta_asof bigint, net_buy_sell_delta_asof bigint, volume_delta_asof double, unique_trade_accounts_asof bigint, last_trade_age_ms_asof bigint, trade_burst_score_asof double, trade_direction_imbalance_asof double, holder_update_count_asof bigint, unique_holder_accounts_seen_asof bigint, top_holder_concentration_asof double, dev_or_creator_holding_proxy_asof double, holder_churn_proxy_asof double, holder_collapse_proxy_asof double, new_holder_count_delta_asof bigint, exiting_holder_count_delta_asof bigint, vault_update_count_asof bigint, bonding_curve_update_count_asof bigint, liquidity_delta_asof double, reserve_delta_asof double, curve_progress_proxy_asof double, liquidity_exit_proxy_asof double, price_or_curve_move_proxy_asof double",
 }

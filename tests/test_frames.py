@@ -1,5 +1,6 @@
 """Small frames with results worked out by hand."""
 
+import hashlib
 import json
 import random
 
@@ -218,3 +219,17 @@ def test_sketches_are_within_their_bounds(spark):
         key, count = r.top_keys.split("|")[0].split(":")
         assert key == "7" == exact[c].top_keys.split(":")[0] and abs(int(count) - int(exact[c].top_keys.split("|")[0].split(":")[1])) <= n / 300
     df.unpersist()
+
+
+def test_long_keys_are_streams(spark):
+    """A wallet with 200,000 trades, a hub of 100,000 members and a stream of 100,000 frames, each a row or batch at a time."""
+    t = spark.range(200_000).selectExpr("1L as mint", "7L as wallet", "if(id % 3 = 2, 'sell', 'buy') as side", "2.0 as quote", "if(id % 3 = 2, 2.0, 1.0) as tokens", "2.0 as price", "id as us", "id as seq").repartition(8)
+    r = L.positions(t).first()
+    assert (r.held, r.bought, r.sold) == (2.0, 133_334.0, 133_332.0) and abs(r.cost - 4.0) < 1e-6 and abs(r.realised + 133_332.0) < 1e-6
+    g = spark.range(1, 100_000).selectExpr("0L as funder", "id as wallet", "1.0 as amount", "1L as last_us", "1L as transfers")
+    hub = G.clusters(g).where("wallet = '0'").first()
+    digest = hashlib.sha256("|".join(sorted(map(str, range(100_000)))).encode()).hexdigest()
+    assert (hub.members, hub.cluster) == (100_000, f"cluster-{digest}"[:20])
+    f = spark.range(1, 100_001).selectExpr("1L as s", "id as o", "id as seq", "id <> 60000 as ok")
+    v = Q.sequence_verdicts(f, "s", "seq", "o", "ok")
+    assert (v.where("passed").count(), v.where("not passed").agg(F.min("o")).first()[0]) == (59_999, 60_000)
