@@ -46,7 +46,7 @@ def _cast(sql: str, columns: list[list[str]]) -> str:
 
 def load(wrap: bool = True) -> None:
     """Fills QUERIES and ORACLES; doubles are rounded alike in both, and the SQL's columns get the query's types."""
-    from . import aggregation, catalogue, defence, diagnostics, families, features, gates, outcomes, relational, research, sources, streams, summaries, timeseries, updates  # noqa: F401
+    from . import aggregation, catalogue, chain, defence, diagnostics, families, features, gates, outcomes, relational, research, sources, streams, summaries, timeseries, updates  # noqa: F401
     from .results import RESULTS
 
     for n in [n for n in QUERIES if n not in _READY] if wrap else []:

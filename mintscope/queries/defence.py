@@ -42,54 +42,60 @@ def sell_episodes(spark, sf_dir):
     return S.sell_episodes(launch_trades(spark, sf_dir), LARGE)
 
 
-def survival(spark, sf_dir):
-    """F14 of the events, its context from the trades: F5's return, F6's organic flow, holders then and now, the first buyer's sells."""
+def launch_context(spark, sf_dir):
+    """The launches' trades, anchors and holders; F5 and F6 of them; holders then and now; what the first buyer sold."""
     t = launch_trades(spark, sf_dir)
-    anchors = t.groupBy("mint").agg((F.max("us") + 3_600_000_000).alias("observed_us"))
+    anchors = t.groupBy("mint").agg((F.max("us") + 10_000_000).alias("observed_us"))
     signed = F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))
     past = F.col("us") <= F.col("observed_us") - MINUTE * 1_000_000
     held = t.join(anchors, "mint").groupBy("mint", "wallet").agg(F.sum(signed).alias("balance"), F.coalesce(F.sum(F.when(past, signed)), F.lit(0.0)).alias("before"))
     counts = held.groupBy("mint").agg(F.count_if(F.col("balance") > 0).alias("holders"), F.count_if(F.col("before") > 0).alias("holders_1m"))
     counts = counts.select("mint", "holders_1m", ((F.col("holders") - F.col("holders_1m")) / F.greatest("holders_1m", F.lit(1))).alias("holder_growth_rate"))
-    price = P.price_columns(t, anchors.select("*", F.lit(None).cast("long").alias("launch_us"), F.lit(None).cast("double").alias("launch_price")), {"30s": LONG, "1m": MINUTE, "5m": 3 * MINUTE}).select("mint", "return_pct_30s")
+    price = P.price_columns(t, anchors.select("*", F.lit(None).cast("long").alias("launch_us"), F.lit(None).cast("double").alias("launch_price")), {"30s": LONG, "1m": MINUTE, "5m": 3 * MINUTE})
     none = t.select("mint", F.lit(0.0).alias("top5_share"), F.lit(0.0).alias("dev_sold")).where("false")
-    flow = P.flow_columns(t, none).select("mint", "organic_flow_score")
+    flow = P.flow_columns(t, none)
     dev = t.where("side = 'buy'").groupBy("mint").agg(F.min("wallet").alias("wallet"))
     own = t.join(dev, ["mint", "wallet"]).groupBy("mint").agg(F.min(F.when(F.col("side") == "sell", F.col("us"))).alias("creator_first_sell_us"), F.coalesce(F.sum(F.when(F.col("side") == "sell", F.col("tokens"))), F.lit(0.0)).alias("s"), F.sum(F.when(F.col("side") == "buy", F.col("tokens"))).alias("b"))
     own = own.select("mint", "creator_first_sell_us", F.least(F.col("s") / F.col("b"), F.lit(1.0)).alias("creator_sell_percentage"))
-    context = price.join(flow, "mint").join(counts, "mint").join(own, "mint", "left")
-    return S.survival_columns(t, anchors, held.select("mint", "wallet", "balance"), context, LARGE, SHORT, LONG)
+    return t, anchors, held.select("mint", "wallet", "balance"), price, flow, counts, own
+
+
+def survival(t, anchors, held, price, flow, counts, own):
+    context = price.select("mint", "return_pct_30s").join(flow.select("mint", "organic_flow_score"), "mint").join(counts, "mint").join(own, "mint", "left")
+    return S.survival_columns(t, anchors, held, context, LARGE, SHORT, LONG)
 
 
 _SURVIVAL = f"""{_TK},
-    o AS (SELECT mint, max(us) + 3600000000 AS ob FROM tk GROUP BY mint), e AS (SELECT tk.*, ob FROM tk JOIN o USING (mint)),
+    o AS (SELECT mint, max(us) + 10000000 AS ob FROM tk GROUP BY mint), e AS (SELECT tk.*, ob FROM tk JOIN o USING (mint)),
     w AS (SELECT mint, wallet, sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) AS bal, coalesce(sum(CASE WHEN side = 'buy' THEN tokens ELSE -tokens END) FILTER (us <= ob - {MINUTE}000000), 0) AS old FROM e GROUP BY 1, 2),
     h AS (SELECT mint, count(*) FILTER (bal > 0) AS hn, count(*) FILTER (old > 0) AS ho FROM w GROUP BY 1),
     rk AS (SELECT *, row_number() OVER (PARTITION BY mint ORDER BY bal DESC, wallet) AS r, sum(bal) OVER (PARTITION BY mint) AS sup FROM w WHERE bal > 0),
-    sh AS (SELECT mint, sum(bal) FILTER (r <= 3) / any_value(sup) AS top3, sum(bal) FILTER (r <= 5) / any_value(sup) AS top5 FROM rk GROUP BY 1),
+    sh AS (SELECT mint, sum(bal) FILTER (r = 1) / any_value(sup) AS top1, sum(bal) FILTER (r <= 3) / any_value(sup) AS top3, sum(bal) FILTER (r <= 5) / any_value(sup) AS top5 FROM rk GROUP BY 1),
     ls AS (SELECT mint, min(us) AS hus, arg_min(price, (us, seq)) AS hp, count(*) AS ln, sum(quote) AS lq FROM e WHERE side = 'sell' AND quote >= {LARGE} GROUP BY 1),
     fb AS (SELECT DISTINCT mint, wallet FROM (SELECT mint, wallet, row_number() OVER (PARTITION BY mint ORDER BY us, seq) AS k FROM e WHERE side = 'buy') WHERE k <= 8),
-    rt AS (SELECT mint, arg_max(price, (us, seq)) AS last, max(price) AS ath, arg_min(price, (us, seq)) FILTER (us >= ob - {LONG}000000) AS p0 FROM e GROUP BY 1),
+    rt AS (SELECT mint, arg_max(price, (us, seq)) AS last, max(price) AS ath, arg_min(price, (us, seq)) FILTER (us >= ob - {LONG}000000) AS p0, arg_min(price, (us, seq)) AS fp, min(us) AS lu, max(us) FILTER (side = 'buy') AS lbu, any_value(ob) AS ob FROM e GROUP BY 1),
     af AS (SELECT e.mint, count(*) AS ab, count(DISTINCT wallet) AS au, sum(quote) AS aq, min(us) FILTER (price >= hp) AS bus, arg_min(price, (us, seq)) FILTER (price >= hp) AS bp FROM e JOIN ls USING (mint) WHERE side = 'buy' AND us > hus GROUP BY 1),
     g AS (SELECT mint, count(*) AS n, count(*) FILTER (side = 'buy') AS b, coalesce(sum(quote) FILTER (side = 'buy'), 0) AS bv, coalesce(sum(quote) FILTER (side = 'sell'), 0) AS sv, coalesce(max(quote) FILTER (side = 'buy'), 0) AS lb, count(DISTINCT wallet) FILTER (side = 'buy') AS ub,
         count(*) FILTER (side = 'buy' AND quote >= {LARGE}) AS nlb, count(DISTINCT wallet) FILTER (side = 'buy' AND us >= ob - {LONG}000000) AS u30, count(DISTINCT wallet) FILTER (side = 'buy' AND us >= ob - {SHORT}000000) AS u5 FROM e GROUP BY 1),
     ts AS (SELECT e.mint, count(*) AS top_sells FROM e JOIN rk ON rk.mint = e.mint AND rk.wallet = e.wallet AND r <= 5 WHERE side = 'sell' GROUP BY 1), es AS (SELECT e.mint, count(*) AS early_sells FROM e JOIN fb USING (mint, wallet) WHERE side = 'sell' GROUP BY 1),
     dv AS (SELECT mint, min(wallet) AS dw FROM e WHERE side = 'buy' GROUP BY 1), ds AS (SELECT e.mint, min(us) FILTER (side = 'sell') AS fs, least(1, coalesce(sum(tokens) FILTER (side = 'sell'), 0) / sum(tokens) FILTER (side = 'buy')) AS sp FROM e JOIN dv ON dv.mint = e.mint AND dw = wallet GROUP BY 1),
-    a AS (SELECT g.*, hn, ho, coalesce(top3, 0) AS top3, coalesce(top5, 0) AS top5, hus, hp, ln, lq, last, ath, ab, au, aq, bus, bp, coalesce(CASE WHEN p0 > 0 THEN last / p0 - 1 END, 0) AS ret, (hn - ho) / greatest(ho, 1) AS gr, CASE WHEN b > 0 THEN ub / b ELSE 0 END AS org, coalesce(top_sells, 0) AS tsl, coalesce(early_sells, 0) AS esl, fs, coalesce(sp, 0) AS sp, CASE WHEN bv > 0 THEN lb / bv ELSE 0 END AS part
+    a AS (SELECT g.*, hn, ho, p0, fp, lu, lbu, ob, top1, coalesce(top3, 0) AS top3, coalesce(top5, 0) AS top5, hus, hp, ln, lq, last, ath, ab, au, aq, bus, bp, coalesce(CASE WHEN p0 > 0 THEN last / p0 - 1 END, 0) AS ret, (hn - ho) / greatest(ho, 1) AS gr, CASE WHEN b > 0 THEN ub / b ELSE 0 END AS org, coalesce(top_sells, 0) AS tsl, coalesce(early_sells, 0) AS esl, fs, coalesce(sp, 0) AS sp, CASE WHEN bv > 0 THEN lb / bv ELSE 0 END AS part
         FROM g JOIN h USING (mint) LEFT JOIN sh USING (mint) LEFT JOIN ls USING (mint) JOIN rt USING (mint) LEFT JOIN af USING (mint) LEFT JOIN ts USING (mint) LEFT JOIN es USING (mint) LEFT JOIN ds USING (mint)),
     f AS (SELECT *, ret > 0 AND ub <= 2 AND b >= 2 AS breadth, ret > 0 AND tsl > 0 AS tops, ret > 0 AND esl > 0 AS earlies, ret > 0 AND nlb BETWEEN 1 AND 2 AND part >= 0.55 AND ub <= 2 AS oneortwo, CASE WHEN hus IS NULL THEN 0 ELSE least(1, coalesce(au, 0) / 5) END AS absb FROM a),
     s AS (SELECT *, least(1, greatest(0, 0.35 * org + 0.25 * greatest(gr, 0) + 0.15 * least(1, ub / 6) + 0.25 * (1 - (0.35 * breadth::INT + 0.35 * oneortwo::INT + 0.15 * tops::INT + 0.15 * earlies::INT)) - sp)) AS auth FROM f)"""
 
 
-@query(with_views("ev", sql=_SURVIVAL + """
-    SELECT mint, coalesce(ln, 0) AS large_sell_count, coalesce(lq, 0) AS large_sell_total_quote, CASE WHEN ath > 0 AND hus IS NOT NULL THEN least(1, abs(hp - last) / ath) END AS price_impact_of_large_sells, (bus - hus) // 1000 AS recovery_after_large_sell_ms, CASE WHEN hp > 0 AND bus IS NOT NULL THEN least(1, (bp - hp) / hp) END AS recovery_after_large_sell_pct,
+_F14 = """coalesce(ln, 0) AS large_sell_count, coalesce(lq, 0) AS large_sell_total_quote, CASE WHEN ath > 0 AND hus IS NOT NULL THEN least(1, abs(hp - last) / ath) END AS price_impact_of_large_sells, (bus - hus) // 1000 AS recovery_after_large_sell_ms, CASE WHEN hp > 0 AND bus IS NOT NULL THEN least(1, (bp - hp) / hp) END AS recovery_after_large_sell_pct,
         CASE WHEN hus IS NOT NULL THEN coalesce(ab, 0) END AS buyers_after_large_sell_count, CASE WHEN hus IS NOT NULL THEN coalesce(au, 0) END AS unique_buyers_after_large_sell, CASE WHEN hus IS NOT NULL THEN coalesce(aq, 0) END AS buy_volume_after_large_sell, CASE WHEN hus IS NOT NULL THEN hn END AS holder_count_after_large_sell,
         absb AS absorption_success_score, 1 - absb AS absorption_failure_score, greatest(coalesce(ln, 0) - 1, 0) AS repeated_absorption_count, least(1, top3 * 2 / 3) AS distribution_into_buyers_score, abs(ret) <= 0.05 AND bv + sv >= 10 AND tsl > 0 AS price_flat_volume_high_distribution_warning,
         ret >= 0.5 AND gr <= 0 AND ub <= 2 AND hn <= 2 AS vertical_move_without_holder_growth, ret >= 0.5 AND ub <= 2 AS vertical_move_without_unique_buyers, tops AS price_up_top_holders_selling, earlies AS price_up_bundle_selling, ret > 0 AND fs IS NOT NULL AS price_up_dev_selling, ret > 0 AND u5 < u30 AS price_up_unique_buyers_down,
         ret > 0 AND hn < ho AS price_up_holder_count_down, part >= 0.6 AS price_up_buy_size_concentration_high, oneortwo AS price_up_only_one_or_two_large_buys, breadth AS price_up_no_retail_breadth, auth AS momentum_authenticity_score, least(1, tops::INT + earlies::INT + oneortwo::INT) / 3 AS exit_liquidity_trap_score,
-        fs IS NULL AND ret >= 0 AS dev_not_selling_while_price_up, least(1, auth + absb + 1 - top5 + CASE WHEN ret >= 0 THEN 0.2 ELSE 0 END) / 3 AS organic_survival_score, least(n, 20) / 20 AS anti_rug_confidence_score FROM s"""))
+        fs IS NULL AND ret >= 0 AS dev_not_selling_while_price_up, least(1, auth + absb + 1 - top5 + CASE WHEN ret >= 0 THEN 0.2 ELSE 0 END) / 3 AS organic_survival_score, least(n, 20) / 20 AS anti_rug_confidence_score"""
+
+
+@query(with_views("ev", sql=_SURVIVAL + f" SELECT mint, {_F14} FROM s"))
 def f14_survival_columns(spark, sf_dir):
-    return survival(spark, sf_dir)
+    return survival(*launch_context(spark, sf_dir))
 
 
 #: Microseconds of a slot, and of the wait for a resolution.
@@ -118,7 +124,7 @@ def tentative_sells(spark, sf_dir):
     t = few_wallets(spark, sf_dir)
     order = Window.partitionBy("mint").orderBy("us", "seq")
     e, index = t.withColumn("before", F.lag("price").over(order)).where("side = 'sell'"), cut(threats(t), "threats")
-    anchors = t.groupBy("mint").agg((F.max("us") + 3_600_000_000).alias("observed_us"))
+    anchors = t.groupBy("mint").agg((F.max("us") + 10_000_000).alias("observed_us"))
     held = t.groupBy("mint", "wallet").agg(F.sum(F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))).alias("balance"))
     empty = t.select("mint", *[F.lit(None).cast("double").alias(c) for c in ("return_pct_30s", "holder_growth_rate", "organic_flow_score", "creator_first_sell_us", "creator_sell_percentage", "holders_1m")]).where("false")
     absorbed = S.survival_columns(t, anchors, held, empty, LARGE, SHORT, LONG).select("mint", F.col("absorption_success_score").alias("absorption"))

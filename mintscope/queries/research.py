@@ -218,9 +218,12 @@ def r13_position_sizes(spark, sf_dir):
     return R.composites(_risk_rows(spark, sf_dir)).select("mint", R.position_size().alias("size"))
 
 
-@query(f"""WITH {_DECIDE} SELECT mint, strategy, decision, blocked_by, array_to_string(list_sort(list_distinct(list_concat(reasons, list_filter([CASE WHEN blocked_by IN ('data_gap', 'data_quality') THEN 'DataGapActive' END, CASE WHEN blocked_by = 'risk' AND rug >= 0.45 THEN 'HighRugRisk' END, CASE WHEN blocked_by = 'risk' AND bundle >= 0.55 THEN 'HighBundleRisk' END,
+_WHY = """array_to_string(list_sort(list_distinct(list_concat(reasons, list_filter([CASE WHEN blocked_by IN ('data_gap', 'data_quality') THEN 'DataGapActive' END, CASE WHEN blocked_by = 'risk' AND rug >= 0.45 THEN 'HighRugRisk' END, CASE WHEN blocked_by = 'risk' AND bundle >= 0.55 THEN 'HighBundleRisk' END,
         CASE WHEN blocked_by = 'risk' AND fake_momentum >= 0.50 THEN 'HighFakeMomentumRisk' END, CASE WHEN blocked_by = 'fee_edge' THEN 'FeeAdjustedEdgeTooLow' END, CASE WHEN blocked_by IS NULL AND warned AND NOT unsure THEN 'EarlyIntentSellWarning' END, CASE WHEN decision = 'EnterPaper' THEN 'EnterPaper' WHEN decision = 'EmergencyExit' THEN 'ExitPaper' END, 'LiveDisabled'],
-        lambda x: x IS NOT NULL)))), '|') AS decision_reasons FROM d""")
+        lambda x: x IS NOT NULL)))), '|')"""
+
+
+@query(f"WITH {_DECIDE} SELECT mint, strategy, decision, blocked_by, {_WHY} AS decision_reasons FROM d")
 def r14_entry_decisions(spark, sf_dir):
     return _decided(spark, sf_dir).select("mint", "strategy", "decision", "blocked_by", F.array_join("decision_reasons", "|").alias("decision_reasons"))
 

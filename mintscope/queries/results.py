@@ -243,4 +243,5 @@ RESULTS: dict[str, str] = {
     "b14_class_volume": "class string, updates bigint, keys bigint, p50 double, p90 double, p95 double, p99 double, top_keys string",
     "b14_sketched_volume": "class string, updates bigint, p50 double, p90 double, p95 double, p99 double, top_keys string",
     "l3_alpha_features": "mint bigint, horizon int, asof_us bigint, reached boolean, trade_update_count_asof bigint, buy_count_delta_asof bigint, sell_count_delta_asof bigint, net_buy_sell_delta_asof bigint, volume_delta_asof double, unique_trade_accounts_asof bigint, last_trade_age_ms_asof bigint, trade_burst_score_asof double, trade_direction_imbalance_asof double, holder_update_count_asof bigint, unique_holder_accounts_seen_asof bigint, top_holder_concentration_asof double, dev_or_creator_holding_proxy_asof double, holder_churn_proxy_asof double, holder_collapse_proxy_asof double, new_holder_count_delta_asof bigint, exiting_holder_count_delta_asof bigint, vault_update_count_asof bigint, bonding_curve_update_count_asof bigint, liquidity_delta_asof double, reserve_delta_asof double, curve_progress_proxy_asof double, liquidity_exit_proxy_asof double, price_or_curve_move_proxy_asof double",
+    "chained_decisions": "mint bigint, rug double, bundle double, dev double, top_holder double, fake_momentum double, data_quality double, overall double, policy string, strategy string, eligibility double, net_edge_quote double, decision string, blocked_by string, decision_reasons string",
 }
