@@ -10,10 +10,12 @@ from ..operators import defence as D
 from ..operators import ledger as L
 from ..operators import windows as W
 from ..plans import families as P
+from ..plans.features import snapshot
 from ..plans import survival as S
 from ..sources.shared import cut
 from . import query
 from .relational import _LEDGER
+from .results import RESULTS
 
 #: A launch is what happens to one mint in a stretch of six days, so that launches have from one to two dozen trades.
 STRETCH = 518_400_000_000
@@ -224,3 +226,12 @@ _LAST = lambda cond, v: f"last_value(CASE WHEN {cond} THEN {v} END IGNORE NULLS)
 def f21_defence_columns(spark, sf_dir):
     found = cut(D.detect(tentative_sells(spark, sf_dir)), "sells")
     return D.defence_columns(found, resolutions(spark, sf_dir, found), D.threat_index(threats(few_wallets(spark, sf_dir))))
+
+
+_THERE = " + ".join(f"({x.rsplit(' ', 1)[0]} IS NOT NULL)::INT" for x in RESULTS["f14_survival_columns"].split(", ")[1:])
+
+
+@query(with_views("ev", sql=_SURVIVAL + f", t AS (SELECT mint, {_F14} FROM s) SELECT mint, {_THERE} AS available, 35 - ({_THERE}) AS unavailable FROM t"))
+def f22_availability(spark, sf_dir):
+    """What a snapshot of F14's columns and the six placeholder groups has and lacks."""
+    return snapshot(f14_survival_columns(spark, sf_dir)).select("mint", "available", "unavailable")

@@ -152,7 +152,7 @@ def a7_long_features(spark, sf_dir):
     x AS (SELECT c.mint, balance * CASE WHEN c.mint % 50 = 0 THEN 1000 ELSE 1 END AS b, supply, supply - on_curve AS circ FROM c LEFT JOIN bal ON bal.mint = c.mint AND bal.wallet = c.wallet LEFT JOIN s ON s.mint = c.mint)
     SELECT mint, 'pct_of_total' AS metric, CASE WHEN supply > 0 AND b <= supply THEN b / supply * 100 END AS value, CASE WHEN b IS NULL OR supply IS NULL THEN 'unavailable' WHEN b > supply THEN 'failed_invariant' WHEN supply > 0 THEN 'verified' ELSE 'unavailable' END AS confidence FROM x
     UNION ALL SELECT mint, 'pct_of_circulating', CASE WHEN circ > 0 AND b <= supply THEN b / circ * 100 END, CASE WHEN b IS NULL OR circ IS NULL THEN 'unavailable' WHEN b > supply THEN 'failed_invariant' WHEN circ > 0 THEN 'verified' ELSE 'unavailable' END FROM x"""))
-def f25_c6_metric_rows(spark, sf_dir):
+def c6_metric_rows(spark, sf_dir):
     t, held = li_trades(spark, sf_dir), balances(spark, sf_dir)
     own = creators(t).join(held, ["mint", "wallet"], "left").select("mint", (F.col("balance") * F.when(F.col("mint") % 50 == 0, 1000).otherwise(1)).alias("balance"))
     return P.metric_rows(own, held.groupBy("mint").agg(F.sum("balance").alias("supply")), held.groupBy("mint").agg(F.max("balance").alias("on_curve")))
@@ -212,3 +212,42 @@ def cohort_measures(spark, sf_dir):
     sums = {"active": ((F.col("n") >= 20).cast("long"), "sum"), "volume": (F.col("own"), "sum"), "best": (F.col("own"), "max")}
     x = C.totals(launches, places, found, sums).join(found.select("mint", (F.col("hi") - F.col("lo")).alias("cohort")), "mint").join(b.select("mint", "own"), "mint")
     return x.select("mint", "cohort", "active", (F.col("own") / F.col("volume")).alias("attention"), (F.col("best") - F.col("own")).alias("distance_to_best"), (F.col("own") >= F.col("best")).alias("leader"))
+
+
+_RESERVES = {
+    "mint": "p_partkey", "virtual_quote_lamports": "CASE WHEN p_size % 11 = 0 THEN NULL WHEN p_size % 13 = 0 THEN CAST(0 AS DOUBLE) ELSE p_retailprice * 10000000 END", "virtual_token_raw": "CASE WHEN p_size % 7 = 3 THEN NULL ELSE CAST(p_partkey % 900 + 1 AS DOUBLE) * 1000000000000 END",
+    "real_token_raw": "CASE WHEN p_size % 5 = 2 THEN NULL ELSE CAST(p_partkey % 1000 AS DOUBLE) * 1000000000000 END", "decimals": "CASE WHEN p_size % 17 = 1 THEN NULL ELSE 6 END",
+    "dev_balance_raw": "CASE WHEN p_size % 6 = 1 THEN NULL WHEN p_partkey % 40 = 7 THEN CAST(1000000000000000 AS DOUBLE) WHEN p_partkey % 40 = 9 THEN CAST(2000000000000000 AS DOUBLE) WHEN p_partkey % 40 = 11 THEN CAST(-5 AS DOUBLE) ELSE CAST(p_partkey AS DOUBLE) * 1000000000 END",
+}
+_DEAD, _OVER = "creator wallet holder balance unavailable", "creator balance exceeds canonical Pump.fun supply"
+
+
+@query(f"""WITH r AS (SELECT {', '.join(f'{v} AS {n}' for n, v in _RESERVES.items())} FROM part), u AS (SELECT *, pow(10.0, decimals) AS u FROM r),
+    x AS (SELECT *, CASE WHEN virtual_quote_lamports > 0 AND virtual_token_raw > 0 AND u IS NOT NULL THEN virtual_quote_lamports / 1000000000 / (virtual_token_raw / u) END AS price, CASE WHEN real_token_raw >= 0 AND u IS NOT NULL THEN least(100, greatest(0, 100 - greatest(real_token_raw / u - 206900000, 0) * 100 / 793100000)) END AS progress,
+        CASE WHEN dev_balance_raw IS NOT NULL THEN greatest(dev_balance_raw, 0) END AS dev, 1000000000.0 * u AS supply FROM u),
+    y AS (SELECT *, coalesce(dev > supply, false) AS over FROM x),
+    m AS (
+        SELECT mint, 'price_sol_per_token' AS metric_name, 'reserve-implied price' AS metric_family, price AS value, 'SOL/token' AS unit, 'normalized_events.bonding_curve_update' AS source_artifact, 'verified' AS good, false AS failed, 'computed from matching virtual SOL/token reserve pair' AS fine, 'missing or zero virtual reserve denominator' AS missing, true AS bt FROM y
+        UNION ALL SELECT mint, 'market_cap_quote_1b', 'market cap', price * 1000000000, 'SOL', 'metric_engine.price_sol_per_token', 'verified', false, 'price * 1B Pump.fun convention', 'price unavailable', true FROM y
+        UNION ALL SELECT mint, 'market_cap_quote_total_supply', 'market cap', price * 1000000000, 'SOL', 'metric_engine.price_sol_per_token', 'verified', false, 'price * Pump.fun curve-economic supply denominator; RPC mint supply is diagnostic-only when it diverges', 'price unavailable', true FROM y
+        UNION ALL SELECT mint, 'curve_progress_pct', 'curve progress', progress, 'percent', 'normalized_events.bonding_curve_update.real_token_reserves', 'verified', false, 'real token reserves converted to UI before reserved-supply formula', 'missing curve-state snapshot or invalid token decimals', true FROM y
+        UNION ALL SELECT mint, 'dev_balance', 'dev holdings', dev / u, 'tokens', 'holders', 'verified', over, 'owner-summed holder balance for creator wallet', '{_DEAD}', true FROM y
+        UNION ALL SELECT mint, 'dev_holding_pct_total_supply', 'dev holdings', CASE WHEN NOT over THEN dev / supply END, 'ratio', 'holders', 'verified', false, 'creator raw balance / canonical raw total supply', CASE WHEN over THEN '{_OVER}' ELSE '{_DEAD}' END, true FROM y
+        UNION ALL SELECT mint, 'dev_holding_pct_circulating', 'dev holdings', CASE WHEN dev < supply THEN dev / (supply - dev) END, 'ratio', 'holders', 'confidence_scored', false, 'uses canonical total supply minus creator balance; circulating denominator is a convention', CASE WHEN over THEN '{_OVER}' WHEN dev = supply THEN 'circulating denominator is zero' ELSE '{_DEAD}' END, false FROM y),
+    c AS (SELECT *, CASE WHEN value IS NULL THEN 'unavailable' WHEN failed THEN 'failed_invariant' ELSE good END AS confidence FROM m)
+    SELECT mint, metric_name, metric_family, value, unit, source_artifact, confidence, CASE WHEN value IS NOT NULL THEN CASE WHEN failed THEN '{_OVER}' ELSE fine END END AS confidence_reason, CASE WHEN value IS NULL THEN missing END AS unavailable_reason,
+        CASE confidence WHEN 'verified' THEN 'passed' WHEN 'failed_invariant' THEN 'failed' ELSE confidence END AS parity_status, bt AS required_for_backtest, true AS required_for_tuning FROM c""")
+def f25_canonical_metrics(spark, sf_dir):
+    from ..plans.metrics import canonical_metrics
+
+    return canonical_metrics(table(spark, sf_dir, "part").selectExpr(*[f"{v} as {n}" for n, v in _RESERVES.items()]), "holders")
+
+
+_TEXT = "CASE event_id % 8 WHEN 0 THEN concat(event_id % 100, '.75') WHEN 1 THEN concat(' -', event_id % 9, ' ') WHEN 2 THEN 'n/a' WHEN 3 THEN '' WHEN 4 THEN NULL WHEN 5 THEN concat(event_id % 7, 'e2') WHEN 6 THEN 'Yes' ELSE '1' END"
+
+
+@query(f"""WITH t AS (SELECT event_id, {_TEXT} AS t FROM events)
+    SELECT event_id, TRY_CAST(t AS DOUBLE) AS number, coalesce(CAST(trunc(TRY_CAST(t AS DOUBLE)) AS BIGINT), 0) AS integer, coalesce(lower(trim(t)) IN ('true', '1', 'yes', 'y'), false) AS flag FROM t""")
+def c16_text_numbers(spark, sf_dir):
+    t = table(spark, sf_dir, "events").selectExpr("event_id", f"{_TEXT} as t")
+    return t.select("event_id", T.number(F.col("t")).alias("number"), T.int_or_zero(F.col("t")).alias("integer"), T.truthy(F.col("t")).alias("flag"))

@@ -466,3 +466,10 @@ def l3_alpha_features(spark, sf_dir):
     curve = t.select("mint", "us", "seq", (F.col("seq") % 2 == 0).alias("vault"), signed("quote").alias("liquidity"), signed("tokens").alias("reserve"), "price").withColumn("progress", F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.col("reserve") / 10)))
     creators = t.where("side = 'buy'").groupBy("mint").agg(F.min("wallet").alias("wallet"))
     return A.alpha_features(t, balance_history(t), curve, creators, labels, _DAYS, _DAY)
+
+
+@query("SELECT 'orders' AS dataset, count(*) AS rows, sum(o_orderkey) AS keys FROM orders UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey) FROM lineitem")
+def s4_freeze_counts(spark, sf_dir):
+    """The manifest's counts, and the sum of each dataset's keys, which SQL can rebuild; the hash is in s4_freeze."""
+    count = lambda name, key: L.freeze(table(spark, sf_dir, name), name).select("dataset", "rows").join(table(spark, sf_dir, name).agg(F.sum(key).alias("keys")))  # noqa: E731, one row each
+    return count("orders", "o_orderkey").union(count("lineitem", "l_orderkey"))

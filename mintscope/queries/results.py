@@ -80,7 +80,7 @@ RESULTS: dict[str, str] = {
     "defence_levels": "mint bigint, wallet bigint, seq bigint, class string, confidence double, impact double, level string, armed boolean, triggered boolean",
     "f23_placeholders": "mint bigint, feature string, status string",
     "f24_registry": "feature string, kind string, category string, available bigint, missing bigint",
-    "f25_c6_metric_rows": "mint bigint, metric string, value double, confidence string",
+    "c6_metric_rows": "mint bigint, metric string, value double, confidence string",
     "creator_launches": "mint bigint, launches_seen bigint, launches_recent bigint, spam_wave boolean, age_us bigint",
     "f2_creator_columns": "mint bigint, creator_age_in_local_index bigint, creator_total_launches_seen bigint, creator_launches_last_1h bigint, creator_cluster_id string, creator_reuses_same_payer boolean, creator_reuses_same_metadata_domain boolean, creator_launching_spam_wave_flag boolean",
     "developer_measures": "mint bigint, net_tokens double, net_quote double, sold_share double, has_sold boolean, first_sell_ms double, dev_balance double, ownership double, balance_rank int, is_top1 boolean, is_top3 boolean, is_top5 boolean, is_top10 boolean",
@@ -244,4 +244,8 @@ RESULTS: dict[str, str] = {
     "b14_sketched_volume": "class string, updates bigint, p50 double, p90 double, p95 double, p99 double, top_keys string",
     "l3_alpha_features": "mint bigint, horizon int, asof_us bigint, reached boolean, trade_update_count_asof bigint, buy_count_delta_asof bigint, sell_count_delta_asof bigint, net_buy_sell_delta_asof bigint, volume_delta_asof double, unique_trade_accounts_asof bigint, last_trade_age_ms_asof bigint, trade_burst_score_asof double, trade_direction_imbalance_asof double, holder_update_count_asof bigint, unique_holder_accounts_seen_asof bigint, top_holder_concentration_asof double, dev_or_creator_holding_proxy_asof double, holder_churn_proxy_asof double, holder_collapse_proxy_asof double, new_holder_count_delta_asof bigint, exiting_holder_count_delta_asof bigint, vault_update_count_asof bigint, bonding_curve_update_count_asof bigint, liquidity_delta_asof double, reserve_delta_asof double, curve_progress_proxy_asof double, liquidity_exit_proxy_asof double, price_or_curve_move_proxy_asof double",
     "chained_decisions": "mint bigint, rug double, bundle double, dev double, top_holder double, fake_momentum double, data_quality double, overall double, policy string, strategy string, eligibility double, net_edge_quote double, decision string, blocked_by string, decision_reasons string",
+    "f25_canonical_metrics": "mint bigint, metric_name string, metric_family string, value double, unit string, source_artifact string, confidence string, confidence_reason string, unavailable_reason string, parity_status string, required_for_backtest boolean, required_for_tuning boolean",
+    "c16_text_numbers": "event_id bigint, number double, integer bigint, flag boolean",
+    "s4_freeze_counts": "dataset string, rows bigint, keys bigint",
+    "f22_availability": "mint bigint, available int, unavailable int",
 }
