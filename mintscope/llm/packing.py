@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, fresh
 
 WINDOW = 1024
-#: Parts that the pieces of one length are numbered in, so that a common length is not one task.
-SALTS = 64
 #: Runs of a plan (24 bytes each) up to which they are broadcast.
 RUNS = 1_000_000
 
@@ -172,19 +170,15 @@ def placement(made: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
 def place(parts: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces with `length` and `ids_crc32`; no window is longer than `window`."""
     spark = parts.sparkSession
-    salt, rank, before = fresh(parts, "salt", "rank", "before")
-    order = [c for c in parts.columns if c not in ("length",)]
-    salted = parts.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int"))
-    sizes = salted.groupBy("length", salt).count().collect()  # SALTS rows for each length, whatever the input
-    total: dict[int, int] = {}
-    starts = []
-    for r in sorted(sizes):
-        starts.append((r["length"], r[salt], total.get(r["length"], 0)))
-        total[r["length"]] = total.get(r["length"], 0) + r["count"]
+    block, at, rank, before = fresh(parts, "block", "at", "rank", "before")
+    # pieces are numbered within the task that wrote them; one row for each length and task carries on what came before
+    written = cut(parts.withColumns({block: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "pieces")
+    sizes = written.groupBy("length", block).agg(F.count(F.lit(1)).alias("n"))
+    total = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # as long as the window at most
     runs = placement(plan(total, window))
-    numbered = salted.withColumn(rank, F.expr(f"row_number() over (partition by length, {salt} order by {', '.join(f'`{c}`' for c in order)}) - 1"))
-    offsets = spark.createDataFrame(starts, f"length long, {salt} int, {before} long")
-    numbered = numbered.join(F.broadcast(offsets), ["length", salt]).withColumn(rank, F.col(rank) + F.col(before))
+    bases = sizes.select("length", block, F.expr(f"coalesce(sum(n) over (partition by length order by {block} rows between unbounded preceding and 1 preceding), 0)").alias(before))
+    numbered = written.withColumn(rank, F.expr(f"row_number() over (partition by length, {block} order by {at}) - 1"))
+    numbered = numbered.join(bases, ["length", block]).withColumn(rank, F.col(rank) + F.col(before))
     # each length's runs as one sorted array: the run of a rank is the last that begins at or before it
     grouped = runs.sort_values(["length", "lo"]).groupby("length")
     table = spark.createDataFrame(
@@ -206,4 +200,4 @@ def pack(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text"
 
     Repeated rows are packed as often as they come; an empty table gives an empty result. Other columns are not read.
     """
-    return place(cut(pieces(df, vocabulary, key, text, window, end_id), "pieces"), window)
+    return place(pieces(df, vocabulary, key, text, window, end_id), window)
