@@ -1,3 +1,4 @@
+import math
 import zlib
 
 from pyspark.sql import functions as F
@@ -36,3 +37,40 @@ def test_edge_rows(spark):
     assert langid.identify(df.where("false")).count() == 0
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert {r.lang_pred for r in langid.identify(df.where("lang = 'en'")).collect()} == {"en", "und"}
+
+
+def plain_vote(shares, duels):
+    wins, margins, sure = {}, {}, {}
+    for a, b, w in duels:
+        m = sum(v * w[i] for i, v in shares.items()) + w[-1]
+        for name, v in ((a, m), (b, -m)):
+            wins[name] = wins.get(name, 0) + (v > 0)
+            margins[name] = margins.get(name, 0) + v
+            sure.setdefault(name, []).append(1 / (1 + math.exp(-max(-60, min(60, 4 * v)))))
+    best = sorted(wins, key=lambda n: (-wins[n], -margins[n], n))[0]
+    return best, sum(sure[best]) / len(sure[best])
+
+
+def test_predictions_against_brute_force(spark):
+    """Trigrams counted one by one, and every duel of a text fought in plain Python with the fitted weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~langid.held_out()))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs).collect()}
+    tried = 0
+    for r in docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id] == ("und", 0)
+            continue
+        raw = f" {r.text.lower()} ".encode()
+        counts = {}
+        for i in range(len(raw) - 2):
+            h = int.from_bytes(raw[i : i + 3], "big") * 2654435761 % 2**32 >> 20
+            counts[h] = counts.get(h, 0) + 1
+        length = math.sqrt(sum(counts.values()))
+        shares = {h: math.sqrt(n) / length for h, n in counts.items()}
+        family, p = plain_vote(shares, [d for d in model[""] if d[1]])
+        own = [d for d in model[family] if d[1]]
+        lang, q = plain_vote(shares, own) if own else (model[family][0][0], 1.0)
+        assert got[r.doc_id][0] == lang and abs(got[r.doc_id][1] - p * q) < 1e-6
+        tried += 1
+    assert tried > 150

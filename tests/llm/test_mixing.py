@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,45 @@ def test_labelled_toxic_documents_leave_the_mix(spark):
     marks = mixing.label_domains(spark.read.parquet(f"{sf}/labels.parquet"))
     mean = {r.domain: r.rate for r in op6_mixing_weights(spark, sf).join(marks, "doc_id").groupBy("domain").agg(F.avg("rate").alias("rate")).collect()}
     assert mean["toxic"] < 0.05 and mean["poor"] < 0.35 and mean["good"] > 0.97
+
+
+def plain_marks(text):
+    """A text's marks, read off the definition."""
+    text = text or ""
+    words = re.split(r"[ \t\n\x0b\f\r!-/:-@\[-`{-~0-9]+", text.lower())
+    marks = set(words) | set(re.findall(r"[!#$%&*+/<=>?@\[\\\]^_`{|}~]+", text))
+    if sum(c in CAPITALS for c in text) * 10 > len(text) * 3:
+        marks.add("<capitals>")
+    if len(words) >= 10 and len(set(words)) * 4 < len(words):
+        marks.add("<repeats>")
+    return marks - {""}
+
+
+CAPITALS = {chr(c) for c in [*range(65, 91), *range(0xC0, 0xDF)]}
+
+
+def test_posteriors_against_brute_force(spark):
+    """Naive Bayes over the telling marks, counted and multiplied out in plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r.doc_id: r.domain for r in mixing.label_domains(spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.domain}
+    marks = {r.doc_id: plain_marks(r.text) for r in docs}
+    known = [d for d in marks if d in labels]
+    names = sorted({labels[d] for d in known})
+    size = {c: sum(labels[d] == c for d in known) for c in names}
+    total = len(known)
+    table = {}
+    for m in {m for d in known for m in marks[d]}:
+        here = {c: sum(m in marks[d] for d in known if labels[d] == c) for c in names}
+        n = sum(here.values())
+        for c in names:
+            share = size[c] / total
+            off = (here[c] - n * share) / (n * share * (1 - share) + 0.25) ** 0.5
+            lift = (here[c] + 0.5) / (size[c] + 1) * (total - size[c] + 1) / (n - here[c] + 0.5)
+            if off >= mixing.TELL and lift >= mixing.LIFT:
+                table[m] = [(here[x] + 0.5) / (size[x] + 1) for x in names]
+    assert len(table) > 5
+    got = {r.doc_id: [r[f"p_{c}"] for c in names] for r in op6_mixing_weights(spark, SF).collect()}
+    for d, own in marks.items():
+        logs = np.array([np.log(size[c] / total) + sum(np.log(v[i] if m in own else 1 - v[i]) for m, v in table.items()) for i, c in enumerate(names)])
+        p = np.exp(logs - logs.max())
+        assert np.allclose(got[d], p / p.sum(), atol=1e-9)
