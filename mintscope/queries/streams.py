@@ -54,10 +54,11 @@ def z3_stream_sliding_flow(spark, sf_dir):
     return out.select("mint", F.unix_micros("end").alias("end_us"), "buy_volume", "net_flow")
 
 
-@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), g AS (SELECT *, (us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 21600000000)::INT AS cut FROM e), s AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g),
-    x AS (SELECT user_id, min(us) AS start_us, max(us) + 21600000000 AS end_us, count(*) AS n FROM s GROUP BY user_id, k) SELECT * FROM x WHERE end_us <= (SELECT max(us) FROM e)""")
+@query("""WITH e AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN event_type = 'purchase' THEN 43200000000 ELSE 21600000000 END AS gap FROM events),
+    g AS (SELECT *, us >= max(us + gap) OVER (PARTITION BY user_id ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS cut FROM e), s AS (SELECT *, sum(coalesce(cut, true)::INT) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g),
+    x AS (SELECT user_id, min(us) AS start_us, max(us + gap) AS end_us, count(*) AS n FROM s GROUP BY user_id, k) SELECT * FROM x WHERE end_us <= (SELECT max(us) FROM e)""")
 def z4_stream_sessions(spark, sf_dir):
-    out = _finished(spark, S.sessions(_stream(spark, sf_dir), "user_id", "CASE WHEN user_id >= 0 THEN '6 hours' ELSE '1 hour' END", "0 seconds"), "sessions")
+    out = _finished(spark, S.sessions(_stream(spark, sf_dir), "user_id", "CASE WHEN event_type = 'purchase' THEN '12 hours' ELSE '6 hours' END", "0 seconds"), "sessions")
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
