@@ -145,6 +145,7 @@ def _spoilt_alpha() -> Column:
     return some("provider_gap_exposed", "relay_gap_exposed", "sequence_gap_exposed", "hash_mismatch_exposed", "receiver_backpressure_exposed")
 
 
+# Fixed values in what follows: reason codes and the conditions they stand for.
 def alpha_codes(forbidden: list[str] = []) -> dict[str, Column]:
     """Reasons of the gates that read bins (P3 v2): of quality, of each group's features, of the label; `forbidden` columns must be empty."""
     b = alpha_bins()
@@ -253,6 +254,7 @@ def eligibility_v0(df: DataFrame) -> DataFrame:
     return _answer(df, codes(table), first_match([("candidate_eligible_research_only", flag("label_clean_positive")), ("censored", censored)], "not_eligible"))
 
 
+# Fixed values in what follows: reason codes and the conditions they stand for.
 def eligibility_v1(df: DataFrame) -> DataFrame:
     """P3 v1: adds reasons, decision, first_failed_gate. A rejection's reason becomes a code of its own."""
     dead, censored = flag("label_clean_negative"), flag("label_censored")
@@ -329,6 +331,7 @@ def eligibility_v2_gates(df: DataFrame) -> DataFrame:
         "replay_not_countability_allowed": ~flag("replay_eligible"),
     }
     r = F.col("reasons")
+    # Names, order and conditions of the rules.
     rules = [("censored", has(r, "provider_gap_exposed", "relay_gap_exposed", "terminal_inconclusive", "high_throughput_degraded_audit_only")), ("insufficient_data", begins(r, "missing_")), ("candidate_watch", has(r, "candidate_checkpoint_absent", "replay_not_countability_allowed"))]
     confidence = F.create_map(*[F.lit(x) for x in ("censored", "CENSORED", "insufficient_data", "MISSING", "candidate_watch", "LOW", "candidate_review", "MEDIUM")])
     return _answer(df, F.array_sort(codes(table)), first_match(rules, "candidate_review")).withColumn("confidence", confidence[F.col("decision")])
@@ -409,6 +412,7 @@ def promotion_priority(df: DataFrame, avoider_decision: str = "avoider_decision"
 
 def prefilter() -> tuple[Column, Column]:
     """(decision, reasons) of the dead-launch prefilter, the first rule that holds."""
+    # Names, order and conditions of the rules.
     rules = [
         ("audit_only", ["data_quality_excluded"], some("data_quality_exclusion", "provider_gap_exposed", "relay_gap_exposed", "sequence_gap_exposed", "hash_mismatch_exposed", "receiver_backpressure_exposed")),
         ("censored", ["terminal_inconclusive_censored"], flag("terminal_inconclusive_before_horizon")),
@@ -468,6 +472,7 @@ def early_burst_in_out_v0(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     one = lambda *s: F.array(*[F.lit(v) for v in s])
     pre, bad = F.col("prefilter"), lambda c: F.col(c).isin("HIGH", "UNSAFE")
+    # Names, order and conditions of the rules.
     rules = [
         ("censored", pre == "censored", none),
         ("audit_only", pre == "audit_only", none),
@@ -506,6 +511,7 @@ def survivor_runner(df: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     one = lambda *s: F.array(*[F.lit(v) for v in s])
     pre, bad = F.col("prefilter"), lambda c: F.col(c).isin("HIGH", "UNSAFE")
+    # Names, order and conditions of the rules.
     rules = [
         ("censored", pre == "censored", none),
         ("audit_only", pre == "audit_only", none),
@@ -574,6 +580,7 @@ def replay_blocker() -> Column:
     high = label.isin("positive", "high_positive") | flag("high_positive")
     promoted, rich, checkpoint = flag("promoted"), flag("rich_tracked"), flag("candidate_checkpoint_seen")
     rejected = F.coalesce(F.col("final_outcome") == "early_rejected_dead", F.lit(False)) | (F.coalesce("rejected_reason", F.lit("")) != "") | why.contains("rejected_before_horizon")
+    # Names, order and conditions of the rules.
     rules = [
         (flag("replay_eligible"), "none", "REPLAY_POLICY_BLOCK_ONLY", "stop_for_operator_candidate_review_no_replay"),
         (~flag("r2_verified") | ~flag("artifact_consistency_ok"), "r2_or_artifact_blocker", "R2_OR_ARTIFACT_BLOCKED", "fix_artifact_or_r2_before_replay_research"),
@@ -621,6 +628,7 @@ def discovery(rows: DataFrame, scored: DataFrame, keys: list[str]) -> DataFrame:
     reached = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(flag("horizon_reached"), F.col("horizon_seconds").cast("long")))).alias("reached"))  # as many as there are horizons
     x = reached.join(scored.select(*keys, "decision", "reasons", "label_censored"), keys, "left")
     r, d = F.coalesce("reasons", F.array().cast("array<string>")), F.coalesce("decision", F.lit("insufficient_data"))
+    # Names, order and conditions of the rules.
     rules = [
         (d == "eligible", "candidate_discovery_passed_research_only", "operator_review_before_replay_or_backtesting"),
         (flag("label_censored"), "censored_or_incomplete_observation", "clean_uninterrupted_survivor_observation"),
