@@ -60,6 +60,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.try_divide(a, b)).otherwise(F.lit(0.0))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b by IEEE 754, as the SQL twins divide: infinite, or NaN for 0 / 0, where b is 0."""
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, a.cast("double") * F.lit(float("inf"))))
+
+
 def weighted(pairs: list[tuple[Column, float]]) -> Column:
     """Weighted mean; 0 if the weights don't add up to more."""
     total = sum(w for _, w in pairs)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import with_views
+from ..functions.math import quotient
 from ..operators import windows as W
 from ..plans import families as P
 from ..plans import scores as R
@@ -30,7 +31,7 @@ def chained_features(spark, sf_dir):
     first = t.groupBy("mint").agg(F.min("us").alias("launch_us"), F.min_by("price", F.struct("us", "seq")).alias("p"), F.max_by("price", F.struct("us", "seq")).alias("latest_price"), F.max(F.when(F.col("side") == "buy", F.col("us"))).alias("last_buy_us"))
     x = first.join(anchors, "mint").join(price.select("mint", "return_pct_30s", "drawdown_from_ath_pct"), "mint").join(flow.select("mint", "organic_flow_score", "buy_volume_quote", "sell_volume_quote", "trade_count", "unique_buyers"), "mint").join(supply, "mint", "left").join(own, "mint", "left").join(counts, "mint")
     inputs = x.select(
-        "mint", F.col("creator_first_sell_us").alias("first_sell_us"), F.col("creator_sell_percentage").alias("sold_share"), "drawdown_from_ath_pct", F.greatest(1 - F.col("latest_price") / F.col("p"), F.lit(0.0)).alias("drawdown_from_launch_pct"), "launch_us", "observed_us", F.col("holder_growth_rate").alias("growth"),
+        "mint", F.col("creator_first_sell_us").alias("first_sell_us"), F.col("creator_sell_percentage").alias("sold_share"), "drawdown_from_ath_pct", F.greatest(1 - quotient(F.col("latest_price"), F.col("p")), F.lit(0.0)).alias("drawdown_from_launch_pct"), "launch_us", "observed_us", F.col("holder_growth_rate").alias("growth"),
         F.col("buy_volume_quote").alias("buy_volume"), F.col("sell_volume_quote").alias("sell_volume"), "last_buy_us", "top1_share", F.col("trade_count").alias("trades"),
     )
     rug = P.rug_columns(inputs).drop("price_drop_50pct_from_ath")
