@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.math import quotient
+
 SECOND = 1_000_000
 ORDER = ["us", "seq"]
 
@@ -57,8 +59,8 @@ def price_path(trades: DataFrame) -> DataFrame:
     return x.groupBy("mint").agg(
         F.min_by("us", F.struct((-F.col("price")).alias("p"), "us", "seq")).alias("ath_us"),
         F.count_if(F.col("high").isNotNull() & (F.col("price") > F.col("high"))).alias("new_highs"),
-        F.max((F.col("run") - F.col("price")) / F.col("run")).alias("max_drawdown"),
-        (1 - last / F.max("price")).alias("end_drawdown"),
+        F.max(quotient(F.col("run") - F.col("price"), F.col("run"))).alias("max_drawdown"),
+        (1 - quotient(last, F.max("price"))).alias("end_drawdown"),
         F.max(F.when((F.col("side") == "buy") & F.col("before").isNotNull(), F.col("us") - F.col("before"))).alias("longest_gap_us"),
     )
 
