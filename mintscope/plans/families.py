@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.math import clamp01
+from ..functions.math import clamp01, quotient
 from ..functions.text import distinct_ratio, non_ascii_ratio, uri_host, uri_scheme
 from ..operators import aggregates as A
 from ..operators import cohorts as C
@@ -215,8 +215,8 @@ def price_path(trades: DataFrame, starts: DataFrame) -> DataFrame:
     below = F.when((F.col("price") < F.col("start_price")) & F.col("next_us").isNotNull(), F.col("next_us") - F.col("us")).otherwise(F.lit(0))
     last = F.max_by("price", F.struct("us", "seq"))
     return x.groupBy("mint").agg(
-        F.max((F.col("run") - F.col("price")) / F.col("run")).alias("max_drawdown"),
-        (1 - last / F.max("price")).alias("drawdown_from_ath"),
+        F.max(quotient(F.col("run") - F.col("price"), F.col("run"))).alias("max_drawdown"),
+        (1 - quotient(last, F.max("price"))).alias("drawdown_from_ath"),
         F.when(F.min("start_price") > 0, F.greatest(F.lit(0.0), (F.min("start_price") - last) / F.min("start_price"))).alias("drawdown_from_launch"),
         F.sum(below).alias("below_launch_us"),
     )

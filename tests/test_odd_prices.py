@@ -40,6 +40,7 @@ def agree(spark, folder, name):
 @pytest.mark.parametrize("name", [
     "chained_decisions",
     "w5_w6_w7_price_path",
+    "w6_drawdowns",
 ])
 def test_zeros(spark, odd, name):
     agree(spark, odd, name)
