@@ -124,7 +124,7 @@ def absorption(trades: DataFrame, large: float) -> DataFrame:
         F.coalesce(F.sum(F.when(buy, F.col("quote"))), F.lit(0.0)).alias("volume_after"),
         F.count_distinct(F.when(buy, F.col("wallet"))).alias("buyers_after"),
         F.min(F.when(F.col("price") >= F.col("price_before"), F.col("us") - F.col("hit.us"))).alias("recovery_us"),
-        F.max(F.col("price") / F.col("price_before")).alias("recovery"),
+        F.max(quotient(F.col("price"), F.col("price_before"))).alias("recovery"),
     )
     return sells.select("mint").join(out, "mint", "left").fillna(0, ["buys_after", "volume_after", "buyers_after"])
 

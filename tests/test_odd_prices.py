@@ -44,3 +44,8 @@ def agree(spark, folder, name):
 ])
 def test_zeros(spark, odd, name):
     agree(spark, odd, name)
+
+
+def test_snapshot_of_zero_prices(spark, odd):
+    mints = duckdb.sql(f"select count(distinct user_id) from '{odd}/events.parquet' where event_type in ('purchase', 'error')").fetchall()[0][0]
+    assert len(q.QUERIES["f19_f20_f22_f23_snapshot"](spark, odd).collect()) == mints
