@@ -41,6 +41,7 @@ def agree(spark, folder, name):
     "chained_decisions",
     "w5_w6_w7_price_path",
     "w6_drawdowns",
+    "survival_measures",
 ])
 def test_zeros(spark, odd, name):
     agree(spark, odd, name)
