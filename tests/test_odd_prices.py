@@ -42,6 +42,7 @@ def agree(spark, folder, name):
     "w5_w6_w7_price_path",
     "w6_drawdowns",
     "survival_measures",
+    "w16_absorption",
 ])
 def test_zeros(spark, odd, name):
     agree(spark, odd, name)
