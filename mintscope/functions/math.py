@@ -65,6 +65,12 @@ def quotient(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.when(b == 0, a.cast("double") * F.lit(float("inf"))))
 
 
+def exact_sum(x: Column) -> Column:
+    """Sum of doubles in 18 decimals, so that the same values give the same sum in any order of rows; of doubles where one or the sum doesn't fit."""
+    exact = x.try_cast("decimal(38,18)")
+    return F.coalesce(F.when(F.count(exact) == F.count(x), F.try_sum(exact).cast("double")), F.sum(x))
+
+
 def weighted(pairs: list[tuple[Column, float]]) -> Column:
     """Weighted mean; 0 if the weights don't add up to more."""
     total = sum(w for _, w in pairs)

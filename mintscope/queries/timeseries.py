@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import balances, ev_launches, ev_trades, li_trades, table, with_views
+from ..functions.math import exact_sum
 from ..operators import windows as W
 from ..operators.cohorts import cohort_ranks
 from . import query
@@ -94,7 +95,7 @@ _COHORT = """
 @query(with_views("ev", "launch", sql=_COHORT.format(w=43200000000)))
 def w13_w14_j3_cohort_ranks(spark, sf_dir):
     t = ev_trades(spark, sf_dir)
-    score = t.groupBy("mint").agg(F.coalesce(F.sum(F.when(F.col("side") == "buy", F.col("quote"))), F.lit(0.0)).alias("score"))
+    score = t.groupBy("mint").agg(F.coalesce(exact_sum(F.when(F.col("side") == "buy", F.col("quote"))), F.lit(0.0)).alias("score"))
     return cohort_ranks(ev_launches(spark, sf_dir), score, 43200)
 
 
@@ -106,7 +107,7 @@ def w13_w14_j3_cohort_ranks(spark, sf_dir):
     SELECT mint, ra AS early_rank, rb AS late_rank, rb - ra AS rank_velocity FROM p"""))
 def w15_rank_velocity(spark, sf_dir):
     t, launches = ev_trades(spark, sf_dir), ev_launches(spark, sf_dir)
-    by = lambda days: F.coalesce(F.sum(F.when(F.col("us") <= F.col("launch_us") + days * 86400 * W.SECOND, F.col("quote"))), F.lit(0.0))
+    by = lambda days: F.coalesce(exact_sum(F.when(F.col("us") <= F.col("launch_us") + days * 86400 * W.SECOND, F.col("quote"))), F.lit(0.0))
     c = t.join(launches, "mint").where("us >= launch_us").groupBy("mint").agg(by(5).alias("a"), by(15).alias("b"))
     early = cohort_ranks(launches, c.select("mint", F.col("a").alias("score")), 43200).select("mint", F.col("rank").alias("early_rank"))
     late = cohort_ranks(launches, c.select("mint", F.col("b").alias("score")), 43200).select("mint", F.col("rank").alias("late_rank"))

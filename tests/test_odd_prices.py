@@ -52,3 +52,11 @@ def test_zeros(spark, odd, name):
 def test_snapshot_of_zero_prices(spark, odd):
     mints = duckdb.sql(f"select count(distinct user_id) from '{odd}/events.parquet' where event_type in ('purchase', 'error')").fetchall()[0][0]
     assert len(q.QUERIES["f19_f20_f22_f23_snapshot"](spark, odd).collect()) == mints
+
+
+@pytest.mark.parametrize(("name", "column"), [("w13_w14_j3_cohort_ranks", "rank"), ("w15_rank_velocity", "early_rank")])
+def test_equal_values_in_another_order_tie(spark, tmp_path, name, column):
+    rows = [(mint, kind, v) for mint, values in ((1, (0.3, 0.2, 0.1)), (2, (0.1, 0.2, 0.3))) for kind, v in [("signup", 0), *[("purchase", v) for v in values]]]
+    events = ", ".join(f"({i}, timestamp '2024-01-01' + interval {i} second, {m}, '{k}', {v}::double, '{{\"k\": 1}}')" for i, (m, k, v) in enumerate(rows))
+    duckdb.sql(f"copy (select event_id::bigint as event_id, ts, user_id::bigint as user_id, event_type, value, props from (values {events}) as t(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet' (format parquet)")
+    assert {r.mint: r[column] for r in q.QUERIES[name](spark, str(tmp_path)).collect()} == {1: 1, 2: 2}
