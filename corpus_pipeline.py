@@ -21,7 +21,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8 or more) stays, that of the smallest doc_id."""
+    """One document of each group of near-duplicates (SimHash fingerprints within two bits and what MinHash finds beyond, verified: five-word shingles, Jaccard 0.8 or more) stays, that of the smallest doc_id."""
     return jaccard.drop_near_duplicates(docs)
 
 

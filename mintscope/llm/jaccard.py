@@ -1,8 +1,9 @@
 """Near-duplicates by five-word shingles: all pairs whose sets of shingles have a Jaccard similarity of 0.8 or more.
 
-Such pairs are often 4 to 10 bits apart in a 64-bit SimHash, and segments short enough to find 10 bits are shared by
-unrelated documents. Candidates therefore come from equal bands of a MinHash signature: a pair at 0.8 shares none of
-the 40 bands of 5 with a probability of 1e-7. Every candidate is verified on the whole sets.
+Candidates are the pairs whose SimHash fingerprints of these shingles differ in at most two bits (`simhash.links`).
+Similar pairs may be up to 10 bits apart, and segments short enough to find 10 bits are shared by unrelated documents:
+what the fingerprints leave out comes from equal bands of a MinHash signature, of which a pair at 0.8 shares none of
+the 40 of 5 with a probability of 1e-7. Every candidate is verified on the whole sets.
 
 A crowd of near copies shares its bands. Its members are first compared to the smallest and to the one before them;
 then only members of one band that are still in different components are looked at. With all shingles in order of how
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import bounded_batches, cut
 from .components import components
 
@@ -49,7 +51,7 @@ def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
 
 
 def signature(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """A 128-bit hash of the words in two longs, then a key for each band (none of a text without words)."""
+    """A 128-bit hash of the words in two longs, then the SimHash fingerprint and a key for each band (none of a text without words)."""
     words = words_of(text)
     whole = np.frombuffer(xxhash.xxh128_digest(b" ".join(words)), dtype="<u8")
     h = shingles(words, width)
@@ -60,7 +62,15 @@ def signature(text: str | None, width: int = WIDTH) -> np.ndarray:
         np.minimum(least, (h[i : i + 512, None] * _ODD).min(axis=0), out=least)
     bands = least.reshape(BANDS, ROWS)
     keys = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)]
-    return np.concatenate([whole, np.array(keys, dtype=np.uint64)]).astype(np.int64)
+    return np.concatenate([whole, np.array([simhash.majority(h.astype("<u8")), *keys], dtype=np.uint64)]).astype(np.int64)
+
+
+def _near(prints: DataFrame) -> DataFrame:
+    """Pairs (a, b), the smaller first, of nodes (node, simhash) whose fingerprints differ in at most two bits; equal ones as pairs with their smallest."""
+    least = cut(prints.groupBy("simhash").agg(F.min("node").alias("least")), "prints")
+    same = prints.join(least, "simhash").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    pairs = same.union(simhash.links(least.select(F.col("least").alias("node"), "simhash")))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -103,19 +113,20 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     docs = df.select(F.col(key).cast("long").alias("node"), F.col(text).cast("string").alias("x")).where("node is not null")
     signs = docs.select("node", signed("x").alias("g"))
-    rows = cut(signs.select("node", F.struct(F.col("g")[0].alias("h"), F.col("g")[1].alias("l")).alias("w"), F.slice("g", F.lit(3), F.lit(BANDS)).alias("bands")), "signatures")
-    distinct = cut(rows.groupBy("w").agg(F.min("node").alias("node"), F.first("bands").alias("bands")), "words")
+    rows = cut(signs.select("node", F.struct(F.col("g")[0].alias("h"), F.col("g")[1].alias("l")).alias("w"), F.get("g", F.lit(2)).alias("simhash"), F.slice("g", F.lit(4), F.lit(BANDS)).alias("bands")), "signatures")
+    distinct = cut(rows.groupBy("w").agg(F.min("node").alias("node"), F.first("simhash").alias("simhash"), F.first("bands").alias("bands")), "words")
     # a repeated key may stand for several texts: those are one node, whatever it holds
     same = rows.join(distinct.select("w", F.col("node").alias("a")), "w").where("a <> node").select("a", F.col("node").alias("b"))
+    near = cut(_near(distinct.select("node", "simhash").where("simhash is not null")), "near")
     banded = distinct.select("node", F.explode("bands").alias("band")).distinct()
     # counted by pre-aggregation; a crowded band is dealt over salts, and each member is set beside the one before it in its salt
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
     met = banded.join(shared, "band").withColumn("salt", F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)))
     met = cut(met.withColumn("last", F.expr("lag(node, 1, nullif(least, node)) over (partition by band, salt order by node)")).select("band", "node", "n", "least", "last"), "bands")
-    wanted = docs.join(met.select("node").distinct(), "node", "left_semi")
+    wanted = docs.join(met.select("node").union(near.select("a")).union(near.select("b")).distinct(), "node", "left_semi")
     sets = cut(wanted.withColumn("s", shingled("x")).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s")), "shingles")
     first = met.where("last is not null").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    first = cut(first.union(met.where("last is not null").select(F.col("last").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
+    first = cut(first.union(met.where("last is not null").select(F.col("last").alias("a"), F.col("node").alias("b"))).union(near).distinct(), "pairs")
     links = cut(same.union(_similar(first, sets, similarity)), "links")
     # members of a band that are not yet together
     crowd = met.where("n > 2").join(components(links).withColumnRenamed("component", "c"), "node", "left").select("band", "node", F.coalesce("c", "node").alias("c"))

@@ -36,7 +36,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
         starts = np.concatenate(([0], ends[:-width] + 1))
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[s:e], 42) for s, e in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, dtype="<u8")
+    return majority(np.array(hashes, dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits, each set where it is in over half of the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

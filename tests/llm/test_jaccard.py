@@ -64,3 +64,16 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, 6, 7]
     assert jaccard.drop_near_duplicates(df.where("false")).count() == 0
+
+
+def test_fingerprints_alone_link_near_copies(spark, monkeypatch):
+    """Without any MinHash band in common, what SimHash finds is linked, and verified: pairs that are not similar stay apart."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    texts = {0: " ".join(base), 1: " ".join([*base[:-1], "other"]), 2: " ".join(rng.sample(base, len(base))), 3: " ".join(base[:2000])}
+    prints = {d: jaccard.signature(t)[2].item() % 2**64 for d, t in texts.items()}
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    own = jaccard.signature
+    monkeypatch.setattr(jaccard, "signature", lambda text, width=5: own(text, width)[:3])
+    got = {r.doc_id: r.component_id for r in jaccard.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute(texts) == {0: 0, 1: 0, 2: 2, 3: 3}
