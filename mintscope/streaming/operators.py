@@ -81,19 +81,33 @@ def ledger(trades: DataFrame) -> DataFrame:
     return trades.groupBy("mint", "wallet").transformWithStateInPandas(Ledger(), LEDGER, "append", "none")
 
 
-def positions(trades: DataFrame) -> DataFrame:
-    """T1, Z5 as `ledger`, with the state in grouped pandas: it needs no particular state store. Trades of one batch are taken in order of (us, seq)."""
+#: Groups that a stream's positions are dealt over; a group's state holds its share of them.
+BUCKETS = 1024
+#: Stands for a missing id in state.
+_NONE = -(2**63)
+
+
+def positions(trades: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """T1, Z5 as `ledger`, with the state in grouped pandas: it needs no particular state store. Trades of one batch are taken in order of (us, seq).
+
+    A group of pandas costs milliseconds, whatever it holds, and most positions have few trades: so positions share a
+    group by the hash of their key, and its state is a list of them.
+    """
 
     def fold(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held, cost, realised = state.get if state.exists else (0.0, 0.0, 0.0)
+        known = {(m, w): (h, c, r) for m, w, h, c, r in zip(*state.get, strict=True)} if state.exists else {}
+        pdf = pd.concat(list(parts)).sort_values(["us", "seq"])
         out = []
-        for r in pd.concat(list(parts)).sort_values(["us", "seq"]).itertuples():
-            held, cost, realised = step(held, cost, realised, r.side, r.tokens, r.quote)
-            out.append((key[0], key[1], r.seq, held, cost, realised))
-        state.update((held, cost, realised))
-        yield pd.DataFrame(out, columns=[f.name for f in LEDGER.fields])
-
-    return trades.groupBy("mint", "wallet").applyInPandasWithState(fold, LEDGER, "held double, cost double, realised double", "append", "NoTimeout")
+        for mint, wallet, seq, side, tokens, quote in zip(*[pdf[c].tolist() for c in ("mint", "wallet", "seq", "side", "tokens", "quote")], strict=True):
+            at = known[mint, wallet] = step(*known.get((mint, wallet), (0.0, 0.0, 0.0)), side, tokens, quote)
+            out.append((mint, wallet, seq, *at))
+        state.update(tuple(map(list, zip(*[(*k, *v) for k, v in known.items()], strict=True))))
+        yield pd.DataFrame(out, columns=LEDGER.names)
+
+    ids = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_NONE)).alias(c)
+    x = trades.select(F.pmod(F.xxhash64("mint", "wallet"), F.lit(buckets)).alias("bucket"), ids("mint"), ids("wallet"), "us", "seq", "side", "tokens", "quote")
+    rows = x.groupBy("bucket").applyInPandasWithState(fold, LEDGER, "mint array<long>, wallet array<long>, held array<double>, cost array<double>, realised array<double>", "append", "NoTimeout")
+    return rows.select(*[F.nullif(F.col(c), F.lit(_NONE)).alias(c) for c in ("mint", "wallet")], *LEDGER.names[2:])
 
 
 LIFECYCLE = T.StructType([T.StructField(n, T.StringType() if n in ("kind", "was", "state") else T.LongType()) for n in ("mint", "us", "seq", "kind", "was", "state", "n", "holders", "buyers", "expires_us")])

@@ -233,3 +233,15 @@ def test_long_keys_are_streams(spark):
     f = spark.range(1, 100_001).selectExpr("1L as s", "id as o", "id as seq", "id <> 60000 as ok")
     v = Q.sequence_verdicts(f, "s", "seq", "o", "ok")
     assert (v.where("passed").count(), v.where("not passed").agg(F.min("o")).first()[0]) == (59_999, 60_000)
+
+
+def test_streamed_positions_share_groups(spark, tmp_path):
+    """Many positions in one group, ids missing among them, carried on from batch to batch."""
+    rows = [(m, w, "buy" if i < 2 else "sell", 6.0, 2.0, 3.0, i, i) for i in range(4) for m, w in ((1, 7), (1, 8), (None, 7), (2**60 + 1, None))]
+    at = str(tmp_path / "in")
+    for half in (rows[:8], rows[8:]):
+        spark.createDataFrame(half, TRADE).write.mode("append").parquet(at)
+        S.run_once(S.positions(spark.readStream.schema(TRADE).parquet(at), 1), str(tmp_path / "cp"), str(tmp_path / "out"))
+    got = {(r.mint, r.wallet, r.seq): (r.held, r.cost, r.realised) for r in spark.read.schema(S.LEDGER).parquet(str(tmp_path / "out")).collect()}
+    by_hand = {0: (2, 6, 0), 1: (4, 12, 0), 2: (2, 6, 0), 3: (0, 0, 0)}
+    assert got == {(m, w, i): by_hand[i] for m, w, _, _, _, _, _, i in rows}
