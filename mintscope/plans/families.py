@@ -468,14 +468,28 @@ def cohort_columns(tokens: DataFrame, seconds: tuple[int, int, int] = (30, 5, 15
     # (measure, band, kind) of each rank (from 1) and each share of the cohort that isn't above
     ranks = {"r1": ("buy_volume", 0), "r2": ("net_flow", 0), "r3": ("growth", 0), "r4": ("price_return", 0), "rank_0": ("buy_volume_5s", 1), "rank_1": ("buy_volume_15s", 2)}
     shares = {"p1": "buy_volume", "p2": "net_flow", "p3": "growth_1m", "p4": "return_1m"}
-    long = launched.select("mint", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("score")) for m in measures])).alias("m")).select("mint", "m.*")
-    wanted = [*[(m, seconds[i], "ahead") for m, i in ranks.values()], *[(m, seconds[0], "above") for m in shares.values()]]
-    ahead = C.counts_ahead(long, places, found, wanted)
-    one = lambda m, i, kind: F.max(F.when((F.col("measure") == m) & (F.col("band") == seconds[i]) & (F.col("kind") == kind), F.col("n")))
-    counts = ahead.groupBy("mint").agg(*[(one(m, i, "ahead") + 1).alias(k) for k, (m, i) in ranks.items()], *[one(m, 0, "above").alias(k) for k, m in shares.items()])
-    wide = found.where(F.col("band") == seconds[0])
-    x = wide.select("mint", (F.col("hi") - F.col("lo")).alias("n")).join(C.totals(launched, places, wide, parts).drop("band"), "mint").join(counts, "mint")
-    x = x.withColumns({p: 1 - F.col(p) / F.col("n") for p in shares}).where("rank_0 is not null and rank_1 is not null")
+    # small cohorts by pairs
+    rows = launched.select("mint", *measures, *[v.alias(k) for k, (v, _) in parts.items()])
+    met, rest = C.pairs(rows, places, found, list(seconds))
+    inside = lambda i: F.col(f"in_{seconds[i]}")
+    above = lambda m: F.col(f"o_{m}") > F.col(m)
+    before = lambda m: above(m) | ((F.col(f"o_{m}") == F.col(m)) & (F.col("o_mint") < F.col("mint")))
+    x = met.groupBy("mint").agg(
+        *[F.count_if(inside(i)).alias(n) for i, n in enumerate(("n", "__n1", "__n2"))], *[getattr(F, how)(F.when(inside(0), F.col(f"o_{k}"))).alias(k) for k, (_, how) in parts.items()],
+        *[(F.count_if(inside(i) & before(m)) + 1).alias(k) for k, (m, i) in ranks.items()], *[F.count_if(inside(0) & above(m)).alias(k) for k, m in shares.items()],
+    ).where("n > 0 and __n1 > 0 and __n2 > 0").drop("__n1", "__n2")
+    # large ones by blocks
+    rest = cut(rest, "rest")
+    if not rest.isEmpty():
+        long = launched.select("mint", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("score")) for m in measures])).alias("m")).select("mint", "m.*")
+        wanted = [*[(m, seconds[i], "ahead") for m, i in ranks.values()], *[(m, seconds[0], "above") for m in shares.values()]]
+        ahead = C.counts_ahead(long, places, rest, wanted)
+        one = lambda m, i, kind: F.max(F.when((F.col("measure") == m) & (F.col("band") == seconds[i]) & (F.col("kind") == kind), F.col("n")))
+        counts = ahead.groupBy("mint").agg(*[(one(m, i, "ahead") + 1).alias(k) for k, (m, i) in ranks.items()], *[one(m, 0, "above").alias(k) for k, m in shares.items()])
+        wide = rest.where(F.col("band") == seconds[0])
+        y = wide.select("mint", (F.col("hi") - F.col("lo")).alias("n")).join(C.totals(launched, places, wide, parts).drop("band"), "mint").join(counts, "mint")
+        x = x.unionByName(y.where("rank_0 is not null and rank_1 is not null"))
+    x = x.withColumns({p: 1 - F.col(p) / F.col("n") for p in shares})
     lone = alone.select("mint", F.lit(1).cast("long").alias("n"), *[v.alias(k) for k, (v, _) in parts.items()], *[F.lit(1).cast("long").alias(k) for k in ranks], *[F.lit(1.0).alias(k) for k in shares])
     x = x.unionByName(lone).join(t.select("mint", "buy_volume", "unique_buyers"), "mint")
     c = F.col
