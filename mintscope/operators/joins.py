@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import cut
 from .windows import first_buyers
 
 
@@ -18,6 +21,16 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], us: str, value: str
     return both.withColumn(value, seen).where("__side = 1").drop("__side", "__v")
 
 
+def side_by_side(parts: list[DataFrame], key: str) -> DataFrame:
+    """One row a key with the columns of all parts, NULL where a part lacks it; each part has a key at most once.
+
+    Each part is written by tasks of its own, and one aggregate puts them together: a chain of joins would hold the
+    sorts and sums of all parts in one task.
+    """
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [cut(p, "part") for p in parts])
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(c) for c in rows.columns if c != key])
+
+
 def latest_funder(edges: DataFrame) -> DataFrame:
     """(wallet, funder, us): each wallet's last funding."""
     return edges.groupBy("wallet").agg(F.max_by("funder", F.struct("us", "edge")).alias("funder"), F.max("us").alias("us"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.math import clamp01, weighted
+from ..operators.joins import side_by_side
+from ..sources.shared import cut
 
 SECOND = 1_000_000
 
@@ -35,11 +37,13 @@ def survival_columns(trades: DataFrame, anchors: DataFrame, held: DataFrame, con
     anchors: mint, observed_us; held: mint, wallet, balance; context: mint, return_pct_30s, holder_growth_rate,
     organic_flow_score, creator_first_sell_us, creator_sell_percentage, holders_1m (missing counts as 0; holders_1m as today's).
     Trades are summed by wallet first, so that a mint with many trades is not one task; `short`, `long`: seconds of the windows of buyers.
+    Trades, holders and sums are written between the steps, so that no task holds the sorts of all of them.
     """
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     x = trades.join(anchors, "mint").where("us <= observed_us")
     hits = x.where(sell & (F.col("quote") >= large)).groupBy("mint").agg(F.min(F.struct("us", "seq", "price")).alias("hit"))
-    x = x.join(hits, "mint", "left")
+    x = cut(x.join(hits, "mint", "left").select("mint", "wallet", "side", "us", "seq", "quote", "price", "observed_us", "hit"), "trades")
+    held = cut(held.where("balance > 0").select("mint", "wallet", "balance"), "held")
     after = buy & (F.col("us") > F.col("hit.us"))
     at = F.struct("us", "seq", "price")
     by = x.groupBy("mint", "wallet", "observed_us", "hit").agg(
@@ -48,18 +52,19 @@ def survival_columns(trades: DataFrame, anchors: DataFrame, held: DataFrame, con
         F.max(F.when(buy, F.col("us"))).alias("last_buy"), F.count_if(after).alias("buys_after"), F.sum(F.when(after, F.col("quote"))).alias("bought_after"), F.min(F.when(after & (F.col("price") >= F.col("hit.price")), at)).alias("back"), F.max(at).alias("last"), F.max("price").alias("high"),
     )
     first = x.where(buy).withColumn("r", F.row_number().over(Window.partitionBy("mint").orderBy("us", "seq"))).where("r <= 8").select("mint", "wallet", F.lit(1).alias("early")).distinct()
-    ranked = held.where("balance > 0").withColumn("r", F.row_number().over(Window.partitionBy("mint").orderBy(F.desc("balance"), "wallet")))
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy("mint").orderBy(F.desc("balance"), "wallet")))
     top = ranked.where("r <= 5").select("mint", "wallet", F.lit(1).alias("top"), "r", "balance")
-    supply = held.where("balance > 0").groupBy("mint").agg(F.sum("balance").alias("supply"), F.count(F.lit(1)).alias("holders"))
+    supply = held.groupBy("mint").agg(F.sum("balance").alias("supply"), F.count(F.lit(1)).alias("holders"))
     shares = top.join(supply, "mint").groupBy("mint", "holders").agg((F.sum(F.when(F.col("r") <= 3, F.col("balance"))) / F.max("supply")).alias("top3"), (F.sum("balance") / F.max("supply")).alias("top5"))
     by = by.join(top.select("mint", "wallet", "top"), ["mint", "wallet"], "left").join(first, ["mint", "wallet"], "left")
     recent = lambda s: F.count_if(F.col("last_buy") >= F.col("observed_us") - s * SECOND)
     z = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    y = by.groupBy("mint", "observed_us", "hit").agg(
+    y = cut(by.groupBy("mint", "observed_us", "hit").agg(
         F.sum("n").alias("n"), F.sum("buys").alias("buys"), z("bought").cast("double").alias("bought"), z("sold").cast("double").alias("sold"), F.coalesce(F.max("top_buy"), F.lit(0.0)).alias("top_buy"), F.sum("large_buys").alias("large_buys"), F.sum("large_sells").alias("large_sells"), z("large_sold").cast("double").alias("large_sold"),
         F.count_if(F.col("buys") > 0).alias("buyers"), F.count_if(F.col("buys_after") > 0).alias("buyers_after"), F.sum("buys_after").alias("buys_after"), z("bought_after").cast("double").alias("bought_after"), F.min("back").alias("back"), F.max("last").alias("last"), F.max("high").alias("high"),
         recent(long).alias("long_buyers"), recent(short).alias("short_buyers"), z(F.when(F.col("top") == 1, F.col("sells"))).alias("top_sells"), z(F.when(F.col("early") == 1, F.col("sells"))).alias("early_sells"),
-    ).join(shares, "mint", "left").join(context, "mint", "left").fillna(0, ["holders", "top3", "top5"])
+    ), "sums")
+    y = y.join(side_by_side([shares, context], "mint"), "mint", "left").fillna(0, ["holders", "top3", "top5"])
     c = F.col
     k = lambda n: F.coalesce(c(n).cast("double"), F.lit(0.0))
     hit = c("hit").isNotNull()

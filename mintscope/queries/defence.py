@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..adapters import ev_trades, table, with_views
 from ..operators import defence as D
+from ..operators import joins as J
 from ..operators import ledger as L
 from ..operators import windows as W
 from ..plans import families as P
@@ -63,7 +64,7 @@ def launch_context(spark, sf_dir):
 
 
 def survival(t, anchors, held, price, flow, counts, own):
-    context = price.select("mint", "return_pct_30s").join(flow.select("mint", "organic_flow_score"), "mint").join(counts, "mint").join(own, "mint", "left")
+    context = J.side_by_side([price.select("mint", "return_pct_30s"), flow.select("mint", "organic_flow_score"), counts, own], "mint")
     return S.survival_columns(t, anchors, held, context, LARGE, SHORT, LONG)
 
 

@@ -3,9 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mintscope import queries as Q
 from mintscope.operators import cohorts as C
 from mintscope.plans import families as P
 
+Q.load()
+SF = "/root/testdata/sf0.001"
+
 
 def _tokens(spark):
     """300 launches 3 s apart, 60 more within one second, some observed early, one never launched."""
@@ -28,3 +32,14 @@ def test_cohorts_by_pairs_as_by_blocks(spark, monkeypatch, near):
     want = sorted(map(str, P.cohort_columns(t).collect()))
     monkeypatch.setattr(C, "NEAR", near)
     assert sorted(map(str, P.cohort_columns(t).collect())) == want
+
+
+def _joins(df):
+    """Joins that the tasks of a query's last steps run one upon the other."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+@pytest.mark.parametrize("name", ["f22_availability"])
+def test_survival_is_written_between_steps(spark, name):
+    """Failed before: fourteen joins by mint, and their sorts, in one task."""
+    assert _joins(Q.QUERIES[name](spark, SF)) <= 2
