@@ -112,14 +112,16 @@ def positions(trades: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 LIFECYCLE = T.StructType([T.StructField(n, T.StringType() if n in ("kind", "was", "state") else T.LongType()) for n in ("mint", "us", "seq", "kind", "was", "state", "n", "holders", "buyers", "expires_us")])
 _NEW = (0, 0, 0, "Discovered", None, 0, 0, 0, True)
+_LAST = ["n", "holders", "buyers", "state", "held", "us", "seq", "expires_us", "done"]
 
 
 class Lifecycle(StatefulProcessor):
-    """A mint's state machine. Transitions come out as events come in; a timer at the state's time to live says that none came.
+    """The state machines of the mints of a bucket. Transitions come out as events come in; a timer at the earliest time to live says that none came.
 
-    State: the counts, state and last event of a mint, and a map of its wallets' balances, so that one event
-    touches one wallet. Events of one batch are taken in order of (us, seq). What an event finds expired is given before
-    it; what nothing follows is given when the watermark has passed the timer.
+    State: the counts, state and last event of each mint, and the balances of its wallets, as lists that a batch reads and
+    writes once: a call of the state store costs as much as hundreds of events, so there is none for an event or a wallet.
+    Events of one batch are taken in order of (us, seq). What an event finds expired is given before it; what nothing
+    follows is given when the watermark has passed its time to live.
     """
 
     def __init__(self, target, ttl: dict[str, int]) -> None:
@@ -127,46 +129,68 @@ class Lifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "n long, holders long, buyers long, state string, held string, us long, seq long, expires_us long, done boolean")
-        self.wallets = handle.getMapState("wallets", "wallet long", "balance double, bought boolean")
+        kinds = {"state": "string", "held": "string", "done": "boolean"}
+        lists = {"mint": "long", **{c: kinds.get(c, "long") for c in _LAST}, "w_mint": "long", "wallet": "long", "balance": "double", "bought": "boolean"}
+        self.all = handle.getValueState("mints", ", ".join(f"{c} array<{t}>" for c, t in lists.items()) + ", timer long")
+
+    def _read(self) -> tuple[dict, dict, int]:
+        if not self.all.exists():
+            return {}, {}, 0
+        *lists, timer = self.all.get()
+        last, wallets = lists[: len(_LAST) + 1], lists[len(_LAST) + 1 :]
+        return {m: v for m, *v in zip(*last, strict=True)}, {(m, w): v for m, w, *v in zip(*wallets, strict=True)}, timer
+
+    def _write(self, mints: dict, wallets: dict, timer: int) -> None:
+        nxt = min((-(-v[7] // 1000) for v in mints.values() if not v[8]), default=0)
+        turned = lambda rows, n: [list(c) for c in zip(*rows, strict=True)] if rows else [[] for _ in range(n)]
+        self.all.update((*turned([(m, *v) for m, v in mints.items()], len(_LAST) + 1), *turned([(*k, *v) for k, v in wallets.items()], 4), nxt))
+        if nxt != timer:
+            if timer:
+                self.handle.deleteTimer(timer)
+            if nxt:
+                self.handle.registerTimer(nxt)
+
+    def _rows(self, out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=LIFECYCLE.names).astype({c: "Int64" for c in ("n", "holders", "buyers")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, holders, buyers, state, held, last_us, last_seq, expires, done = self.last.get() if self.last.exists() else _NEW
-        old, known, out = expires, {}, []
-        for r in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples():
-            if not done and r.us > expires:
-                out.append((key[0], last_us, last_seq, "expiry", None, state, None, None, None, expires))
-            if isinstance(r.mark, str):
-                held = held or r.mark
+        mints, wallets, timer = self._read()
+        out = []
+        pdf = pd.concat(list(rows)).sort_values(["us", "seq"])
+        for mint, us, seq, w, side, tokens, mark in zip(*[pdf[c].tolist() for c in ("mint", "us", "seq", "wallet", "side", "tokens", "mark")], strict=True):
+            n, holders, buyers, state, held, last_us, last_seq, expires, done = mints.get(mint, _NEW)
+            if not done and us > expires:
+                out.append((mint, last_us, last_seq, "expiry", None, state, None, None, None, expires))
+            if isinstance(mark, str):
+                held = held or mark
             else:
-                w = int(r.wallet)
-                if w not in known:
-                    known[w] = self.wallets.getValue((w,)) if self.wallets.containsKey((w,)) else (0.0, False)
-                balance, bought = known[w]
-                signed = r.tokens if r.side == "buy" else -r.tokens
+                balance, bought = wallets.get((mint, w), (0.0, False))
+                signed = tokens if side == "buy" else -tokens
                 after = balance + signed
                 holders += int(after > 0) - int(after - signed > 0)
-                buyers += int(r.side == "buy" and not bought)
-                known[w] = (after, bought or r.side == "buy")
+                buyers += int(side == "buy" and not bought)
+                wallets[mint, w] = (after, bought or side == "buy")
                 n += 1
             was, state = state, held or self.target(n, holders, buyers)
-            last_us, last_seq, expires, done = int(r.us), int(r.seq), int(r.us) + self.ttl[state] * 1_000_000, False
+            expires = us + self.ttl[state] * 1_000_000
+            mints[mint] = (n, holders, buyers, state, held, us, seq, expires, False)
             if was != state:
-                out.append((key[0], last_us, last_seq, "transition", was, state, n, holders, buyers, expires))
-        for w, value in known.items():
-            self.wallets.updateValue((w,), value)
-        self.last.update((n, holders, buyers, state, held, last_us, last_seq, expires, done))
-        if old:
-            self.handle.deleteTimer(-(-old // 1000))
-        self.handle.registerTimer(-(-expires // 1000))
-        yield pd.DataFrame(out, columns=LIFECYCLE.names).astype({c: "Int64" for c in ("n", "holders", "buyers")})
+                out.append((mint, us, seq, "transition", was, state, n, holders, buyers, expires))
+        self._write(mints, wallets, timer)
+        yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, holders, buyers, state, held, us, seq, expires, done = self.last.get()
-        out = [] if done or -(-expires // 1000) != expiredTimerInfo.getExpiryTimeInMs() else [(key[0], us, seq, "expiry", None, state, None, None, None, expires)]
+        mints, wallets, timer = self._read()
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        passed = max(at, timerValues.getCurrentWatermarkInMs() - 1)
+        out = []
+        for mint, (n, holders, buyers, state, held, us, seq, expires, done) in mints.items():
+            if not done and -(-expires // 1000) <= passed:
+                out.append((mint, us, seq, "expiry", None, state, None, None, None, expires))
+                mints[mint] = (n, holders, buyers, state, held, us, seq, expires, True)
         if out:
-            self.last.update((n, holders, buyers, state, held, us, seq, expires, True))
-        yield pd.DataFrame(out, columns=LIFECYCLE.names).astype({c: "Int64" for c in ("n", "holders", "buyers")})
+            self._write(mints, wallets, 0 if at == timer else timer)
+        yield self._rows(out)
 
     def close(self) -> None:
         pass
@@ -177,9 +201,12 @@ def active_state(n: int, holders: int, buyers: int) -> str:
     return "ActiveDeep" if n >= 4 or holders >= 4 or buyers >= 3 else "ActiveLight" if n >= 2 or holders >= 2 else "FirstPass" if n >= 1 else "Discovered"
 
 
-def lifecycle(events: DataFrame, ttl: dict[str, int], late: str = "0 seconds") -> DataFrame:
-    """Transitions and expiries of events (mint, us, seq, ts, wallet, side, tokens, mark): trades, and marks that hold a state. Needs the RocksDB state store."""
-    return events.withWatermark("ts", late).groupBy("mint").transformWithStateInPandas(Lifecycle(active_state, ttl), LIFECYCLE, "append", "eventtime")
+def lifecycle(events: DataFrame, ttl: dict[str, int], late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
+    """Transitions and expiries of events (mint, us, seq, ts, wallet, side, tokens, mark): trades, and marks that hold a state. Mints share buckets by their hash. Needs the RocksDB state store."""
+    ids = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_NONE)).alias(c)
+    x = events.withWatermark("ts", late).select(F.pmod(F.xxhash64("mint"), F.lit(buckets)).alias("bucket"), ids("mint"), "us", "seq", "ts", ids("wallet"), "side", "tokens", "mark")
+    rows = x.groupBy("bucket").transformWithStateInPandas(Lifecycle(active_state, ttl), LIFECYCLE, "append", "eventtime")
+    return rows.select(F.nullif(F.col("mint"), F.lit(_NONE)).alias("mint"), *LIFECYCLE.names[1:])
 
 
 def newest_versions(updates: DataFrame, key: str, version: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """What a step writes, holds or starts must not grow faster than its input."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from mintscope import queries as Q
 from mintscope.operators import cohorts as C
+from mintscope.operators.windows import TTL
 from mintscope.plans import families as P
+from mintscope.streaming import operators as S
 
 Q.load()
 SF = "/root/testdata/sf0.001"
@@ -43,3 +46,45 @@ def _joins(df):
 def test_survival_is_written_between_steps(spark, name):
     """Failed before: fourteen joins by mint, and their sorts, in one task."""
     assert _joins(Q.QUERIES[name](spark, SF)) <= 2
+
+
+class _Store:
+    """A state store of one group that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, *_):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.discard(at)
+
+
+def test_lifecycle_calls_the_store_once_a_batch():
+    """Failed before: each wallet of an event was a call of the store, and each mint a group of its own."""
+    store, machine = _Store(), S.Lifecycle(S.active_state, TTL)
+    machine.init(store)
+    batch = lambda lo: pd.DataFrame([(m, lo + m * 10 + w, lo + m * 100 + w, w, "buy", 1.0, None) for m in range(50) for w in range(10)], columns=["mint", "us", "seq", "wallet", "side", "tokens", "mark"])
+    first = pd.concat(machine.handleInputRows((0,), iter([batch(0)]), None))
+    assert len(first) == 150 and list(first.kind.unique()) == ["transition"] and store.calls == 2
+    later = pd.concat(machine.handleInputRows((0,), iter([batch(10 * 7_200_000_000)]), None))
+    assert list(later.kind) == ["expiry"] * 50 and store.calls <= 7 and len(store.timers) == 1
+    ended = pd.concat(machine.handleExpiredTimer((0,), type("T", (), {"getCurrentWatermarkInMs": lambda _: 10**12})(), type("E", (), {"getExpiryTimeInMs": lambda _: max(store.timers)})()))
+    assert sorted(ended.mint) == list(range(50)) and set(ended.kind) == {"expiry"}
