@@ -42,7 +42,7 @@ def _joins(df):
     return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
 
 
-@pytest.mark.parametrize("name", ["f22_availability"])
+@pytest.mark.parametrize("name", ["f14_survival_columns", "f22_availability"])
 def test_survival_is_written_between_steps(spark, name):
     """Failed before: fourteen joins by mint, and their sorts, in one task."""
     assert _joins(Q.QUERIES[name](spark, SF)) <= 2
