@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -370,15 +372,25 @@ def fingerprint_columns(trades: DataFrame, top: DataFrame) -> DataFrame:
     from ..functions.math import bucket_index
 
     measures = ["compute_limit", "compute_price", "account_count", "instruction_count"]
-    x = trades.select("mint").distinct()
-    for c in measures:
-        x = x.join(A.percentiles(trades.where(F.col(c).isNotNull()).withColumn("v", F.col(c).cast("double")), ["mint"], "v", [50]).select("mint", F.col("p50").alias(c)), "mint", "left")
-    buyers = trades.where("side = 'buy'").withColumn("r", F.row_number().over(Window.partitionBy("mint").orderBy("us", "seq"))).where("r <= 8")
-    for part in (
-        _groups(trades, "profile", "compute_limit", "compute_price"), _groups(buyers, "first", "compute_limit", "compute_price"), _groups(trades, "sequence", "instruction_count"), _groups(trades, "pattern", "account_count"), _groups(trades, "client", "fingerprint"),
-        _groups(buyers, "first_client", "fingerprint"), _groups(trades.join(top, ["mint", "wallet"], "left_semi"), "top_client", "fingerprint"),
-    ):
-        x = x.join(part, "mint", "left")
+    text = lambda *cols: F.concat_ws("|", *[F.col(c).cast("string") for c in cols])
+    early = (F.col("side") == "buy") & (F.row_number().over(Window.partitionBy("mint", "side").orderBy("us", "seq")) <= 8)
+    x = trades.withColumn("early", early).join(top.select("mint", "wallet").distinct().withColumn("on_top", F.lit(True)), ["mint", "wallet"], "left")
+    # every value by the part that it counts in, so that one count and one order serve all parts
+    parts = [*[(c, (c,), None) for c in measures], ("profile", ("compute_limit", "compute_price"), None), ("first", ("compute_limit", "compute_price"), "early"), ("client", ("fingerprint",), None), ("first_client", ("fingerprint",), "early"), ("top_client", ("fingerprint",), "on_top")]
+    cells = []
+    for name, cols, only in parts:
+        there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("mint", *cols)] + ([F.col(only)] if only else []))
+        cells.append(F.when(there, F.struct(F.lit(name).alias("part"), (F.col(cols[0]).cast("double") if name in measures else F.lit(None).cast("double")).alias("v"), text(*cols).alias("k"))))
+    long = x.select("mint", F.explode(F.array_compact(F.array(F.struct(F.lit("all").alias("part"), F.lit(None).cast("double").alias("v"), F.lit("").alias("k")), *cells))).alias("c")).select("mint", "c.*")
+    counts = long.groupBy("mint", "part", "v", "k").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("mint", "part")
+    ranked = counts.withColumns({"upto": F.sum("n").over(by.orderBy("v", "k").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(by)})
+    of = lambda name, f, c: f(F.when(F.col("part") == name, c))
+    groups = {"profile": "profile", "first": "first", "sequence": "instruction_count", "pattern": "account_count", "client": "client", "first_client": "first_client", "top_client": "top_client"}
+    x = ranked.groupBy("mint").agg(
+        *[of(c, F.min, F.when(F.col("upto") > F.expr("((total - 1) * 50) div 100"), F.col("v"))).alias(c) for c in measures],
+        *[of(p, f, F.col("n")).alias(f"{n}_{e}") for n, p in groups.items() for f, e in ((F.max, "max"), (F.sum, "n"), (F.count, "groups"))],
+    )
     again = lambda n: F.greatest(F.coalesce(F.col(f"{n}_max"), F.lit(0)) - 1, F.lit(0)).cast("long")
     share = lambda n, of="max": F.coalesce(F.col(f"{n}_{of}") / F.col(f"{n}_n"), F.lit(0.0))
     return x.select(

@@ -88,3 +88,8 @@ def test_lifecycle_calls_the_store_once_a_batch():
     assert list(later.kind) == ["expiry"] * 50 and store.calls <= 7 and len(store.timers) == 1
     ended = pd.concat(machine.handleExpiredTimer((0,), type("T", (), {"getCurrentWatermarkInMs": lambda _: 10**12})(), type("E", (), {"getExpiryTimeInMs": lambda _: max(store.timers)})()))
     assert sorted(ended.mint) == list(range(50)) and set(ended.kind) == {"expiry"}
+
+
+def test_fingerprints_are_one_count(spark):
+    """Failed before: twelve joins by mint, and their sorts, in one task."""
+    assert _joins(Q.QUERIES["f16_fingerprint_columns"](spark, SF)) <= 1
