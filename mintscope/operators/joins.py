@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.shared import cut
+from ..sources.shared import cut, spread
 from .windows import first_buyers
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], us: str, value: str) -> DataFrame:
-    """left with the last value of right at or before each row's time: both sides in one sort, no pairs."""
+def asof(left: DataFrame, right: DataFrame, keys: list[str], us: str, value: str, rows: int = 0) -> DataFrame:
+    """left with the last value of right at or before each row's time: both sides in one sort, no pairs; `rows`, about as many as both have, keep a task's sort small."""
     a = left.withColumns({"__side": F.lit(1), "__v": F.lit(None).cast(right.schema[value].dataType)})
     b = right.select(*keys, us, F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    both = a.unionByName(b, allowMissingColumns=True)
+    both = spread(a.unionByName(b, allowMissingColumns=True), rows, *keys)
     seen = F.last("__v", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(us, "__side").rowsBetween(Window.unboundedPreceding, 0))
     return both.withColumn(value, seen).where("__side = 1").drop("__side", "__v")
 

@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import ledger as L
 from ..operators import quality as Q
+from ..sources.shared import spread
 from . import query
 
 
@@ -210,8 +211,10 @@ def z8_preferred_source(spark, sf_dir):
 def j_asof_last_order(spark, sf_dir):
     o = table(spark, sf_dir, "orders").withColumn("us", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
     right = o.groupBy("o_custkey", "us").agg(F.max("o_totalprice").alias("price"))
-    left = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us")).join(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey").distinct()
-    return J.asof(left, right, ["o_custkey"], "us", "price")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("us"))
+    n = lines.count()
+    left = spread(lines, n, "l_orderkey").distinct().join(spread(o.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), n, "l_orderkey").distinct(), "l_orderkey")
+    return J.asof(left, right, ["o_custkey"], "us", "price", n)
 
 
 @query("SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey, o_orderpriority AS shape, s_name IS NOT NULL AS known FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'O' LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0")

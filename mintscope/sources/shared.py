@@ -22,6 +22,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task gets of a table that `spread` deals out.
+ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df of about `rows` rows, dealt out by the hash of keys: to the session's number of tasks, and to more where a task would get over ROWS, so that what it sorts or counts doesn't grow with the table."""
+    n = -(-rows // ROWS)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def sum_before(df: DataFrame, order: list[Column | str], value: str, name: str) -> DataFrame:
     """df with the sum of `value` over all rows before each in `order`, which has to be total.
 

@@ -8,6 +8,7 @@ from mintscope import queries as Q
 from mintscope.operators import cohorts as C
 from mintscope.operators.windows import TTL
 from mintscope.plans import families as P
+from mintscope.sources import shared
 from mintscope.streaming import operators as S
 
 Q.load()
@@ -93,3 +94,10 @@ def test_lifecycle_calls_the_store_once_a_batch():
 def test_fingerprints_are_one_count(spark):
     """Failed before: twelve joins by mint, and their sorts, in one task."""
     assert _joins(Q.QUERIES["f16_fingerprint_columns"](spark, SF)) <= 1
+
+
+def test_asof_deals_more_rows_over_more_tasks(spark, monkeypatch):
+    """Failed before: the number of tasks was the session's, however many rows there were."""
+    monkeypatch.setattr(shared, "ROWS", 1000)
+    x = Q.QUERIES["j_asof_last_order"](spark, SF)
+    assert x.rdd.getNumPartitions() == 6 and x.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate").distinct().count()
