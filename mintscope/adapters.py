@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.shared import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,7 +36,8 @@ def ev_launches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def li_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trades in volume, without repeated lines: a line is one trade of its order's customer in its part."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate").distinct()
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate")
+    lines = spread(lines, lines.count(), "l_orderkey").distinct()  # by order at once, as the join wants them
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     quote = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(

@@ -101,3 +101,15 @@ def test_asof_deals_more_rows_over_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(shared, "ROWS", 1000)
     x = Q.QUERIES["j_asof_last_order"](spark, SF)
     assert x.rdd.getNumPartitions() == 6 and x.count() == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate").distinct().count()
+
+
+def _shuffles(df):
+    """How often a query's rows are dealt out anew."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count(" Exchange ")
+
+
+@pytest.mark.parametrize("name, most", [("rug_measures", 6)])
+def test_line_trades_are_shuffled_once(spark, name, most):
+    """Failed before: lines were dealt out whole, then by order, and once more for each use."""
+    assert _shuffles(Q.QUERIES[name](spark, SF)) <= most
