@@ -38,8 +38,12 @@ def latest_funder(edges: DataFrame) -> DataFrame:
 
 def same_funder_pairs(trades: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """(mint, pairs, funders): pairs among the first n buyers that share their latest funder: counted by group, not joined."""
-    first = first_buyers(trades, n).select("mint", "wallet").join(latest_funder(edges).select("wallet", "funder"), "wallet")
-    groups = first.groupBy("mint", "funder").count()
+    return shared_funders(first_buyers(trades, n), edges)
+
+
+def shared_funders(first: DataFrame, edges: DataFrame) -> DataFrame:
+    """`same_funder_pairs` of buyers (mint, wallet) that are known."""
+    groups = first.select("mint", "wallet").join(latest_funder(edges).select("wallet", "funder"), "wallet").groupBy("mint", "funder").count()
     return groups.groupBy("mint").agg(F.sum(F.expr("count * (count - 1) div 2")).alias("pairs"), F.count(F.lit(1)).alias("funders"))
 
 

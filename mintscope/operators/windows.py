@@ -107,9 +107,15 @@ def holding_times(trades: DataFrame) -> DataFrame:
 
 def retention(trades: DataFrame, held: DataFrame, n: int) -> DataFrame:
     """(mint, retention): the part of the first n buyers with a balance left."""
-    first = first_buyers(trades, n).select("mint", "wallet")
+    return retentions(trades, held, [n]).select("mint", F.col(f"retention_{n}").alias("retention"))
+
+
+def retentions(trades: DataFrame, held: DataFrame, ns: list[int]) -> DataFrame:
+    """(mint, retention_<n>, ...): for each n the part of the first n buyers with a balance left; the buyers are found once."""
+    first = first_buyers(trades, max(ns)).select("mint", "wallet", "place")
     own = held.where("balance > 0").select("mint", "wallet", F.lit(1).alias("there"))
-    return first.join(own, ["mint", "wallet"], "left").groupBy("mint").agg((F.count("there") / F.count(F.lit(1))).alias("retention"))
+    part = lambda n: F.count(F.when(F.col("place") <= n, F.col("there"))) / F.count(F.when(F.col("place") <= n, 1))
+    return first.join(own, ["mint", "wallet"], "left").groupBy("mint").agg(*[part(n).alias(f"retention_{n}") for n in ns])
 
 
 def absorption(trades: DataFrame, large: float) -> DataFrame:

@@ -109,7 +109,7 @@ def _shuffles(df):
     return plan.count(" Exchange ")
 
 
-@pytest.mark.parametrize("name, most", [("rug_measures", 6), ("developer_measures", 3)])
+@pytest.mark.parametrize("name, most", [("rug_measures", 6), ("developer_measures", 3), ("holder_lifecycle_measures", 10)])
 def test_line_trades_are_shuffled_once(spark, name, most):
     """Failed before: lines were dealt out whole, then by order, and once more for each use."""
     assert _shuffles(Q.QUERIES[name](spark, SF)) <= most
