@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from mintscope import queries as Q
 from mintscope.operators import cohorts as C
+from mintscope.operators import joins as J
+from mintscope.operators import windows as W
 from mintscope.operators.windows import TTL
 from mintscope.plans import families as P
 from mintscope.sources import shared
@@ -113,3 +115,13 @@ def _shuffles(df):
 def test_line_trades_are_shuffled_once(spark, name, most):
     """Failed before: lines were dealt out whole, then by order, and once more for each use."""
     assert _shuffles(Q.QUERIES[name](spark, SF)) <= most
+
+
+def test_first_buyers_are_found_once(spark, monkeypatch):
+    """Failed before: the bundle looked for them once more for their funders."""
+    calls, own = [], W.first_buyers
+    found = lambda *a: calls.append(a) or own(*a)
+    for module in (W, J):
+        monkeypatch.setattr(module, "first_buyers", found)
+    Q.QUERIES["f9_bundle"](spark, SF)
+    assert len(calls) == 1
