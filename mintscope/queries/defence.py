@@ -106,13 +106,13 @@ SLOT, WAIT = 43_200_000_000, 172_800_000_000
 
 
 def few_wallets(spark, sf_dir):
-    """The launches' trades by twelve wallets, so that sellers come again."""
-    return launch_trades(spark, sf_dir).withColumn("wallet", F.col("wallet") % 12)
+    """The launches' trades by twelve wallets, so that sellers come again; written, since all that is known of a sell comes of them."""
+    return cut(launch_trades(spark, sf_dir).withColumn("wallet", F.col("wallet") % 12), "trades")
 
 
 def threats(t):
     """T5's index of the launches' holders, with the names that sellers have there; who bought in the first slot belongs to the bundle."""
-    ledger = L.positions(t)
+    ledger = cut(L.positions(t), "ledger")
     held = ledger.where("held > 0").select("mint", "wallet", F.col("held").alias("balance"))
     creators = t.where("side = 'buy'").groupBy("mint").agg(F.min("wallet").alias("wallet"))
     x = L.exit_threats(held, ledger, t.groupBy("mint").agg(F.sum("quote").alias("depth")), creators).join(held, ["mint", "wallet"])
@@ -122,15 +122,12 @@ def threats(t):
     return x.join(first, ["mint", "wallet"], "left").select("mint", F.col("wallet").alias("seller"), kind.alias("threat_class"), F.col("share").alias("holding_pct"), "balance", F.col("impact_100").alias("full_exit_impact_pct"), F.col("place").alias("top_rank"))
 
 
-def tentative_sells(spark, sf_dir):
-    """The launches' sells as they are seen before they are confirmed, with what is known of seller, token and our position."""
-    t = few_wallets(spark, sf_dir)
+def tentative_sells(t, index):
+    """The sells of t as they are seen before they are confirmed, with what is known of seller, token and our position; written, since copies are looked for among them."""
     order = Window.partitionBy("mint").orderBy("us", "seq")
-    e, index = t.withColumn("before", F.lag("price").over(order)).where("side = 'sell'"), cut(threats(t), "threats")
-    anchors = t.groupBy("mint").agg((F.max("us") + 10_000_000).alias("observed_us"))
+    e = t.withColumn("before", F.lag("price").over(order)).where("side = 'sell'")
     held = t.groupBy("mint", "wallet").agg(F.sum(F.when(F.col("side") == "buy", F.col("tokens")).otherwise(-F.col("tokens"))).alias("balance"))
-    empty = t.select("mint", *[F.lit(None).cast("double").alias(c) for c in ("return_pct_30s", "holder_growth_rate", "organic_flow_score", "creator_first_sell_us", "creator_sell_percentage", "holders_1m")]).where("false")
-    absorbed = S.survival_columns(t, anchors, held, empty, LARGE, SHORT, LONG).select("mint", F.col("absorption_success_score").alias("absorption"))
+    absorbed = S.absorption_success(t, LARGE).select("mint", F.col("absorption_success_score").alias("absorption"))
     sticky = W.retention(t, held, 10).select("mint", F.col("retention").alias("stickiness"))
     token = t.groupBy("mint").agg(F.sum("quote").alias("depth"), F.avg("quote").alias("q"), F.avg("tokens").alias("n"), F.min(F.when(F.col("side") == "buy", F.col("wallet"))).alias("creator"))
     ours = F.col("mint") % 3 != 2
@@ -138,8 +135,15 @@ def tentative_sells(spark, sf_dir):
     x = e.select(
         F.col("seq").alias("id"), "mint", F.col("wallet").alias("seller"), F.expr(f"us div {SLOT}").alias("slot"), "us", F.expr(f"case when seq % 4 = 0 then concat('s', mint, '.', us div {SLOT}) end").alias("signature"), F.expr("elt(seq % 5 + 1, 'deshredpreexecution', 'rawshred', 'fixturetentative', 'mockearlyintent', 'replaytentative')").alias("source"),
         F.col("tokens").alias("token_in"), F.col("quote").alias("quote_out"), F.col("before").alias("price_before"), F.when(F.col("before").isNotNull(), F.col("price")).alias("price_after"), F.coalesce("before", "price").alias("latest_price"), (F.lit(0.6) + F.col("seq") % 40 / 100).alias("decode_confidence"), (F.col("seq") % 7 == 0).alias("partial"), (F.col("seq") % 450).alias("latency_ms"),
-    ).join(token, "mint").join(index, ["mint", "seller"], "left").join(D.threat_index(index), "mint", "left").join(absorbed, "mint", "left").join(sticky, "mint", "left")
-    return x.withColumns({"is_creator": F.coalesce(F.col("seller") == F.col("creator"), F.lit(False)), "is_top_holder": F.coalesce(F.col("top_rank") <= 3, F.lit(False)), "growth": F.lit(0.0)}).drop("creator", "max_impact_pct")
+    ).join(index, ["mint", "seller"], "left").join(J.side_by_side([token, D.threat_index(index), absorbed, sticky], "mint"), "mint")
+    return cut(x.withColumns({"is_creator": F.coalesce(F.col("seller") == F.col("creator"), F.lit(False)), "is_top_holder": F.coalesce(F.col("top_rank") <= 3, F.lit(False)), "growth": F.lit(0.0)}).drop("creator", "max_impact_pct"), "tentative")
+
+
+def detected(spark, sf_dir):
+    """The launches' trades, the index of their holders, and T6 of their sells: each made once."""
+    t = few_wallets(spark, sf_dir)
+    index = cut(threats(t), "threats")
+    return t, index, D.detect(tentative_sells(t, index))
 
 
 _SELLS = f"""{_TK}, tw AS (SELECT * REPLACE (wallet % 12 AS wallet) FROM tk), {_LEDGER.replace("FROM ev)", "FROM tw)")},
@@ -177,7 +181,7 @@ _SELLS = f"""{_TK}, tw AS (SELECT * REPLACE (wallet % 12 AS wallet) FROM tk), {_
 
 @query(with_views("ev", sql=_SELLS + " SELECT * FROM t6").replace("WITH", "WITH RECURSIVE", 1))
 def t6_tentative_sells(spark, sf_dir):
-    return D.detect(tentative_sells(spark, sf_dir))
+    return detected(spark, sf_dir)[2]
 
 
 def confirmations(spark, sf_dir):
@@ -190,8 +194,8 @@ def confirmations(spark, sf_dir):
     return x.select("mint", "seller", "us", kind.alias("kind"), "price_after")
 
 
-def resolutions(spark, sf_dir, found):
-    return D.resolve(found, confirmations(spark, sf_dir), few_wallets(spark, sf_dir).select("mint", "us", "price"), WAIT)
+def resolutions(spark, sf_dir, t, found):
+    return D.resolve(found, confirmations(spark, sf_dir), t.select("mint", "us", "price"), WAIT)
 
 
 _RESOLVED = _SELLS + f""",
@@ -206,7 +210,8 @@ _RESOLVED = _SELLS + f""",
 
 @query(with_views("ev", sql=_RESOLVED + " SELECT * FROM res").replace("WITH", "WITH RECURSIVE", 1))
 def t7_sell_resolutions(spark, sf_dir):
-    return resolutions(spark, sf_dir, D.detect(tentative_sells(spark, sf_dir)))
+    t, _, found = detected(spark, sf_dir)
+    return resolutions(spark, sf_dir, t, cut(found, "sells"))
 
 
 _OF = lambda *kinds: f"count(*) FILTER (step = 0 AND level IS NOT NULL AND seller_class IN ({', '.join(repr(k) for k in kinds)})) OVER w"
@@ -225,8 +230,9 @@ _LAST = lambda cond, v: f"last_value(CASE WHEN {cond} THEN {v} END IGNORE NULLS)
         est AS shred_sell_saved_loss_estimate, rea AS shred_sell_saved_loss_realized, opp AS shred_exit_opportunity_cost, sta AS shred_signal_stale_flag, coalesce(lead, 0) AS shred_exit_latency_budget_ms, coalesce(l1, l2, l3, 0) AS shred_exit_latency_used_ms, greatest(0, est + rea - opp) AS shred_exit_edge_score, mal AS malicious_sell_intent_score,
         coalesce(CASE WHEN was_warning THEN wconf ELSE run END, 0) AS preconfirmation_exit_confidence, least(1, coalesce(worst, 0) / 100) AS dangerous_seller_precomputed_impact_score, least(1, coalesce(worst, 0) / 100) AS exit_threat_index_score FROM y LEFT JOIN ti ON ti.mint = y.mint""").replace("WITH", "WITH RECURSIVE", 1))
 def f21_defence_columns(spark, sf_dir):
-    found = cut(D.detect(tentative_sells(spark, sf_dir)), "sells")
-    return D.defence_columns(found, resolutions(spark, sf_dir, found), D.threat_index(threats(few_wallets(spark, sf_dir))))
+    t, index, found = detected(spark, sf_dir)
+    found = cut(found, "sells")
+    return D.defence_columns(found, resolutions(spark, sf_dir, t, found), D.threat_index(index))
 
 
 _THERE = " + ".join(f"({x.rsplit(' ', 1)[0]} IS NOT NULL)::INT" for x in RESULTS["f14_survival_columns"].split(", ")[1:])

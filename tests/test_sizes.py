@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from mintscope import queries as Q
 from mintscope.operators import cohorts as C
 from mintscope.operators import joins as J
+from mintscope.operators import ledger as L
 from mintscope.operators import windows as W
 from mintscope.operators.windows import TTL
 from mintscope.plans import families as P
+from mintscope.queries import defence
 from mintscope.sources import shared
 from mintscope.streaming import operators as S
 
@@ -125,3 +127,17 @@ def test_first_buyers_are_found_once(spark, monkeypatch):
         monkeypatch.setattr(module, "first_buyers", found)
     Q.QUERIES["f9_bundle"](spark, SF)
     assert len(calls) == 1
+
+
+def _counted(monkeypatch, module, name):
+    calls, own = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a: calls.append(a) or own(*a))
+    return calls
+
+
+@pytest.mark.parametrize("name, joins", [("t6_tentative_sells", 1), ("t7_sell_resolutions", 5)])
+def test_sells_are_made_of_trades_written_once(spark, monkeypatch, name, joins):
+    """Failed before: trades were read from events for each use, and the sells made anew for each look at them."""
+    calls = _counted(monkeypatch, defence, "launch_trades")
+    x = Q.QUERIES[name](spark, SF)
+    assert len(calls) == 1 and _joins(x) <= joins
