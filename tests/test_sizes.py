@@ -141,3 +141,10 @@ def test_sells_are_made_of_trades_written_once(spark, monkeypatch, name, joins):
     calls = _counted(monkeypatch, defence, "launch_trades")
     x = Q.QUERIES[name](spark, SF)
     assert len(calls) == 1 and _joins(x) <= joins
+
+
+def test_defence_makes_its_index_once(spark, monkeypatch):
+    """Failed before: ledger and index were folded once for the sells and once more for the columns."""
+    calls = _counted(monkeypatch, L, "positions")
+    Q.QUERIES["f21_defence_columns"](spark, SF)
+    assert len(calls) == 1
