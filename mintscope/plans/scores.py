@@ -110,6 +110,7 @@ RISKS = ["rug", "bundle", "dev", "top_holder", "fake_momentum", "data_quality"]
 def risks(features: DataFrame) -> DataFrame:
     """Adds the six risks' scores, a struct `<risk>_risk` of each (confidence, severity, reasons, missing_penalty, action), and the overall
     score and confidence, discard policy and sorted reasons. Features that were never registered count as 0 where absent."""
+    features.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # rows this wide make longer methods, which the JVM doesn't compile
     extra = [c for c in ("rug_confidence", "bundle_confidence", "account_update_gap_flag", "transaction_stream_gap_flag", "slot_status_gap_flag") if c not in features.columns]
     x = features.withColumns({c: F.lit(None).cast("double") for c in extra}) if extra else features
     x = x.withColumns({n: clamp01(weighted_score(n)) for n in RISKS if n != "fake_momentum"} | {"fake_momentum": clamp01(weighted_score("fake_momentum") - weighted_score("fake_momentum_relief"))})

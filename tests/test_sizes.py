@@ -148,3 +148,11 @@ def test_defence_makes_its_index_once(spark, monkeypatch):
     calls = _counted(monkeypatch, L, "positions")
     Q.QUERIES["f21_defence_columns"](spark, SF)
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["r7_assessment", "r14_entry_decisions"])
+def test_score_rows_run_compiled(spark, name):
+    """Failed before: the rows' expressions made methods that the JVM only interprets."""
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    Q.QUERIES[name](spark, SF)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
