@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.math import clamp01, weighted
 from ..operators.joins import side_by_side
-from ..sources.shared import cut
+from ..sources.shared import cut, spread
 
 SECOND = 1_000_000
 
@@ -44,12 +44,14 @@ def survival_columns(trades: DataFrame, anchors: DataFrame, held: DataFrame, con
     anchors: mint, observed_us; held: mint, wallet, balance; context: mint, return_pct_30s, holder_growth_rate,
     organic_flow_score, creator_first_sell_us, creator_sell_percentage, holders_1m (missing counts as 0; holders_1m as today's).
     Trades are summed by wallet first, so that a mint with many trades is not one task; `short`, `long`: seconds of the windows of buyers.
-    Trades, holders and sums are written between the steps, so that no task holds the sorts of all of them.
+    Trades, holders and sums are written between the steps, so that no task holds the sorts of all of them; wallets' sums
+    take as many tasks as trades need.
     """
     buy, sell = F.col("side") == "buy", F.col("side") == "sell"
     x = trades.join(anchors, "mint").where("us <= observed_us")
     hits = x.where(sell & (F.col("quote") >= large)).groupBy("mint").agg(F.min(F.struct("us", "seq", "price")).alias("hit"))
     x = cut(x.join(hits, "mint", "left").select("mint", "wallet", "side", "us", "seq", "quote", "price", "observed_us", "hit"), "trades")
+    x = spread(x, x.count(), "mint", "wallet")
     held = cut(held.where("balance > 0").select("mint", "wallet", "balance"), "held")
     after = buy & (F.col("us") > F.col("hit.us"))
     at = F.struct("us", "seq", "price")

@@ -156,3 +156,10 @@ def test_score_rows_run_compiled(spark, name):
     spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
     Q.QUERIES[name](spark, SF)
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_launches_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Failed before: launches were made of events anew for each use, by the session's number of tasks however many there were."""
+    monkeypatch.setattr(shared, "ROWS", 20)
+    t = defence.launch_context(spark, SF)[0]
+    assert t.rdd.getNumPartitions() == -(-t.count() // 20) and "get_json_object" not in t._jdf.queryExecution().optimizedPlan().toString()
