@@ -91,11 +91,20 @@ def first_trades(trades: DataFrame, n: int) -> DataFrame:
     return trades.withColumn("place", F.row_number().over(_w("mint"))).where(F.col("place") <= n)
 
 
-def first_buyers(trades: DataFrame, n: int) -> DataFrame:
-    """(mint, wallet, place, us, quote): the first n distinct buyers."""
-    first = trades.where("side = 'buy'").groupBy("mint", "wallet").agg(F.min(F.struct("us", "seq", "quote")).alias("f"))
-    place = F.row_number().over(Window.partitionBy("mint").orderBy("f"))
-    return first.withColumn("place", place).where(F.col("place") <= n).select("mint", "wallet", "place", "f.us", "f.quote")
+def first_buyers(trades: DataFrame, n: int, top: int = 0) -> DataFrame:
+    """(mint, wallet, place, us, quote): the first n distinct buyers; with `top`, also whether each is among the mint's `top` largest holders, who hold what they bought less what they sold."""
+    buy = F.col("side") == "buy"
+    at = F.struct("us", "seq", "quote")
+    place = F.row_number().over(Window.partitionBy("mint").orderBy(F.asc_nulls_last("f")))
+    if not top:
+        first = trades.where(buy).groupBy("mint", "wallet").agg(F.min(at).alias("f"))
+        return first.withColumn("place", place).where(F.col("place") <= n).select("mint", "wallet", "place", "f.us", "f.quote")
+    own = trades.groupBy("mint", "wallet").agg(F.min(F.when(buy, at)).alias("f"), F.sum(F.when(buy, F.col("tokens")).otherwise(-F.col("tokens"))).alias("balance"))
+    own = own.withColumn("balance", F.when(F.col("balance") > 0, F.col("balance")))
+    rank = F.row_number().over(Window.partitionBy("mint").orderBy(F.desc_nulls_last("balance"), "wallet"))
+    there = F.col("balance").isNotNull() & (rank <= top) & F.col("wallet").isNotNull()
+    first = own.select("mint", "wallet", "f", there.alias("on_top")).withColumn("place", place)
+    return first.where((F.col("place") <= n) & F.col("f").isNotNull()).select("mint", "wallet", "place", "f.us", "f.quote", "on_top")
 
 
 def holding_times(trades: DataFrame) -> DataFrame:

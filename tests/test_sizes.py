@@ -163,3 +163,19 @@ def test_launches_are_dealt_out_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(shared, "ROWS", 20)
     t = defence.launch_context(spark, SF)[0]
     assert t.rdd.getNumPartitions() == -(-t.count() // 20) and "get_json_object" not in t._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bundle_reads_lines_once(spark):
+    """Failed before: the largest holders came of lines that were read, made distinct and dealt out once more."""
+    x = Q.QUERIES["f9_bundle"](spark, SF)
+    assert "l_orderkey" not in x._jdf.queryExecution().optimizedPlan().toString() and _shuffles(x) <= 6
+
+
+def test_first_buyers_know_who_is_on_top(spark):
+    """Failed before: what they hold took a second look at all trades. A wallet unknown takes a place, but is no one's."""
+    rows = [(1, 7, "buy", 5.0, 10), (1, 8, "buy", 9.0, 20), (1, 7, "sell", 5.0, 30), (1, 9, "sell", 1.0, 5), (1, None, "buy", 20.0, 40), (2, 7, "buy", 1.0, 1), (2, 7, "buy", 1.0, 2)]
+    t = spark.createDataFrame([(*r, r[-1], 1.0) for r in rows], "mint long, wallet long, side string, tokens double, us long, seq long, quote double")
+    got = lambda top: [tuple(r) for r in W.first_buyers(t, 8, top).select("mint", "wallet", "place", "us", "on_top").orderBy("mint", "place").collect()]
+    assert got(1) == [(1, 7, 1, 10, False), (1, 8, 2, 20, False), (1, None, 3, 40, False), (2, 7, 1, 1, True)]
+    assert got(2) == [(1, 7, 1, 10, False), (1, 8, 2, 20, True), (1, None, 3, 40, False), (2, 7, 1, 1, True)]
+    assert [tuple(r) for r in W.first_buyers(t, 8).orderBy("mint", "place").collect()] == [(1, 7, 1, 10, 1.0), (1, 8, 2, 20, 1.0), (1, None, 3, 40, 1.0), (2, 7, 1, 1, 1.0)]
