@@ -25,6 +25,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """df for a join with rows that came of an explode, which the planner sizes like those before it: sorted and merged, never sent whole through the driver."""
+    return df.hint("merge")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Python gets at most `rows` rows at a time from now on, so that a batch of whole texts stays small beside an executor's memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

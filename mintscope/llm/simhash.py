@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, grown
 from .components import components
 
 #: Members of a variant that are compared pair by pair; more go by two-bit variants, which give the same links.
@@ -73,7 +73,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
     # counted by pre-aggregation; a crowded variant's rows are then split by the join where they are too many for a task
     crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = cut(keyed.join(crowds, "key"), "variants")
+    sized = cut(keyed.join(grown(crowds), "key"), "variants")
     # verified before they become rows; two that agree on the whole segment meet under each of its bits, and count under the first
     bucket = sized.where(F.col("n") <= crowd).groupBy("key", "once").agg(F.array_sort(F.collect_list(F.struct("node", "simhash"))).alias("m"))
     same = "((shiftrightunsigned(key, 32) < 32 and ((x.simhash ^ y.simhash) & 4294967295L) = 0) or (shiftrightunsigned(key, 32) >= 32 and shiftrightunsigned(x.simhash ^ y.simhash, 32) = 0))"

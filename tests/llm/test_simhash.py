@@ -70,3 +70,11 @@ def test_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 6, 6]
     assert simhash.near_duplicates(df.where("false")).count() == 0
+
+
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    """Failed before: the planner sized 64 variants a fingerprint like the fingerprints, and sent them through the driver."""
+    plans, own = {}, simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, name: (plans.__setitem__(name, df._jdf.queryExecution().executedPlan().toString()), own(df, name))[1])
+    simhash.near_duplicates(spark.read.parquet(DOCS)).count()
+    assert "Join" in plans["variants"] and "BroadcastHashJoin" not in plans["variants"]
