@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import simhash
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, grown
 from .components import components
 
 WIDTH, SIMILAR = 5, 0.8
@@ -85,14 +85,14 @@ def _apart(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     own = sets.join(nodes, "node").select("node", "c", "s", F.size("s").alias("n"))
     tokens = own.select("node", F.explode("s").alias("t"))
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    ranked = tokens.join(often, "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("r"))
+    ranked = tokens.join(grown(often), "t").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("r"))
     first = F.col("n") - F.size("r")  # shingles of its own, the rarest, stand before
     length = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
-    x = own.select("node", "c", "n").join(ranked, "node").select("node", "c", "n", F.posexplode(F.slice("r", F.lit(1), F.greatest(F.lit(0), (length - first).cast("int")))).alias("i", "r"), first.alias("u"))
+    x = own.select("node", "c", "n").join(grown(ranked), "node").select("node", "c", "n", F.posexplode(F.slice("r", F.lit(1), F.greatest(F.lit(0), (length - first).cast("int")))).alias("i", "r"), first.alias("u"))
     x = x.select("node", "c", "n", F.col("r.t").alias("t"), (F.col("n") - F.col("u") - F.col("i")).alias("left"))
     y = x.select(F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), "t", F.col("left").alias("lb"))
     enough = F.least("left", "lb") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("nb")) - 1e-9
-    return x.withColumnRenamed("node", "a").join(y, "t").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & enough).select("a", "b").distinct()
+    return x.withColumnRenamed("node", "a").join(grown(y), "t").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & enough).select("a", "b").distinct()
 
 
 def groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILAR) -> DataFrame:
@@ -121,7 +121,7 @@ def groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     banded = distinct.select("node", F.explode("bands").alias("band")).distinct()
     # counted by pre-aggregation; a crowded band is dealt over salts, and each member is set beside the one before it in its salt
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where("n > 1")
-    met = banded.join(shared, "band").withColumn("salt", F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)))
+    met = banded.join(grown(shared), "band").withColumn("salt", F.when(F.col("n") > CROWD, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)))
     met = cut(met.withColumn("last", F.expr("lag(node, 1, nullif(least, node)) over (partition by band, salt order by node)")).select("band", "node", "n", "least", "last"), "bands")
     wanted = docs.join(met.select("node").union(near.select("a")).union(near.select("b")).distinct(), "node", "left_semi")
     sets = cut(wanted.withColumn("s", shingled("x")).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("s")), "shingles")

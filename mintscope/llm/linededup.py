@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, fresh
+from .common import bounded_batches, cut, fresh, grown
 
 BLOCKS = 16
 #: Copies of a shared half's row, so that lines that share one common half meet in many tasks.
@@ -135,7 +135,7 @@ def _part_keys(line: F.Column, edits: int) -> F.Column:
 def _shared(rows: DataFrame, key: str) -> DataFrame:
     """The rows whose key occurs in another row too. Counting is pre-aggregated; a common key's rows meet in SALTS tasks."""
     twice = rows.groupBy(key).count().where("count > 1").select(key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(twice, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(grown(twice), [key, "salt"]).drop("salt")
 
 
 def _judged(line) -> F.Column:
@@ -182,12 +182,12 @@ def kept_lines(df: DataFrame, key: str = "doc_id", text: str = "text", edits: in
     if edits != 1:
         variants = found.select("first", F.explode(gap_keys(edits)("line")).alias("variant"))
         early = variants.groupBy("variant").agg(F.min("first").alias("early"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        lost = variants.join(early, "variant").where("early < first").select("first").distinct()
+        lost = variants.join(grown(early), "variant").where("early < first").select("first").distinct()
         return _bitmaps(distinct.select("first").join(lost, "first", "left_anti"))
     near = _shared(found.select("id", F.explode(block_keys("line")).alias("block")), "block").groupBy("id").agg(F.collect_list("block").alias("blocks"))
-    variants = found.join(near, "id").select("id", "first", F.explode(variant_keys("line", "blocks")).alias("variant"))
+    variants = found.join(grown(near), "id").select("id", "first", F.explode(variant_keys("line", "blocks")).alias("variant"))
     earliest = variants.groupBy("variant").agg(F.min("first").alias("early"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = variants.join(earliest, "variant").where("early < first").select("first", "early").distinct()
+    pairs = variants.join(grown(earliest), "variant").where("early < first").select("first", "early").distinct()
     line_of = found.select(F.col("first"), F.col("line").alias("later"))
     early_of = found.select(F.col("first").alias("early"), F.col("line").alias("earlier"))
     lost = pairs.join(line_of, "first").join(early_of, "early").where(F.levenshtein("later", "earlier", 1) >= 0).select("first").distinct()

@@ -77,3 +77,16 @@ def test_fingerprints_alone_link_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "signature", lambda text, width=5: own(text, width)[:3])
     got = {r.doc_id: r.component_id for r in jaccard.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     assert got == brute(texts) == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+def test_exploded_rows_are_not_broadcast(spark, monkeypatch):
+    """Failed before: the planner sized 40 bands a text, and a set's shingles one by one, like the texts, and sent them through the driver."""
+    plans, own = {}, jaccard.cut
+    kept = lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(jaccard, "cut", lambda df, name: (kept(df, name), own(df, name))[1])
+    jaccard.groups(spark.createDataFrame([(i, f"a b c d e f g h {i // 3}") for i in range(30)], "doc_id long, text string")).count()
+    assert "Join" in plans["bands"] and "BroadcastHashJoin" not in plans["bands"]
+    sets = spark.range(30).selectExpr("id as node", "sequence(id, id + 20) as s")
+    x = jaccard._apart(spark.range(30).selectExpr("id as node", "id as c"), sets, 0.8)
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [t#" in plan and "BroadcastHashJoin [t#" not in plan and x.count() > 0

@@ -82,3 +82,11 @@ def test_edge_rows(spark):
     kept = linededup.drop_repeated_lines(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 5]
     assert linededup.clean(df.where("false")).count() == 0
+
+
+def test_keys_of_lines_are_not_broadcast(spark):
+    """Failed before: the planner sized a line's block keys like the line, and sent them through the driver."""
+    rows = spark.range(1000).selectExpr("struct(id as h, id as g) as id", "explode(sequence(id, id + 31)) as block")
+    shared = linededup._shared(rows, "block")
+    assert "Join" in (plan := shared._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+    assert shared.count() == 32 * 1000 - 2
