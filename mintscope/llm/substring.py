@@ -44,6 +44,8 @@ SIDE = (MIN - K) // 2
 BUCKET = 32 << 20
 #: Bytes that are hashed at a time, and anchors that are packed at a time.
 CHUNK, PACK = 1 << 20, 500_000
+#: Contexts that are hashed at a time, and suffixes that are sorted at a time.
+ROWS, SUFFIXES = 20_000, 250_000
 
 _B, _R, _M = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, np.uint64(0xFF51AFD7ED558CCD)
 
@@ -280,7 +282,7 @@ def _fetch(buckets: int):
                 continue
             key = np.array(keys, dtype=np.uint64)
             to = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            head = np.array([docs, starts, list(map(len, texts)), key.view(np.int64)], dtype="<i8")
+            head = np.array([docs, starts, list(map(len, texts))], dtype="<i8")
             order = np.argsort(to, kind="stable")
             out = []
             for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
@@ -303,7 +305,7 @@ def _to_smaller(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
         shared.append(np.minimum(shared[-1][:-w], shared[-1][w:]))
     at, least = np.arange(n), np.full(n, MIN, dtype=lcp.dtype)
     for k in range(len(low) - 1, -1, -1):
-        for _ in range(2 if k == len(low) - 1 else 1):
+        for _ in range(3 if k == len(low) - 1 else 1):  # n is less than four of the longest steps
             to = at - (1 << k)
             ok = np.flatnonzero(to >= 0)
             ok = ok[low[k][to[ok]] >= doc[ok]]
@@ -336,40 +338,70 @@ def longest_previous_factor(windows: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _hashes(buf: np.ndarray, first: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of contexts that begin at `first` and have `per` windows each, of some contexts at a time."""
+    out, done = np.empty(per.sum(), np.uint64), 0
+    for i in range(0, len(per), ROWS):
+        f, n = first[i : i + ROWS], per[i : i + ROWS]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - (f - f[0]), n)
+        out[done : done + len(at)] = _Prefix(buf[f[0] : f[-1] + n[-1] + MIN - 1]).of(at, at + MIN)
+        done += len(at)
+    return out
+
+
+def _covered_windows(windows, doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a window of a smaller document is the same, for rows in order of (h, doc) whose windows `windows` gives (rows -> bytes).
+
+    SUFFIXES rows are sorted at a time. Equal hashes may go on from one such part to the next: the next then begins with
+    the first row of each window that these had so far.
+    """
+    hit, carried = np.zeros(len(doc), bool), np.zeros(0, np.int64)
+    for i in range(0, len(doc), SUFFIXES):
+        rows = np.concatenate([carried, np.arange(i, min(i + SUFFIXES, len(doc)))])
+        own = windows(rows)
+        hit[rows] |= longest_previous_factor(own, doc[rows]) == MIN
+        on = np.flatnonzero((h[rows] == h[rows[-1]]) & ~hit[rows])
+        carried = rows[on[np.unique(own[on], axis=0, return_index=True)[1]]]  # the first of each has the smallest document
+    return hit
+
+
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Covered spans of a bucket's contexts."""
+    """Covered spans of a bucket's contexts. Beside the texts a window takes 9 bytes here; what is sorted is bounded."""
     heads, texts = [], []
     for n, blob in zip(pdf["n"], pdf["blob"], strict=True):
         raw = zstandard.decompress(bytes(blob))
-        heads.append(np.frombuffer(raw, "<i8", 4 * n).reshape(4, n))
-        texts.append(raw[32 * n :])
-    doc, start, size, key = np.concatenate(heads, axis=1)
+        heads.append(np.frombuffer(raw, "<i8", 3 * n).reshape(3, n))
+        texts.append(raw[24 * n :])
+    doc, start, size = np.concatenate(heads, axis=1)
     buf = np.frombuffer(b"".join(texts), np.uint8)
+    del heads, texts
     first = np.cumsum(size) - size
     per = size - MIN + 1
-    of = np.repeat(np.arange(len(size)), per)
-    at = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + first[of]
-    h = _Prefix(buf).of(at, at + MIN)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    left = np.flatnonzero(twice)  # the others have no match at all
-    if not len(left):
-        return pd.DataFrame({"d": np.zeros(0, np.int64), "span": np.zeros(0, np.int64)})
+    ends = np.cumsum(per)
+    begins = ends - per
+    h = _hashes(buf, first, per)
     hit = np.zeros(len(h), bool)
-    for part in _groups(key.view(np.uint64)[of[left]]):  # a group's suffixes stay together; memory is bounded by parts
-        rows = left[part]
-        hit[rows] = longest_previous_factor(np.lib.stride_tricks.sliding_window_view(buf, MIN)[at[rows]], doc[of[rows]]) == MIN
-    runs = hit & ~np.concatenate([[False], hit[:-1] & (of[1:] == of[:-1])])
-    stops = hit & ~np.concatenate([hit[1:] & (of[1:] == of[:-1]), [False]])
-    a, z = at[runs], at[stops] + MIN
-    c = of[runs]
-    made = pd.DataFrame({"d": doc[c], "span": (start[c] + a - first[c]) << 8 | (z - a)})
+    views = np.lib.stride_tricks.sliding_window_view(buf, MIN)
+    for rows in _groups(h):  # equal windows have equal hashes
+        of = np.searchsorted(ends, rows, side="right")
+        order = np.lexsort((doc[of], h[rows]))
+        rows, of = rows[order], of[order]
+        same = h[rows][1:] == h[rows][:-1]
+        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        rows, of = rows[twice], of[twice]  # the others have no match at all
+        at = rows - begins[of] + first[of]
+        hit[rows] = _covered_windows(lambda x: views[at[x]], doc[of], h[rows])  # noqa: B023
+    opens, closes = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    opens[begins] = closes[ends - 1] = True
+    opens[1:] |= ~hit[:-1]
+    closes[:-1] |= ~hit[1:]
+    a, z = np.flatnonzero(hit & opens), np.flatnonzero(hit & closes)
+    c = np.searchsorted(ends, a, side="right")
+    made = pd.DataFrame({"d": doc[c], "span": (start[c] + a - begins[c]) << 8 | (z - a + MIN)})
     return made.drop_duplicates()
 
 
-def _groups(h: np.ndarray, size: int = 250_000) -> Iterator[np.ndarray]:
+def _groups(h: np.ndarray, size: int = 1_000_000) -> Iterator[np.ndarray]:
     parts = max(1, len(h) // size)
     which = (h >> np.uint64(7)) % np.uint64(parts)
     for i in range(parts):

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from mintscope.llm import substring
@@ -81,6 +82,52 @@ def test_longest_previous_factors_against_brute_force(n):
     assert substring.longest_previous_factor(w, doc).tolist() == want
 
 
+@pytest.mark.parametrize("n", [6, 7, 13, 15, 200, 250])
+def test_the_smallest_of_many_equal_windows_has_no_factor(n):
+    """Failed before: steps ended a quarter short of the first place, so that of 7 equal windows the smallest document's went too."""
+    doc = np.arange(n)[::-1] + 5
+    assert substring.longest_previous_factor(np.full((n, substring.MIN), 7, np.uint8), doc).tolist() == [substring.MIN] * (n - 1) + [0]
+
+
+def test_a_passage_of_seven_documents_stays_in_the_first(spark):
+    p = "fifty bytes that stand once in each of seven texts"
+    rng = random.Random(5)
+    around = lambda letters: "".join(rng.choice(letters) for _ in range(90))
+    rows = [(d, around("abcdefgh") + "0123456"[d] + p + "789XYZ-"[d] + around("ijklmnop")) for d in range(7)]
+    got = answers(substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows) and got[0][0][1] == 0 and got[1][0][1] == 50
+
+
+def test_suffixes_are_compared_a_part_at_a_time(monkeypatch):
+    """Failed before: suffixes of one anchor were sorted at once, however many there were."""
+    monkeypatch.setattr(substring, "SUFFIXES", 40)
+    monkeypatch.setattr(substring, "ROWS", 7)
+    most, own = [], substring.longest_previous_factor
+    monkeypatch.setattr(substring, "longest_previous_factor", lambda w, d: (most.append(len(w)), own(w, d))[1])
+    rng = random.Random(4)
+    p = "licence of a kind that many texts begin with, word by word. "
+    rows = [(d, ["xyz"[d % 3] * 34, "".join(rng.choice("ab") for _ in range(34))][d % 2] + p) for d in rng.sample(range(1000), 400)]
+    texts = pd.DataFrame([(d, x, np.array([0 << 24 | 34 << 16 | 84 << 8 | 3])) for d, x in rows], columns=["d", "x", "spans"])
+    got = substring._compare(pd.concat(substring._fetch(1)(iter([texts]))))
+    mark = {d: bytearray(84) for d, _ in rows}
+    for d, span in got.values.tolist():
+        mark[d][span >> 8 : (span >> 8) + (span & 255)] = b"\1" * (span & 255)
+    want = brute([(d, x[:84]) for d, x in rows])
+    assert {d: sum(m) for d, m in mark.items()} == {d: v[0][1] for d, v in want.items()} and max(most) < 100
+
+
+def test_equal_hashes_of_other_windows_part_ways():
+    rng = np.random.default_rng(1)
+    w = rng.integers(0, 2, (60, substring.MIN)).astype(np.uint8)[rng.integers(0, 60, 900)]
+    doc, first = np.sort(rng.integers(0, 400, 900)), {}
+    for x, d in zip(w, doc, strict=True):
+        first.setdefault(x.tobytes(), d)
+    old, substring.SUFFIXES = substring.SUFFIXES, 40
+    got = substring._covered_windows(lambda rows: w[rows], doc, np.zeros(900, np.uint64))
+    substring.SUFFIXES = old
+    assert got.tolist() == [first[x.tobytes()] < d for x, d in zip(w, doc, strict=True)]
+
+
 def test_a_windows_side_decides_where_it_is_dealt():
     b = bytes(range(200))
     for start, off, size in ((40, 34, 84), (0, 5, 55), (0, 0, 50), (100, 34, 50), (100, 34, 70), (0, 34, 51)):
